@@ -1,0 +1 @@
+"""Column functions: addresses and URLs."""

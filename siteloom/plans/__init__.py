@@ -1,0 +1,16 @@
+"""Registered queries: each area has ENTRIES, name -> (query, SQL or None)."""
+
+from __future__ import annotations
+
+from . import graph, logs
+from .views import oracle
+
+AREAS = [logs, graph]
+
+
+def queries() -> dict:
+    return {name: entry[0] for area in AREAS for name, entry in area.ENTRIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: oracle(entry[1]) for area in AREAS for name, entry in area.ENTRIES.items() if entry[1]}

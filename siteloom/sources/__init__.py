@@ -1,0 +1 @@
+"""Readers of stored crawls, logs, sitemaps and lists, and the writers of results."""
