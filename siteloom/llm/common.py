@@ -1,47 +1,19 @@
-"""What several corpus operators share: tables in the shared folder, word hashes, components."""
+"""What several corpus operators share: word hashes, n-grams, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words longer than this are hashed anew each time instead of being remembered.
-REMEMBERED_WORD = 64
-_local: list[str] = []
-
+from ..storage import materialize, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+__all__ = ["WordHashes", "batches", "components", "materialize", "new_path", "ngram_hashes", "shared_dir", "utf8"]
 
-    It is the one named in spark.checkpoint.dir. Only where that is unset, and the
-    master is local, is a temporary folder made; otherwise the warehouse is used.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siteloom"
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="siteloom-"))
-    return _local[0]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/siteloom/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: the lineage ends
-    here, and a lost executor costs nothing that was finished before."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words longer than this are hashed anew each time instead of being remembered.
+REMEMBERED_WORD = 64
 
 
 def batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
