@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graph, logs
+from . import graph, logs, pages
 from .views import oracle
 
-AREAS = [logs, graph]
+AREAS = [logs, graph, pages]
 
 
 def queries() -> dict:
