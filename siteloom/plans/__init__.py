@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graph, logs, pages
+from . import graph, logs, pages, sources
 from .views import oracle
 
-AREAS = [logs, graph, pages]
+AREAS = [logs, graph, pages, sources]
 
 
 def queries() -> dict:
