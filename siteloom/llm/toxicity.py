@@ -71,19 +71,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     return docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "grade")
 
 
-def _fit(x: list[np.ndarray], y: np.ndarray, rounds: int, ridge: float, pace: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient descent (Adam) on the ordinal likelihood; deterministic."""
+def _fit(flat: np.ndarray, length: np.ndarray, y: np.ndarray, rounds: int, ridge: float, pace: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient descent (Adam) on the ordinal likelihood; deterministic. `flat` has the
+    features of all documents in a row, `length` how many each has."""
     w, cut = np.zeros(BUCKETS), np.arange(GRADES - 1) * 1.0 + 1
     if not len(y) or not (y > 0).any():
         return w, cut + 20.0
-    row, flat = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), length)
     seen = np.stack([np.bincount(flat[(y[row] > 0) == j], minlength=BUCKETS) for j in (False, True)])
     keep = (seen.sum(0) >= LEAST_DOCS) & (_g_test(seen, np.array([(y == 0).sum(), (y > 0).sum()])) >= LEAST_G)
     row, flat = row[keep[flat]], flat[keep[flat]]
     if not len(flat):
         return w, cut + 20.0
     rate = seen / np.maximum(1, np.array([[(y == 0).sum()], [(y > 0).sum()]]))
-    evidence = np.bincount(row[rate[1, flat] > rate[0, flat]], minlength=len(x))
+    evidence = np.bincount(row[rate[1, flat] > rate[0, flat]], minlength=len(y))
     y = np.where(y > 0, 1 + (evidence > np.median(evidence[y > 0])), 0)
     used, at = np.unique(flat, return_inverse=True)
     v, gap = np.zeros(len(used)), np.log(np.diff(cut))
@@ -93,13 +94,13 @@ def _fit(x: list[np.ndarray], y: np.ndarray, rounds: int, ridge: float, pace: fl
     weight = np.where(y > 0, len(y) / (2.0 * max(1, (y > 0).sum())), len(y) / (2.0 * max(1, (y == 0).sum())))
     for step in range(1, rounds + 1):
         cut = first + np.concatenate(([0.0], np.cumsum(np.exp(gap))))
-        score = np.bincount(row, v[at], len(x))
+        score = np.bincount(row, v[at], len(y))
         # log P(grade g) = log(F(c_g - s) - F(c_{g-1} - s)), F logistic, F(c_{-1}) = 0, F(c_{last}) = 1.
-        below = np.zeros((len(x), GRADES + 1))
+        below = np.zeros((len(y), GRADES + 1))
         below[:, 1:-1] = 1 / (1 + np.exp(-np.clip(cut - score[:, None], -30, 30)))
         below[:, -1] = 1.0
         upper, lower = below[each, y + 1], below[each, y]
-        per = weight / len(x)
+        per = weight / len(y)
         g_score = (1 - upper - lower) * per
         steep = below * (1 - below) * (per / np.maximum(upper - lower, 1e-9))[:, None]
         g_cut = np.array([steep[y == j + 1, j + 1].sum() - steep[y == j, j + 1].sum() for j in range(GRADES - 1)])
@@ -115,20 +116,20 @@ def _fit(x: list[np.ndarray], y: np.ndarray, rounds: int, ridge: float, pace: fl
     return w, first + np.concatenate(([0.0], np.cumsum(np.exp(gap))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, rounds: int = 600, ridge: float = 1e-3, pace: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, rounds: int = 600, ridge: float = 1e-3, pace: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds). Only the feature buckets and grades of the bounded sample
     reach the driver; without toxic labels nothing is found toxic."""
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.int64())), ("grade", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.int32())), ("grade", pa.int64())])
 
     def run(it):
         words = WordFeatures()
         for batch in it:
             x = [features(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.int64())), batch.column("grade").cast(pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.int32())), batch.column("grade").cast(pa.int64())], schema=schema)
 
-    rows = labelled_sample(docs, labels, sample).selectExpr("cast(doc_id as long) doc_id", "text", "grade").mapInArrow(run, "doc_id long, x array<long>, grade long").toArrow().sort_by("doc_id")
-    x = [np.asarray(v, np.int64) for v in rows.column("x").to_pylist()]
-    return _fit(x, np.asarray(rows.column("grade").to_pylist(), np.int64), rounds, ridge, pace)
+    rows = labelled_sample(docs, labels, sample).selectExpr("cast(doc_id as long) doc_id", "text", "grade").mapInArrow(run, "doc_id long, x array<int>, grade long").toArrow().sort_by("doc_id")
+    x = rows.column("x").combine_chunks()
+    return _fit(x.flatten().to_numpy(), np.diff(x.offsets.to_numpy()), rows.column("grade").to_numpy(), rounds, ridge, pace)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
