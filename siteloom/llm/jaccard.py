@@ -23,27 +23,41 @@ from __future__ import annotations
 
 import bisect
 import math
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, batches, components, materialize, ngram_hashes, utf8
 
 #: A level of sizes reaches to this multiple of its smallest size.
 LEVEL = 1.3
+#: Groups of so few sets are compared directly.
+FEW = 6
 #: Share of sets that may have more thin blocks than a level puts up with.
 THIN_TAIL = 2e-3
 
 
+def shingle_sets_of(texts: list[bytes | None], n: int, words: WordHashes):
+    """Sorted distinct n-gram hashes of each text; words are runs of non-whitespace, A-Z
+    lower-cased. Fewer than n words make one n-gram; no words, none."""
+    for lo in range(0, len(texts), 256):
+        tokens = [(t or b"").lower().split() for t in texts[lo : lo + 256]]
+        h = words.of(list(chain.from_iterable(tokens)))
+        grams, at = ngram_hashes(h, n), 0
+        for k in map(len, tokens):
+            own = np.sort(grams[at : at + k - n + 1]) if k >= n else ngram_hashes(h[at : at + k], k) if k else h[:0]
+            if len(own) > 1:
+                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+            yield own
+            at += k
+
+
 def shingle_set(text: bytes | None, n: int, words: WordHashes) -> np.ndarray:
-    """Sorted distinct n-gram hashes; words are runs of non-whitespace, A-Z lower-cased.
-    Fewer than n words make one n-gram; no words, none."""
-    h = words.of((text or b"").lower().split())
-    return np.unique(ngram_hashes(h, min(n, len(h)))) if len(h) else h
+    return next(shingle_sets_of([text], n, words))
 
 
 class Levels:
@@ -126,20 +140,54 @@ def similar(overlap, a, b, num: int, den: int):
     return den * overlap >= num * (a + b - overlap)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the counts of elements by their low bits, 2 to 4 bits an element."""
+    width = max(256, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1 == 1).tobytes()
+
+
+def folded(x: bytes, size: int) -> np.ndarray:
+    """The sketch at a smaller width of `size` bytes: element parities add up."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), 0).view(np.uint64)
+
+
+def apart(group: list[dict], num: int, den: int) -> list[tuple[int, int]]:
+    """(centre, doc_id) of the parts that a group falls into. Two sets differ in at least
+    as many elements as their sketches differ in bits, so sets whose sketches differ in
+    more than linked sets may are not linked: no link is lost between the parts."""
+    size = min(len(r["sketch"]) for r in group)
+    bits = np.stack([folded(r["sketch"], size) for r in group])
+    n, ids = np.array([r["n_shingles"] for r in group]), [r["doc_id"] for r in group]
+    left, out = np.arange(len(group)), []
+    while len(left):
+        queue, left, part = [left[0]], left[1:], []
+        while queue:
+            i = queue.pop()
+            part.append(ids[i])
+            if len(left):
+                near = np.bitwise_count(bits[left] ^ bits[i]).sum(1, dtype=np.int64) <= (n[left] + n[i]) * (den - num) // (den + num)
+                queue += list(left[near])
+                left = left[~near]
+        low = min(part)
+        out += [(low, d) for d in part if d != low]
+    return out
+
+
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key) of each row; set_key is null for an empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary())])
+    """(doc_id, n_shingles, set_key, sketch) of each row; the last two are null for an empty set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary())])
 
     def run(it):
         words = WordHashes()
         for batch in it:
-            sets = [shingle_set(t, n, words) for t in utf8(batch.column(1))]
+            sets = list(shingle_sets_of(utf8(batch.column(1)), n, words))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
             ], schema=schema)
 
-    return _id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
+    return _id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
 
 
 def index_lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -150,8 +198,7 @@ def index_lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         words, levels, seen = WordHashes(), Levels(num, den), set()
         for batch in it:
             keys, ids, held = [], [], 0
-            for d, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                s = shingle_set(t, n, words)
+            for d, s in zip(batch.column(0).to_pylist(), shingle_sets_of(utf8(batch.column(1)), n, words), strict=True):
                 if d is None or not len(s) or (k := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                     continue
                 seen.add(k)
@@ -173,9 +220,23 @@ def _id_text(docs: DataFrame) -> DataFrame:
 
 
 def centre_pairs(lists: DataFrame) -> DataFrame:
-    """Distinct (centre, doc_id): each list's members with its smallest one."""
-    low = lists.groupBy("list_key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last")
-    return lists.join(low.select("list_key", "centre"), "list_key").where("doc_id <> centre").select("centre", "doc_id").distinct()
+    """Distinct (centre, doc_id): each list's members with its smallest one, which is the
+    first of the sorted list, so a list of any length streams through."""
+    centre = F.first("doc_id").over(Window.partitionBy("list_key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return lists.withColumn("centre", centre).where("doc_id <> centre").select("centre", "doc_id").distinct()
+
+
+def wanted_bits(ids: DataFrame, most: int = 1 << 27) -> tuple[np.ndarray, int]:
+    """A bit table of the hashes of doc_id, some 16 bits an id but `most` at most (16 MB).
+    Whatever is in `ids` has its bit set; with more ids than that, the table only
+    lets more others pass."""
+    n = ids.agg(F.count("*")).first()[0]
+    size = min(most, 1 << max(10, (16 * n).bit_length()))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    bits = ids.select(h.alias("h")).groupBy(F.expr("h div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
+    table = np.zeros(size // 64, np.int64)
+    table[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
+    return table, size
 
 
 class Group:
@@ -184,6 +245,8 @@ class Group:
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.sets, self.num, self.den = sets, num, den
         self.size = np.array([len(s) for s in sets], np.int64)
+        if len(sets) <= FEW:
+            return
         flat = np.concatenate(sets)
         self.owner = np.repeat(np.arange(len(sets)), self.size)
         order = np.argsort(flat, kind="stable")
@@ -198,6 +261,8 @@ class Group:
 
     def overlaps(self, i: int, parent: tuple[int, np.ndarray] | None) -> np.ndarray:
         """Overlap of set i with every set: from the parent's, if that is shorter."""
+        if len(self.sets) <= FEW:
+            return np.array([len(np.intersect1d(self.sets[i], s, assume_unique=True)) for s in self.sets], np.int64)
         if parent is not None:
             p, known = parent
             lost = np.setdiff1d(self.sets[p], self.sets[i], assume_unique=True)
@@ -229,63 +294,100 @@ class Group:
 
 
 def _members(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """`wanted` (doc_id, ...) with the set of each document as bytes."""
+    """`wanted` (doc_id, ...) with the set of each document as bytes. Only the sets of
+    documents that a bit table lets pass are made and shuffled; the join then decides."""
+    table, size = wanted_bits(wanted.select("doc_id").distinct())
+    cell = docs.sparkSession.sparkContext.broadcast(table)  # 16 MB at most
+    schema = pa.schema([("doc_id", pa.int64()), ("elements", pa.binary())])
+
     def run(it):
-        words = WordHashes()
+        words, bits = WordHashes(), cell.value
         for batch in it:
-            sets = [shingle_set(t, n, words).tobytes() for t in utf8(batch.column("text"))]
-            for lo in range(0, len(sets), 500):
-                part = batch.slice(lo, 500)
-                at = part.schema.get_field_index("text")
-                yield part.set_column(at, pa.field("elements", pa.binary()), pa.array(sets[lo : lo + 500], pa.binary()))
-
-    # Each document's text meets the list of its centres: it is cut into n-grams once.
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "doc_id"])).alias("places"))
-    rows = _id_text(docs).join(per_doc, "doc_id").select("doc_id", "text", "places")
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"doc_id long, elements binary, places {kinds['places']}").select("doc_id", "elements", F.explode("places").alias("p")).select("doc_id", "elements", "p.*")
-
+            h = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
+            ids, sets, held = [], [], 0
+            for d, s in zip(batch.column(0).to_pylist(), shingle_sets_of(utf8(batch.column(1)), n, words), strict=True):
+                ids.append(d)
+                sets.append(s.tobytes())
+                held += len(s)
+                if held > 500_000:
+                    yield batches({"doc_id": ids, "elements": sets}, schema)
+                    ids, sets, held = [], [], 0
+            yield batches({"doc_id": ids, "elements": sets}, schema)
+
+    given = _id_text(docs).where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    return given.mapInArrow(run, "doc_id long, elements binary").join(wanted, "doc_id")
+
+
+def _by_group(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """compare(list of row dicts) of the rows of each (centre, part); tasks stream
+    through their sorted rows and hold one group at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    out_schema = pa.schema([(x.split()[0], pa.int64()) for x in schema.split(", ")])
 
-def links(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block: int = 4000) -> DataFrame:
+    def run(it):
+        group, key, out = [], None, []
+        for batch in it:
+            for row in batch.to_pylist():
+                if (row["centre"], row["part"]) != key:
+                    if group:
+                        out += compare(group)
+                    group, key = [], (row["centre"], row["part"])
+                group.append(row)
+            if len(out) > 5000:
+                yield batches(dict(zip(names, zip(*out, strict=True), strict=True)), out_schema)
+                out = []
+        if group:
+            out += compare(group)
+        if out:
+            yield batches(dict(zip(names, zip(*out, strict=True), strict=True)), out_schema)
+
+    return rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "doc_id").mapInArrow(run, schema)
+
+
+def links(docs: DataFrame, sets: DataFrame, n: int = 5, num: int = 8, den: int = 10, block: int = 4000) -> DataFrame:
     """Edges (a, b) between documents of different sets whose components are those of
     all pairs with similarity num/den or more."""
     pairs = materialize(centre_pairs(index_lists(docs, n, num, den)), "pairs")
+    # Groups that only share a passage fall apart by sketches before any set is moved.
+    # Larger ones than a block are left to the comparison of blocks.
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("members"))
-    cuts = sizes.select("centre", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    placed = pairs.join(cuts, "centre").select("doc_id", "centre", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("part"))
-    centres = cuts.select(F.col("centre").alias("doc_id"), "centre", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    members = _members(docs, n, placed.union(centres))
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        ids, centre = pdf.doc_id.to_numpy(), pdf.centre.iloc[0]
-        edges, tree = Group([np.frombuffer(x, np.uint64) for x in pdf.elements], num, den).forest()
+    small = pairs.join(sizes.where(F.col("members") <= block), "centre").select("centre", "doc_id")
+    rows = small.union(small.select("centre", F.col("centre").alias("doc_id")).distinct()).withColumn("part", F.lit(0).cast("long"))
+    rows = rows.join(sets.where("sketch is not null").select("doc_id", "n_shingles", "sketch"), "doc_id")
+    near = _by_group(rows, lambda group: apart(group, num, den), "centre long, doc_id long").distinct()
+    pairs = materialize(near.union(pairs.join(sizes.where(F.col("members") > block), "centre").select("centre", "doc_id")), "pairs")
+    sizes = pairs.groupBy("centre").agg(F.count("*").alias("members"))
+    cuts = sizes.select("centre", F.ceil(F.col("members") / block).alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")
+    placed = pairs.join(cuts, "centre").select("doc_id", "centre", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("part"))
+    placed = materialize(placed.union(cuts.select(F.col("centre").alias("doc_id"), "centre", "blocks", every)), "placed")
+
+    def inside(group: list[dict]) -> list[tuple]:
+        ids, centre = [r["doc_id"] for r in group], group[0]["centre"]
+        edges, tree = Group([np.frombuffer(r["elements"], np.uint64) for r in group], num, den).forest()
         out = [(ids[i], ids[j], 0, centre, 0) for i, j in edges]
-        if pdf.blocks.iloc[0] > 1:
-            home = tree[int(np.flatnonzero(ids == centre)[0])]
-            out += [(ids[i], ids[i], int(pdf.blocks.iloc[0]), centre, int(pdf.part.iloc[0])) for i in range(len(ids)) if tree[i] != home]
-        return pd.DataFrame(out, columns=["a", "b", "blocks", "centre", "part"])
+        if group[0]["blocks"] > 1:
+            home = tree[ids.index(centre)]
+            out += [(ids[i], ids[i], group[0]["blocks"], centre, group[0]["part"]) for i in range(len(ids)) if tree[i] != home]
+        return out
 
-    found = materialize(members.groupBy("centre", "part").applyInPandas(inside, "a long, b long, blocks int, centre long, part int"), "links")
+    found = materialize(_by_group(_members(docs, n, placed), inside, "a long, b long, blocks long, centre long, part long"), "links")
     edges = found.where("blocks = 0").select("a", "b")
     if cuts.where("blocks > 1").isEmpty():
         return edges
     # Sets that their block left unconnected, against the other blocks of the centre.
-    lost = found.where("blocks > 0").select(F.col("a").alias("doc_id"), "centre", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("part").alias("home")).where("part <> home")
-    rest = placed.where("blocks > 1").withColumn("home", F.lit(-1)).union(lost.select("doc_id", "centre", "blocks", "part", "home"))
+    lost = found.where("blocks > 0").select(F.col("a").alias("doc_id"), "centre", "blocks", every, F.col("part").alias("home")).where("part <> home")
+    rest = placed.where("blocks > 1 and doc_id <> centre").withColumn("home", F.lit(-1).cast("long")).union(lost.select("doc_id", "centre", "blocks", "part", "home"))
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = (pdf.home == -1).to_numpy()
-        ids, out = pdf.doc_id.to_numpy(), []
+    def across(group: list[dict]) -> list[tuple]:
+        own = np.array([r["home"] == -1 for r in group])
         if own.all() or not own.any():
-            return pd.DataFrame(out, columns=["a", "b"])
-        group = Group([np.frombuffer(x, np.uint64) for x in pdf.elements], num, den)
-        for i in np.flatnonzero(~own):
-            out += [(ids[i], ids[j]) for j in np.flatnonzero(group.linked(i, group.overlaps(i, None)) & own)]
-        return pd.DataFrame(out, columns=["a", "b"])
+            return []
+        compared = Group([np.frombuffer(r["elements"], np.uint64) for r in group], num, den)
+        return [(group[i]["doc_id"], group[j]["doc_id"]) for i in np.flatnonzero(~own) for j in np.flatnonzero(compared.linked(i, compared.overlaps(i, None)) & own)]
 
-    more = _members(docs, n, rest).groupBy("centre", "part").applyInPandas(across, "a long, b long")
-    return edges.union(materialize(more, "links"))
+    return edges.union(materialize(_by_group(_members(docs, n, rest), across, "a long, b long"), "links"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, block: int = 4000) -> DataFrame:
@@ -302,5 +404,5 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     sets = materialize(shingle_sets(docs, n), "sets")
     first = sets.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("a"), F.count("*").alias("rows")).where("rows > 1")
     copies = sets.join(first.select("set_key", "a"), "set_key").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    found = components(links(docs, n, num, den, block).union(copies))
+    found = components(links(docs, sets, n, num, den, block).union(copies))
     return sets.join(found, sets.doc_id == found.node, "left").select(sets.doc_id, "n_shingles", F.coalesce("component", sets.doc_id).alias("component_id"))
