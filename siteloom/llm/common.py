@@ -14,6 +14,8 @@ __all__ = ["WordHashes", "batches", "components", "materialize", "new_path", "ng
 
 #: Words longer than this are hashed anew each time instead of being remembered.
 REMEMBERED_WORD = 64
+#: A task remembers so many words at most, some 20 MB.
+REMEMBERED_WORDS = 120_000
 
 
 def batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -31,7 +33,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= REMEMBERED_WORD:
-            if len(self) >= 500_000:
+            if len(self) >= REMEMBERED_WORDS:
                 self.clear()
             self[word] = h
         return h

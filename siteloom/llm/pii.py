@@ -148,7 +148,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if text:
                     count.update(set(_TERM.findall(text.lower())))
-                if len(count) > 400_000:
+                if len(count) > 150_000:
                     yield batches({"term": list(count), "n": list(count.values())}, schema)
                     count.clear()
         yield batches({"term": list(count), "n": list(count.values())}, schema)

@@ -37,7 +37,7 @@ class WordFeatures(dict):
         parts = [word, *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k)]
         found = tuple(xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts)
         if len(word) < 64:
-            if len(self) >= 300_000:
+            if len(self) >= 60_000:
                 self.clear()
             self[word] = found
         return found

@@ -355,4 +355,4 @@ def test_query_equals_sql(spark, sf_dir, name):
 def test_word_hashes_are_bounded():
     words = WordHashes()
     words.of([b"%d" % i for i in range(600_000)])
-    assert len(words) <= 500_000
+    assert len(words) <= 120_000
