@@ -9,8 +9,9 @@ copy, so an item with a share e of its words replaced scores about 1 - 1.5 e.
 
 from __future__ import annotations
 
-import re
+import string
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,25 @@ from .common import WordHashes, ngram_hashes
 SEED, RAREST, LEAST_WORDS, SCORE = 3, 2 / 3, 8, 0.5
 #: Characters of items that are handled in one pass over the documents.
 SLAB = 16 << 20
-_WORD = re.compile(r"[^\W_]+")
+_BLANK = bytes.maketrans(bytes(string.punctuation, "ascii"), b" " * len(string.punctuation))
 
 
-def word_ids(text: str | None, words: WordHashes) -> np.ndarray:
-    return words.of(_WORD.findall((text or "").lower()))
+def tokens(text: str | None) -> list[bytes]:
+    """Lower-cased words; ASCII punctuation parts them as blanks do."""
+    return (text or "").lower().encode().translate(_BLANK).split()
+
+
+def blocks(texts: list[str | None], words: WordHashes, n: int, seeds: Seeds):
+    """Per block of texts: word hashes of all in a row, the end of each text, and the
+    seed hits (text, place in the row, seed) that lie within one text."""
+    for lo in range(0, len(texts), 256):
+        parts = [tokens(t) for t in texts[lo : lo + 256]]
+        ids = words.of(list(chain.from_iterable(parts)))
+        ends = np.cumsum([len(p) for p in parts])
+        at, no = seeds.find(ngram_hashes(ids, n))
+        text = np.searchsorted(ends, at, side="right")
+        whole = at + n <= ends[np.minimum(text, len(ends) - 1)]
+        yield lo, ids, ends, text[whole], at[whole], no[whole]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> float:
@@ -66,7 +81,7 @@ def _clusters(at: np.ndarray, gap: int):
 
 def _slab(docs: DataFrame, items: list, n: int, rarest: float, least_words: int, score: float) -> DataFrame | None:
     words = WordHashes()
-    texts = [(i, word_ids(t, words)) for i, t in items]
+    texts = [(i, words.of(tokens(t))) for i, t in items]
     texts = [(i, w) for i, w in texts if len(w) >= max(least_words, n)]
     grams = [ngram_hashes(w, n) for _, w in texts]
     if not texts:
@@ -79,8 +94,9 @@ def _slab(docs: DataFrame, items: list, n: int, rarest: float, least_words: int,
         words, seeds = WordHashes(), every.value
         seen = np.zeros(len(seeds.hashes), np.int64)
         for batch in it:
-            for text in batch.column(1).to_pylist():
-                seen[np.unique(seeds.find(ngram_hashes(word_ids(text, words), n))[1])] += 1
+            for _, _, _, text, _, no in blocks(batch.column(1).to_pylist(), words, n, seeds):
+                once = np.unique(text * len(seen) + no) % len(seen)
+                seen += np.bincount(once, minlength=len(seen))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["seed", "n"])
 
@@ -104,23 +120,22 @@ def _slab(docs: DataFrame, items: list, n: int, rarest: float, least_words: int,
         rare, holders, texts, seeds = cell.value
         for batch in it:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = word_ids(text, words)
-                at, no = rare.find(ngram_hashes(ids, n))
+            docs_ = batch.column(0).to_pylist()
+            for lo, ids, ends, text, at, no in blocks(batch.column(1).to_pylist(), words, n, rare):
                 hits = defaultdict(list)
-                for p, s in zip(at.tolist(), no.tolist(), strict=True):
+                for t, p, s in zip(text.tolist(), at.tolist(), no.tolist(), strict=True):
                     for k in holders[s]:
-                        hits[k].append((p, s))
-                for k, found in hits.items():
+                        hits[t, k].append((p, s))
+                for (t, k), found in hits.items():
                     item, own = texts[k]
-                    kind = dict(found)
+                    kind, first, last = dict(found), int(ends[t - 1]) if t else 0, int(ends[t])
                     best = (0.0, 0, 0)
                     for part in _clusters(np.array([p for p, _ in found]), len(own)):
                         if len({kind[p] for p in part.tolist()}) >= min(2, seeds[k]):
-                            lo, hi = max(0, int(part[0]) - len(own)), int(part[-1]) + n + len(own)
-                            best = max(best, (align(own, ids[lo:hi]), int(part[0]), int(part[-1]) + n))
+                            lo_, hi = max(first, int(part[0]) - len(own)), min(last, int(part[-1]) + n + len(own))
+                            best = max(best, (align(own, ids[lo_:hi]), int(part[0]) - first, int(part[-1]) + n - first))
                     if best[0] >= score:
-                        out.append((doc, item, *best))
+                        out.append((docs_[lo + t], item, *best))
             if out:
                 d, i, s, a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "item_id", "score", "first_word", "end_word"])
