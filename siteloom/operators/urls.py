@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import urls as u
+from ..storage import materialize
 from .findings import findings
 
 # Parameters of canonical URLs, reserved path words, lint limits.
@@ -84,7 +85,7 @@ def assign_slugs(rows: DataFrame, existing: DataFrame, max_len: int = 80, rounds
         suffix = F.when(n == 1, "").otherwise(F.concat(F.lit("-"), n.cast("string")))
         named = open_.select("id", "base", n.alias("n"), F.concat(F.col("base").substr(F.lit(1), F.lit(max_len) - F.length(suffix)), suffix).alias("slug"))
         first = F.row_number().over(Window.partitionBy("slug").orderBy("n", "id"))
-        named = named.join(taken.withColumn("used", F.lit(True)), "slug", "left").withColumn("first", first)
+        named = materialize(named.join(taken.withColumn("used", F.lit(True)), "slug", "left").withColumn("first", first), "slugs")
         good = named.where("used is null and first = 1").select("id", "base", "slug")
         done = good if done is None else done.unionByName(good)
         left = named.where("used is not null or first > 1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of plain or gzipped log files, without blank ones."""
@@ -53,7 +55,10 @@ def expand_sitemaps(index: DataFrame, entries: DataFrame, root: str, depth: int
     front = seen = spark.createDataFrame([(root,)], "sitemap string")
     for _ in range(depth):
         front = index.join(front, "sitemap").select(F.col("child").alias("sitemap")).distinct().join(seen, "sitemap", "left_anti")
-        seen = seen.union(front)
+        front = materialize(front, "sitemaps")
+        if front.isEmpty():
+            break
+        seen = materialize(seen.union(front), "sitemaps")
     return entries.join(seen.distinct(), "sitemap", "left_semi")
 
 
