@@ -8,26 +8,30 @@ all. With N documents,
     PMI(term; entity) = log2(N * n(term, entity) / (n(term) * n(entity)))
     IC(entity)        = log2(N / n(entity))
 
-A term discloses an entity if PMI >= IC / alpha, seen together in `support` documents
-or more: knowing the term then gives at least 1/alpha of the entity's information. In
-documents with the entity, such terms are generalised (to TERM), and base spans to their kind.
+A term discloses an entity if PMI >= IC / alpha: knowing the term then gives at least
+1/alpha of the entity's information. There is no least count, as most entities stand in
+one or two documents; a pair that chance explains is left alone instead. That so many of
+the entity's documents hold a term which n(term) of N documents hold must have a chance
+of at most `level`, by the Chernoff bound of the binomial tail. In documents with the
+entity, such terms are generalised (to TERM), and base spans to their kind.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-ALPHA, SUPPORT, NEAR = 1.25, 5, 8
+ALPHA, LEVEL, NEAR = 1.25, 0.01, 8
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
@@ -156,15 +160,23 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing(scanned: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def disclosing(scanned: DataFrame, docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """(entity, term) pairs over the disclosure threshold, from counts over all rows."""
     n = scanned.count()
     rows = scanned.where("size(places) > 0").select(F.array_distinct(F.transform("places", lambda p: F.struct(p["entity"].alias("entity"), p["term"].alias("term")))).alias("ps"))
-    both = rows.select(F.explode("ps").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    both = rows.select(F.explode("ps").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
     entities = scanned.where("size(places) > 0").select(F.explode(F.array_distinct(F.col("places.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = document_frequency(docs).join(both.select("term").distinct(), "term", "left_semi")
-    pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity").cast("double")))
-    return both.join(entities, "entity").join(terms, "term").where(pmi >= F.log2(F.lit(float(n)) / F.col("n_entity")) / alpha).where(F.col("n_entity") < n).select("entity", "term")
+    pairs = both.join(entities, "entity").join(terms, "term").where(F.col("n_entity") < n)
+    return pairs.where(discloses(n, alpha, level)).select("entity", "term")
+
+
+def discloses(n: int, alpha: float, level: float) -> Column:
+    """Whether n_both, n_term and n_entity of a pair say that the term gives the entity away."""
+    both, term, who = (F.col(c).cast("double") for c in ("n_both", "n_term", "n_entity"))
+    seen, usual = both / who, term / n
+    gain = seen * F.log(seen / usual) + F.when(seen < 1, (1 - seen) * F.log((1 - seen) / (1 - usual))).otherwise(0.0)
+    return (F.log2(n * both / (term * who)) >= F.log2(n / who) / alpha) & (seen > usual) & (-who * gain <= math.log(level) + 1e-9)
 
 
 def flagged_terms(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -173,24 +185,24 @@ def flagged_terms(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
     return near.join(pairs, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
 
-def find_personal_data(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, near: int = NEAR) -> DataFrame:
+def find_personal_data(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL, near: int = NEAR) -> DataFrame:
     """doc_id, n_<kind>, base_sha256, spans of every row; spans are base ones, then `term` ones.
 
     Null and empty texts have no spans. Rows that repeat each count as a document.
     Rows with a null doc_id are kept. An empty table gives an empty result.
     """
     scanned = materialize(scan(docs, near), "pii")
-    terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, support))
+    terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, level))
     spans = F.concat_ws(",", F.when(F.col("base_spans") != "", F.col("base_spans")), F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"])), ","))
     return scanned.join(terms, "row_key", "left").select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, near: int = NEAR) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL, near: int = NEAR) -> DataFrame:
     """`docs` with every span in `text` replaced by its kind in brackets; where two spans
     overlap, the union is replaced and named after the one that begins first. An n_chars
     column is counted anew where it was not null. Null texts stay null."""
     scanned = materialize(scan(docs, near), "pii")
-    terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, support))
+    terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, level))
     names = docs.columns
     key = "_row_key_of_pii"
     rows = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))

@@ -68,6 +68,16 @@ def test_disclosing_terms(spark):
     assert clean[0] == "call [TERM] [TERM] at [EMAIL] the " and clean[100] == rows[8][1]
 
 
+def test_terms_of_entities_in_one_or_two_documents(spark):
+    rows = [(1, "call zanzibar at a@b.co", None, None), (2, "call tombola at c@d.co", None, None), (3, "call tombola at c@d.co now", None, None)]
+    rows += [(100 + i, "call of something else", None, None) for i in range(300)]
+    out = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
+    assert out[1] == "email:17:23,term:5:13" and out[2] == "email:16:22,term:5:12" and out[100] == ""
+    # 200 of 300 documents have the entity: that one of them has a rare word says nothing
+    rows = [(i, f"write to a@b.co {'zanzibar' if i == 7 else 'please'}", None, None) for i in range(200)] + [(200 + i, "nothing here", None, None) for i in range(100)]
+    assert {r["spans"] for r in pii.find_personal_data(docs_of(spark, rows)).where("doc_id = 7").collect()} == {"email:9:15,term:0:5"}
+
+
 # --- chat ------------------------------------------------------------------
 
 
