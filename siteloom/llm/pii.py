@@ -1,9 +1,8 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Each
-distinct value is a protected entity. Over the whole corpus, the documents in which a
-term stands near an entity are counted, and those with the term and with the entity at
-all. With N documents,
+distinct value is a protected entity. Over the whole corpus, the documents with a term,
+with an entity, and with both, wherever they stand, are counted. With N documents,
 
     PMI(term; entity) = log2(N * n(term, entity) / (n(term) * n(entity)))
     IC(entity)        = log2(N / n(entity))
@@ -13,7 +12,7 @@ A term discloses an entity if PMI >= IC / alpha: knowing the term then gives at
 one or two documents; a pair that chance explains is left alone instead. That so many of
 the entity's documents hold a term which n(term) of N documents hold must have a chance
 of at most `level`, by the Chernoff bound of the binomial tail. In documents with the
-entity, such terms are generalised (to TERM), and base spans to their kind.
+entity, such terms are generalised (to TERM) at every place, and base spans to their kind.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-ALPHA, LEVEL, NEAR = 1.25, 0.01, 8
+ALPHA, LEVEL = 1.25, 0.01
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
@@ -99,19 +99,15 @@ def entity(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}".encode()) - (1 << 63)
 
 
-def nearby(text: str, base: list[list[tuple[int, int]]], near: int) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of up to `near` terms on either side of each base span,
-    in its line; terms inside base spans are none."""
-    flat = sorted((s, e, k) for k, spans in zip(KINDS, base, strict=True) for s, e in spans)
-    out = []
-    for s, e, kind in flat:
-        who = entity(kind, text[s:e])
-        lo = max(text.rfind("\n", 0, s) + 1, s - 40 * near)
-        hi = text.find("\n", e)
-        hi = min(len(text) if hi < 0 else hi, e + 40 * near)
-        around = list(_TERM.finditer(text, lo, s))[-near:] + list(_TERM.finditer(text, e, hi))[:near]
-        inside = [(a, b) for a, b, _ in flat if a < hi and b > lo]
-        out += [(who, m[0].lower(), m.start(), m.end()) for m in around if not any(a < m.end() and m.start() < b for a, b in inside)]
+def terms_of(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all terms of a text, lower-cased; those that base spans touch are none."""
+    flat, at, end, out = sorted(chain.from_iterable(base)), 0, 0, []
+    for m in _TERM.finditer(text):
+        while at < len(flat) and flat[at][0] < m.end():
+            end = max(end, flat[at][1])
+            at += 1
+        if m.start() >= end:
+            out.append((m[0].lower(), m.start(), m.end()))
     return out
 
 
@@ -119,27 +115,40 @@ def joined(named: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in named)
 
 
-def scan(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """Per row: doc_id, row_key (hash of id and text), counts, base spans, and what stands near them."""
-    place = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_spans", pa.string()), ("base_sha256", pa.string()), ("places", pa.list_(place))])
+def scan(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, row_key (hash of id and text), counts, base spans, the distinct
+    entities, and all places of terms if there is an entity."""
+    word = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_spans", pa.string()), ("base_sha256", pa.string()), ("entities", pa.list_(pa.int64())), ("words", pa.list_(word))])
+
+    def made(given, rows, flat, ends):
+        words = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(flat, word, strict=True)], fields=list(word))
+        rows = [pa.array(rows[f.name], f.type) for f in schema if f.name in rows]
+        return pa.RecordBatch.from_arrays([given.column(0), given.column(1), *rows, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)], schema=schema)
 
     def run(it):
         for batch in it:
-            rows = {n: [] for n in schema.names}
-            rows["doc_id"], rows["row_key"] = batch.column(0), batch.column(1)
-            for text in batch.column(2).to_pylist():
+            fresh = lambda: ({n: [] for n in schema.names[2:-1]}, ([], [], []), [0])
+            first, (rows, flat, ends) = 0, fresh()
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 base = find_base(text)
                 for k, spans in zip(KINDS, base, strict=True):
                     rows[f"n_{k}"].append(len(spans))
                 named = joined([(k, s, e) for k, spans in zip(KINDS, base, strict=True) for s, e in spans])
                 rows["base_spans"].append(named)
                 rows["base_sha256"].append(hashlib.sha256(named.encode()).hexdigest())
-                rows["places"].append([dict(zip(place.names, p, strict=True)) for p in nearby(text, base, near)] if named else [])
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in zip(schema, rows.values(), strict=True)], schema=schema)
+                rows["entities"].append(list({entity(k, text[s:e]) for k, spans in zip(KINDS, base, strict=True) for s, e in spans}))
+                if named:
+                    for column, values in zip(flat, zip(*terms_of(text, base), strict=True), strict=False):
+                        column += values
+                ends.append(len(flat[0]))
+                if len(flat[0]) > 100_000:
+                    yield made(batch.slice(first, i + 1 - first), rows, flat, ends)
+                    first, (rows, flat, ends) = i + 1, fresh()
+            yield made(batch.slice(first), rows, flat, ends)
 
     given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text"), F.col("text").cast("string"))
-    return given.mapInArrow(run, "doc_id long, row_key long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, base_sha256 string, places array<struct<entity:long,term:string,start:int,end:int>>")
+    return given.mapInArrow(run, "doc_id long, row_key long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, base_sha256 string, entities array<long>, words array<struct<term:string,start:int,end:int>>")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -151,7 +160,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
         for batch in it:
             for text in batch.column(0).to_pylist():
                 if text:
-                    count.update(set(_TERM.findall(text.lower())))
+                    count.update(set(map(str.lower, set(_TERM.findall(text)))))
                 if len(count) > 150_000:
                     yield batches({"term": list(count), "n": list(count.values())}, schema)
                     count.clear()
@@ -161,14 +170,27 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(scanned: DataFrame, docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
-    """(entity, term) pairs over the disclosure threshold, from counts over all rows."""
+    """(row_key, term): disclosing terms of the entities that a row holds, from counts over all rows.
+
+    As n_both <= n_entity, a term can disclose an entity only if n_term is at most
+    N^(1 - 1/alpha) * n_entity^(1/alpha). More frequent terms are dropped before terms
+    and entities of a row are paired, which loses no pair and leaves few.
+    """
     n = scanned.count()
-    rows = scanned.where("size(places) > 0").select(F.array_distinct(F.transform("places", lambda p: F.struct(p["entity"].alias("entity"), p["term"].alias("term")))).alias("ps"))
-    both = rows.select(F.explode("ps").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
-    entities = scanned.where("size(places) > 0").select(F.explode(F.array_distinct(F.col("places.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = document_frequency(docs).join(both.select("term").distinct(), "term", "left_semi")
-    pairs = both.join(entities, "entity").join(terms, "term").where(F.col("n_entity") < n)
-    return pairs.where(discloses(n, alpha, level)).select("entity", "term")
+    holders = scanned.where("size(entities) > 0")
+    who = holders.select("row_key", F.explode("entities").alias("entity"))
+    who = materialize(who.distinct().join(who.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity").where(F.col("n_entity") < n), "pii")
+    frequency = materialize(document_frequency(docs), "pii")
+    most = lambda n_entity: n ** (1 - 1 / alpha) * F.pow(n_entity, F.lit(1 / alpha)) * (1 + 1e-9)
+    largest = who.agg(F.coalesce(F.max("n_entity"), F.lit(0))).first()[0]
+    # Terms in over a hundredth of the rows: at most 100 times the mean of distinct terms in a text.
+    common = materialize(frequency.where(F.col("n_term") > F.greatest(most(F.lit(largest)), F.lit(n / 100))).select("term"), "pii")
+    held = holders.select("row_key", F.explode(F.array_distinct(F.col("words.term"))).alias("term")).join(common, "term", "left_anti").join(frequency, "term")
+    widest = who.groupBy("row_key").agg(F.max("n_entity").alias("n"))
+    held = materialize(held.join(widest, "row_key").where(F.col("n_term") <= most(F.col("n"))).select("row_key", "term", "n_term"), "pii")
+    paired = held.join(who, "row_key").where(F.col("n_term") <= most(F.col("n_entity")))
+    pairs = paired.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(discloses(n, alpha, level))
+    return materialize(paired.join(pairs.select("entity", "term"), ["entity", "term"]).select("row_key", "term").distinct(), "pii")
 
 
 def discloses(n: int, alpha: float, level: float) -> Column:
@@ -179,29 +201,29 @@ def discloses(n: int, alpha: float, level: float) -> Column:
     return (F.log2(n * both / (term * who)) >= F.log2(n / who) / alpha) & (seen > usual) & (-who * gain <= math.log(level) + 1e-9)
 
 
-def flagged_terms(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row_key, terms): distinct sorted spans of disclosing terms of each row that has any."""
-    near = scanned.where("size(places) > 0").select("row_key", F.explode("places").alias("p")).select("row_key", F.col("p.entity").alias("entity"), F.col("p.term").alias("term"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
-    return near.join(pairs, ["entity", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
+def flagged_terms(scanned: DataFrame, found: DataFrame) -> DataFrame:
+    """(row_key, terms): sorted spans of all places of disclosing terms of each row that has any."""
+    words = scanned.where("size(entities) > 0").select("row_key", F.explode("words").alias("w")).select("row_key", "w.term", "w.start", "w.end")
+    return words.join(found, ["row_key", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
 
-def find_personal_data(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL, near: int = NEAR) -> DataFrame:
+def find_personal_data(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """doc_id, n_<kind>, base_sha256, spans of every row; spans are base ones, then `term` ones.
 
     Null and empty texts have no spans. Rows that repeat each count as a document.
     Rows with a null doc_id are kept. An empty table gives an empty result.
     """
-    scanned = materialize(scan(docs, near), "pii")
+    scanned = materialize(scan(docs), "pii")
     terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, level))
     spans = F.concat_ws(",", F.when(F.col("base_spans") != "", F.col("base_spans")), F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"])), ","))
     return scanned.join(terms, "row_key", "left").select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL, near: int = NEAR) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """`docs` with every span in `text` replaced by its kind in brackets; where two spans
     overlap, the union is replaced and named after the one that begins first. An n_chars
     column is counted anew where it was not null. Null texts stay null."""
-    scanned = materialize(scan(docs, near), "pii")
+    scanned = materialize(scan(docs), "pii")
     terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, level))
     names = docs.columns
     key = "_row_key_of_pii"

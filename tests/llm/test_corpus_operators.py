@@ -78,6 +78,20 @@ def test_terms_of_entities_in_one_or_two_documents(spark):
     assert {r["spans"] for r in pii.find_personal_data(docs_of(spark, rows)).where("doc_id = 7").collect()} == {"email:9:15,term:0:5"}
 
 
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    long = "word " * 100
+    text = f"Zanzibar\n{long}mail a@b.co\n{long}\nzanzibar zanzibar@b.co"
+    rows = [(i, text, None, None) for i in (1, 1, 2)] + [(100 + i, f"{long}mail", None, None) for i in range(300)]
+    at = [i for i, w in enumerate(text) if text[i : i + 8].lower() == "zanzibar"]
+    for r in pii.find_personal_data(docs_of(spark, rows)).where("doc_id < 100").collect():
+        assert [x for x in r["spans"].split(",") if x.startswith("term")] == [f"term:{i}:{i + 8}" for i in at[:2]]
+    for r in pii.sanitise(docs_of(spark, rows)).where("doc_id < 100").collect():
+        assert r["text"] == f"[TERM]\n{long}mail [EMAIL]\n{long}\n[TERM] [EMAIL]"
+    # a word of 400 letters is one term
+    rows = [(1, f"{'q' * 400} a@b.co", None, None)] + [(100 + i, "else", None, None) for i in range(300)]
+    assert pii.find_personal_data(docs_of(spark, rows)).where("doc_id = 1").first()["spans"] == "email:401:407,term:0:400"
+
+
 # --- chat ------------------------------------------------------------------
 
 
