@@ -10,7 +10,7 @@ from ..operators import graph, urls
 from ..operators.findings import findings_summary
 from .views import table, view
 
-HOME, ROUNDS = "/p/1", 5
+HOME, ROUNDS, ALL_ROUNDS = "/p/1", 5, 10
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -35,9 +35,9 @@ _G = """WITH RECURSIVE ok AS (SELECT * FROM v_edges WHERE target_status_code BET
     orphan AS (SELECT url FROM v WHERE url NOT IN (SELECT dst FROM l) AND url <> '/p/1') """
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(rounds: int = ROUNDS) -> str:
     sql = _G + ", n AS (SELECT count(*) AS n FROM v), o AS (SELECT src, count(*) AS links FROM l GROUP BY src), r0 AS (SELECT url, 1.0::DOUBLE / n AS rank FROM v, n)"
-    for i in range(ROUNDS):
+    for i in range(rounds):
         sql += f", r{i + 1} AS (SELECT v.url, (0.15 / n.n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE url NOT IN (SELECT src FROM o)) / n.n + 0.85 * coalesce(g.got, 0))::DOUBLE AS rank FROM v CROSS JOIN n LEFT JOIN (SELECT l.dst, sum(r.rank / o.links) AS got FROM l JOIN r{i} r ON r.url = l.src JOIN o ON o.src = l.src GROUP BY l.dst) g ON g.dst = v.url)"
     return sql
 
@@ -56,6 +56,13 @@ _REPORT = _pagerank_sql() + """, i AS (SELECT dst AS url, count(*) AS n FROM l G
     FROM (SELECT url FROM v UNION SELECT url FROM known) p LEFT JOIN r5 r ON r.url = p.url LEFT JOIN depths ON depths.url = p.url LEFT JOIN i ON i.url = p.url LEFT JOIN o ON o.src = p.url LEFT JOIN b ON b.url = p.url) """
 
 
+def _all_report(s: SparkSession, d: str) -> DataFrame:
+    return graph.link_report(view(s, d, "v_links"), HOME, _known(s, d), rounds=ALL_ROUNDS)
+
+
+_ALL_REPORT = (_pagerank_sql(ALL_ROUNDS) + _REPORT[len(_pagerank_sql()) :].replace(f"r{ROUNDS} r ", f"r{ALL_ROUNDS} r ")).replace("v_edges", "v_links")
+
+
 def _urls(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "v_urls")
 
@@ -115,6 +122,7 @@ ENTRIES: dict[str, tuple] = {
     "sitemap_diff": (lambda s, d: graph.sitemap_diff(_known(s, d), _graph(s, d)[0]), _G + "SELECT url, 'sitemap' AS side FROM known WHERE url NOT IN (SELECT url FROM v) UNION ALL SELECT url, 'graph' FROM v WHERE url NOT IN (SELECT url FROM known)"),
     "at_risk": (lambda s, d: graph.at_risk(graph.orphans(*_graph(s, d), HOME), graph.unreachable(_graph(s, d)[0], _depths(s, d)), graph.sitemap_diff(_known(s, d), _graph(s, d)[0])), _G + "SELECT url FROM orphan UNION SELECT url FROM v WHERE url NOT IN (SELECT url FROM depths) UNION SELECT url FROM known WHERE url NOT IN (SELECT url FROM v)"),
     "graph_verdict": (lambda s, d: graph.graph_verdict(_report(s, d)).drop("tied"), _REPORT + "SELECT count(*) AS pages, count(*) FILTER (WHERE orphan) AS orphans, count(*) FILTER (WHERE depth IS NULL) AS unreachable, sum(broken_links)::BIGINT AS broken, CASE WHEN count(*) FILTER (WHERE orphan) + count(*) FILTER (WHERE depth IS NULL) = 0 AND sum(broken_links) = 0 THEN 'healthy' WHEN (count(*) FILTER (WHERE orphan) + count(*) FILTER (WHERE depth IS NULL)) * 10 > count(*) THEN 'poor' ELSE 'needs work' END AS verdict FROM rep WHERE rank IS NOT NULL"),
+    "all_links_report": (lambda s, d: _all_report(s, d).withColumn("rank", F.round("rank", 8)), _ALL_REPORT + "SELECT * FROM rep"),
     "broken_internal_links": (lambda s, d: graph.broken_internal_links(table(s, d, "pages").select("url", "html"), table(s, d, "pages").selectExpr("regexp_extract(url, '^(https?://[^/]+)', 1) || '/the' url", "200 status").distinct()),
         r"""WITH l AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#]+)', 1)) AS href FROM pages), t AS (SELECT DISTINCT url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS target FROM l WHERE href LIKE '/%' AND href NOT LIKE '//%')
            SELECT url, target, CAST(NULL AS INT) AS status FROM t WHERE target NOT LIKE '%/the' OR target NOT IN (SELECT regexp_extract(url, '^(https?://[^/]+)', 1) || '/the' FROM pages)"""),

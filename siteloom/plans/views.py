@@ -60,6 +60,14 @@ SELECT DISTINCT '/p/' || CAST(a.l_partkey AS STRING) AS source_url, '/p/' || CAS
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 WHERE a.l_linenumber = 1 AND b.l_partkey % 20 <> 0 AND a.l_partkey % 17 <> 0"""
 
+# All links between consecutive line items. Pages without links to or from them come from mapped ids; no row is dropped.
+VIEWS["v_links"] = """
+SELECT DISTINCT '/p/' || CAST(CASE WHEN a.l_partkey % 17 = 0 THEN a.l_partkey + 1 ELSE a.l_partkey END AS STRING) AS source_url,
+       '/p/' || CAST(CASE WHEN b.l_partkey % 20 = 0 THEN b.l_partkey + 1 ELSE b.l_partkey END AS STRING) AS target_url,
+       CASE WHEN a.l_returnflag = 'A' AND a.l_suppkey % 9 = 0 THEN 404 WHEN a.l_returnflag = 'N' AND a.l_suppkey % 7 = 0 THEN 301 WHEN a.l_suppkey % 50 = 0 THEN 0 ELSE 200 END AS target_status_code,
+       'a' || CAST(a.l_quantity AS INT) AS anchor
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"""
+
 VIEWS["v_urls"] = """
 SELECT page_id, url || CASE page_id % 7 WHEN 0 THEN '&utm_source=x&b=2' WHEN 1 THEN '' WHEN 2 THEN '&gclid=1' WHEN 3 THEN '&SID=9&a=1' ELSE '' END AS url FROM pages WHERE url LIKE '%?%' AND url NOT LIKE '%#%'
 UNION ALL SELECT page_id, url FROM pages WHERE url NOT LIKE '%?%' OR url LIKE '%#%'

@@ -146,3 +146,14 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "fresh"))
         jobs.freshness_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "fresh")), str(tmp_path / "state"), str(tmp_path / "fmark")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / f"state/batch={i}")).first()["content_hash"] == "a"
+
+
+def test_all_links_are_in_the_graph(spark, sf_dir):
+    from siteloom.plans.views import table, view
+
+    found: dict = {}
+    for order, line, part in table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").collect():
+        found.setdefault((order, line), []).append(part)
+    want = {(f"/p/{p + (p % 17 == 0)}", f"/p/{q + (q % 20 == 0)}") for (o, n), ps in found.items() for p in ps for q in found.get((o, n + 1), [])}
+    assert {tuple(r) for r in view(spark, sf_dir, "v_links").select("source_url", "target_url").collect()} == want
+    assert not any(int(a[3:]) % 17 == 0 or int(b[3:]) % 20 == 0 for a, b in want)
