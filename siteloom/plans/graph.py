@@ -60,6 +60,12 @@ def _all_report(s: SparkSession, d: str) -> DataFrame:
     return graph.link_report(view(s, d, "v_links"), HOME, _known(s, d), rounds=ALL_ROUNDS)
 
 
+def _converged(s: SparkSession, d: str) -> DataFrame:
+    """Ranks that change by less than 1e-6 in all, whatever the number of pages."""
+    vertices, links = graph.build_graph(view(s, d, "v_links"), ok_only=True, drop_self=True)
+    return graph.pagerank(vertices, links, tol=1e-6 / max(1, vertices.count()))
+
+
 _ALL_REPORT = (_pagerank_sql(ALL_ROUNDS) + _REPORT[len(_pagerank_sql()) :].replace(f"r{ROUNDS} r ", f"r{ALL_ROUNDS} r ")).replace("v_edges", "v_links")
 
 
@@ -122,6 +128,7 @@ ENTRIES: dict[str, tuple] = {
     "sitemap_diff": (lambda s, d: graph.sitemap_diff(_known(s, d), _graph(s, d)[0]), _G + "SELECT url, 'sitemap' AS side FROM known WHERE url NOT IN (SELECT url FROM v) UNION ALL SELECT url, 'graph' FROM v WHERE url NOT IN (SELECT url FROM known)"),
     "at_risk": (lambda s, d: graph.at_risk(graph.orphans(*_graph(s, d), HOME), graph.unreachable(_graph(s, d)[0], _depths(s, d)), graph.sitemap_diff(_known(s, d), _graph(s, d)[0])), _G + "SELECT url FROM orphan UNION SELECT url FROM v WHERE url NOT IN (SELECT url FROM depths) UNION SELECT url FROM known WHERE url NOT IN (SELECT url FROM v)"),
     "graph_verdict": (lambda s, d: graph.graph_verdict(_report(s, d)).drop("tied"), _REPORT + "SELECT count(*) AS pages, count(*) FILTER (WHERE orphan) AS orphans, count(*) FILTER (WHERE depth IS NULL) AS unreachable, sum(broken_links)::BIGINT AS broken, CASE WHEN count(*) FILTER (WHERE orphan) + count(*) FILTER (WHERE depth IS NULL) = 0 AND sum(broken_links) = 0 THEN 'healthy' WHEN (count(*) FILTER (WHERE orphan) + count(*) FILTER (WHERE depth IS NULL)) * 10 > count(*) THEN 'poor' ELSE 'needs work' END AS verdict FROM rep WHERE rank IS NOT NULL"),
+    "pagerank_converged": (_converged, None),
     "all_links_report": (lambda s, d: _all_report(s, d).withColumn("rank", F.round("rank", 8)), _ALL_REPORT + "SELECT * FROM rep"),
     "broken_internal_links": (lambda s, d: graph.broken_internal_links(table(s, d, "pages").select("url", "html"), table(s, d, "pages").selectExpr("regexp_extract(url, '^(https?://[^/]+)', 1) || '/the' url", "200 status").distinct()),
         r"""WITH l AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#]+)', 1)) AS href FROM pages), t AS (SELECT DISTINCT url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS target FROM l WHERE href LIKE '/%' AND href NOT LIKE '//%')

@@ -157,3 +157,22 @@ def test_all_links_are_in_the_graph(spark, sf_dir):
     want = {(f"/p/{p + (p % 17 == 0)}", f"/p/{q + (q % 20 == 0)}") for (o, n), ps in found.items() for p in ps for q in found.get((o, n + 1), [])}
     assert {tuple(r) for r in view(spark, sf_dir, "v_links").select("source_url", "target_url").collect()} == want
     assert not any(int(a[3:]) % 17 == 0 or int(b[3:]) % 20 == 0 for a, b in want)
+
+
+def test_pagerank_converges_like_a_power_iteration(spark, sf_dir):
+    from siteloom.plans import graph as plan
+    from siteloom.plans.views import view
+
+    vertices, links = graph.build_graph(view(spark, sf_dir, "v_links"), ok_only=True, drop_self=True)
+    urls_, pairs = sorted(r[0] for r in vertices.collect()), [(r["src"], r["dst"]) for r in links.collect()]
+    out = {a: 0 for a in urls_}
+    for a, _ in pairs:
+        out[a] += 1
+    n, rank, change = len(urls_), dict.fromkeys(urls_, 1 / len(urls_)), 1.0
+    while change >= 1e-6:
+        new = dict.fromkeys(urls_, 0.15 / n + 0.85 * sum(rank[u] for u in urls_ if not out[u]) / n)
+        for a, b in pairs:
+            new[b] += 0.85 * rank[a] / out[a]
+        change, rank = sum(abs(new[u] - rank[u]) for u in urls_), new
+    got = {r["url"]: r["rank"] for r in plan.ENTRIES["pagerank_converged"][0](spark, sf_dir).collect()}
+    assert set(got) == set(rank) and max(abs(got[u] - rank[u]) for u in urls_) < 1e-9
