@@ -16,7 +16,8 @@ that are linked already are skipped. The links found connect exactly the documen
 that all links connect.
 
 Large groups are cut into blocks of `block` sets, each with the centre; sets that a
-block could not connect to the centre are then compared with the other blocks.
+block could not connect to the centre are then compared with the other blocks, the
+ones of one block with one other block at a time.
 """
 
 from __future__ import annotations
@@ -376,9 +377,12 @@ def links(docs: DataFrame, sets: DataFrame, n: int = 5, num: int = 8, den: int =
     edges = found.where("blocks = 0").select("a", "b")
     if cuts.where("blocks > 1").isEmpty():
         return edges
-    # Sets that their block left unconnected, against the other blocks of the centre.
+    # Sets that their block left unconnected, against the other blocks of the centre: a task
+    # holds one block and the unconnected sets of one other block. Part: block * blocks + that other block.
     lost = found.where("blocks > 0").select(F.col("a").alias("doc_id"), "centre", "blocks", every, F.col("part").alias("home")).where("part <> home")
-    rest = placed.where("blocks > 1 and doc_id <> centre").withColumn("home", F.lit(-1).cast("long")).union(lost.select("doc_id", "centre", "blocks", "part", "home"))
+    met = lost.select("centre", "part", "home").distinct()
+    own = placed.where("blocks > 1 and doc_id <> centre").join(met, ["centre", "part"]).select("doc_id", "centre", "blocks", (F.col("part") * F.col("blocks") + F.col("home")).alias("part"), F.lit(-1).cast("long").alias("home"))
+    rest = own.union(lost.select("doc_id", "centre", "blocks", (F.col("part") * F.col("blocks") + F.col("home")).alias("part"), "home"))
 
     def across(group: list[dict]) -> list[tuple]:
         own = np.array([r["home"] == -1 for r in group])

@@ -213,6 +213,29 @@ def test_components_equal_brute_force(spark, n, num, den, block):
     assert got == brute_components(texts, n, num, den)
 
 
+def test_unconnected_sets_are_compared_block_by_block(spark, monkeypatch):
+    # short texts that drift from 0's words, so that most share lists with it but few are similar to it
+    rng, texts = random.Random(11), []
+    base = words_of(rng, 60).split()
+    for i in range(120):
+        at = rng.randrange(20, 50)
+        texts.append((i, " ".join(base[:at] + words_of(rng, 60 - at).split()) if i else " ".join(base)))
+    ids, most, plain = [d for d, _ in texts], [], jaccard._by_group
+    centre = [(0, d) for d in ids[1:]]
+    monkeypatch.setattr(jaccard, "centre_pairs", lambda lists: spark.createDataFrame(centre, "centre long, doc_id long"))
+
+    def seen(rows, compare, schema):
+        if "home" in rows.columns:
+            most.append(rows.groupBy("centre", "part").count().agg({"count": "max"}).first()[0])
+        return plain(rows, compare, schema)
+
+    monkeypatch.setattr(jaccard, "_by_group", seen)
+    rows = docs_of(spark, [(d, t, None, None) for d, t in texts])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(rows, 3, 8, 10, 10).collect()}
+    assert got == brute_components(texts, 3, 8, 10)
+    assert most and max(most) <= 4 * 10
+
+
 def test_derived_counts_equal_direct_ones():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 2**60, 300, dtype=np.uint64))
