@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/siteloom/{tag}-{uuid.uuid4().hex}"
+    """A path of its own; what an application leaves is under one folder, named by its id."""
+    return f"{shared_dir(spark)}/siteloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -36,3 +37,25 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems reach it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Rounds:
+    """The tables of a loop. A round is computed from the one before, so that once it is
+    written, older ones are deleted."""
+
+    def __init__(self, tag: str):
+        self.tag, self.paths = tag, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        spark, path = df.sparkSession, new_path(df.sparkSession, self.tag)
+        df.write.parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            delete(spark, self.paths.pop(0))
+        return spark.read.schema(df.schema).parquet(path)
