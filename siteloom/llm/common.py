@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize, new_path, shared_dir
+from ..storage import Rounds, materialize, new_path, shared_dir
 
-__all__ = ["WordHashes", "batches", "components", "materialize", "new_path", "ngram_hashes", "shared_dir", "utf8"]
+__all__ = ["WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "passes", "shared_dir", "text_key", "utf8", "with_row_key"]
 
 #: Words longer than this are hashed anew each time instead of being remembered.
 REMEMBERED_WORD = 64
@@ -57,6 +57,65 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return acc
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """`name`, with underscores in front until no column has it, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_key() -> Column:
+    """A 64-bit hash of doc_id and text, the same for rows that repeat."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether each row of `df` is one row of a file."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation" and bool(df.inputFiles())
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a long column that tells its rows apart, and that column's name. The
+    key is the row's place in its file under a hash of the file's name: the same whenever
+    the table is read, after a lost executor too, and near rows have near keys. What is
+    no plain scan of files is written once first."""
+    if not _is_scan(docs):
+        docs = materialize(docs, "rows")
+    if not docs.inputFiles():  # an empty table
+        name = free_name("row_key", docs.columns)
+        return docs.withColumn(name, F.lit(0).cast("long")), name
+    name, place = free_name("row_key", docs.columns), docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(place["file_path"]).bitwiseXOR(place["row_index"]).alias(name)), name
+
+
+def bit_table(keys: DataFrame, column: str, most: int = 1 << 27) -> np.ndarray:
+    """Words of a bit table over the low bits of a hash column: some 16 bits a key but
+    `most` at most (16 MB). Every key has its bit set; with more keys than that, the
+    table only lets more others pass."""
+    n = keys.agg(F.count("*")).first()[0]
+    size = min(most, 1 << max(10, (16 * n).bit_length()))
+    at = keys.select(F.col(column).bitwiseAND(F.lit(size - 1)).alias("h"))
+    bits = at.groupBy(F.expr("h div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
+    table = np.zeros(size // 64, np.int64)
+    table[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
+    return table
+
+
+def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) have their bit set."""
+    at = (h & np.uint64(64 * len(table) - 1)).astype(np.int64)
+    return (table[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def edge_state(edges: DataFrame) -> tuple:
+    """Number and checksum of edges (a, b), of any number: nothing is added that could overflow."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of `edges` (a long, b long) as (node, component): the
     component is its smallest node. Nodes without an edge to another do not appear.
@@ -66,15 +125,16 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     collecting the neighbours of a node; each round ends in a table in the shared folder.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = materialize(e, "edges"), None
+    rounds, before = Rounds("edges"), None
+    e = rounds.write(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        e = materialize(small.union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct(), "edges")
-        state = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
+        e = rounds.write(small.union(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
+        state = edge_state(e)
         if state == before:
             break
         before = state

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, components, materialize, ngram_hashes, utf8
+from .common import WordHashes, batches, bit_table, components, materialize, ngram_hashes, passes, utf8
 
 #: A level of sizes reaches to this multiple of its smallest size.
 LEVEL = 1.3
@@ -227,19 +227,6 @@ def centre_pairs(lists: DataFrame) -> DataFrame:
     return lists.withColumn("centre", centre).where("doc_id <> centre").select("centre", "doc_id").distinct()
 
 
-def wanted_bits(ids: DataFrame, most: int = 1 << 27) -> tuple[np.ndarray, int]:
-    """A bit table of the hashes of doc_id, some 16 bits an id but `most` at most (16 MB).
-    Whatever is in `ids` has its bit set; with more ids than that, the table only
-    lets more others pass."""
-    n = ids.agg(F.count("*")).first()[0]
-    size = min(most, 1 << max(10, (16 * n).bit_length()))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(size))
-    bits = ids.select(h.alias("h")).groupBy(F.expr("h div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
-    table = np.zeros(size // 64, np.int64)
-    table[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
-    return table, size
-
-
 class Group:
     """Sets of one centre, with the element lists that the overlaps are counted from."""
 
@@ -297,15 +284,14 @@ class Group:
 def _members(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """`wanted` (doc_id, ...) with the set of each document as bytes. Only the sets of
     documents that a bit table lets pass are made and shuffled; the join then decides."""
-    table, size = wanted_bits(wanted.select("doc_id").distinct())
+    table = bit_table(wanted.select(F.xxhash64("doc_id").alias("h")).distinct(), "h")
     cell = docs.sparkSession.sparkContext.broadcast(table)  # 16 MB at most
     schema = pa.schema([("doc_id", pa.int64()), ("elements", pa.binary())])
 
     def run(it):
         words, bits = WordHashes(), cell.value
         for batch in it:
-            h = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
+            batch = batch.filter(pa.array(passes(bits, batch.column(2).to_numpy().view(np.uint64))))
             ids, sets, held = [], [], 0
             for d, s in zip(batch.column(0).to_pylist(), shingle_sets_of(utf8(batch.column(1)), n, words), strict=True):
                 ids.append(d)
@@ -316,7 +302,7 @@ def _members(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                     ids, sets, held = [], [], 0
             yield batches({"doc_id": ids, "elements": sets}, schema)
 
-    given = _id_text(docs).where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    given = _id_text(docs).where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
     return given.mapInArrow(run, "doc_id long, elements binary").join(wanted, "doc_id")
 
 

@@ -28,20 +28,28 @@ HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"
 def _counts(it):
     """(lang, kind, unit, n) of the words and n-grams of labelled texts; kind 0: words, else the length."""
     schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("unit", pa.string()), ("n", pa.int64())])
+    units: dict = defaultdict(int)
+
+    def flushed():
+        keys = list(units)
+        made = batches({"lang": [k[0] for k in keys], "kind": [k[1] for k in keys], "unit": [k[2] for k in keys], "n": list(units.values())}, schema)
+        units.clear()
+        return made
+
     for batch in it:
         words: dict = defaultdict(int)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for w in _WORD.findall((text or "").lower()):
                 words[lang, w] += 1
-        units: dict = defaultdict(int)
         for (lang, w), n in words.items():
             units[lang, 0, w] += n
-            marked = f"^{w}$" if len(w) < 100 else w[:100]
-            for k in range(1, LONGEST + 1):
-                for i in range(len(marked) - k + 1):
+            marked = f"^{w}$"
+            for i in range(len(marked)):
+                for k in range(1, min(LONGEST, len(marked) - i) + 1):
                     units[lang, k, marked[i : i + k]] += n
-        keys = list(units)
-        yield batches({"lang": [k[0] for k in keys], "kind": [k[1] for k in keys], "unit": [k[2] for k in keys], "n": list(units.values())}, schema)
+                if len(units) > 400_000:  # counts of parts add up
+                    yield flushed()
+    yield flushed()
 
 
 class Model:
