@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path
 
 LEAST = 1000
-#: About so many bytes of payload in one archive file, and index rows in one range.
-ARCHIVE_BYTES, RANGE_ROWS = 16 << 20, 50_000
+#: About so many bytes of payload in one archive file, and of index rows in one range.
+ARCHIVE_BYTES, RANGE_BYTES = 16 << 20, 32 << 20
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _INDEX = "url_key string, captured_at string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 
@@ -82,12 +82,13 @@ def _payloads(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, least: int = LEAST) -> tuple[str, int]:
-    """Write all pages as WARC files in the shared folder: (path, number of pages).
+    """Write all pages as WARC files in the shared folder: (path, bytes of their index, about).
+    A target URI is written without blanks and control characters, which a header can't hold.
     The payload goes from the scan to its archive without a shuffle if the table of
     repeated payloads is small enough for Spark to broadcast it, else by a join."""
     rows = _payloads(pages)
-    facts = materialize(rows.select("page_id", "digest", "bytes"), "payloads")
-    size = facts.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
+    facts = materialize(rows.select("page_id", "digest", "bytes", F.coalesce(F.octet_length("url"), F.lit(0)).cast("long").alias("url_bytes")), "payloads")
+    size = facts.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("url_bytes"), F.lit(0)).alias("u")).first()
     first = materialize(facts.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "repeats")
     joined = rows.join(first, "digest", "left").withColumn("first", F.when(F.col("bytes") >= least, F.col("first")))
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
@@ -103,7 +104,7 @@ def write_archives(pages: DataFrame, least: int = LEAST) -> tuple[str, int]:
     path = new_path(pages.sparkSession, "warc")
     a_file = max(1, ARCHIVE_BYTES // max(1, size["b"] // max(1, size["n"])))
     joined.select(F.concat(*head).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", a_file).text(path)
-    return path, size["n"]
+    return path, size["u"] + 200 * size["n"]  # a row has 200 bytes besides its key
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)")
@@ -151,8 +152,8 @@ def _order(row: tuple) -> tuple:
     return row[0], row[1], -1 if row[2] is None else row[2], row[8]
 
 
-def merge_index(runs: DataFrame, rows: int) -> DataFrame:
-    """All runs as one index in the order of url_key, captured_at, page_id."""
+def merge_index(runs: DataFrame, size: int) -> DataFrame:
+    """All runs as one index of about `size` bytes, in the order of url_key, captured_at, page_id."""
     runs = materialize(runs, "runs")
 
     def merge(it):
@@ -174,7 +175,7 @@ def merge_index(runs: DataFrame, rows: int) -> DataFrame:
             at[run] += 1
         yield from table.take(pa.array(order, pa.int64())).to_batches()
 
-    dealt = runs.repartitionByRange(max(1, -(-rows // RANGE_ROWS)), "url_key", "captured_at", "page_id")
+    dealt = runs.repartitionByRange(max(1, -(-size // RANGE_BYTES)), "url_key", "captured_at", "page_id")
     return dealt.sortWithinPartitions("archive", "url_key", "captured_at", F.coalesce("page_id", F.lit(-1)), "offset").mapInArrow(merge, _INDEX)
 
 
@@ -187,5 +188,5 @@ def archive_pages(pages: DataFrame, least: int = LEAST) -> DataFrame:
     largest page_id of equal payloads are all responses. The time of a capture is made
     from its page_id. Other columns are ignored; an empty table gives an empty index.
     """
-    path, rows = write_archives(pages, least)
-    return merge_index(read_archives(pages.sparkSession, path), rows)
+    path, size = write_archives(pages, least)
+    return merge_index(read_archives(pages.sparkSession, path), size)
