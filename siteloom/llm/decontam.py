@@ -1,29 +1,32 @@
 """Benchmark items found in documents: rare n-gram seeds, then local alignment.
 
-Seeds are the rarest n-grams of each item, by the number of documents that hold them
-(counted over all documents). A document's seed hits are gathered by item and place;
-around each cluster of hits, Smith-Waterman alignment of words (match 2, mismatch and
-gap -1) scores the passage against the item. The score is divided by that of a full
-copy, so an item with a share e of its words replaced scores about 1 - 1.5 e.
+Seeds are the rarest n-grams of each item, by the number of documents that hold them,
+counted over all documents. The n-grams of documents that a bit table of the seeds lets
+pass are joined with the items by seed. Where the seeds of an item stand near each other,
+Smith-Waterman alignment of words (match 2, mismatch and gap -1) scores the passage
+against the item. The score is divided by that of a full copy, so an item with a share e
+of its words replaced scores about 1 - 1.5 e. An item of under `least_words` words is one
+seed as a whole, and so is found where it stands unchanged.
+
+Items are never gathered anywhere: a bit table of at most 16 MB is all that is broadcast.
 """
 
 from __future__ import annotations
 
 import string
-from collections import defaultdict
+from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ngram_hashes
+from .common import WordHashes, batches, bit_table, materialize, ngram_hashes, passes, text_key
 
 SEED, RAREST, LEAST_WORDS, SCORE = 3, 2 / 3, 8, 0.5
-#: Characters of items that are handled in one pass over the documents.
-SLAB = 16 << 20
 _BLANK = bytes.maketrans(bytes(string.punctuation, "ascii"), b" " * len(string.punctuation))
+_FOUND = "doc_id long, item_id long, score double, first_word long, end_word long"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -31,17 +34,21 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_BLANK).split()
 
 
-def blocks(texts: list[str | None], words: WordHashes, n: int, seeds: Seeds):
-    """Per block of texts: word hashes of all in a row, the end of each text, and the
-    seed hits (text, place in the row, seed) that lie within one text."""
+def blocks(texts: list[str | None], words: WordHashes, lengths: list[int], table: np.ndarray):
+    """Per block of texts: the first text's number, and text, place and hash of each n-gram of
+    these lengths that lies within one text and passes the bit table."""
     for lo in range(0, len(texts), 256):
         parts = [tokens(t) for t in texts[lo : lo + 256]]
         ids = words.of(list(chain.from_iterable(parts)))
         ends = np.cumsum([len(p) for p in parts])
-        at, no = seeds.find(ngram_hashes(ids, n))
-        text = np.searchsorted(ends, at, side="right")
-        whole = at + n <= ends[np.minimum(text, len(ends) - 1)]
-        yield lo, ids, ends, text[whole], at[whole], no[whole]
+        starts = ends - [len(p) for p in parts]
+        for n in lengths:
+            grams = ngram_hashes(ids, n)
+            at = np.flatnonzero(passes(table, grams))
+            text = np.searchsorted(ends, at, side="right")
+            whole = at + n <= ends[np.minimum(text, len(ends) - 1)]
+            at, text = at[whole], text[whole]
+            yield lo, text, at - starts[text], grams[at]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> float:
@@ -57,108 +64,122 @@ def align(item: np.ndarray, passage: np.ndarray) -> float:
     return best / (2 * len(item))
 
 
-class Seeds:
-    """Sorted seed hashes with a bit table in front, which most n-grams don't pass."""
+def item_seeds(benchmark: DataFrame, n: int, least_words: int) -> DataFrame:
+    """(item_key, words, n_words, gram, seeds) of each distinct text with a word: its word
+    hashes, the length of its n-grams and their distinct hashes."""
+    schema = pa.schema([("item_key", pa.int64()), ("words", pa.binary()), ("n_words", pa.int64()), ("gram", pa.int64()), ("seeds", pa.list_(pa.int64()))])
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.unique(hashes)
-        self.table = np.zeros(1 << 22, bool)
-        self.table[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in grams, number of the seed) of all hits."""
-        at = np.flatnonzero(self.table[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        no = np.searchsorted(self.hashes, grams[at])
-        fit = no < len(self.hashes)
-        at, no = at[fit], no[fit]
-        same = self.hashes[no] == grams[at]
-        return at[same], no[same]
-
-
-def _clusters(at: np.ndarray, gap: int):
-    return np.split(at, np.flatnonzero(np.diff(at) > gap) + 1)
-
-
-def _slab(docs: DataFrame, items: list, n: int, rarest: float, least_words: int, score: float) -> DataFrame | None:
-    words = WordHashes()
-    texts = [(i, words.of(tokens(t))) for i, t in items]
-    texts = [(i, w) for i, w in texts if len(w) >= max(least_words, n)]
-    grams = [ngram_hashes(w, n) for _, w in texts]
-    if not texts:
-        return None
-    spark = docs.sparkSession
-    every = spark.sparkContext.broadcast(Seeds(np.concatenate(grams)))  # bounded by SLAB
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-    def count(it):
-        words, seeds = WordHashes(), every.value
-        seen = np.zeros(len(seeds.hashes), np.int64)
+    def run(it):
+        words = WordHashes()
+        for batch in it:
+            rows = {name: [] for name in schema.names}
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = words.of(tokens(text))
+                if len(own):
+                    gram = n if len(own) >= max(least_words, n) else len(own)
+                    for name, value in zip(schema.names, (key, own.tobytes(), len(own), gram, np.unique(ngram_hashes(own, gram)).view(np.int64)), strict=True):
+                        rows[name].append(value)
+            yield batches(rows, schema)
+
+    texts = benchmark.select(F.xxhash64(F.col("text").cast("string")).alias("item_key"), F.col("text").cast("string")).where("text is not null").dropDuplicates(["item_key"])
+    return texts.mapInArrow(run, "item_key long, words binary, n_words long, gram long, seeds array<long>")
+
+
+def document_counts(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """(seed, n_docs) of the seeds that documents hold; counted in the task before the shuffle."""
+    cell = docs.sparkSession.sparkContext.broadcast(bit_table(seeds, "seed"))  # 16 MB at most
+    schema = pa.schema([("seed", pa.int64()), ("n", pa.int64())])
+
+    def run(it):
+        words, count = WordHashes(), Counter()
+        for batch in it:
+            for _, text, _, gram in blocks(batch.column(0).to_pylist(), words, [n], cell.value):
+                once = np.unique(np.stack((text.astype(np.uint64), gram)), axis=1)[1]
+                count.update(once.view(np.int64).tolist())
+            if len(count) > 300_000:
+                yield batches({"seed": list(count), "n": list(count.values())}, schema)
+                count.clear()
+        yield batches({"seed": list(count), "n": list(count.values())}, schema)
+
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n_docs"))
+    return counts.join(seeds, "seed", "left_semi")
+
+
+def rare_seeds(docs: DataFrame, items: DataFrame, n: int, rarest: float) -> DataFrame:
+    """(seed, item_key, n_words, gram, need): the seeds that are searched for, and how many
+    different ones must stand together."""
+    every = items.select("item_key", "n_words", "gram", F.size("seeds").alias("all"), F.explode("seeds").alias("seed"))
+    long = materialize(every.where(F.col("gram") == n), "seeds")
+    counts = document_counts(docs, long.select("seed").distinct(), n)
+    order = Window.partitionBy("item_key").orderBy(F.coalesce("n_docs", F.lit(0)), "seed")  # the n-grams of one item
+    most = F.greatest(F.least(F.lit(4), F.col("all")), F.ceil(F.col("all") * rarest))
+    ranked = long.join(counts, "seed", "left").withColumn("no", F.row_number().over(order)).withColumn("kept", most).where("no <= kept")
+    short = every.where(F.col("gram") != n).withColumn("kept", F.lit(1).cast("long"))
+    columns = ["seed", "item_key", "n_words", "gram", F.least(F.lit(2), F.col("kept")).cast("long").alias("need")]
+    return ranked.select(columns).union(short.select(columns))
+
+
+def candidates(docs: DataFrame, rare: DataFrame) -> DataFrame:
+    """(row_key, item_key, lo, hi): where the seeds of an item stand near each other."""
+    lengths = sorted(r["gram"] for r in rare.select("gram").distinct().collect())  # LEAST_WORDS rows at most
+    cell = docs.sparkSession.sparkContext.broadcast(bit_table(rare.select("seed").distinct(), "seed"))  # 16 MB at most
+    schema = pa.schema([("row_key", pa.int64()), ("seed", pa.int64()), ("at", pa.int64())])
+
+    def run(it):
+        words = WordHashes()
         for batch in it:
-            for _, _, _, text, _, no in blocks(batch.column(1).to_pylist(), words, n, seeds):
-                once = np.unique(text * len(seen) + no) % len(seen)
-                seen += np.bincount(once, minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["seed", "n"])
-
-    table = given.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # a row a seed at most
-    df = np.zeros(len(every.value.hashes), np.int64)
-    df[np.asarray(table.column("seed"), np.int64)] = np.asarray(table.column("n"), np.int64)
-    chosen = []
-    for g in grams:
-        own = np.unique(g)
-        f = df[np.searchsorted(every.value.hashes, own)]
-        chosen.append(own[np.lexsort((own, f))][: max(min(4, len(own)), int(np.ceil(rarest * len(own))))])
-    rare = Seeds(np.concatenate(chosen))
-    holders = defaultdict(list)
-    for k, own in enumerate(chosen):
-        for no in np.searchsorted(rare.hashes, own):
-            holders[int(no)].append(k)
-    cell = spark.sparkContext.broadcast((rare, dict(holders), texts, [len(c) for c in chosen]))
-
-    def search(it):
+            keys = batch.column(0).to_numpy()
+            for lo, text, at, gram in blocks(batch.column(1).to_pylist(), words, lengths, cell.value):
+                if len(text):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + text]), pa.array(gram.view(np.int64)), pa.array(at, pa.int64())], schema=schema)
+
+    hits = docs.select(text_key(), F.col("text").cast("string")).mapInArrow(run, "row_key long, seed long, at long")
+    hits = hits.distinct().join(rare, "seed")  # rows that repeat have one key
+    place = Window.partitionBy("row_key", "item_key").orderBy("at")  # one item in one text
+    part = hits.withColumn("gap", F.col("at") - F.lag("at").over(place) > F.col("n_words"))
+    part = part.withColumn("part", F.sum(F.coalesce(F.col("gap").cast("int"), F.lit(0))).over(place))
+    near = part.groupBy("row_key", "item_key", "part", "need").agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("gram")).alias("hi"), F.count_distinct("seed").alias("kinds"))
+    return near.where("kinds >= need").select("row_key", "item_key", "lo", "hi")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rarest: float = RAREST, least_words: int = LEAST_WORDS, score: float = SCORE) -> DataFrame:
+    """What `contaminated` returns, and the `text_key` of the document."""
+    items = materialize(item_seeds(benchmark, n, least_words), "items")
+    rare = materialize(rare_seeds(docs, items, n, rarest), "rare")
+    near = candidates(docs, rare).join(items.select("item_key", "words"), "item_key")
+    # A row has no more candidates than its text has seeds.
+    near = materialize(near.groupBy("row_key").agg(F.collect_list(F.struct("item_key", "lo", "hi", "words")).alias("near")), "near")
+    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("item_key", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
+
+    def run(it):
         words = WordHashes()
-        rare, holders, texts, seeds = cell.value
         for batch in it:
-            out = []
-            docs_ = batch.column(0).to_pylist()
-            for lo, ids, ends, text, at, no in blocks(batch.column(1).to_pylist(), words, n, rare):
-                hits = defaultdict(list)
-                for t, p, s in zip(text.tolist(), at.tolist(), no.tolist(), strict=True):
-                    for k in holders[s]:
-                        hits[t, k].append((p, s))
-                for (t, k), found in hits.items():
-                    item, own = texts[k]
-                    kind, first, last = dict(found), int(ends[t - 1]) if t else 0, int(ends[t])
-                    best = (0.0, 0, 0)
-                    for part in _clusters(np.array([p for p, _ in found]), len(own)):
-                        if len({kind[p] for p in part.tolist()}) >= min(2, seeds[k]):
-                            lo_, hi = max(first, int(part[0]) - len(own)), min(last, int(part[-1]) + n + len(own))
-                            best = max(best, (align(own, ids[lo_:hi]), int(part[0]) - first, int(part[-1]) + n - first))
-                    if best[0] >= score:
-                        out.append((docs_[lo + t], item, *best))
-            if out:
-                d, i, s, a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "item_id", "score", "first_word", "end_word"])
-
-    return given.mapInArrow(search, "doc_id long, item_id long, score double, first_word long, end_word long")
+            rows = {name: [] for name in schema.names}
+            for key, doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                ids, best = words.of(tokens(text)), {}
+                for c in found:
+                    item = np.frombuffer(c["words"], np.uint64)
+                    s = align(item, ids[max(0, c["lo"] - len(item)) : c["hi"] + len(item)])
+                    best[c["item_key"]] = max(best.get(c["item_key"], (0.0, 0, 0)), (s, c["lo"], c["hi"]))
+                for item_key, (s, lo, hi) in best.items():
+                    if s >= score:
+                        for name, value in zip(schema.names, (key, doc, item_key, s, lo, hi), strict=True):
+                            rows[name].append(value)
+            yield batches(rows, schema)
+
+    given = docs.select(text_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = given.join(near, "row_key").select("row_key", "doc_id", "text", "near").mapInArrow(run, "row_key long, doc_id long, item_key long, score double, first_word long, end_word long")
+    named = benchmark.where("text is not null").select(F.xxhash64(F.col("text").cast("string")).alias("item_key"), F.col("item_id").cast("long").alias("item_id"))
+    return found.join(named, "item_key").select("row_key", *(x.split()[0] for x in _FOUND.split(", ")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rarest: float = RAREST, least_words: int = LEAST_WORDS, score: float = SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: each document with each item that it
     holds at `score` or more; clean documents have no row.
 
-    Null and short texts hold nothing; items of under `least_words` words (null texts
-    too) are not searched for, being found by chance. Items or documents that repeat are
-    searched and returned for each row. Benchmarks over SLAB characters are cut by the
-    hash of the text into slabs, each with its own passes, so that what is broadcast is bounded.
+    Null and empty texts hold nothing, null items and items without a word are held by
+    none. Items of under `least_words` words are found only unchanged. Of equally good
+    places of an item, the last is given. Items or documents that repeat are returned for
+    each row, null ids too. Other columns are ignored; of empty tables nothing comes.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    slabs = max(1, -(-size // SLAB))
-    out = None
-    for k in range(slabs):
-        rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(slabs)) == k).collect()]
-        found = _slab(docs, rows, n, rarest, least_words, score)
-        if found is not None:
-            out = found if out is None else out.union(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
+    return matches(docs, benchmark, n, rarest, least_words, score).drop("row_key")
