@@ -4,8 +4,11 @@ For the largest inner product, candidates get one more coordinate, sqrt(M - |x|^
 where M is the largest |x|^2, and queries get 0 there: the nearest by Euclidean
 distance are then those with the largest product, and the triangle inequality holds.
 
-Shards are dealt by the hash of the id, so they are of even size whatever the vectors
-are. A subtree is left out if bound * factor > distance to the k-th best so far, the
+The root of all trees is one vantage point: vectors are dealt by their distance to it
+into rings of about equally many, and a ring of more than a shard is dealt into shards by
+hash. A query goes to its nearest ring first. What it finds there bounds how far the rest
+may lie, and it goes on only to rings within that bound. In a shard, the same is done at
+each node: what is left out has bound * factor > distance to the k-th best so far, the
 bound being the triangle inequality's. At factor 1 nothing nearer is ever left out.
 """
 
@@ -13,12 +16,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, BLOCK, LEAF = 4096, 8192, 64
+from .common import materialize
+
+SHARD, BLOCK, LEAF, RINGS = 4096, 8192, 256, 256
+#: Candidates that a search returns besides the k best, for ties that rounding may hide.
+SPARE = 12
 #: See the README for the recall at this factor.
-FACTOR = 1.25
+FACTOR = 3.0
 
 
 class Tree:
@@ -51,26 +58,29 @@ class Tree:
 
 
 class Search:
-    """The k best of one tree for a block of queries."""
+    """The best of one tree for a block of queries; `floor`: what the k-th best is known to reach."""
 
-    def __init__(self, tree: Tree, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, factor: float):
+    def __init__(self, tree: Tree, ids: np.ndarray, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int, factor: float):
         self.t, self.ids, self.q, self.own, self.k, self.factor = tree, ids, q, own, k, factor
         self.square = np.einsum("ij,ij->i", q, q) + tree.largest
-        self.best = np.full((len(q), k), -np.inf)
-        self.best_id = np.full((len(q), k), np.iinfo(np.int64).max)
+        # Products are compared to so many decimals, that equal vectors tie.
+        self.decimals = 13 - int(np.ceil(np.log10(max(1.0, float(self.square.max())))))
+        self.floor = floor - 10.0 ** (1 - self.decimals)
+        self.best = np.full((len(q), k + SPARE), -np.inf)
+        self.best_id = np.full((len(q), k + SPARE), np.iinfo(np.int64).max)
         self._visit(tree.root, np.arange(len(q)))
 
     def _offer(self, at: np.ndarray, points: np.ndarray) -> np.ndarray:
-        s = self.q[at] @ self.t.x[points].T
+        s = np.round(self.q[at] @ self.t.x[points].T, self.decimals)
         ids = np.broadcast_to(self.ids[points], s.shape)
-        offered = np.where(ids == self.own[at, None], -np.inf, s)
+        offered = np.where((ids == self.own[at, None]) | (s < self.floor[at, None]), -np.inf, s)
         # Few queries gain from a leaf; only theirs are sorted.
-        gain = (offered >= self.best[at, -1:]).any(1)
+        gain = (offered >= np.maximum(self.best[at, -1:], np.finfo(float).min)).any(1)
         if gain.any():
             w = at[gain]
             s2 = np.concatenate((self.best[w], offered[gain]), 1)
             i2 = np.where(np.isneginf(s2), np.iinfo(np.int64).max, np.concatenate((self.best_id[w], ids[gain]), 1))
-            top = np.lexsort((i2, -s2), axis=1)[:, : self.k]
+            top = np.lexsort((i2, -s2), axis=1)[:, : self.best.shape[1]]
             self.best[w], self.best_id[w] = np.take_along_axis(s2, top, 1), np.take_along_axis(i2, top, 1)
         return s
 
@@ -88,7 +98,8 @@ class Search:
             for side in (first, second):
                 lo, hi = ranges[side]
                 bound = np.maximum(np.maximum(d - hi, lo - d), 0)
-                reach = np.sqrt(np.maximum(self.square[at] - 2 * self.best[at, -1], 0))
+                kth = np.maximum(self.best[at, self.k - 1], self.floor[at])
+                reach = np.sqrt(np.maximum(self.square[at] - 2 * kth, 0))
                 self._visit((inner, outer)[side], at[chosen & (bound * self.factor <= reach + 1e-6)])
 
 
@@ -99,23 +110,39 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
 
 
-def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK, rings: int = RINGS) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product found for
     each row whose vec_id is divisible by `divisor`, ties to the smaller vec_id.
 
     Vectors null, zero or with a null or non-finite component take no part. Vectors are
     compared with those of equal length only. Of rows that repeat a vec_id, the first by
-    value stands for all. Queries with no candidate are not returned.
+    value stands for all. Queries with no candidate are not returned. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    good = usable(rows).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    # One row for each length of vector that occurs.
-    of = good.groupBy("dim").agg(F.max(square).alias("largest"), F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.ceil(F.sum(F.when(F.pmod("vec_id", F.lit(divisor)) == 0, 1).otherwise(0)) / block).cast("int").alias("blocks")).where("blocks > 0")
-    good = good.join(F.broadcast(of), "dim")  # a row for each distinct length
-    cell = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    points = good.select("dim", "vec_id", "v", "largest", cell("shards", 1).alias("shard"), every("blocks").alias("block"))
-    queries = good.where(F.pmod("vec_id", F.lit(divisor)) == 0).select(F.col("dim").alias("q_dim"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), every("shards").alias("q_shard"), cell("blocks", 2).alias("q_block"))
+    good = materialize(usable(rows).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).withColumn("square", _dot("v", "v")), "vectors")
+    # One row for each length of vector that occurs. The vantage point is a longest vector.
+    of = good.groupBy("dim").agg((F.max("square") * (1 + 1e-12)).alias("largest"), F.max(F.struct("square", "vec_id", "v")).alias("far"), F.count("*").alias("n"))
+    of = materialize(of.select("dim", "largest", "n", F.col("far.square").alias("far_square"), F.col("far.v").alias("vantage")), "vantage")
+    count = of.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    good = good.join(of.drop("n"), "dim").withColumn("product", _dot("v", "vantage")).drop("vantage")
+    lift = lambda c: F.sqrt(F.greatest(F.col("largest") - F.col(c), F.lit(0.0)))
+    away = F.sqrt(F.greatest(F.col("square") + F.col("far_square") - 2 * F.col("product") + F.pow(lift("square") - lift("far_square"), 2), F.lit(0.0)))
+    points = materialize(good.select("dim", "vec_id", "v", "largest", away.alias("away"), F.sqrt(F.greatest(F.col("square") + F.col("largest") - 2 * F.col("product"), F.lit(0.0))).alias("seen"), (F.col("square") + F.col("largest")).alias("sum")), "points")
+    parts = max(1, min(rings, -(-count // shard)))
+    cuts = materialize(points.groupBy("dim").agg(F.percentile_approx("away", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("cuts")), "cuts")
+    ring = F.size(F.filter("cuts", lambda c: c < F.col("away"))) if parts > 1 else F.lit(0)
+    points = points.join(cuts, "dim").withColumn("ring", ring).drop("cuts")
+    bounds = points.groupBy("dim", "ring").agg(F.min("away").alias("lo"), F.max("away").alias("hi"), F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    bounds = materialize(bounds, "rings")
+    every = materialize(bounds.groupBy("dim").agg(F.collect_list(F.struct("ring", "lo", "hi")).alias("rings")), "rings")  # at most `rings` entries
+    queries = points.where(F.pmod("vec_id", F.lit(divisor)) == 0).join(every, "dim").select("dim", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "seen", "sum", "rings")
+    bound = lambda r: F.greatest(r["lo"] - F.col("seen"), F.col("seen") - r["hi"], F.lit(0.0))
+    home = F.array_min(F.transform("rings", lambda r: F.struct(bound(r).alias("bound"), r["ring"].alias("ring"))))["ring"]
+    queries = materialize(queries.withColumn("home", home), "queries")
 
     def search(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):
@@ -123,12 +150,30 @@ def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FAC
         p, q = p.sort_values("vec_id"), q.sort_values("query_id")
         ids, own = p.vec_id.to_numpy(), q.query_id.to_numpy()
         x, at = np.stack(p.v.to_list()).astype(np.float64), np.stack(q.q.to_list()).astype(np.float64)
-        found = Search(Tree(x, float(p.largest.iloc[0]) * (1 + 1e-12)), ids, at, own, k, factor)
+        found = Search(Tree(x, float(p.largest.iloc[0])), ids, at, own, q.floor.to_numpy(), k, factor)
         row, col = np.nonzero(~np.isneginf(found.best))
         hit = found.best_id[row, col]
-        exact = np.einsum("ij,ij->i", at[row], x[np.searchsorted(ids, hit)])
+        exact = np.cumsum(at[row] * x[np.searchsorted(ids, hit)], axis=1)[:, -1]  # summed from left to right
         return pd.DataFrame({"query_id": own[row], "vec_id": hit, "score": exact})
 
-    found = points.groupBy("dim", "shard", "block").cogroup(queries.groupBy("q_dim", "q_shard", "q_block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    def visit(asked: DataFrame) -> DataFrame:
+        """The best of each ring for the queries (dim, ring, query_id, q, floor) that ask it: shards
+        of points meet blocks of queries, whatever one ring holds of either."""
+        load = materialize(asked.groupBy("dim", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(bounds.select("dim", "ring", "shards"), ["dim", "ring"]), "load")
+        cell = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        p = points.join(load, ["dim", "ring"]).select("dim", "ring", "vec_id", "v", "largest", cell("vec_id", "shards", 1).alias("shard"), each("blocks").alias("block"))
+        q = asked.join(load, ["dim", "ring"]).select(F.col("dim").alias("q_dim"), F.col("ring").alias("q_ring"), "query_id", "q", "floor", each("shards").alias("q_shard"), cell("query_id", "blocks", 2).alias("q_block"))
+        met = p.groupBy("dim", "ring", "shard", "block").cogroup(q.groupBy("q_dim", "q_ring", "q_shard", "q_block"))
+        return met.applyInPandas(search, "query_id long, vec_id long, score double")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    first = materialize(top(visit(queries.select("dim", F.col("home").alias("ring"), "query_id", "q", F.lit(float("-inf")).alias("floor")))), "found")
+    known = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    rest = queries.join(known, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    reach = F.when(F.col("floor") == float("-inf"), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.col("sum") - 2 * F.col("floor"), F.lit(0.0))) + 1e-6)
+    near = F.filter("rings", lambda r: (r["ring"] != F.col("home")) & (bound(r) * factor <= F.col("reach")))
+    rest = rest.withColumn("reach", reach).select("dim", "query_id", "q", "floor", F.explode(near).alias("r")).select("dim", F.col("r.ring").alias("ring"), "query_id", "q", "floor")
+    more = visit(materialize(rest, "asked"))
+    return top(first.drop("rank").union(more)).select("query_id", "rank", "vec_id", "score")
