@@ -83,6 +83,33 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
         FROM f""",
+    "op5_nearest_neighbours": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op7_mixing": r"""
+        WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM w GROUP BY source),
+        o AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM s),
+        -- What is left for a source and those that reach their cap later, if all that reach it earlier are at theirs.
+        c AS (
+            SELECT *, 3.0 * source_size / weight AS ratio, (SELECT sum(source_size) FROM o) - coalesce(sum(3 * source_size) OVER before, 0) AS lft,
+                   (SELECT sum(weight) FROM o) - coalesce(sum(weight) OVER before, 0) AS whole
+            FROM o WINDOW before AS (ORDER BY 3.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT CAST(lft AS DOUBLE) AS lft, CAST(whole AS DOUBLE) AS whole FROM c WHERE weight * CAST(lft AS DOUBLE) / CAST(whole AS DOUBLE) <= 3 * source_size ORDER BY ratio, source LIMIT 1),
+        t AS (SELECT source, source_size, CASE WHEN weight * lft / whole > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE lft * weight / whole END AS target FROM o, l),
+        k AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS take FROM t),
+        d AS (
+            SELECT w.doc_id, w.size, k.source_size, k.target, k.take, CAST(coalesce(sum(w.size) OVER (
+                PARTITION BY w.source ORDER BY CAST('0x' || md5(CAST(w.doc_id AS VARCHAR))[1:15] AS BIGINT), w.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin
+            FROM w JOIN k ON w.source IS NOT DISTINCT FROM k.source)
+        SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (take // source_size) * size + greatest(0, least(begin + size, take % source_size) - begin) END AS taken FROM d""",
     "op6_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

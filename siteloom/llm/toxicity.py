@@ -2,9 +2,14 @@
 
 Grades are ordered: 0 clean, 1 toxic, 2 severely toxic. One weight vector over sparse
 word features serves all thresholds: P(grade > j) = sigmoid(w.x - c_j), with c_0 < c_1.
-The expected severity is the sum of these over j. The labels say toxic or not; toxic
-documents of the sample that hold more of the features that go with toxicity than the
-median toxic document are its severe ones.
+The expected severity is the sum of these over j.
+
+Where labels have a `grade` column (0 clean, 1 toxic, 2 severe, as from the number of
+annotators that objected), it is what is fitted. Labels that only say toxic or not leave
+the severe grade open: those toxic documents of the sample count as severe that hold more
+of the features that go with toxicity than the median toxic document. That is a limit:
+the second threshold then orders documents by how much of the toxic vocabulary they
+hold, which no annotator has confirmed; the first one, and is_toxic, rest on labels alone.
 
 A feature is the hash bucket of a word (lower-cased run of letters or digits) or of its
 beginning of 4, 5 or 6 characters, so that endings don't hide a stem; its value is 1
@@ -62,18 +67,33 @@ def _g_test(seen: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """At most about `sample` labelled documents as (text, grade 0 or 1), by hash of doc_id.
-    A document labelled more than once is toxic if one label says so; null labels are left out."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("grade"))
+    """At most about `sample` labelled documents as (doc_id, text, grade), by hash of doc_id.
+    A document labelled more than once has the highest grade; null labels are left out."""
+    grade = F.least(F.greatest(F.col("grade"), F.lit(0)), F.lit(GRADES - 1)) if "grade" in labels.columns else F.col("toxic") > 0
+    known = labels.withColumn("grade", grade.cast("int")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     total = known.count()
     share = min(1.0, sample / max(1, total))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)))
     return docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "grade")
 
 
-def _fit(flat: np.ndarray, length: np.ndarray, y: np.ndarray, rounds: int, ridge: float, pace: float) -> tuple[np.ndarray, np.ndarray]:
+def likelihood(score: np.ndarray, cut: np.ndarray, y: np.ndarray, per: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, its gradient by score, by cut): the negative logarithm of P(grade y), document i
+    weighing per[i]. log P(grade g) = log(F(c_g - s) - F(c_{g-1} - s)), F logistic,
+    F(c_{-1}) = 0, F(c_{last}) = 1."""
+    each = np.arange(len(y))
+    below = np.zeros((len(y), len(cut) + 2))
+    below[:, 1:-1] = 1 / (1 + np.exp(-np.clip(cut - score[:, None], -30, 30)))
+    below[:, -1] = 1.0
+    upper, lower = below[each, y + 1], below[each, y]
+    steep = below * (1 - below) * (per / np.maximum(upper - lower, 1e-9))[:, None]
+    by_cut = np.array([steep[y == j + 1, j + 1].sum() - steep[y == j, j + 1].sum() for j in range(len(cut))])
+    return float(-(per * np.log(np.maximum(upper - lower, 1e-9))).sum()), (1 - upper - lower) * per, by_cut
+
+
+def _fit(flat: np.ndarray, length: np.ndarray, y: np.ndarray, graded: bool, rounds: int, ridge: float, pace: float) -> tuple[np.ndarray, np.ndarray]:
     """Gradient descent (Adam) on the ordinal likelihood; deterministic. `flat` has the
-    features of all documents in a row, `length` how many each has."""
+    features of all documents in a row, `length` how many each has; `graded`: y has all grades."""
     w, cut = np.zeros(BUCKETS), np.arange(GRADES - 1) * 1.0 + 1
     if not len(y) or not (y > 0).any():
         return w, cut + 20.0
@@ -83,27 +103,18 @@ def _fit(flat: np.ndarray, length: np.ndarray, y: np.ndarray, rounds: int, ridge
     row, flat = row[keep[flat]], flat[keep[flat]]
     if not len(flat):
         return w, cut + 20.0
-    rate = seen / np.maximum(1, np.array([[(y == 0).sum()], [(y > 0).sum()]]))
-    evidence = np.bincount(row[rate[1, flat] > rate[0, flat]], minlength=len(y))
-    y = np.where(y > 0, 1 + (evidence > np.median(evidence[y > 0])), 0)
+    if not graded:
+        rate = seen / np.maximum(1, np.array([[(y == 0).sum()], [(y > 0).sum()]]))
+        evidence = np.bincount(row[rate[1, flat] > rate[0, flat]], minlength=len(y))
+        y = np.where(y > 0, 1 + (evidence > np.median(evidence[y > 0])), 0)
     used, at = np.unique(flat, return_inverse=True)
     v, gap = np.zeros(len(used)), np.log(np.diff(cut))
     first = cut[0]
     state = [np.zeros(len(used) + GRADES - 1) for _ in range(2)]
-    each = np.arange(len(y))
-    weight = np.where(y > 0, len(y) / (2.0 * max(1, (y > 0).sum())), len(y) / (2.0 * max(1, (y == 0).sum())))
+    per = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
     for step in range(1, rounds + 1):
         cut = first + np.concatenate(([0.0], np.cumsum(np.exp(gap))))
-        score = np.bincount(row, v[at], len(y))
-        # log P(grade g) = log(F(c_g - s) - F(c_{g-1} - s)), F logistic, F(c_{-1}) = 0, F(c_{last}) = 1.
-        below = np.zeros((len(y), GRADES + 1))
-        below[:, 1:-1] = 1 / (1 + np.exp(-np.clip(cut - score[:, None], -30, 30)))
-        below[:, -1] = 1.0
-        upper, lower = below[each, y + 1], below[each, y]
-        per = weight / len(y)
-        g_score = (1 - upper - lower) * per
-        steep = below * (1 - below) * (per / np.maximum(upper - lower, 1e-9))[:, None]
-        g_cut = np.array([steep[y == j + 1, j + 1].sum() - steep[y == j, j + 1].sum() for j in range(GRADES - 1)])
+        _, g_score, g_cut = likelihood(np.bincount(row, v[at], len(y)), cut, y, per)
         tail = np.cumsum(g_cut[::-1])[::-1]
         grad = np.concatenate((np.bincount(at, g_score[row], len(used)) + ridge * v, [tail[0]], tail[1:] * np.exp(gap)))
         state[0] = 0.9 * state[0] + 0.1 * grad
@@ -129,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, rounds: int = 6
 
     rows = labelled_sample(docs, labels, sample).selectExpr("cast(doc_id as long) doc_id", "text", "grade").mapInArrow(run, "doc_id long, x array<int>, grade long").toArrow().sort_by("doc_id")
     x = rows.column("x").combine_chunks()
-    return _fit(x.flatten().to_numpy(), np.diff(x.offsets.to_numpy()), rows.column("grade").to_numpy(), rounds, ridge, pace)
+    return _fit(x.flatten().to_numpy(), np.diff(x.offsets.to_numpy()), rows.column("grade").to_numpy(), "grade" in labels.columns, rounds, ridge, pace)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
