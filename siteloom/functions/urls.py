@@ -78,6 +78,30 @@ def normalize_url_slash(url: Column, form: str = "forbid") -> Column:
     return joined(u["scheme"], F.lower(u["authority"]), path, u["query"])
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """`href` as seen from the page `base`, absolute; a path without a slash in front starts
+    at the page's folder. Dot segments stay as they are."""
+    b = url_parts(base)
+    origin = F.concat(b["scheme"], F.lit("://"), b["authority"])
+    folder = F.regexp_replace(F.when(b["path"] == "", "/").otherwise(b["path"]), "[^/]*$", "")
+    here = F.regexp_replace(base, r"#.*$", "")
+    return (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href)).when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("#") | (href == ""), F.concat(here, href)).when(href.startswith("?"), F.concat(F.regexp_replace(here, r"\?.*$", ""), href)).otherwise(F.concat(origin, folder, href))
+    )
+
+
+def same_url(a: Column, b: Column) -> Column:
+    """Whether two absolute URLs name one page: scheme and host in any case, no fragment, an
+    empty path is the root, no default port."""
+    def form(x: Column) -> Column:
+        u = url_parts(x)
+        port = F.when((u["port"] == "") | F.concat(u["scheme"], F.lit(":"), u["port"]).isin("http:80", "https:443"), "").otherwise(F.concat(F.lit(":"), u["port"]))
+        return joined(u["scheme"], F.concat(u["host"], port), F.when(u["path"] == "", "/").otherwise(u["path"]), u["query"])
+
+    return form(a) == form(b)
+
+
 def is_tracking(name: Column, rules: str = "audit") -> Column:
     if rules == "edge":
         return name.isin(*TRACKING["edge"])

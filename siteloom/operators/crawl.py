@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 from .logs import split_path
 
 
@@ -111,11 +113,28 @@ def percentile_linear(col: str | Column, p: float) -> Column:
 
 
 def top_patterns(logs: DataFrame, k: int = 50) -> DataFrame:
-    """The most requested paths, their statuses and times. Ties go by path. A path's
-    status counts are sums per (path, bucket) first, so no path is collected."""
+    """The most requested paths with their share, statuses and exact times. Ties go by path.
+
+    Paths are counted by status first. Only the times of the k paths found are looked at,
+    and these as counts of each value in order, so that a hot path is a sort, which spills,
+    and never a value held in memory. A path without times has null percentiles.
+    """
     rows = logs.select(split_path(F.col("uri")).alias("pattern"), status_bucket(F.col("status")).alias("bucket"), "bytes_sent", "request_time")
-    per = rows.groupBy("pattern").agg(F.count("*").alias("requests"), F.sum("bytes_sent").alias("bytes_total"), percentile_linear("request_time", 0.5).alias("p50"), percentile_linear("request_time", 0.95).alias("p95"), F.count_if(F.col("bucket") == "3xx").alias("redirects"))
-    return per.withColumn("redirect_ratio", F.round(F.col("redirects").cast("double") / F.col("requests"), 6)).orderBy(F.desc("requests"), "pattern").limit(k)
+    cells = materialize(rows.groupBy("pattern", "bucket").agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), F.count("request_time").alias("timed")), "patterns")
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    per = cells.groupBy("pattern").agg(F.sum("n").alias("requests"), F.sum("bytes").alias("bytes_total"), F.sum("timed").alias("timed"), F.sum(F.when(F.col("bucket") == "3xx", F.col("n")).otherwise(0)).alias("redirects"))
+    top = materialize(per.orderBy(F.desc("requests"), "pattern").limit(k), "patterns")
+    statuses = cells.join(top.select("pattern"), "pattern").groupBy("pattern").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("status_breakdown"))  # nine at most
+    times = rows.where("request_time is not null").join(top.select("pattern", "timed"), "pattern").groupBy("pattern", "timed", "request_time").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("request_time"))
+    times = times.withColumn("upto", upto)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("request_time")))
+    place = lambda p: (F.col("timed") - 1) * F.lit(p)
+    between = lambda p: at(F.floor(place(p))) + (at(F.ceil(place(p))) - at(F.floor(place(p)))) * F.first(place(p) - F.floor(place(p)))
+    times = times.groupBy("pattern").agg(between(0.5).alias("p50"), between(0.95).alias("p95"))
+    out = top.join(statuses, "pattern", "left").join(times, "pattern", "left")
+    ratio = lambda a, b: F.round(a.cast("double") / b, 6)
+    return out.select("pattern", "requests", ratio(F.col("requests"), F.lit(total)).alias("share"), "bytes_total", "p50", "p95", "redirects", ratio(F.col("redirects"), F.col("requests")).alias("redirect_ratio"), "status_breakdown").orderBy(F.desc("requests"), "pattern")
 
 
 def pattern_statuses(logs: DataFrame) -> DataFrame:
@@ -152,12 +171,20 @@ def small_200s(logs: DataFrame, threshold: int = 1024, k: int = 200) -> DataFram
 
 
 def crawl_waste_report(logs: DataFrame, k: int = 10) -> DataFrame:
-    """The waste figures in long form: section, name, value."""
-    rows = lambda df, section, name, value: df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
-    parts = [rows(status_distribution(logs), "status", "bucket", "requests"), rows(top_patterns(logs, k), "pattern", "pattern", "requests"), rows(parameter_frequency(logs, k), "parameter", "parameter", "occurrences")]
-    share = asset_share(logs)
-    parts.append(share.select(F.lit("asset").alias("section"), F.lit("share").alias("name"), F.col("share").alias("value")))
-    parts.append(logs.agg(F.count_if((F.col("status") == 200) & (F.col("bytes_sent") > 0) & (F.col("bytes_sent") < 1024)).cast("double").alias("value")).select(F.lit("small_200s").alias("section"), F.lit("count").alias("name"), "value"))
+    """The waste figures in long form: section, name, value. The logs are counted once by path,
+    status and size; all figures but the parameters' are sums of these counts."""
+    small = (F.col("status") == 200) & (F.col("bytes_sent") > 0) & (F.col("bytes_sent") < 1024)
+    rows = logs.select(split_path(F.col("uri")).alias("pattern"), status_bucket(F.col("status")).alias("bucket"), is_asset(F.col("uri")).alias("asset"), F.coalesce(small, F.lit(False)).alias("small"))
+    cells = materialize(rows.groupBy("pattern", "bucket", "asset", "small").agg(F.count("*").alias("n")), "waste")
+    row = lambda df, section, name, value: df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    n = F.sum("n")
+    parts = [
+        row(cells.groupBy("bucket").agg(n.alias("v")), "status", F.col("bucket"), F.col("v")),
+        row(cells.groupBy("pattern").agg(n.alias("v")).orderBy(F.desc("v"), "pattern").limit(k), "pattern", F.col("pattern"), F.col("v")),
+        row(parameter_frequency(logs, k), "parameter", F.col("parameter"), F.col("occurrences")),
+        row(cells.agg(F.round(F.sum(F.when(F.col("asset"), F.col("n")).otherwise(0)).cast("double") / n, 6).alias("v")), "asset", F.lit("share"), F.col("v")),
+        row(cells.agg(F.coalesce(F.sum(F.when(F.col("small"), F.col("n"))), F.lit(0)).alias("v")), "small_200s", F.lit("count"), F.col("v")),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,10 +6,10 @@ that adaptive execution splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import Rounds, materialize
 
 
 def build_graph(edges: DataFrame, ok_only: bool = False, drop_self: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -30,38 +30,57 @@ def resolve_homepage(vertices: DataFrame, url: str) -> str | None:
 
 def pagerank(vertices: DataFrame, links: DataFrame, d: float = 0.85, tol: float = 1e-6, max_iter: int = 200, rounds: int | None = None) -> DataFrame:
     """(url, rank), summing to 1; what dangling vertices hold is spread evenly. Ends when
-    ranks change by less than N * tol in all, or after `rounds`, if given."""
+    ranks change by less than N * tol in all, or after `rounds`, if given; ranks that still
+    change after `max_iter` rounds raise."""
     vertices = materialize(vertices, "vertices")
     n = vertices.count()
     if not n:
         return vertices.withColumn("rank", F.lit(0.0))
     out = links.groupBy("src").agg(F.count("*").alias("links"))
-    shares = materialize(links.select("src", "dst").join(out, "src"), "links")
+    shares, kept = materialize(links.select("src", "dst").join(out, "src"), "links"), Rounds("ranks")
     ranks = vertices.join(out.withColumnRenamed("src", "url"), "url", "left").select("url", F.col("links").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
-    ranks = materialize(ranks, "ranks")
+    ranks = kept.write(ranks)
     for _ in range(rounds or max_iter):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
         got = shares.join(ranks, shares.src == ranks.url).groupBy("dst").agg(F.sum(F.col("rank") / F.col("links")).alias("got"))
         new = ranks.join(got, ranks.url == got.dst, "left").select("url", "dangling", (F.lit((1 - d) / n + d * lost / n) + d * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
-        new = materialize(new, "ranks")
+        new = kept.write(new)
         ranks = new.drop("old")
         if not rounds and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tol:
             break
+    else:
+        if not rounds:
+            raise RuntimeError(f"ranks still change after {max_iter} rounds")
     return ranks.select("url", "rank")
 
 
-def click_depth(links: DataFrame, home: str, max_depth: int = 1000) -> DataFrame:
-    """(url, depth) of all pages that links reach from the homepage."""
+def click_depth(links: DataFrame, home: str, max_depth: int = 10_000) -> DataFrame:
+    """(url, depth) of all pages that links reach from the homepage. The links are written
+    once, and each round writes its new pages alone: a page of depth n + 1 is a target of the
+    last front that no front has. Pages beyond `max_depth` raise."""
     spark = links.sparkSession
-    links = links.where("src <> dst").select("src", "dst")
-    front = seen = spark.createDataFrame([(home, 0)], "url string, depth int")
+    links = materialize(links.where("src <> dst").select("src", "dst"), "links")
+    fronts = [spark.createDataFrame([(home, 0)], "url string, depth int")]
     for depth in range(1, max_depth + 1):
-        step = links.join(front, links.src == front.url).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+        seen = fronts[0].select("url")
+        for f in fronts[1:]:
+            seen = seen.union(f.select("url"))
+        step = links.join(fronts[-1].select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
         front = materialize(step.withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
             break
-        seen = materialize(seen.unionByName(front), "seen")
-    return seen
+        fronts.append(front)
+        if len(fronts) > 50:  # a long chain: fewer tables to look through
+            whole = fronts[0]
+            for f in fronts[1:-1]:
+                whole = whole.union(f)
+            fronts = [materialize(whole, "seen"), fronts[-1]]
+    else:
+        raise RuntimeError(f"pages lie deeper than {max_depth}")
+    out = fronts[0]
+    for f in fronts[1:]:
+        out = out.union(f)
+    return out
 
 
 def degrees(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -83,8 +102,8 @@ def link_status_counts(edges: DataFrame) -> DataFrame:
 
 def link_report(edges: DataFrame, home: str, known: DataFrame | None = None, **rank) -> DataFrame:
     """Rank, depth, degrees, links and orphan mark of each page; known pages that were
-    not crawled are added without rank and depth."""
-    vertices, links = build_graph(edges, ok_only=True, drop_self=True)
+    not crawled are added without rank and depth. The graph is written once for all parts."""
+    vertices, links = (materialize(x, "graph") for x in build_graph(edges, ok_only=True, drop_self=True))
     lost = orphans(vertices, links, home, known).withColumn("orphan", F.lit(True))
     pages = vertices if known is None else vertices.union(known.select("url")).distinct()
     out = pages.join(pagerank(vertices, links, **rank), "url", "left").join(click_depth(links, home), "url", "left").join(degrees(vertices, links), "url", "left").join(link_status_counts(edges), "url", "left").join(lost, "url", "left")
@@ -125,12 +144,14 @@ def at_risk(*parts: DataFrame) -> DataFrame:
 
 
 def graph_verdict(report: DataFrame) -> DataFrame:
-    """One row: counts and a verdict of the link report, and whether the top rank is tied."""
-    top = Window.partitionBy()
-    rows = report.where("rank is not null").withColumn("best", F.max("rank").over(top))
-    sums = rows.agg(F.count("*").alias("pages"), F.count_if(F.col("orphan")).alias("orphans"), F.count_if(F.col("depth").isNull()).alias("unreachable"), F.sum("broken_links").alias("broken"), F.count_if(F.col("rank") == F.col("best")).alias("at_top"))
-    bad = F.col("orphans") + F.col("unreachable")
-    return sums.select("pages", "orphans", "unreachable", "broken", (F.col("at_top") > 1).alias("tied"), F.when((bad == 0) & (F.col("broken") == 0), "healthy").when(bad * 10 > F.col("pages"), "poor").otherwise("needs work").alias("verdict"))
+    """One row: counts and a verdict of the link report, and whether the top rank is tied.
+    Pages are counted by rank first, so that no task sees them all."""
+    c = F.col
+    by_rank = report.where("rank is not null").groupBy("rank").agg(F.count("*").alias("pages"), F.count_if(c("orphan")).alias("orphans"), F.count_if(c("depth").isNull()).alias("unreachable"), F.sum("broken_links").alias("broken"))
+    sums = by_rank.agg(F.sum("pages").alias("pages"), F.sum("orphans").alias("orphans"), F.sum("unreachable").alias("unreachable"), F.sum("broken").alias("broken"), F.max_by("pages", "rank").alias("at_top"))
+    bad = c("orphans") + c("unreachable")
+    verdict = F.when((bad == 0) & (c("broken") == 0), "healthy").when(bad * 10 > c("pages"), "poor").otherwise("needs work")
+    return sums.select(*(F.coalesce(x, F.lit(0)).alias(x) for x in ("pages", "orphans", "unreachable")), "broken", (c("at_top") > 1).alias("tied"), verdict.alias("verdict"))
 
 
 def internal_links(pages: DataFrame) -> DataFrame:

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from .pages import attr
-
-# Fields that types must have, and how grave it is if they don't.
+from pyspark.sql.types import ArrayType, StringType
+
+from ..functions.urls import is_one_time_action
+from ..storage import materialize
+from .findings import findings
+from .pages import attr, union_all
+
+# Types that are articles or local businesses, and what each type must have: one of
+# these fields (`+`: it is enough that the field is there, empty or not), the rule, how grave it is.
+ARTICLES = ["Article", "NewsArticle", "BlogPosting", "TechArticle"]
+BUSINESSES = [
+    "LocalBusiness", "Restaurant", "Store", "MedicalBusiness", "MedicalClinic", "LegalService", "FinancialService", "AutomotiveBusiness", "ChildCare", "DryCleaningOrLaundry",
+    "EmergencyService", "EmploymentAgency", "EntertainmentBusiness", "FoodEstablishment", "GovernmentOffice", "HealthAndBeautyBusiness", "HomeAndConstructionBusiness", "LodgingBusiness",
+    "ProfessionalService", "RadioStation", "RealEstateAgent", "RecyclingCenter", "SelfStorage", "ShoppingCenter", "SportsActivityLocation", "TelevisionStation", "TouristInformationCenter", "TravelAgency",
+]
 REQUIRED = [
-    ("Product", "name", "high"), ("Product", "image", "medium"), ("Product", "offers", "high"), ("Product", "description", "low"),
-    ("Offer", "price", "high"), ("Offer", "priceCurrency", "high"), ("Offer", "availability", "medium"),
-    ("AggregateRating", "ratingValue", "high"), ("AggregateRating", "reviewCount", "medium"),
-    ("Article", "headline", "high"), ("Article", "datePublished", "medium"), ("Article", "author", "medium"), ("Article", "image", "low"),
-    ("BreadcrumbList", "itemListElement", "high"),
-    ("Recipe", "name", "high"), ("Recipe", "image", "high"), ("Recipe", "recipeIngredient", "medium"), ("Recipe", "recipeInstructions", "medium"),
-    ("Event", "name", "high"), ("Event", "startDate", "high"), ("Event", "location", "high"),
-    ("LocalBusiness", "name", "high"), ("LocalBusiness", "address", "high"), ("LocalBusiness", "telephone", "low"),
-    ("Organization", "name", "high"), ("Organization", "url", "medium"), ("Organization", "logo", "low"),
-    ("VideoObject", "name", "high"), ("VideoObject", "thumbnailUrl", "high"), ("VideoObject", "uploadDate", "high"), ("VideoObject", "description", "medium"),
+    (["Product"], "name", "product_missing_name", "high"), (["Product"], "image", "product_missing_image", "high"),
+    (["Product"], "offers review aggregateRating", "product_no_offer_or_rating", "high"), (["Product"], "sku gtin gtin8 gtin12 gtin13 gtin14 mpn", "product_no_identifier", "low"),
+    (["Offer"], "+price", "offer_missing_price", "high"), (["Offer"], "+priceCurrency", "offer_missing_priceCurrency", "high"), (["Offer"], "+availability", "offer_missing_availability", "high"),
+    (["AggregateRating"], "+ratingValue", "rating_missing_value", "high"), (["AggregateRating"], "+reviewCount +ratingCount", "rating_missing_count", "high"),
+    (ARTICLES, "headline", "article_missing_headline", "high"), (ARTICLES, "image", "article_missing_image", "medium"),
+    (ARTICLES, "datePublished", "article_missing_date_published", "medium"), (ARTICLES, "author", "article_missing_author", "medium"),
+    (["Recipe"], "name", "recipe_missing_name", "high"), (["Recipe"], "image", "recipe_missing_image", "high"),
+    (["Recipe"], "recipeIngredient", "recipe_missing_recipeIngredient", "high"), (["Recipe"], "recipeInstructions", "recipe_missing_recipeInstructions", "high"),
+    (["Event"], "name", "event_missing_name", "high"), (["Event"], "startDate", "event_missing_startDate", "high"), (["Event"], "location", "event_missing_location", "high"),
+    (BUSINESSES, "name", "localbusiness_missing_name", "high"), (BUSINESSES, "address", "localbusiness_missing_address", "high"), (BUSINESSES, "telephone url", "localbusiness_no_contact", "medium"),
+    (["Organization"], "name", "organization_missing_name", "high"), (["Organization"], "url", "organization_missing_url", "medium"), (["Organization"], "sameAs", "organization_missing_same_as", "medium"),
+    (["VideoObject"], "name", "video_missing_name", "high"), (["VideoObject"], "description", "video_missing_description", "high"),
+    (["VideoObject"], "thumbnailUrl", "video_missing_thumbnailUrl", "high"), (["VideoObject"], "uploadDate", "video_missing_uploadDate", "high"),
 ]
 DEPRECATED = ["BookAction", "ReadAction", "BorrowAction", "Course", "CourseInfo", "ClaimReview", "EstimatedSalary", "Occupation", "LearningVideo", "LearningResource", "SpecialAnnouncement", "Vehicle", "Car", "VehicleListing", "PracticeProblem", "Quiz", "FAQPage", "HowTo"]
 AVAILABILITY = ["InStock", "OutOfStock", "OnlineOnly", "InStoreOnly", "PreOrder", "PreSale", "BackOrder", "SoldOut", "Discontinued", "LimitedAvailability"]
+#: Texts of a page that go with an availability.
+STOCK_TEXTS = {
+    "https://schema.org/InStock": ["in stock", "available", "add to cart", "add to bag", "buy now"], "https://schema.org/OutOfStock": ["out of stock", "sold out", "unavailable"],
+    "https://schema.org/PreOrder": ["pre-order", "preorder", "pre order"], "https://schema.org/BackOrder": ["back order", "backorder", "backordered"], "https://schema.org/SoldOut": ["sold out"],
+    "https://schema.org/Discontinued": ["discontinued", "no longer available"], "https://schema.org/LimitedAvailability": ["limited stock", "limited availability", "few left"],
+}
+EAGERNESS = ["immediate", "eager", "moderate", "conservative"]
 
 
 def jsonld_scripts(elements: DataFrame) -> DataFrame:
@@ -29,52 +51,88 @@ def jsonld_scripts(elements: DataFrame) -> DataFrame:
     return elements.where((F.col("tag") == "script") & (F.lower(F.trim(attr("type"))) == "application/ld+json")).select("url", F.col("seq").alias("block"), F.col("text").alias("raw"))
 
 
-def jsonld_blocks(scripts: DataFrame, depth: int = 4) -> DataFrame:
-    """(url, block, node variant, types) of each object of the scripts; lists and @graph are
-    opened, to `depth` levels. Text that is no JSON has a null node."""
-    rows = scripts.select("url", "block", F.try_parse_json("raw").alias("node"))
-    kind = lambda c: F.regexp_extract(F.schema_of_variant(c), "^([A-Z]+)", 1)
-    done = rows.where("node is null")
-    for _ in range(depth):
-        opened = F.when(kind(F.col("node")) == "ARRAY", F.try_variant_get("node", "$", "array<variant>")).when(F.try_variant_get("node", "$['@graph']", "variant").isNotNull(), F.try_variant_get("node", "$['@graph']", "array<variant>"))
-        rows = rows.where("node is not null").withColumn("inner", opened)
-        done = done.unionByName(rows.where("inner is null").drop("inner"))
-        rows = rows.where("inner is not null").select("url", "block", F.explode("inner").alias("node"))
-    done = done.unionByName(rows)
+def _kind(c: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(c), "^([A-Z]+)", 1)
+
+
+def jsonld_blocks(scripts: DataFrame) -> DataFrame:
+    """(url, block, at, node variant, types) of each object of the scripts; lists and @graph
+    are opened, however deep they lie, `at` being the places in them. Text that is no JSON has
+    a null node. Each level is a table of its own, so that the HTML is read once."""
+    level = scripts.select("url", "block", F.array().cast("array<int>").alias("at"), F.try_parse_json("raw").alias("node"))
+    graph = F.try_variant_get("node", "$['@graph']", "variant")
+    opened = F.when(_kind(F.col("node")) == "ARRAY", F.try_variant_get("node", "$", "array<variant>")).when((_kind(F.col("node")) == "OBJECT") & graph.isNotNull(), F.coalesce(F.try_variant_get("node", "$['@graph']", "array<variant>"), F.array(graph)))
+    done = []
+    while True:
+        level = materialize(level.withColumn("inner", opened), "jsonld")
+        done.append(level.where("inner is null").drop("inner"))
+        level = level.where("inner is not null").select("url", "block", "at", F.posexplode("inner").alias("i", "node"))
+        if level.isEmpty():
+            break
+        level = level.select("url", "block", F.concat("at", F.array("i")).alias("at"), "node")
+    nodes = union_all(done).where("node is null or " + "schema_of_variant(node) like 'OBJECT%'")
     one = F.try_variant_get("node", "$['@type']", "string")
     many = F.try_variant_get("node", "$['@type']", "array<string>")
-    return done.withColumn("types", F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")))
+    return nodes.withColumn("types", F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")))
+
+
+def _entries(c: Column) -> Column:
+    return F.coalesce(F.try_variant_get(c, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
 
 
-def _has(field: Column) -> Column:
-    return F.array_contains("fields", field)
+def script_texts(nodes: DataFrame) -> DataFrame:
+    """(url, block, path) of strings inside the nodes that hold a script tag, at any depth."""
+    tag = r"(?i)<\s*/?\s*script"
+    level = materialize(nodes.where(F.to_json("node").rlike(tag)).select("url", "block", F.lit("").alias("path"), F.col("node").alias("value")), "strings")
+    found = []
+    while not level.isEmpty():
+        text = F.try_variant_get("value", "$", "string")
+        found.append(level.where((_kind(F.col("value")) == "STRING") & text.rlike(tag)).select("url", "block", "path"))
+        fields = level.where(_kind(F.col("value")) == "OBJECT").select("url", "block", "path", F.explode(_entries(F.col("value"))).alias("k", "value"))
+        items = level.where(_kind(F.col("value")) == "ARRAY").select("url", "block", "path", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("i", "value"))
+        inner = fields.select("url", "block", F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "value").unionByName(items.select("url", "block", F.concat("path", F.lit("["), "i", F.lit("]")).alias("path"), "value"))
+        level = materialize(inner.where(F.to_json("value").rlike(tag)), "strings")
+    return union_all(found) if found else nodes.select("url", "block", F.lit("").alias("path")).limit(0)
 
 
 def validate_jsonld(blocks: DataFrame) -> DataFrame:
-    """Findings (url, block, severity, rule, detail). Missing fields come from a join of
-    the nodes' types with the table of required fields; offers and ratings inside a node
-    are nodes too."""
-    inner = lambda f: blocks.where("node is not null").select("url", "block", F.coalesce(F.try_variant_get("node", f"$.{f}", "array<variant>"), F.when(F.try_variant_get("node", f"$.{f}", "variant").isNotNull(), F.array(F.try_variant_get("node", f"$.{f}", "variant")))).alias("x")).select("url", "block", F.explode("x").alias("node"))
-    nested = inner("offers").withColumn("types", F.array(F.lit("Offer"))).unionByName(inner("aggregateRating").withColumn("types", F.array(F.lit("AggregateRating"))))
-    nodes = blocks.where("node is not null").unionByName(nested)
-    nodes = nodes.withColumn("fields", F.map_keys(F.coalesce(F.try_variant_get("node", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))))
-    rules = blocks.sparkSession.createDataFrame(REQUIRED, "type string, field string, severity string")
-    typed = nodes.select("url", "block", "fields", F.explode("types").alias("type"))
-    missing = typed.join(rules, "type").where(~_has(F.col("field"))).select("url", "block", "severity", F.lit("missing_field").alias("rule"), F.concat_ws(".", "type", "field").alias("detail"))
-    old = typed.where(F.col("type").isin(*DEPRECATED)).select("url", "block", F.lit("low"), F.lit("deprecated_type"), "type")
-    value = lambda f: F.try_variant_get("node", f"$.{f}", "string")
+    """Findings (url, block, severity, rule, detail). Missing fields come from a join of the
+    nodes' types with the table of required fields; the offers and the rating of a product
+    are nodes too. Nodes without a type are not judged."""
+    blocks = materialize(blocks, "blocks")
+    whole = blocks.where("node is not null and size(types) > 0")
+
+    def inner(field: str, kind: str) -> DataFrame:
+        value = F.try_variant_get("node", f"$.{field}", "variant")
+        parts = F.when(_kind(value) == "ARRAY", F.try_variant_get("node", f"$.{field}", "array<variant>")).when(_kind(value) == "OBJECT", F.array(value))
+        rows = whole.where(F.array_contains("types", "Product")).select("url", "block", "at", F.posexplode(parts).alias("i", "node"))
+        return rows.where(_kind(F.col("node")) == "OBJECT").select("url", "block", F.concat("at", F.array("i")).alias("at"), "node", F.array(F.lit(kind)).alias("types"))
+
+    nodes = union_all([whole, inner("offers", "Offer"), inner("aggregateRating", "AggregateRating")])
+    there = F.map_keys(_entries(F.col("node")))
+    full = F.map_keys(F.map_filter(_entries(F.col("node")), lambda k, v: ~F.to_json(v).isin("null", '""', "[]", "{}", "0", "false")))
+    nodes = materialize(nodes.withColumn("fields", F.concat(full, F.transform(there, lambda k: F.concat(F.lit("+"), k)))), "nodes")
+    rules = blocks.sparkSession.createDataFrame([(t, fields.split(), rule, severity) for kinds, fields, rule, severity in REQUIRED for t in kinds], "type string, any array<string>, rule string, severity string")
+    typed = nodes.select("url", "block", "fields", F.explode(F.array_distinct("types")).alias("type"))
+    missing = typed.join(rules, "type").where(~F.arrays_overlap("any", "fields")).select("url", "block", "severity", "rule", F.col("type").alias("detail"))
+    old = typed.where(F.col("type").isin(*DEPRECATED)).select("url", "block", F.lit("high"), F.lit("deprecated_type"), "type")
+    value = lambda f: F.coalesce(F.try_variant_get("node", f"$.{f}", "string"), F.lit(""))
     offers = nodes.where(F.array_contains("types", "Offer"))
-    currency = offers.where(value("priceCurrency").isNotNull() & ~F.coalesce(value("priceCurrency"), F.lit("")).rlike("^[A-Z]{3}$")).select("url", "block", F.lit("high"), F.lit("invalid_currency"), value("priceCurrency"))
-    stock = offers.where(value("availability").isNotNull() & ~F.regexp_replace(value("availability"), "^https?://schema.org/", "").isin(*AVAILABILITY)).select("url", "block", F.lit("medium"), F.lit("invalid_availability"), value("availability"))
-    untyped = nodes.where(F.size("types") == 0).select("url", "block", F.lit("medium"), F.lit("missing_type"), F.lit(""))
-    unsafe = blocks.where(F.to_json("node").rlike(r"(?i)<\s*/?\s*script")).select("url", "block", F.lit("high"), F.lit("unsanitized_user_content"), F.lit(""))
+    currency = offers.where((value("priceCurrency") != "") & ~value("priceCurrency").rlike("^[A-Z]{3}$")).select("url", "block", F.lit("high"), F.lit("offer_invalid_currency"), value("priceCurrency"))
+    stock = offers.where((value("availability") != "") & ~F.substring_index(value("availability"), "/", -1).isin(*AVAILABILITY)).select("url", "block", F.lit("medium"), F.lit("offer_unknown_availability"), value("availability"))
+    unsafe = script_texts(whole).select("url", "block", F.lit("high"), F.lit("unsanitized_user_content"), "path")
     broken = blocks.where("node is null").select("url", "block", F.lit("high"), F.lit("invalid_json"), F.lit(""))
-    crumbs = nodes.where(F.array_contains("types", "BreadcrumbList")).select("url", "block", F.explode(F.coalesce(F.try_variant_get("node", "$.itemListElement", "array<variant>"), F.array().cast("array<variant>"))).alias("i")).select("url", "block", F.try_variant_get("i", "$.position", "int").alias("position"), F.try_variant_get("i", "$.name", "string").alias("name"))
-    twice = crumbs.where("position is not null").groupBy("url", "block", "position").agg(F.count("*").alias("n")).where("n > 1").select("url", "block", F.lit("medium"), F.lit("duplicate_position"), F.col("position").cast("string"))
-    nameless = crumbs.where("position is null or name is null").select("url", "block", F.lit("medium"), F.lit("incomplete_breadcrumb"), F.lit(""))
+    lists = nodes.where(F.array_contains("types", "BreadcrumbList")).withColumn("items", F.try_variant_get("node", "$.itemListElement", "array<variant>"))
+    none = lists.where("coalesce(size(items), 0) <= 0").select("url", "block", F.lit("high"), F.lit("breadcrumb_missing_items"), F.lit(""))
+    part = lambda f: F.try_variant_get("item", f"$.{f}", "string")
+    crumbs = lists.select("url", "block", "at", F.posexplode("items").alias("i", "item")).where(_kind(F.col("item")) == "OBJECT").select("url", "block", "at", "i", part("position").alias("position"), F.coalesce(part("name"), F.lit("")).alias("name"))
+    again = F.row_number().over(Window.partitionBy("url", "block", "at", "position").orderBy("i"))  # the crumbs of one list
+    twice = crumbs.where("position is not null").withColumn("n", again).where("n > 1").select("url", "block", F.lit("high"), F.lit("breadcrumb_duplicate_position"), "position")
+    placeless = crumbs.where("position is null").select("url", "block", F.lit("high"), F.lit("breadcrumb_item_missing_position"), F.col("i").cast("string"))
+    nameless = crumbs.where("name = ''").select("url", "block", F.lit("high"), F.lit("breadcrumb_item_missing_name"), F.coalesce("position", F.lit("")))
     out = missing
-    for part in (old, currency, stock, untyped, unsafe, broken, twice, nameless):
-        out = out.union(part)
+    for rows in (old, currency, stock, unsafe, broken, none, twice, placeless, nameless):
+        out = out.union(rows)
     return out
 
 
@@ -87,31 +145,83 @@ def jsonld_regressions(blocks: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def schema_consistency(blocks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Findings (url, rule) where a page's product data and its text (url, h1, text) differ."""
+    """Findings (url, severity, rule, detail) where a page's first product and first trail differ
+    from its texts (url, h1, text, nav)."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    kind = lambda t: F.array_contains("types", t)
     value = lambda p: F.try_variant_get("node", p, "string")
-    rows = blocks.where(F.array_contains("types", "Product")).select("url", value("$.name").alias("name"), F.coalesce(value("$.offers.price"), value("$.offers[0].price")).alias("price"), F.coalesce(value("$.offers.availability"), value("$.offers[0].availability")).alias("stock")).join(texts, "url")
-    name, h1, text = F.lower(F.trim("name")), F.lower(F.trim(F.coalesce("h1", F.lit("")))), F.lower(F.coalesce("text", F.lit("")))
-    number = F.col("price").try_cast("double")
-    forms = F.array(F.format_number(number, 2), F.format_string("%.2f", number), F.replace(F.format_string("%.2f", number), F.lit("."), F.lit(",")), F.format_string("%.0f", number))
-    sold, buy = text.rlike(r"out of stock|sold out"), text.rlike(r"in stock|add to cart")
-    rules = [("name_no_h1", name.isNotNull() & (h1 == "")), ("name_mismatch", (h1 != "") & ~h1.contains(name) & ~name.contains(h1)), ("price_mismatch", number.isNotNull() & ~F.exists(forms, lambda f: text.contains(f))), ("stock_mismatch", (F.col("stock").endswith("InStock") & sold & ~buy) | (F.col("stock").endswith("OutOfStock") & buy & ~sold)), ("stock_conflict", sold & buy)]
-    return rows.select("url", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))).alias("rule"))
+    place = F.struct("block", "at")
+    facts = F.struct(value("$.name").alias("name"), F.coalesce(value("$.offers[0].price"), value("$.offers.price")).alias("price"), F.coalesce(value("$.offers[0].priceCurrency"), value("$.offers.priceCurrency")).alias("currency"), F.coalesce(value("$.offers[0].availability"), value("$.offers.availability")).alias("stock"), F.try_variant_get("node", "$.offers", "variant").isNotNull().alias("sold"))
+    alone = F.struct(value("$.price").alias("price"), value("$.priceCurrency").alias("currency"), value("$.availability").alias("stock"))
+    trail = F.try_variant_get("node", "$.itemListElement", "array<variant>")
+    first = lambda t, what: F.min_by(F.when(kind(t), what), F.when(kind(t), place))
+    per = blocks.where("node is not null").groupBy("url").agg(first("Product", facts).alias("product"), first("Offer", alone).alias("offer"), first("BreadcrumbList", trail).alias("trail"))
+    c = F.col
+    rows = per.join(texts, "url")
+    rows = rows.select("url", "product", "trail", *(F.when(c("product.sold"), c(f"product.{x}")).when(c("product").isNotNull(), c(f"offer.{x}")).alias(x) for x in ("price", "currency", "stock")), plain(c("product.name")).alias("name"), plain(c("h1")).alias("h1"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), plain(c("nav")).alias("nav"))
+    number = c("price").try_cast("double")
+    grouped = F.format_number(number, 2)
+    forms = F.array(F.format_string("%.2f", number), F.format_string("%.0f", F.floor(number + 0.5).cast("double")), grouped, F.translate(grouped, ",.", ".,"))
+    signals = F.create_map(*[F.lit(x) for k, v in STOCK_TEXTS.items() for x in (k, ",".join(v))])
+    shows = lambda s: F.exists(F.split(s, ","), lambda x: c("text").contains(x))
+    known = F.try_element_at(signals, F.coalesce("stock", F.lit("")))
+    items = F.filter(F.transform(F.coalesce("trail", F.array().cast("array<variant>")), lambda x: plain(F.try_variant_get(x, "$.name", "string"))), lambda x: x != "")
+    hidden = F.filter(items, lambda x: ~c("nav").contains(x))
+    out = [
+        ("name_no_h1", "medium", (c("name") != "") & (c("h1") == ""), c("name")), ("name_mismatch", "high", (c("name") != "") & (c("h1") != "") & ~c("h1").contains(c("name")) & ~c("name").contains(c("h1")), c("h1")),
+        ("price_mismatch", "high", c("price").isNotNull() & (F.coalesce("currency", F.lit("")) != "") & ~F.coalesce(F.exists(forms, lambda f: c("text").contains(f)), F.lit(False)), c("price")),
+        ("stock_mismatch", "high", ~shows(known), c("stock")), ("stock_conflict", "high", (c("stock") == "https://schema.org/OutOfStock") & shows(signals["https://schema.org/InStock"]), c("stock")),
+        ("breadcrumb_no_nav", "medium", c("trail").isNotNull() & (c("nav") == ""), None),
+    ]
+    unseen = rows.where(c("trail").isNotNull() & (c("nav") != "")).select("url", F.explode(hidden).alias("detail"))
+    return findings(rows, out).unionByName(unseen.select("url", F.lit("medium").alias("severity"), F.lit("breadcrumb_item_not_visible").alias("rule"), "detail"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _where_patterns(rules: pd.Series) -> pd.Series:
+    """Addresses and selectors (marked `selector:`) of the rules' conditions, which may nest
+    without bound, so that no path of SQL reaches all."""
+    import json
+
+    def inside(where) -> list[str]:
+        if not isinstance(where, dict):
+            return []
+        listed = lambda v: v if isinstance(v, list) else [v] if isinstance(v, str) else []
+        out = [str(v) for v in listed(where.get("href_matches"))] + [f"selector:{v}" for v in listed(where.get("selector_matches"))]
+        for word in ("and", "or", "not"):
+            below = where.get(word)
+            for part in below if isinstance(below, list) else [below]:
+                out += inside(part)
+        return out
+
+    return rules.map(lambda text: inside(json.loads(text)) if text else [])
 
 
 def speculation_audit(elements: DataFrame) -> DataFrame:
-    """Findings (url, rule, detail) on speculation rules: no JSON, unknown action or
-    eagerness, no source, an eager rule for the whole site, URLs with one-time effects."""
-    from ..functions.urls import is_one_time_action
-
-    scripts = elements.where((F.col("tag") == "script") & (F.lower(attr("type")) == "speculationrules")).select("url", F.try_parse_json("text").alias("node"))
-    broken = scripts.where("node is null").select("url", F.lit("invalid_json").alias("rule"), F.lit("").alias("detail"))
-    actions = scripts.where("node is not null").select("url", F.explode(F.try_variant_get("node", "$", "map<string,variant>")).alias("action", "rules"))
-    unknown = actions.where("action not in ('prefetch', 'prerender', 'tag')").select("url", F.lit("unknown_action"), "action")
-    each = actions.where("action in ('prefetch', 'prerender')").select("url", "action", F.explode(F.try_variant_get("rules", "$", "array<variant>")).alias("r"))
-    eager, where = F.try_variant_get("r", "$.eagerness", "string"), F.try_variant_get("r", "$.where.href_matches", "string")
-    urls = F.try_variant_get("r", "$.urls", "array<string>")
-    out = broken.union(unknown).union(each.where(eager.isNotNull() & ~eager.isin("immediate", "eager", "moderate", "conservative")).select("url", F.lit("unknown_eagerness"), eager)).union(each.where(urls.isNull() & F.try_variant_get("r", "$.where", "variant").isNull()).select("url", F.lit("no_source"), "action")).union(each.where(where.isin("/*", "*") & eager.isin("immediate", "eager")).select("url", F.lit("eager_site_wide"), where))
-    return out.union(each.select("url", F.explode(urls).alias("x")).where(is_one_time_action(F.col("x"))).select("url", F.lit("one_time_action"), "x"))
+    """Findings (url, severity, rule, detail) on speculation rules; detail names the action, its
+    rule's place and the addresses. Rules without eagerness are immediate if they list URLs."""
+    scripts = elements.where((F.col("tag") == "script") & (F.lower(attr("type")) == "speculationrules")).select("url", "seq", F.try_parse_json("text").alias("node"))
+    broken = scripts.where("node is null").select("url", F.lit("high").alias("severity"), F.lit("invalid_json").alias("rule"), F.lit("").alias("detail"))
+    actions = F.map_filter(_entries(F.col("node")), lambda k, v: k.isin("prefetch", "prerender"))
+    rules = scripts.where("node is not null").select("url", "seq", F.explode(actions).alias("action", "rules")).select("url", "seq", "action", F.posexplode(F.try_variant_get("rules", "$", "array<variant>")).alias("i", "r"))
+    # The rules of all scripts of a page count as one list for each action.
+    no = F.row_number().over(Window.partitionBy("url", "action").orderBy("seq", "i")) - 1
+    urls = F.coalesce(F.try_variant_get("r", "$.urls", "array<string>"), F.array().cast("array<string>"))
+    said = F.try_variant_get("r", "$.eagerness", "string")
+    rows = rules.select("url", "action", no.alias("no"), said.alias("said"), F.try_variant_get("r", "$.urls", "array<variant>").isNotNull().alias("lists"), F.concat(urls, _where_patterns(F.to_json(F.try_variant_get("r", "$.where", "variant")))).alias("patterns"))
+    rows = rows.withColumn("eager", F.coalesce("said", F.when(F.col("lists"), "immediate").otherwise("conservative")))
+    c = F.col
+    which = lambda f: F.array_join(F.filter("patterns", f), " ")
+    origin = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    broad, selectors = which(lambda x: x.contains("*") | x.contains("{")), which(lambda x: x.startswith("selector:"))
+    once, other = which(is_one_time_action), which(lambda x: x.rlike("^https?://") & (F.regexp_extract(x, "^(https?://[^/?#]+)", 1) != origin))
+    detail = lambda what: F.concat_ws(" ", "action", "no", what)
+    prerender, now = c("action") == "prerender", c("eager") == "immediate"
+    return broken.unionByName(findings(rows, [
+        ("unknown_eagerness", "medium", c("said").isNotNull() & ~c("said").isin(*EAGERNESS), detail(c("said"))), ("default_immediate", "medium", c("said").isNull() & now, detail(F.lit(None).cast("string"))),
+        ("immediate_broad_pattern", "high", now & (broad != "") & prerender, detail(broad)), ("immediate_broad_pattern", "medium", now & (broad != "") & ~prerender, detail(broad)),
+        ("immediate_selector", "high", prerender & now & (selectors != ""), detail(selectors)), ("one_time_action", "high", prerender & (once != ""), detail(once)), ("cross_origin", "medium", other != "", detail(other)),
+    ]))
 
 
 def baseline_rows(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:

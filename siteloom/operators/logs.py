@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from ..functions.addresses import anonymize_ip, ip_bits
 
 FIELDS = ["timestamp", "remote_addr", "method", "host", "uri", "path", "status", "bytes_sent", "referer", "user_agent", "request_time"]
@@ -125,13 +126,17 @@ def verify_crawler(logs: DataFrame, ranges: DataFrame, out: str = "verified_craw
     """`logs` with the crawler whose range holds remote_addr ('' if none); where ranges
     overlap, the lowest ord wins. Malformed ranges match nothing.
 
-    One lookup of an address prefix for each prefix length that occurs (161 at most),
-    so the logs are not shuffled as long as Spark finds the ranges small enough to
-    broadcast; it checks that itself."""
+    Ranges are few, so there is one lookup of an address prefix for each prefix length that
+    occurs, which Spark answers by broadcasts: the logs are not shuffled. Of more ranges than
+    `FEW_RANGES`, the distinct addresses are looked up instead, and joined to the logs once.
+    """
     cut = ranges.select("crawler", "ord", F.split("cidr", "/").alias("p")).select("crawler", "ord", ip_bits(F.col("p")[0]).alias("bits"), F.get("p", F.lit(1)).try_cast("int").alias("plen"))
     cut = cut.where("bits is not null and plen between 0 and length(bits)").select(F.length("bits").alias("size"), "plen", F.expr("left(bits, plen)").alias("prefix"), F.struct("ord", "crawler").alias("hit"))
-    cut = cut.groupBy("size", "plen", "prefix").agg(F.min("hit").alias("hit"))
-    lengths = sorted((r["size"], r["plen"]) for r in cut.select("size", "plen").distinct().collect())
+    cut = materialize(cut.groupBy("size", "plen", "prefix").agg(F.min("hit").alias("hit")), "ranges")
+    lengths = sorted((r["size"], r["plen"]) for r in cut.select("size", "plen").distinct().collect())  # 161 at most
+    if not logs.isStreaming and cut.count() > FEW_RANGES:
+        found = lookup(logs.select("remote_addr").distinct(), cut, lengths).select(F.col("remote_addr").alias("_addr"), F.col("hit.crawler").alias(out))
+        return logs.drop(out).join(found, F.col("remote_addr") == F.col("_addr"), "left").drop("_addr").withColumn(out, F.coalesce(out, F.lit("")))
     rows = logs.withColumn("_bits", ip_bits(F.col("remote_addr")))
     hits = []
     for size, plen in lengths:
@@ -143,6 +148,19 @@ def verify_crawler(logs: DataFrame, ranges: DataFrame, out: str = "verified_craw
     return rows.withColumn(out, F.coalesce(best, F.lit(""))).drop("_bits", *[f"_hit_{s}_{p}" for s, p in lengths])
 
 
+#: So many ranges are broadcast without a second thought, some 10 MB.
+FEW_RANGES = 100_000
+
+
+def lookup(addresses: DataFrame, cut: DataFrame, lengths: list[tuple[int, int]]) -> DataFrame:
+    """(remote_addr, hit) of distinct addresses: one row for each prefix length, one join."""
+    sizes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(p).alias("plen")) for s, p in lengths])
+    rows = addresses.withColumn("bits", ip_bits(F.col("remote_addr"))).where("bits is not null")
+    rows = rows.select("remote_addr", "bits", F.explode(F.filter(sizes, lambda x: x["size"] == F.length("bits"))).alias("x"))
+    rows = rows.select("remote_addr", F.col("x.size").alias("size"), F.col("x.plen").alias("plen"), F.expr("left(bits, x.plen)").alias("prefix"))
+    return rows.join(cut, ["size", "plen", "prefix"]).groupBy("remote_addr").agg(F.min("hit").alias("hit"))
+
+
 def ua_claim(logs: DataFrame, out: str = "claimed_crawler") -> DataFrame:
     """`logs` with the first crawler of the registry one of whose tokens the agent holds."""
     ua = F.lower(F.coalesce("user_agent", F.lit("")))
@@ -167,12 +185,18 @@ def enrich_logs(raw: DataFrame, ranges: DataFrame, anonymize: bool = True) -> Da
 
 
 def enrichment_summary(enriched: DataFrame) -> DataFrame:
-    """Requests, addresses and share for each verified crawler ('' is none)."""
+    """Requests, errors, distinct paths and share for each verified crawler ('' is none)."""
     every = Window.partitionBy()
     counts = enriched.groupBy("verified_crawler").agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"), F.countDistinct("path").alias("paths"))
     return counts.withColumn("share", F.round(100.0 * F.col("requests") / F.sum("requests").over(every), 4).cast("double"))
 
 
+def enrichment_totals(enriched: DataFrame) -> DataFrame:
+    """One row: all requests, those of verified crawlers, and how many kinds of these there are."""
+    real = F.col("verified_crawler") != ""
+    return enriched.agg(F.count("*").alias("total_requests"), F.count_if(real).alias("verified_crawlers"), F.count_distinct(F.when(real, F.col("verified_crawler"))).alias("distinct_crawler_types"))
+
+
 def googlebot_verification(logs: DataFrame, ranges: DataFrame, strict: bool = False) -> DataFrame:
     """Requests by outcome of the two tests, address and agent."""
     tokens = SEARCH_TOKENS[:1] if strict else SEARCH_TOKENS

@@ -15,7 +15,30 @@ from .findings import findings
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_TAGS = frozenset("base link meta noscript script style template title head html".split())
-ELEMENTS = "url string, seq int, tag string, attrs map<string,string>, text string, ancestors array<struct<tag:string,role:string,class:string>>, in_head boolean"
+ELEMENTS = "url string, seq int, parent int, tag string, attrs map<string,string>, text string, alts string, ancestors array<struct<seq:int,tag:string,role:string,class:string,label:string>>, in_head boolean"
+TEXT = "#text"
+
+# What a start tag ends, and what it doesn't reach out of (as HTML's tree construction has it).
+_BLOCKS = "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
+_HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+ENDS: dict[str, tuple[frozenset, frozenset]] = {tag: (frozenset({"p"}) | (_HEADINGS if tag in _HEADINGS else frozenset()), frozenset({"button", "table", "td", "th", "caption"})) for tag in _BLOCKS}
+ENDS |= {
+    "li": (frozenset({"li", "p"}), frozenset({"ul", "ol", "menu", "table"})),
+    "dt": (frozenset({"dt", "dd", "p"}), frozenset({"dl", "table"})),
+    "dd": (frozenset({"dt", "dd", "p"}), frozenset({"dl", "table"})),
+    "option": (frozenset({"option"}), frozenset({"select", "datalist"})),
+    "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
+    "td": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
+    "th": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
+    "tr": (frozenset({"tr", "td", "th"}), frozenset({"table"})),
+    **{t: (frozenset({"thead", "tbody", "tfoot", "tr", "td", "th"}), frozenset({"table"})) for t in ("thead", "tbody", "tfoot")},
+    "a": (frozenset({"a"}), frozenset({"table", "td", "th"})),
+    "button": (frozenset({"button"}), frozenset({"table", "td", "th"})),
+}
+#: Elements whose whole inner text is kept; they can't hold others of their kind, so it stays in proportion to the page.
+WITH_TEXT = _HEADINGS | frozenset("title a button script style label option summary caption figcaption".split())
+#: Ancestors that are listed, besides those with a role, class or label: what rules ask for.
+LISTED = frozenset("main article aside nav header footer script style noscript template a button".split())
 
 # Titles, texts and names that say nothing, and component classes.
 GENERIC_TITLES = ["untitled", "home", "homepage", "page", "default", "welcome", "index", "title"]
@@ -26,23 +49,48 @@ COMPONENTS = ["card", "modal", "dialog", "popover", "tooltip", "dropdown", "menu
 
 
 class _Elements(HTMLParser):
-    """Elements in document order with their own text and open ancestors. An element that
-    can't stand in the head closes it."""
+    """Elements and texts in document order. An element that can't stand in the head closes
+    it; end tags that HTML lets be left out are put in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows, self.open, self.head = [], [], None
 
+    def _add(self, tag, attrs, text):
+        top = self.open[-1] if self.open else None
+        row = [len(self.rows), top[1][0] if top else None, tag, attrs, text, [], top[2] if top else [], bool(self.head) and tag not in ("head", "html")]
+        self.rows.append(row)
+        return row
+
+    def _cut(self, i):
+        del self.open[i:]
+
     def handle_starttag(self, tag, attrs):
         if tag == "head" and self.head is None:
             self.head = True
         elif self.head and tag not in HEAD_TAGS:
             self.head = False
+            self._cut(next((i for i, o in enumerate(self.open) if o[0] == "head"), len(self.open)))
+        closed, barrier = ENDS.get(tag, (frozenset(), frozenset()))
+        cut = None
+        for i in range(len(self.open) - 1, -1, -1) if closed else ():
+            if self.open[i][0] in barrier:
+                break
+            if self.open[i][0] in closed:
+                cut = i
+        if cut is not None:
+            self._cut(cut)
         kept = {k: v or "" for k, v in reversed(attrs)}
-        up = [{"tag": t, "role": a.get("role", ""), "class": a.get("class", "")} for t, a, _ in self.open]
-        self.rows.append([len(self.rows), tag, kept, [], up, bool(self.head) and tag not in ("head", "html")])
+        row = self._add(tag, kept, [])
+        if tag == "img" and kept.get("alt", "").strip():
+            for _, outer, _ in self.open:
+                if outer[2] in ("a", "button"):
+                    outer[5].append(kept["alt"].strip())
         if tag not in VOID:
-            self.open.append((tag, kept, self.rows[-1]))
+            up, marks = row[6], [kept.get(k, "") for k in ("role", "class", "aria-label")]
+            if tag in LISTED or any(marks):
+                up = [*up, dict(zip(("seq", "tag", "role", "class", "label"), (row[0], tag, *marks), strict=True))]
+            self.open.append((tag, row, up))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -54,17 +102,32 @@ class _Elements(HTMLParser):
             self.head = False
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+                return self._cut(i)
+            if self.open[i][0] in ("table", "td", "th") and tag not in ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "body", "html"):
+                return None
 
     def handle_data(self, data):
-        for _, _, row in self.open[-1:]:
-            row[3].append(data)
+        for tag, row, _ in self.open:
+            if tag in WITH_TEXT:
+                row[4].append(data)
+        if data.strip():
+            self._add(TEXT, {}, [data])
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
-    """The element table of pages (url, html); null html has no elements."""
-    schema = pa.schema([("url", pa.string()), ("seq", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ancestors", pa.list_(pa.struct([("tag", pa.string()), ("role", pa.string()), ("class", pa.string())]))), ("in_head", pa.bool_())])
+    """The element table of pages (url, html); null html has no elements.
+
+    Elements and texts (tag `#text`) are rows in document order (seq), each with its
+    parent's seq. `text` is the text itself, and of headings, links, buttons, titles,
+    scripts and the like the whole text inside; blanks are made one. `alts` has the
+    alternative texts of images in a link or button. `ancestors` lists sections, links and
+    buttons, and elements with a role, class or aria-label; `parent` leads to the others.
+    """
+    up = pa.struct([("seq", pa.int32()), ("tag", pa.string()), ("role", pa.string()), ("class", pa.string()), ("label", pa.string())])
+    schema = pa.schema([("url", pa.string()), ("seq", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("alts", pa.string()), ("ancestors", pa.list_(up)), ("in_head", pa.bool_())])
+
+    def made(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(it):
         for batch in it:
@@ -73,12 +136,13 @@ def page_elements(pages: DataFrame) -> DataFrame:
                 parser = _Elements()
                 parser.feed(html or "")
                 parser.close()
-                out += [(url, seq, tag, list(attrs.items()), " ".join("".join(text).split()), up, head) for seq, tag, attrs, text, up, head in parser.rows]
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
+                for seq, parent, tag, attrs, text, alts, ancestors, head in parser.rows:
+                    out.append((url, seq, parent, tag, list(attrs.items()), " ".join("".join(text).split()), " ".join(alts), ancestors, head))
+                    if len(out) > 20_000:
+                        yield made(out)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield made(out)
 
     return pages.select("url", "html").mapInArrow(run, ELEMENTS)
 
@@ -100,6 +164,7 @@ def head_facts(elements: DataFrame) -> DataFrame:
         n(title, "n_title"), first(title, "text", "title"), n(canonical, "n_canonical"), first(canonical, "href", "canonical"), n(meta("description"), "n_description"), first(meta("description"), "content", "description"),
         first(meta("robots"), "content", "robots"), first(meta("googlebot"), "content", "googlebot"), first(meta("viewport"), "content", "viewport"), first((F.col("tag") == "meta") & (F.col("charset") != ""), "charset", "charset"),
         *((F.count_if(prop(p)) > 0).alias(name) for p, name in (("og:title", "has_og_title"), ("og:image", "has_og_image"), ("og:url", "has_og_url"), ("twitter:card", "has_twitter_card"))),
+        *(first(prop(p), "content", p.replace(":", "_")) for p in ("og:title", "og:description", "og:image")),
     )
 
 
@@ -108,15 +173,16 @@ def has_noindex(c: Column) -> Column:
 
 
 def head_audit(facts: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Findings of the heads (facts by url) of stored fetches (url, status, should_index);
-    the canonical's own stored fetch tells whether it answers."""
+    """Findings of the heads (facts by url) of stored fetches (url, status, should_index,
+    x_robots_tag); the canonical's own stored fetch tells whether it answers. A page says
+    noindex in its head or in the X-Robots-Tag header."""
     targets = fetches.select(F.col("url").alias("_target"), F.col("status").alias("_target_status"))
-    rows = facts.join(fetches.select("url", "should_index"), "url").join(targets, F.col("canonical") == F.col("_target"), "left")
+    rows = facts.join(fetches.select("url", "should_index", "x_robots_tag"), "url").join(targets, F.col("canonical") == F.col("_target"), "left")
     c = F.col
     one = c("n_canonical") == 1
     host = lambda x: u.url_parts(x)["host"]
     absolute = one & u.is_abs_http(c("canonical"))
-    noindex = has_noindex(c("robots")) | has_noindex(c("googlebot"))
+    noindex = has_noindex(c("robots")) | has_noindex(c("googlebot")) | has_noindex(c("x_robots_tag"))
     outside = absolute & (host(c("canonical")) != host(c("url")))
     return findings(rows, [
         ("missing_title", "high", c("n_title") == 0, None), ("multiple_titles", "high", c("n_title") > 1, c("n_title")), ("empty_title", "high", (c("n_title") > 0) & (F.trim("title") == ""), None), ("generic_title", "medium", (c("n_title") > 0) & F.lower(F.trim("title")).isin(*GENERIC_TITLES), c("title")),
@@ -170,16 +236,23 @@ def canonical_audit(fetches: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def visible_text(elements: DataFrame, drop: tuple = ("script", "style", "noscript", "template", "nav", "header", "footer")) -> DataFrame:
-    """(url, text) of the body: own texts of elements with no dropped ancestor, in order."""
-    dropped = F.exists("ancestors", lambda a: a["tag"].isin(*drop)) | F.col("tag").isin(*drop)
-    rows = elements.where(~dropped & ~F.col("in_head") & (F.col("text") != "") & ~F.col("tag").isin("title", "head", "html"))
-    return rows.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
+    """(url, text) of the body: texts that no dropped element holds, in document order."""
+    rows = elements.where((F.col("tag") == TEXT) & ~_inside(*drop) & ~F.col("in_head"))
+    return rows.groupBy("url").agg(_in_order().alias("text"))
+
+
+def _in_order() -> Column:
+    """The texts of a group (one page) joined by seq."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
+
+
+#: Chinese characters and Japanese kana, which are written without blanks.
+UNSPACED = r"\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}"
 
 
 def count_words(text: Column) -> Column:
-    """Words; Chinese, Japanese and Korean characters count one each."""
-    cjk = r"぀-ヿ㐀-䶿一-鿿가-힯"
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[{cjk}]|[^\s{cjk}]+"), F.lit(0)))
+    """Words; characters of scripts without blanks count one each. Korean is written with blanks."""
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[{UNSPACED}]|[^\s{UNSPACED}]+"), F.lit(0)))
 
 
 def soft_404(fetches: DataFrame, texts: DataFrame, min_words: int = 50) -> DataFrame:
@@ -193,11 +266,14 @@ def soft_404(fetches: DataFrame, texts: DataFrame, min_words: int = 50) -> DataF
 
 
 def rendering_debt(raw: DataFrame, rendered: DataFrame) -> DataFrame:
-    """(url, debt): the share of the rendered words, with multiplicity, that the raw text lacks."""
-    tokens = lambda df, n: df.select("url", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\w+"), F.lit(0))).alias("w")).groupBy("url", "w").agg(F.count("*").alias(n))
+    """(url, debt): the share of the rendered words, with multiplicity, that the raw text
+    lacks; 0 where nothing is rendered. Characters of scripts without blanks are words."""
+    word = rf"[{UNSPACED}]|[\p{{L}}\p{{N}}_&&[^{UNSPACED}]]+"
+    tokens = lambda df, n: df.select("url", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(word), F.lit(0))).alias("w")).groupBy("url", "w").agg(F.count("*").alias(n))
     both = tokens(raw, "a").join(tokens(rendered, "b"), ["url", "w"], "full").fillna(0, ["a", "b"])
     sums = both.groupBy("url").agg(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("more"), F.sum("b").alias("all"))
-    return sums.select("url", F.round(F.when(F.col("all") > 0, F.col("more") / F.col("all")).otherwise(0.0), 6).alias("debt"))
+    pages = raw.select("url").union(rendered.select("url")).distinct().join(sums, "url", "left")
+    return pages.select("url", F.round(F.when(F.col("all") > 0, F.col("more") / F.col("all")).otherwise(0.0), 6).alias("debt"))
 
 
 def compare_fetches(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -232,33 +308,51 @@ def semantic_audit(elements: DataFrame) -> DataFrame:
     pages = findings(per, [("missing_h1", "high", c("h1") == 0, None), ("multiple_h1", "medium", c("h1") > 1, c("h1")), ("missing_main", "high", c("main") == 0, None), ("multiple_main", "medium", c("main") > 1, c("main")), ("missing_header", "low", c("header") == 0, None), ("missing_footer", "low", c("footer") == 0, None), ("missing_nav", "low", c("nav") == 0, None), ("missing_html_lang", "high", c("lang") == 0, None)])
     heads = findings(heading_outline(elements), [("skipped_heading_level", "medium", c("level") > c("before") + 1, c("text")), ("heading_inside_aside", "low", c("in_aside"), c("text")), ("heading_inside_nav", "low", c("in_nav"), c("text")), ("heading_inside_ui_component", "low", c("in_component"), c("text"))])
     href = F.lower(F.trim(attr("href")))
-    named = (c("text") != "") | (attr("aria-label") != "") | (attr("title") != "") | (attr("aria-labelledby") != "")
-    # Names can come from elements inside: those that stand in the same link or button.
-    holders = elements.where(tag("a", "button")).select("url", "seq", "tag", "attrs", "text", F.size("ancestors").alias("depth"))
-    nested = elements.where((F.exists("ancestors", lambda a: a["tag"].isin("a", "button"))) & ((c("text") != "") | (attr("alt") != ""))).select("url", c("seq").alias("at"))
-    ends = holders.withColumn("next", F.lead("seq").over(Window.partitionBy("url").orderBy("seq")))
-    spoken = nested.join(ends.select("url", "seq", "next"), "url").where("at > seq and (next is null or at < next)").select("url", "seq").distinct().withColumn("spoken", F.lit(True))
-    rows = holders.join(spoken, ["url", "seq"], "left")
-    nameless = ~named & c("spoken").isNull()
+    rows = elements.where(tag("a", "button"))
+    nameless = (c("text") == "") & (c("alts") == "") & (attr("aria-label") == "") & (attr("title") == "") & (attr("aria-labelledby") == "")
     links = findings(rows, [("anchor_without_href", "medium", tag("a") & ~F.map_contains_key("attrs", "href"), None), ("anchor_non_crawlable_href", "medium", tag("a") & F.map_contains_key("attrs", "href") & ((href == "") | (href == "#") | href.startswith("javascript:")), attr("href")), ("anchor_without_accessible_name", "high", tag("a") & nameless, None), ("button_without_accessible_name", "high", tag("button") & nameless, None)])
     images = findings(elements.where(tag("img")), [("image_missing_alt", "high", ~F.map_contains_key("attrs", "alt"), attr("src")), ("image_generic_alt", "low", F.trim(attr("alt")).rlike(GENERIC_ALT), attr("alt"))])
     return pages.union(heads).union(links).union(images)
 
 
-def http_audit(fetches: DataFrame) -> DataFrame:
-    """Findings on stored answers: url, final_url, status, hops, content_type,
-    cache_control, x_robots_tag, etag, html."""
+def http_audit(fetches: DataFrame, elements: DataFrame, most_hops: int = 3) -> DataFrame:
+    """Findings on stored answers and their elements. Fetches: url, final_url, status (0: no
+    answer), hops, content_type, cache_control, x_robots_tag, etag, last_modified, link,
+    conditional_status (of a second, conditional request; null: not asked), in_sitemap,
+    html. A noindex in the page is one finding for each meta element."""
     c = F.col
-    html = c("content_type").startswith("text/html")
-    age = F.coalesce(F.nullif(F.regexp_extract("cache_control", r"max-age=(\d+)", 1), F.lit("")).try_cast("long"), F.lit(0))
+    tag = lambda *t: c("tag").isin(*t)
+    plain = lambda name: attr(name).startswith("http://")
+    loads = (tag("img", "script", "iframe", "audio", "video", "source") & plain("src")) | (tag("link") & plain("href"))
+    canonical = tag("link") & (attr("rel") == "canonical") & (attr("href") != "")
+    robots = tag("meta") & (attr("name") == "robots") & F.lower(attr("content")).contains("noindex")
+    facts = elements.where(tag("img", "script", "iframe", "audio", "video", "source", "link", "meta")).groupBy("url").agg(
+        F.count_if(loads).alias("plain_loads"), F.min_by(F.when(canonical, attr("href")), F.when(canonical, c("seq"))).alias("said"),
+        F.array_sort(F.collect_list(F.when(robots, F.struct("seq", attr("content").alias("content"))))).alias("noindex"),
+    )
+    rows = fetches.join(facts, "url", "left").withColumn("type", F.lower(F.coalesce("content_type", F.lit(""))))
+    html, ok, path = c("type").contains("text/html"), c("status") == 200, F.lower(u.url_parts(c("url"))["path"])
+    has = lambda name: F.coalesce(c(name), F.lit("")) != ""
+    age = F.coalesce(F.nullif(F.regexp_extract(F.lower("cache_control"), r"max-age=(\d+)", 1), F.lit("")).try_cast("long"), F.lit(0))
     body = F.lower(F.coalesce("html", F.lit("")))
-    return findings(fetches, [
-        ("redirect_chain_too_long", "warning", c("hops") > 3, c("hops")), ("final_response_unreachable", "error", c("status") == 0, None), ("sitemap_url_returns_404", "error", c("status").isin(404, 410), c("status")), ("server_error", "error", c("status") >= 500, c("status")),
-        ("possible_soft_404", "warning", (c("status") == 200) & (F.length(body) < 8000) & F.exists(F.array(*[F.lit(p) for p in SOFT_404_SHORT]), lambda p: body.contains(p)), None),
-        ("no_store_on_html_disables_bfcache", "notice", html & c("cache_control").contains("no-store"), None), ("long_max_age_on_html", "warning", html & (age > 7 * 86400), age), ("noindex_in_response_header", "error", F.lower("x_robots_tag").contains("noindex"), c("x_robots_tag")),
-        ("noindex_in_meta_tag", "error", body.rlike(r"""<meta[^>]+name=["']?robots[^>]+noindex"""), None), ("mixed_content_on_https", "error", c("final_url").startswith("https://") & body.rlike(r"""(src|href)=["']http://[^"']+\.(js|css|png|jpe?g|gif|svg)"""), None),
-        ("html_missing_charset", "warning", html & ~F.lower("content_type").contains("charset"), c("content_type")), ("no_conditional_request_headers", "notice", html & (c("etag") == ""), None), ("html_wrong_content_type", "warning", (c("status") == 200) & ~html & body.contains("<html"), c("content_type")),
+    header = F.get(header_canonicals(c("link")), F.lit(0))
+    answered = rows.where("status <> 0")
+    first = findings(rows, [("redirect_chain_too_long", "error", c("hops") > most_hops, c("hops")), ("final_response_unreachable", "error", c("status") == 0, None)])
+    more = findings(answered, [
+        ("sitemap_url_returns_404", "error", (c("status") == 404) & c("in_sitemap"), c("status")), ("server_error", "error", c("status").between(500, 599), c("status")),
+        ("possible_soft_404", "warning", ok & (F.length(body) < 8000) & F.exists(F.array(*[F.lit(p) for p in SOFT_404_SHORT]), lambda p: body.contains(p)), None),
+        ("no_store_on_html_disables_bfcache", "warning", html & F.lower("cache_control").contains("no-store"), None), ("long_max_age_on_html", "warning", html & (age > 7 * 86400), age),
+        ("noindex_in_response_header", "error", ok & F.lower("x_robots_tag").contains("noindex"), c("x_robots_tag")),
+        ("mixed_content_on_https", "error", c("url").startswith("https://") & html & (c("plain_loads") > 0), c("plain_loads")),
+        ("canonical_signal_conflict", "error", html & (u.resolve(c("url"), header) != u.resolve(c("url"), c("said"))), header),
+        ("sitemap_wrong_content_type", "warning", path.endswith(".xml") & ~c("type").contains("xml"), c("content_type")),
+        ("robots_wrong_content_type", "warning", path.endswith("/robots.txt") & ~c("type").contains("text/plain"), c("content_type")),
+        ("html_missing_charset", "warning", ~path.endswith(".xml") & ~path.endswith("/robots.txt") & html & ~c("type").contains("charset"), c("content_type")),
+        ("no_conditional_request_headers", "warning", ok & ~has("etag") & ~has("last_modified"), None),
+        ("conditional_request_not_honored", "warning", ok & (has("etag") | has("last_modified")) & (c("conditional_status") != 304), c("conditional_status")),
     ])
+    tags = answered.where(ok & html).select("url", F.explode("noindex").alias("m")).select("url", F.lit("error").alias("severity"), F.lit("noindex_in_meta_tag").alias("rule"), c("m.content").alias("detail"))
+    return first.unionByName(more).unionByName(tags)
 
 
 def redirect_types(chains: DataFrame) -> DataFrame:
@@ -269,45 +363,119 @@ def redirect_types(chains: DataFrame) -> DataFrame:
     return findings(hop, [("wrong_redirect_type_http_to_https", "error", (a["scheme"] == "http") & (b["scheme"] == "https"), F.col("b")), ("wrong_redirect_type_www_normalization", "error", F.regexp_replace(a["host"], r"^www\.", "") .eqNullSafe(F.regexp_replace(b["host"], r"^www\.", "")) & (a["host"] != b["host"]), F.col("b")), ("wrong_redirect_type_trailing_slash", "error", (F.rtrim(a["path"], F.lit("/")) == F.rtrim(b["path"], F.lit("/"))) & (a["path"] != b["path"]), F.col("b"))])
 
 
-def page_assertions(fetches: DataFrame, facts: DataFrame) -> DataFrame:
-    """(url, name, expected, observed, passed) of each page."""
-    rows = fetches.join(facts.drop("page_id"), "url")
+def page_assertions(fetches: DataFrame, facts: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(url, name, expected, observed, passed) of each page. Fetches: url, status, expect_status,
+    expect_redirect_to (null: none), location, x_robots_tag, html; facts are those of the heads,
+    scripts (url, block, raw) the JSON-LD ones.
+
+    Where a redirect is expected, only status and target are tested; where another status
+    than 200 is, only the status; bodies of under 100 characters are not looked into.
+    """
     c = F.col
-    item = lambda name, expected, observed, passed: F.struct(F.lit(name).alias("name"), F.lit(expected).alias("expected"), F.coalesce(observed.cast("string"), F.lit("")).alias("observed"), F.coalesce(passed, F.lit(False)).alias("passed"))
-    made = F.array(item("status", "200", c("status"), c("status") == 200), item("content_type", "text/html", c("content_type"), c("content_type").startswith("text/html")), item("title", "one", c("n_title"), (c("n_title") == 1) & (F.trim("title") != "")), item("canonical", "absolute", c("canonical"), (c("n_canonical") == 1) & u.is_abs_http(c("canonical"))), item("description", "one", c("n_description"), c("n_description") == 1), item("indexable", "no noindex", c("robots"), ~has_noindex(c("robots"))), item("header_indexable", "no noindex", c("x_robots_tag"), ~has_noindex(c("x_robots_tag"))), item("og_title", "present", c("has_og_title"), c("has_og_title")), item("og_image", "present", c("has_og_image"), c("has_og_image")), item("og_url", "present", c("has_og_url"), c("has_og_url")), item("viewport", "present", c("viewport"), c("viewport") != ""), item("charset", "utf-8", c("charset"), F.lower("charset").isin("utf-8", "utf8")))
+    broken = F.try_parse_json("raw").isNull()
+    blocks = scripts.groupBy("url").agg(F.count("*").alias("blocks"), F.count_if(broken).alias("broken"))
+    rows = fetches.join(facts.select("url", "title", "description", "canonical", "og_title", "og_description", "og_image"), "url", "left").join(blocks, "url", "left")
+    rows = rows.fillna(0, ["blocks", "broken"]).withColumn("length", F.length(F.coalesce("html", F.lit(""))))
+    text = lambda name: F.trim(F.coalesce(c(name), F.lit("")))
+    item = lambda name, when, expected, observed, passed: F.when(when, F.struct(F.lit(name).alias("name"), (expected if isinstance(expected, Column) else F.lit(expected)).cast("string").alias("expected"), F.coalesce(observed.cast("string"), F.lit("")).alias("observed"), F.coalesce(passed, F.lit(False)).alias("passed")))
+    filled = lambda name, when, column, expected: item(name, when, expected, F.left(text(column), F.lit(60)), text(column) != "")
+    moved = c("expect_redirect_to").isNotNull()
+    target = u.resolve(c("url"), F.coalesce("location", F.lit("")))
+    page = ~moved & (c("expect_status") == 200)
+    read = page & (c("length") >= 100)
+    made = F.array_compact(F.array(
+        item("status_code", F.lit(True), c("expect_status"), c("status"), c("status") == c("expect_status")),
+        item("redirect_target", moved, c("expect_redirect_to"), target, F.rtrim(target, F.lit("/")) == F.rtrim(c("expect_redirect_to"), F.lit("/"))),
+        item("x_robots_tag_not_noindex", page, "no noindex", c("x_robots_tag"), ~F.lower(F.coalesce("x_robots_tag", F.lit(""))).contains("noindex")),
+        item("non_empty_body", page, "over 500 characters", c("length"), c("length") > 500),
+        filled("title_tag", read, "title", "a title"), filled("meta_description", read, "description", "a description"),
+        item("canonical_tag", read, "an absolute URL", text("canonical"), u.is_abs_http(text("canonical"))),
+        item("jsonld_present", read, "a block or more", c("blocks"), c("blocks") > 0),
+        item("jsonld_parses", read & (c("blocks") > 0), "no broken block", c("broken"), c("broken") == 0),
+        *(filled(f"meta_{x}", read, x, f"an {x.replace('_', ':')}") for x in ("og_title", "og_description", "og_image")),
+    ))
     return rows.select("url", F.explode(made).alias("a")).select("url", "a.*")
 
 
 def locale_probe_audit(probes: DataFrame) -> DataFrame:
-    """Findings on probes (url, probe, status, final_url, lang, canonical) of the same page
-    under different languages: all must answer as the first one does."""
-    w = Window.partitionBy("url").orderBy("probe")
-    rows = probes.select("*", *(F.first(x).over(w).alias(f"first_{x}") for x in ("status", "final_url", "lang")))
+    """Findings (url, severity, rule, detail) on probes of pages under several languages:
+    url, locale (declared, or null), probe (order), status (null: the probe failed), final_url,
+    lang, title, h1, canonical, hreflangs (array of targets). The first probe that answered
+    is what the others are compared with, and stands for the page."""
     c = F.col
-    prefix = F.regexp_extract(u.url_parts(c("final_url"))["path"], "^/([a-z]{2})(/|$)", 1)
-    return findings(rows, [("status_varies", "error", c("status") != c("first_status"), c("probe")), ("redirect_varies", "error", c("final_url") != c("first_final_url"), c("probe")), ("language_varies", "error", c("lang") != c("first_lang"), c("probe")), ("lang_prefix_mismatch", "warning", (prefix != "") & (F.lower(F.substring_index("lang", "-", 1)) != prefix), c("lang")), ("missing_lang", "warning", c("lang") == "", None), ("canonical_not_self", "warning", (c("canonical") != "") & (c("canonical") != c("final_url")), c("canonical")), ("not_ok", "error", c("status") != 200, c("status"))])
+    by = Window.partitionBy("url").orderBy("probe")
+    rows = probes.withColumn("answered", c("status").isNotNull())
+    order = F.when(c("answered"), c("probe"))
+    rows = rows.withColumn("one", F.min(order).over(Window.partitionBy("url")) == c("probe"))
+    rows = rows.select("*", *(F.first(F.when(c("one"), c(x)), True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(f"one_{x}") for x in ("lang", "title", "h1")))
+    differs = lambda x: c("answered") & ~c("one") & (F.coalesce(c(x), F.lit("")) != "") & (F.coalesce(c(f"one_{x}"), F.lit("")) != "") & (c(x) != c(f"one_{x}"))
+    each = findings(rows, [
+        ("probe_failed", "high", ~c("answered"), c("probe")), ("locale_url_redirects", "high", c("answered") & ~u.same_url(c("final_url"), c("url")), c("final_url")), ("non_200_status", "high", c("status") != 200, c("status")),
+        ("locale_adaptive_content", "high", differs("lang"), c("lang")), ("title_varies_by_accept_language", "high", differs("title"), c("title")), ("h1_varies_by_accept_language", "medium", differs("h1"), c("h1")),
+    ])
+    said, page = F.lower(F.coalesce("locale", F.lit(""))), F.lower(F.coalesce("lang", F.lit("")))
+    fits = (page == said) | F.startswith(page, F.concat(said, F.lit("-"))) | F.startswith(said, F.concat(page, F.lit("-")))
+    links = F.coalesce("hreflangs", F.array().cast("array<string>"))
+    canonical = F.coalesce("canonical", F.lit(""))
+    whole = findings(rows.where("one"), [
+        ("html_lang_mismatch", "medium", (said != "") & (page != "") & ~fits, c("lang")), ("no_canonical", "medium", canonical == "", None),
+        ("canonical_not_self", "high", (canonical != "") & ~u.same_url(u.resolve(c("url"), canonical), c("url")), canonical),
+        ("no_hreflang_annotations", "medium", F.size(links) == 0, None), ("no_self_hreflang", "high", (F.size(links) > 0) & ~F.exists(links, lambda x: u.same_url(u.resolve(c("url"), x), c("url"))), None),
+    ])
+    return each.unionByName(whole)
 
 
-def pagination_walk(nexts: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
+def pagination_links(elements: DataFrame) -> DataFrame:
+    """(url, next, targets, scripted) of pages: the address of the next page, those of all
+    pagination links, and whether there is pagination that only scripts can follow."""
+    c = F.col
+    label, rel, text = F.lower(attr("aria-label")), F.lower(attr("rel")), F.lower(F.trim("text"))
+    listed = rel.contains("next") | rel.contains("prev") | label.rlike("page|next|prev") | text.rlike(r"^\d+$") | text.isin("next", "prev", "previous", "»", "‹", "›", "«")
+    further = rel.contains("next") | label.contains("next") | text.isin("next", "›", "»")
+    links = elements.where((c("tag") == "a") & (attr("href") != "") & listed).select("url", "seq", u.resolve(c("url"), attr("href")).alias("target"), further.alias("further"))
+    per = links.groupBy("url").agg(F.min_by(F.when(c("further"), c("target")), F.when(c("further"), c("seq"))).alias("next"), F.collect_set("target").alias("targets"))
+    holder = lambda a: ((a["tag"] == "nav") & F.lower(a["label"]).contains("agination")) | a["class"].contains("pagination")
+    inside = elements.where("tag in ('a', 'button', 'span', 'div')").select("url", "tag", attr("href").alias("href"), attr("role").alias("role"), F.explode(F.filter("ancestors", holder)).alias("box"))
+    button = (c("tag") == "button") | (c("tag").isin("span", "div") & (c("role") == "link"))
+    boxes = inside.groupBy("url", "box.seq").agg(F.max(button).alias("buttons"), F.max((c("tag") == "a") & (c("href") != "")).alias("anchors"))
+    scripted = boxes.groupBy("url").agg(F.max(c("buttons") & ~c("anchors")).alias("scripted"))
+    return per.join(scripted, "url", "full").select("url", "next", "targets", F.coalesce("scripted", F.lit(False)).alias("scripted"))
+
+
+def pagination_walk(nexts: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
     """(start, url, step): pages reached by next links (url, next) from each start (start);
-    a page met again ends its walk."""
-    front = seen = starts.select("start", F.col("start").alias("url"), F.lit(0).alias("step"))
-    for step in range(1, most + 1):
-        front = front.join(nexts, "url").select("start", F.col("next").alias("url")).distinct().join(seen.select("start", "url"), ["start", "url"], "left_anti").withColumn("step", F.lit(step))
-        front = materialize(front, "walk")
-        if front.isEmpty():
-            break
-        seen = materialize(seen.unionByName(front), "walked")
-    return seen
-
-
-def pagination_audit(pages: DataFrame, elements: DataFrame) -> DataFrame:
-    """Findings on list pages (url, canonical): next links that can't be crawled, canonicals
-    to page one, and pages without a next link."""
-    a = elements.where("tag = 'a'").select("url", F.lower("text").alias("t"), F.lower(attr("rel")).alias("rel"), attr("href").alias("href"), F.lower(attr("class")).alias("class"))
-    nexts = a.where((F.col("rel") == "next") | F.col("t").rlike(r"^(next|more|›|»|older)\b") | F.col("class").contains("next"))
-    per = nexts.groupBy("url").agg(F.count("*").alias("n"), F.count_if((F.col("href") == "") | F.col("href").startswith("#") | F.lower("href").startswith("javascript:")).alias("dead"))
-    number = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"[?&]page=(\d+)", 1), F.lit("")).try_cast("int"), F.lit(1))
-    rows = pages.join(per, "url", "left").fillna(0, ["n", "dead"])
+    a page met again ends its walk. A walk that is not over after `most` steps raises."""
+    nexts = materialize(nexts.where("next is not null").select("url", "next"), "nexts")
+    front = materialize(starts.select("start", F.col("start").alias("url"), F.lit(0).alias("step")).distinct(), "walk")
+    fronts = [front]
+    while not fronts[-1].isEmpty():
+        if len(fronts) > most:
+            raise RuntimeError(f"a walk goes on after {most} steps")
+        seen = union_all(fronts).select("start", "url")
+        step = fronts[-1].join(nexts, "url").select("start", F.col("next").alias("url")).distinct().join(seen, ["start", "url"], "left_anti")
+        fronts.append(materialize(step.select("start", "url", F.lit(len(fronts)).alias("step")), "walk"))
+    return union_all(fronts)
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def pagination_audit(pages: DataFrame, elements: DataFrame, require_backlink: bool = True) -> DataFrame:
+    """Findings (url, severity, rule, detail) on the pages of lists: url, start (page one), status
+    (null: not loaded). A page that did not answer has no other finding than that and its fragment."""
     c = F.col
-    return findings(rows, [("no_next_link", "warning", c("n") == 0, None), ("next_not_crawlable", "error", c("dead") > 0, c("dead")), ("canonical_to_page_one", "error", (number("url") > 1) & (F.coalesce("canonical", F.lit("")) != "") & (number("canonical") == 1), c("canonical")), ("fragment_pagination", "error", c("url").rlike("#.*page"), None)])
+    heads = elements.where((c("tag") == "link") & (attr("rel") == "canonical")).groupBy("url").agg(F.min_by(attr("href"), "seq").alias("canonical"))
+    rows = pages.join(heads, "url", "left").join(pagination_links(elements), "url", "left")
+    rows = rows.withColumn("targets", F.coalesce("targets", F.array().cast("array<string>"))).withColumn("said", u.resolve(c("url"), F.nullif(F.coalesce("canonical", F.lit("")), F.lit(""))))
+    first = findings(rows, [("fragment_in_url", "high", c("url").contains("#"), None), ("page_load_failed", "high", c("status").isNull(), None), ("non_200_status", "high", c("status") >= 400, c("status"))])
+    is_start, to_start, to_self = u.same_url(c("url"), c("start")), u.same_url(c("said"), c("start")), u.same_url(c("said"), c("url"))
+    more = findings(rows.where("status < 400"), [
+        ("no_canonical", "medium", c("said").isNull(), None), ("canonical_points_to_page_one", "high", to_start & ~is_start, c("said")), ("canonical_not_self", "medium", ~to_self & ~(to_start & ~is_start), c("said")),
+        ("js_only_pagination", "high", (F.size("targets") == 0) & c("scripted"), None), ("no_pagination_links", "high", (F.size("targets") == 0) & ~F.coalesce("scripted", F.lit(False)), None),
+        ("no_page_one_backlink", "medium", F.lit(require_backlink) & ~is_start & ~F.exists("targets", lambda x: u.same_url(x, c("start"))), None),
+    ])
+    return first.unionByName(more)

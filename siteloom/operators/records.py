@@ -98,7 +98,8 @@ def build_product_jsonld(rows: DataFrame, strict: bool = True) -> DataFrame:
     rating = F.when(c("reviews") > 0, typed("AggregateRating", score.alias("ratingValue"), c("reviews").alias("reviewCount")))
     text = F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"), "name", "description", "sku", "image", F.when(c("brand").isNotNull(), typed("Brand", c("brand").alias("name"))).alias("brand"), offer.alias("offers"), rating.alias("aggregateRating")))
     if strict:
-        for mark, code in (("<", r"<"), (">", r">"), ("&", r"&")):
+        for mark in "<>&":
+            code = f"\\u{ord(mark):04x}"  # so that no text can end the script element
             text = F.replace(text, F.lit(mark), F.lit(code))
         text = F.when(F.col("name").isNotNull() & (F.trim("name") != "") & F.col("price").isNotNull(), text)
     return rows.select("id", text.alias("jsonld"))

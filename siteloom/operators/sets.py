@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as u
-from ..storage import materialize
+from ..storage import Rounds, materialize
 from .findings import findings
-from .pages import has_noindex
+from .pages import TEXT, _in_order, _inside, has_noindex
 
 MAX_URLS, MAX_BYTES = 50_000, 50 * 1024 * 1024
 # Names of hosts that are not for the public, and codes taken for others.
@@ -67,14 +67,12 @@ def freshness(current: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def content_hash(elements: DataFrame, drop: tuple = ("script", "style", "noscript", "nav", "header", "footer", "aside")) -> DataFrame:
-    """(url, content_hash) of the text in main, else article, else the body."""
-    own = lambda t: (F.col("tag") == t) | F.exists("ancestors", lambda a: a["tag"] == t)
-    rows = elements.where(~F.exists("ancestors", lambda a: a["tag"].isin(*drop)) & ~F.col("tag").isin(*drop) & ~F.col("in_head") & (F.col("text") != ""))
-    rows = rows.select("url", "seq", "text", own("main").alias("m"), own("article").alias("a"))
+    """(url, content_hash) of the text in main, else article, else the body, in document order."""
+    rows = elements.where((F.col("tag") == TEXT) & ~_inside(*drop) & ~F.col("in_head"))
+    rows = rows.select("url", "seq", "text", _inside("main").alias("m"), _inside("article").alias("a"))
     best = rows.groupBy("url").agg(F.max("m").alias("has_m"), F.max("a").alias("has_a"))
     kept = rows.join(best, "url").where("if(has_m, m, if(has_a, a, true))")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
-    return kept.groupBy("url").agg(F.sha2(text.cast("binary"), 256).alias("content_hash"))
+    return kept.groupBy("url").agg(F.sha2(_in_order().cast("binary"), 256).alias("content_hash"))
 
 
 def hreflang_bidirectional(links: DataFrame) -> DataFrame:
@@ -99,13 +97,13 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of edges (a, b): each node takes the least label near it, and that
     node's own label, until nothing changes. A hub is one key of a partial aggregation."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.distinct(), "pairs")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    both, kept = materialize(both.distinct(), "pairs"), Rounds("labels")
+    labels = kept.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("old"))
         jump = step.join(labels.select(F.col("node").alias("next"), F.col("component").alias("far")), "next", "left")
-        new = materialize(jump.select("node", F.least("next", F.coalesce("far", "next")).alias("component"), "old"), "labels")
+        new = kept.write(jump.select("node", F.least("next", F.coalesce("far", "next")).alias("component"), "old"))
         labels = new.select("node", "component")
         if new.where("component <> old").isEmpty():
             return labels
@@ -127,49 +125,73 @@ def hreflang_status(links: DataFrame, fetches: DataFrame) -> DataFrame:
     return rows.select("href", rule.alias("rule")).where("rule is not null")
 
 
-def robots_rules(docs: DataFrame) -> DataFrame:
-    """(host, group_id, agent, directive, path, line) of robots files (host, body). A mark
-    at the start is stripped; user-agent lines in a row make one group."""
-    lines = docs.select("host", F.posexplode(F.split(F.regexp_replace("body", "^﻿", ""), r"\r?\n")).alias("at", "raw"))
+def robots_lines(docs: DataFrame) -> DataFrame:
+    """(host, line, key, value, group_id) of robots files (host, body): user-agent, allow,
+    disallow and crawl-delay lines. A mark at the start is stripped. User-agent lines in a row
+    open one group; a blank line, a comment of its own or any other of these keys ends the row."""
+    lines = docs.select("host", F.posexplode(F.split(F.regexp_replace("body", "^\ufeff", ""), r"\r?\n")).alias("at", "raw"))
     clean = F.trim(F.regexp_replace("raw", "#.*$", ""))
-    rows = lines.select("host", (F.col("at") + 1).alias("line"), F.lower(F.trim(F.substring_index(clean, ":", 1))).alias("key"), F.trim(F.regexp_replace(clean, r"^[^:]*:", "")).alias("value")).where("key in ('user-agent', 'allow', 'disallow')")
-    items = rows.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("line", "key", "value"))).alias("items"))  # one robots file, which its format bounds
-    numbered = F.aggregate("items", F.struct(F.lit(-1).alias("g"), F.lit(False).alias("ua"), F.array().cast("array<struct<g:int,line:int,key:string,value:string>>").alias("out")), lambda a, x: F.struct(F.when((x["key"] == "user-agent") & ~a["ua"], a["g"] + 1).otherwise(a["g"]).alias("g"), (x["key"] == "user-agent").alias("ua"), F.concat(a["out"], F.array(F.struct(F.when((x["key"] == "user-agent") & ~a["ua"], a["g"] + 1).otherwise(a["g"]).alias("g"), x["line"].alias("line"), x["key"].alias("key"), x["value"].alias("value")))).alias("out")), lambda a: a["out"])
-    flat = items.select("host", F.explode(numbered).alias("x")).select("host", "x.*")
-    agents = flat.where("key = 'user-agent'").select("host", F.col("g").alias("group_id"), F.lower("value").alias("agent"))
-    paths = flat.where("key <> 'user-agent'").select("host", F.col("g").alias("group_id"), F.col("key").alias("directive"), F.col("value").alias("path"), "line")
-    return agents.join(paths, ["host", "group_id"]).select("host", "group_id", "agent", "directive", "path", "line")
+    key = F.when(clean == "", "").otherwise(F.lower(F.trim(F.substring_index(clean, ":", 1))))
+    rows = lines.select("host", (F.col("at") + 1).alias("line"), key.alias("key"), F.trim(F.regexp_replace(clean, r"^[^:]*:", "")).alias("value"), clean.alias("clean"))
+    rows = rows.where("key = '' or (contains(clean, ':') and key in ('user-agent', 'allow', 'disallow', 'crawl-delay'))").drop("clean")
+    w = Window.partitionBy("host").orderBy("line")  # the lines of one file
+    opens = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(w), F.lit("")) != "user-agent")
+    return rows.withColumn("opens", opens.cast("int")).withColumn("group_id", F.sum("opens").over(w).cast("int") - 1).where("key <> '' and group_id >= 0").drop("opens")
+
+
+def robots_rules(docs: DataFrame) -> DataFrame:
+    """(host, group_id, agent, directive, path, line) of robots files (host, body). A group
+    without allow and disallow lines is one row with an empty path for each agent: it is the
+    agent's own, and lets everything pass."""
+    lines = materialize(robots_lines(docs), "robots")
+    agents = lines.where("key = 'user-agent'").groupBy("host", "group_id", F.lower("value").alias("agent")).agg(F.min("line").alias("first"))
+    paths = lines.where("key in ('allow', 'disallow')").select("host", "group_id", F.col("key").alias("directive"), F.col("value").alias("path"), "line")
+    rows = agents.join(paths, ["host", "group_id"], "left")
+    return rows.select("host", "group_id", "agent", F.coalesce("directive", F.lit("")).alias("directive"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("line", "first").alias("line"))
 
 
 def _pattern(path: Column) -> Column:
-    """A robots path as a regular expression: * is anything, $ at the end is the end."""
-    quoted = F.regexp_replace(F.regexp_replace(path, r"\$$", ""), r"([\\.+?^${}()|\[\]])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(path.endswith("$"), "$").otherwise(""))
+    """A robots path as a regular expression: * is anything, $ is the end, wherever it stands."""
+    return F.concat(F.lit("^"), F.replace(F.regexp_replace(path, r"([\\.+?^{}()|\[\]])", r"\\$1"), F.lit("*"), F.lit(".*")))
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url, user_agent) with allowed. The longest agent token that the user agent
     holds decides, else *; groups of the same token are one. Of the rules that match, the
-    longest path wins, and allow on a tie; no rule: allowed. Empty paths say nothing."""
-    rows = urls.distinct().withColumn("parts", u.url_parts(F.col("url"))).withColumn("host", F.col("parts.host")).withColumn("target", F.concat(F.when(F.col("parts.path") == "", "/").otherwise(F.col("parts.path")), F.when(F.col("parts.query") != "", F.concat(F.lit("?"), "parts.query")).otherwise("")))
-    tokens = rules.select("host", "agent").distinct()
+    one with most characters besides * and $ wins, and allow on a tie; no rule: allowed. Empty
+    paths say nothing."""
+    parts = u.url_parts(F.col("url"))
+    rows = urls.distinct().withColumn("parts", parts).withColumn("host", F.col("parts.host")).withColumn("target", F.concat(F.when(F.col("parts.path") == "", "/").otherwise(F.col("parts.path")), F.when(F.col("parts.query") != "", F.concat(F.lit("?"), "parts.query")).otherwise("")))
+    tokens = rules.where("agent <> ''").select("host", "agent").distinct()
     fit = rows.select("host", "user_agent").distinct().join(tokens, "host").where((F.col("agent") == "*") | F.lower("user_agent").contains(F.col("agent")))
     chosen = fit.groupBy("host", "user_agent").agg(F.max_by("agent", F.when(F.col("agent") == "*", 0).otherwise(F.length("agent"))).alias("agent"))
     mine = rows.select("url", "user_agent", "host", "target").join(chosen, ["host", "user_agent"], "left")
-    paths = rules.where("path <> ''").select("host", "agent", "directive", F.length("path").alias("size"), _pattern(F.col("path")).alias("pattern")).distinct()
+    size = F.length(F.regexp_replace("path", "[*$]", ""))
+    paths = rules.where("path <> '' and directive in ('allow', 'disallow')").select("host", "agent", "directive", size.alias("size"), _pattern(F.col("path")).alias("pattern")).distinct()
     hits = mine.join(paths, ["host", "agent"]).where(F.expr("target rlike pattern")).groupBy("url", "user_agent").agg(F.max(F.struct("size", F.when(F.col("directive") == "allow", 1).otherwise(0).alias("ok"))).alias("best"))
     return mine.join(hits, ["url", "user_agent"], "left").select("url", "user_agent", (F.coalesce("best.ok", F.lit(1)) == 1).alias("allowed"))
 
 
+# Paths that hold what a page is rendered with.
+ASSET_PATHS = r"\.css\$?$|\.js\$?$|^/(static|assets|_next|_nuxt|build)/?$"
+
+
 def robots_lint(docs: DataFrame) -> DataFrame:
-    """Findings (host, severity, rule, detail) on robots files (host, body)."""
-    first = findings(docs, [("bom", "error", F.col("body").startswith("﻿"), None)], "host")
-    rules = robots_rules(docs)
-    asset = r"\.css\$?$|\.js\$?$|^/(static|assets|_next|_nuxt|build)/?$"
-    found = findings(rules, [("catch_all_disallow", "error", (F.col("agent") == "*") & (F.col("directive") == "disallow") & (F.col("path") == "/"), F.col("line")), ("asset_blocked", "warning", (F.col("directive") == "disallow") & F.col("path").rlike(asset), F.col("path"))], "host")
-    lines = docs.select("host", F.explode(F.split("body", r"\r?\n")).alias("l"))
-    maps = F.trim(F.regexp_extract("l", r"(?i)^\s*sitemap\s*:\s*(.*)$", 1))
-    more = findings(lines.withColumn("map", maps), [("sitemap_not_absolute", "error", (F.col("map") != "") & ~u.is_abs_http(F.col("map")), F.col("map")), ("crawl_delay", "notice", F.col("l").rlike(r"(?i)^\s*crawl-delay\s*:"), F.trim("l"))], "host")
+    """Findings (host, severity, rule, detail) on robots files (host, body). A rule is found
+    once for its group, whatever agents the group names."""
+    first = findings(docs, [("bom", "warning", F.col("body").startswith("\ufeff"), None)], "host")
+    lines = materialize(robots_lines(docs), "robots")
+    google = F.col("value").rlike("(?i)googlebot")
+    groups = lines.where("key = 'user-agent'").groupBy("host", "group_id").agg(F.max(F.col("value") == "*").alias("all"), F.max(google).alias("google"))
+    rules = lines.where("key <> 'user-agent'").join(groups, ["host", "group_id"])
+    c = F.col
+    no = c("key") == "disallow"
+    found = findings(rules, [
+        ("catch_all_disallow", "error", c("all") & no & (c("value") == "/"), c("line")), ("crawl_delay_for_googlebot", "warning", c("google") & (c("key") == "crawl-delay"), c("value")),
+        ("asset_blocked", "warning", (c("all") | c("google")) & no & c("value").rlike(ASSET_PATHS), c("value")),
+    ], "host")
+    maps = docs.select("host", F.explode(F.split("body", r"\r?\n")).alias("l")).select("host", F.trim(F.regexp_extract(F.regexp_replace("l", "#.*$", ""), r"(?i)^\ufeff?\s*sitemap\s*:\s*(.*)$", 1)).alias("map"))
+    more = findings(maps, [("sitemap_not_absolute", "error", (c("map") != "") & ~c("map").rlike("^https?://"), c("map"))], "host")
     return first.union(found).union(more)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import urls as u
-from ..storage import materialize
+from ..storage import Rounds, materialize
 from .findings import findings
 
 # Parameters of canonical URLs, reserved path words, lint limits.
@@ -74,26 +74,33 @@ def slugify(text: Column, max_len: int = 80) -> Column:
 
 
 def assign_slugs(rows: DataFrame, existing: DataFrame, max_len: int = 80, rounds: int = 20) -> DataFrame:
-    """rows (id, base) with slug, no two alike and none in `existing` (slug): the first
-    id of a base keeps it, others get -2, -3 and so on; names that meet a taken one
-    count on from there. A window a base: a base with a great many ids is one task's sort,
-    which spills."""
-    open_ = rows.select("id", "base", F.lit(0).alias("skip"))
-    taken, done = existing.select("slug").distinct(), None
+    """rows (id, base) with slug, no two alike and none in `existing` (slug): the ids of a base,
+    in order, get the numbers that are free, 1 being the base itself and n `base-n`.
+
+    The k-th free number of a base is k and as many as are taken up to it, which one window
+    counts. Names of two bases that meet (`a-2` as a base, and as the second of `a`) go to the
+    lower number; the other id is dealt again in the next round. A base with a great many ids is
+    one task's sort, which spills."""
+    open_, taken, done, kept = rows.select("id", "base"), existing.select("slug").distinct(), None, Rounds("slugs")
     for _ in range(rounds):
-        n = F.row_number().over(Window.partitionBy("base").orderBy("id")) + F.col("skip")
-        suffix = F.when(n == 1, "").otherwise(F.concat(F.lit("-"), n.cast("string")))
-        named = open_.select("id", "base", n.alias("n"), F.concat(F.col("base").substr(F.lit(1), F.lit(max_len) - F.length(suffix)), suffix).alias("slug"))
+        number = F.regexp_extract("slug", r"-([1-9][0-9]{0,8})$", 1)
+        used = taken.select(F.col("slug").alias("base"), F.lit(1).alias("t")).union(taken.where(number.try_cast("int") > 1).select(F.regexp_replace("slug", "-[0-9]+$", ""), number.cast("int")))
+        used = used.distinct().join(open_.select("base").distinct(), "base", "left_semi")
+        by = Window.partitionBy("base")
+        # A taken number t, the i-th of its base, stands before the free number t - i + 1.
+        marks = used.select("base", (F.col("t") - F.row_number().over(by.orderBy("t")) + 1).alias("k"), F.lit(1).alias("mark"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"))
+        asks = open_.select("base", F.row_number().over(by.orderBy("id")).alias("k"), F.lit(0).alias("mark"), "id")
+        n = (F.col("k") + F.sum("mark").over(by.orderBy("k", F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0))).cast("int")
+        suffix = F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("-"), F.col("n").cast("string")))
+        named = marks.unionByName(asks).withColumn("n", n).where("mark = 0").select("id", "base", "n", F.concat(F.col("base").substr(F.lit(1), F.lit(max_len) - F.length(suffix)), suffix).alias("slug"))
         first = F.row_number().over(Window.partitionBy("slug").orderBy("n", "id"))
         named = materialize(named.join(taken.withColumn("used", F.lit(True)), "slug", "left").withColumn("first", first), "slugs")
         good = named.where("used is null and first = 1").select("id", "base", "slug")
         done = good if done is None else done.unionByName(good)
-        left = named.where("used is not null or first > 1")
-        if left.isEmpty():
+        open_ = named.where("used is not null or first > 1").select("id", "base")
+        if open_.isEmpty():
             return done
-        most = named.groupBy("base").agg(F.max("n").alias("most"))
-        taken = taken.union(good.select("slug"))
-        open_ = left.join(most, "base").select("id", "base", F.col("most").alias("skip"))
+        taken = kept.write(taken.union(named.select("slug")).distinct())
     raise RuntimeError("slugs did not settle")
 
 
@@ -132,19 +139,24 @@ def register_facets(rows: DataFrame) -> DataFrame:
     return rows.select(F.trim(F.lower("category_slug")).alias("category_slug"), facet_signature(F.col("facets")).alias("signature")).distinct()
 
 
+# Parameters that only track, and those that show the same set another way.
+FACET_TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "gbraid", "wbraid", "dclid", "fbclid", "msclkid", "mc_cid", "mc_eid", "sessionid", "sid", "PHPSESSID", "jsessionid", "_ga", "_gl"]
+FACET_VIEWS = ["sort", "order", "per_page", "page_size", "items_per_page", "view", "display"]
+
+
 def classify_facets(requests: DataFrame, registry: DataFrame, origin: str = "https://example.com") -> DataFrame:
-    """requests (id, category_slug, params) by tier: 1 registered facets are indexed under
-    their own URL, 2 other facets are not indexed, 3 sorting and the like go to the base
-    page. Tracking parameters count for nothing."""
-    view_only = ["sort", "order", "view", "display", "per_page", "page"]
-    facets = F.map_filter("params", lambda k, v: ~F.lower(k).isin(*view_only) & ~u.is_tracking(k) & (F.trim(v) != ""))
-    viewing = F.size(F.map_filter("params", lambda k, v: F.lower(k).isin(*view_only))) > 0
-    rows = requests.withColumn("category_slug", F.trim(F.lower("category_slug"))).withColumn("signature", facet_signature(facets)).withColumn("viewing", viewing)
-    rows = rows.join(registry.withColumn("known", F.lit(True)), ["category_slug", "signature"], "left")
-    tier = F.when((F.col("signature") == "") & ~F.col("viewing"), 0).when(F.col("signature") == "", 3).when(F.col("known") & ~F.col("viewing"), 1).when(F.col("known"), 3).otherwise(2)
-    base = F.concat(F.lit(origin + "/"), "category_slug")
-    own = F.concat(base, F.lit("?"), "signature")
-    return rows.select("id", "category_slug", "signature", tier.alias("tier"), F.when(F.col("known") & (F.col("signature") != ""), own).otherwise(base).alias("canonical"), F.when(tier == 2, "noindex, follow").otherwise("index, follow").alias("robots"))
+    """requests (id, category_slug, params) by tier. 1: the category itself, or registered
+    facets, indexed under their own URL whatever else the request says. 2: only tracking or
+    viewing parameters; the category is canonical. 3: other facets; not indexed, without a
+    canonical, which would contradict it."""
+    facets = F.map_filter("params", lambda k, v: ~k.isin(*FACET_TRACKING, *FACET_VIEWS))
+    rows = requests.withColumn("signature", facet_signature(facets)).withColumn("plain", F.size(facets) == 0).withColumn("any", F.size("params") > 0).withColumn("slug", F.trim(F.lower("category_slug")))
+    known = registry.select(F.col("category_slug").alias("slug"), "signature", F.lit(True).alias("known"))
+    rows = rows.join(known, ["slug", "signature"], "left").withColumn("known", F.coalesce("known", F.lit(False)) & ~F.col("plain"))
+    tier = F.when(F.col("plain"), F.when(F.col("any"), 2).otherwise(1)).when(F.col("known"), 1).otherwise(3)
+    base = F.concat(F.lit(origin + "/category/"), "category_slug")
+    canonical = F.when(F.col("plain"), base).when(F.col("known"), F.concat(base, F.lit("?"), "signature"))
+    return rows.select("id", "category_slug", "signature", tier.alias("tier"), canonical.alias("canonical"), F.when(tier == 3, "noindex, follow").otherwise("index, follow").alias("robots"))
 
 
 def hreflang_variants(paths: DataFrame, locales: list[tuple[str, str]], origin: str, default: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graph, logs, pages, sources
+from . import audits, graph, logs, pages, sources
 from .views import oracle
 
-AREAS = [logs, graph, pages, sources]
+AREAS = [logs, graph, audits, pages, sources]
 
 
 def queries() -> dict:

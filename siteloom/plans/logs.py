@@ -89,6 +89,8 @@ ENTRIES: dict[str, tuple] = {
     "enrich_logs": (lambda s, d: _enriched(s, d).select("timestamp", "remote_addr", "method", "host", "uri", "path", "status", "bytes_sent", "user_agent", "request_time", "verified_crawler", "crawler_purpose", "verified_googlebot", "event_id"), "SELECT * FROM v_enriched"),
     "enrichment_summary": (lambda s, d: logs.enrichment_summary(_enriched(s, d)),
         "SELECT verified_crawler, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors, count(DISTINCT path) AS paths, round(100.0 * count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share FROM v_enriched GROUP BY 1"),
+    "enrichment_totals": (lambda s, d: logs.enrichment_totals(_enriched(s, d)),
+        "SELECT count(*) AS total_requests, count(*) FILTER (WHERE verified_crawler <> '') AS verified_crawlers, count(DISTINCT verified_crawler) FILTER (WHERE verified_crawler <> '') AS distinct_crawler_types FROM v_enriched"),
     "googlebot_verification": (lambda s, d: logs.googlebot_verification(_logs(s, d), _ranges(s, d)),
         """SELECT CASE WHEN verified_crawler IN ('googlebot', 'special-crawlers') AND user_agent LIKE '%Googlebot%' THEN 'accepted' WHEN user_agent LIKE '%Googlebot%' THEN 'rejected_ip'
              WHEN verified_crawler IN ('googlebot', 'special-crawlers') THEN 'rejected_ua' ELSE 'rejected_both' END AS outcome, count(*) AS requests FROM v_classified GROUP BY 1"""),
@@ -128,8 +130,12 @@ ENTRIES: dict[str, tuple] = {
         "SELECT status AS status_code, count(*) AS requests, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percent_of_total FROM v_enriched WHERE user_agent LIKE '%Googlebot%' AND timestamp::DATE BETWEEN '2024-01-05' AND '2024-01-28' AND uri LIKE '%?%=%' GROUP BY 1"),
     "status_distribution": (lambda s, d: crawl.status_distribution(_logs(s, d)),
         "SELECT CASE WHEN status IN (200, 304, 404, 410) THEN status::VARCHAR WHEN status = 301 THEN '3xx' WHEN status = 500 THEN '5xx' ELSE 'other' END AS bucket, count(*) AS requests, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM v_logs GROUP BY 1"),
-    "top_patterns": (lambda s, d: crawl.top_patterns(_logs(s, d)).select("pattern", "requests", "bytes_total", F.round("p50", 8).alias("p50"), F.round("p95", 8).alias("p95"), "redirects", "redirect_ratio"),
-        "SELECT regexp_extract(uri, '^([^?]+)', 1) AS pattern, count(*) AS requests, sum(bytes_sent)::BIGINT AS bytes_total, round(quantile_cont(request_time, 0.5), 8) AS p50, round(quantile_cont(request_time, 0.95), 8) AS p95, count(*) FILTER (WHERE status = 301) AS redirects, round(count(*) FILTER (WHERE status = 301)::DOUBLE / count(*), 6) AS redirect_ratio FROM v_logs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"),
+    "top_patterns": (lambda s, d: crawl.top_patterns(_logs(s, d)).select("pattern", "requests", "share", "bytes_total", F.round("p50", 8).alias("p50"), F.round("p95", 8).alias("p95"), "redirects", "redirect_ratio", F.array_join(F.transform(F.map_entries("status_breakdown"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("statuses")),
+        """WITH l AS (SELECT regexp_extract(uri, '^([^?]+)', 1) AS pattern, CASE WHEN status IN (200, 304, 404) THEN status::VARCHAR WHEN status = 301 THEN '3xx' ELSE '5xx' END AS bucket, bytes_sent, request_time FROM v_logs),
+             b AS (SELECT pattern, string_agg(bucket || ':' || n, ',' ORDER BY bucket) AS statuses FROM (SELECT pattern, bucket, count(*) AS n FROM l GROUP BY ALL) GROUP BY 1),
+             t AS (SELECT pattern, count(*) AS requests, round(count(*)::DOUBLE / (SELECT count(*) FROM l), 6) AS share, sum(bytes_sent)::BIGINT AS bytes_total, round(quantile_cont(request_time, 0.5), 8) AS p50, round(quantile_cont(request_time, 0.95), 8) AS p95,
+                          count(*) FILTER (WHERE bucket = '3xx') AS redirects, round(count(*) FILTER (WHERE bucket = '3xx')::DOUBLE / count(*), 6) AS redirect_ratio FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)
+           SELECT t.*, b.statuses FROM t JOIN b USING (pattern)"""),
     "pattern_statuses": (lambda s, d: crawl.pattern_statuses(_logs(s, d)),
         "SELECT regexp_extract(uri, '^([^?]+)', 1) AS pattern, CASE WHEN status IN (200, 304, 404) THEN status::VARCHAR WHEN status = 301 THEN '3xx' ELSE '5xx' END AS bucket, count(*) AS requests FROM v_logs GROUP BY 1, 2"),
     "parameter_frequency": (lambda s, d: crawl.parameter_frequency(_logs(s, d)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import jsonld, pages, records, sets
+from ..operators import pages, records, sets
 from ..storage import new_path
 from ..streaming import jobs
 from .views import table, view
@@ -18,48 +18,6 @@ def _v(name: str):
 _fetches, _heads, _sitemap, _hreflang, _robots = _v("v_fetches"), _v("v_heads"), _v("v_sitemap"), _v("v_hreflang"), _v("v_robots")
 
 
-def _elements(s: SparkSession, d: str) -> DataFrame:
-    return pages.page_elements(_fetches(s, d).select("url", "html"))
-
-
-def _rich(s: SparkSession, d: str) -> DataFrame:
-    """Pages with JSON-LD, speculation rules, pagination and headings put in by page_id."""
-    k = F.col("page_id")
-    cat = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c.cast("string") for c in x])
-    product = cat('{"@context":"https://schema.org","@type":"Product","name":"P', k, '"', F.when(k % 2 == 0, ',"image":"i.png"').otherwise(""), ',"offers":{"@type":"Offer","price":"', k, '.50","priceCurrency":"', F.when(k % 3 == 0, "usd").otherwise("USD"), '","availability":"https://schema.org/', F.when(k % 5 == 0, "Gone").otherwise("InStock"), '"}}')
-    graph = cat('{"@graph":[{"@type":"HowTo","name":"h"},{"@type":["Organization"],"name":"o"},{"@type":"BreadcrumbList","itemListElement":[{"position":1,"name":"a"},{"position":1,"name":"b"}]}]}')
-    raw = F.when(k % 4 == 0, product).when(k % 4 == 1, graph).when(k % 4 == 2, cat('{"@type": broken')).otherwise(cat('[{"name":"x <script>"}]'))
-    rules = F.when(k % 3 == 0, '{"prerender":[{"urls":["/a","/cart"],"eagerness":"eager"}]}').when(k % 3 == 1, '{"prefetch":[{"where":{"href_matches":"/*"},"eagerness":"immediate"}],"other":[]}').otherwise('{"prefetch":[{"eagerness":"fast"}]}')
-    html = cat("<html><head><title>T", k, '</title><link rel="canonical" href="/l?page=1"><script type="application/ld+json">', raw, '</script><script type="speculationrules">', rules, "</script></head><body><h1>", F.when(k % 8 == 0, "Q").otherwise("P"), k, "</h1><h3>in stock</h3><aside><h2>x</h2></aside><p>costs ", k, '.50</p><a href="', F.when(k % 2 == 0, "#").otherwise("/l?page=3"), '">Next page</a><img src="a.png"><img alt="photo 3"><a href="/q"><img alt="name"></a><a href="/r"></a><button></button></body></html>')
-    return _fetches(s, d).select("page_id", F.concat(F.lit("https://site.example.com/l?page="), k).alias("url"), html.alias("html"))
-
-
-def _rich_elements(s: SparkSession, d: str) -> DataFrame:
-    return pages.page_elements(_rich(s, d))
-
-
-def _blocks(s: SparkSession, d: str) -> DataFrame:
-    return jsonld.jsonld_blocks(jsonld.jsonld_scripts(_rich_elements(s, d)))
-
-
-def _consistency(s: SparkSession, d: str) -> DataFrame:
-    e = _rich_elements(s, d)
-    texts = e.groupBy("url").agg(F.first(F.when(F.col("tag") == "h1", F.col("text")), True).alias("h1"), F.array_join(F.collect_list("text"), " ").alias("text"))
-    return jsonld.schema_consistency(_blocks(s, d), texts)
-
-
-def _canonical_audit(s: SparkSession, d: str) -> DataFrame:
-    rows = _rich(s, d)
-    links = F.when(F.col("page_id") % 5 == 0, '</l?page=2>; rel="canonical"').when(F.col("page_id") % 5 == 1, '<https://other.example.com/?utm_source=x>; rel="canonical"')
-    return pages.canonical_audit(rows.select("url", F.when(F.col("page_id") % 9 == 0, 404).otherwise(200).alias("status"), links.alias("link")), pages.page_elements(rows))
-
-
-def _probes(s: SparkSession, d: str) -> DataFrame:
-    k, p = F.col("page_id"), F.col("probe")
-    rows = _fetches(s, d).select("page_id", "url", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("probe"))
-    return rows.select("url", "probe", F.when((k % 4 == 0) & (p == 1), 302).otherwise(200).alias("status"), F.when((k % 5 == 0) & (p == 2), F.concat(F.lit("https://site.example.com/fr/"), k)).otherwise(F.concat(F.lit("https://site.example.com/en/"), k)).alias("final_url"), F.when(k % 7 == 0, "").otherwise("en").alias("lang"), F.when(k % 6 == 0, "https://site.example.com/en/1").otherwise("").alias("canonical"))
-
-
 def _tests(s: SparkSession, d: str) -> DataFrame:
     return _fetches(s, d).select("url", F.when(F.col("page_id") % 3 == 0, "Googlebot/2.1").when(F.col("page_id") % 3 == 1, "Googlebot-News").otherwise("other").alias("user_agent"))
 
@@ -67,7 +25,7 @@ def _tests(s: SparkSession, d: str) -> DataFrame:
 _ALLOWED = """WITH t AS (SELECT url, page_id % 3 AS a, '/p/' || page_id AS p FROM v_fetches)
     SELECT url, CASE a WHEN 0 THEN 'Googlebot/2.1' WHEN 1 THEN 'Googlebot-News' ELSE 'other' END AS user_agent,
            CASE a WHEN 1 THEN false WHEN 0 THEN p LIKE '/p/2%' OR NOT p LIKE '/p/3%5%' ELSE p LIKE '/p/12%' OR NOT p LIKE '/p/1%' END AS allowed FROM t"""
-_DOCS = [("a.example.com", "﻿User-agent: *\nDisallow: /\nCrawl-delay: 5\nSitemap: /s.xml"), ("b.example.com", "User-agent: x\nUser-agent: y\nDisallow: /static/\nAllow: /static/ok # note\n\nUser-agent: *\nDisallow: /*.js$")]
+_DOCS = [("a.example.com", "﻿User-agent: *\nDisallow: /\nCrawl-delay: 5\nSitemap: /s.xml\n\nUser-agent: Googlebot\nCrawl-delay: 5\nUser-agent: z\n\nUser-agent: Z\nAllow: /z"), ("b.example.com", "User-agent: x\nUser-agent: y\nDisallow: /static/\nAllow: /static/ok # note\n\nUser-agent: *\nDisallow: /*.js$")]
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -125,69 +83,26 @@ def _freshness(s: SparkSession, d: str, part: int) -> DataFrame:
 
 _FRESH = """WITH n AS (SELECT loc AS url, lastmod AS old, CASE WHEN page_id % 6 = 0 THEN '2024-02-01' ELSE lastmod END AS lastmod, CASE WHEN page_id % 13 = 0 THEN NULL WHEN page_id % 4 = 0 THEN 'hnew' ELSE 'hold' END AS h, page_id FROM v_sitemap JOIN pages ON page_id = pos) """
 
-_HEAD = """SELECT h.*, f.should_index, t.status AS ts, t.url AS t FROM v_heads h JOIN v_fetches f USING (url) LEFT JOIN v_fetches t ON t.url = h.canonical"""
-_NO = "(robots = 'noindex' OR googlebot = 'none')"
-_RULES = {
-    "missing_title": "n_title = 0", "multiple_titles": "n_title > 1", "empty_title": "n_title > 0 AND title = ''", "generic_title": "n_title > 0 AND lower(title) = 'home'", "missing_canonical": "n_canonical = 0", "multiple_canonicals": "n_canonical > 1",
-    "relative_canonical": "n_canonical = 1 AND canonical LIKE '/%'", "canonical_host_mismatch": "n_canonical = 1 AND canonical LIKE 'https://other%'", "canonical_not_200": "n_canonical = 1 AND ts <> 200", "canonical_unreachable": "n_canonical = 1 AND canonical LIKE 'http%' AND t IS NULL",
-    "noindex_on_indexable_page": f"{_NO} AND should_index", "noindex_with_external_canonical": f"{_NO} AND n_canonical = 1 AND canonical LIKE 'http%' AND canonical <> url", "missing_description": "n_description = 0", "multiple_descriptions": "n_description > 1",
-    "missing_og_title": "NOT has_og_title", "missing_og_image": "NOT has_og_image", "missing_og_url": "NOT has_og_url", "missing_twitter_card": "NOT has_twitter_card", "missing_viewport": "viewport = ''", "viewport_blocks_zoom": "viewport LIKE '%user-scalable=no%'", "missing_charset": "charset = ''", "non_utf8_charset": "charset = 'iso-8859-1'",
-}
-_HTTP = {
-    "redirect_chain_too_long": "hops > 3", "sitemap_url_returns_404": "status IN (404, 410)", "server_error": "status >= 500", "no_store_on_html_disables_bfcache": "content_type LIKE 'text/html%' AND cache_control = 'no-store'", "long_max_age_on_html": "content_type LIKE 'text/html%' AND cache_control = 'max-age=2592000'",
-    "noindex_in_response_header": "x_robots_tag LIKE '%noindex%'", "html_missing_charset": "content_type = 'text/html'", "no_conditional_request_headers": "content_type LIKE 'text/html%' AND etag = ''", "html_wrong_content_type": "status = 200 AND content_type = 'text/plain' AND lower(html) LIKE '%<html%'",
-}
-
-
 def _union(rules: dict[str, str], rows: str, key: str = "url") -> str:
     return f"WITH r AS ({rows}) " + " UNION ALL ".join(f"SELECT {key}, '{name}' AS rule FROM r WHERE {cond}" for name, cond in rules.items())
 
 
-def _facts_query(s: SparkSession, d: str) -> DataFrame:
-    return pages.head_facts(_elements(s, d)).select("url", "n_title", "n_canonical", "n_description", "charset")
-
-
 ENTRIES: dict[str, tuple] = {
-    "page_elements": (lambda s, d: _elements(s, d).groupBy("tag").agg(F.count("*").alias("n")).where("tag in ('script', 'style', 'article', 'title', 'nav')"),
-        r"SELECT t AS tag, sum(len(regexp_extract_all(html, '<' || t || '[ >]')))::BIGINT AS n FROM pages, (VALUES ('script'), ('style'), ('article'), ('title'), ('nav')) AS x(t) GROUP BY 1 HAVING n > 0"),
-    "head_facts": (_facts_query, "SELECT url, len(regexp_extract_all(html, '<title>'))::INT AS n_title, len(regexp_extract_all(html, 'rel=\"canonical\"'))::INT AS n_canonical, len(regexp_extract_all(html, 'name=\"description\"'))::INT AS n_description, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset FROM v_fetches"),
-    "head_audit": (lambda s, d: pages.head_audit(_heads(s, d), _fetches(s, d)).select("url", "rule"), _union(_RULES, _HEAD)),
     "noindex_gate": (lambda s, d: pages.noindex_gate(_heads(s, d), _fetches(s, d)), "SELECT url, 'header' AS source FROM v_fetches WHERE should_index AND x_robots_tag LIKE '%noindex%' UNION ALL SELECT url, 'meta_robots' FROM v_heads JOIN v_fetches USING (url) WHERE should_index AND robots = 'noindex' UNION ALL SELECT url, 'meta_googlebot' FROM v_heads JOIN v_fetches USING (url) WHERE should_index AND googlebot = 'none'"),
     "canonical_status": (lambda s, d: pages.canonical_status(_heads(s, d), _fetches(s, d)), "SELECT h.url, h.canonical, t.status, CASE WHEN n_canonical = 0 THEN 'missing' WHEN n_canonical > 1 THEN 'multiple' ELSE 'not_200' END AS problem FROM v_heads h LEFT JOIN v_fetches t ON t.url = h.canonical WHERE n_canonical <> 1 OR coalesce(t.status, 0) <> 200"),
     "head_contract": (lambda s, d: pages.head_contract(_heads(s, d), _fetches(s, d).select("url", F.col("should_index").alias("indexable"), (F.col("page_id") % 2 == 0).alias("needs_og"))).select("url", "rule"),
         _union({"one_title": "n_title <> 1", "absolute_canonical": "canonical NOT LIKE 'http%'", "one_description": "n_description > 1", "index_state": "(robots = 'noindex') = should_index", "viewport": "viewport = ''", "og_set": "page_id % 2 = 0 AND NOT (has_og_title AND has_og_image AND has_og_url)"}, "SELECT h.*, f.should_index FROM v_heads h JOIN v_fetches f USING (url)")),
     "header_canonicals": (lambda s, d: _fetches(s, d).select("url", F.array_join(pages.header_canonicals(F.concat(F.lit("<a>; rel=next, <"), "final_url", F.lit('>; rel="canonical"'))), ",").alias("found")), "SELECT url, final_url AS found FROM v_fetches"),
-    "canonical_audit": (_canonical_audit, None),
-    "visible_text": (lambda s, d: pages.visible_text(_elements(s, d)), None),
     "count_words": (lambda s, d: table(s, d, "documents").select("doc_id", pages.count_words(F.col("text")).alias("words")), r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\s]+'))::INT AS words FROM documents"),
     "soft_404": (lambda s, d: pages.soft_404(_fetches(s, d), _fetches(s, d).select("url", F.when(F.col("page_id") % 4 == 0, "Sorry, page NOT found here").otherwise(F.repeat(F.lit("word "), 60)).alias("text"))),
         "WITH r AS (SELECT url, concat_ws(',', CASE WHEN page_id % 4 = 0 THEN 'thin_content,error_phrase' END, CASE WHEN page_id % 11 = 0 THEN 'redirected_to_root' END) AS signals FROM v_fetches WHERE status = 200) SELECT * FROM r WHERE signals <> ''"),
-    "rendering_debt": (lambda s, d: pages.rendering_debt(table(s, d, "documents").selectExpr("cast(doc_id as string) url", "substr(text, 1, length(text) div 2) text"), table(s, d, "documents").selectExpr("cast(doc_id as string) url", "text")), None),
     "compare_fetches": (lambda s, d: pages.compare_fetches(_fetches(s, d), _fetches(s, d).select("url", F.when(F.col("page_id") % 5 == 0, 500).otherwise(F.col("status")).alias("status"), F.when(F.col("page_id") % 5 == 1, "x").otherwise(F.col("final_url")).alias("final_url"), F.when(F.col("page_id") % 5 == 2, F.concat("html", F.lit("é"))).otherwise(F.col("html")).alias("html"))),
         "SELECT url, CASE page_id % 5 WHEN 0 THEN 'status' WHEN 1 THEN 'redirect' WHEN 2 THEN 'body' ELSE 'identical' END AS difference, octet_length(encode(html))::INT AS bytes_a, (octet_length(encode(html)) + CASE WHEN page_id % 5 = 2 THEN 2 ELSE 0 END)::INT AS bytes_b FROM v_fetches"),
     "byte_delta": (lambda s, d: pages.byte_delta(_fetches(s, d), _fetches(s, d).withColumn("html", F.concat("html", F.lit("éé")))), "SELECT url, octet_length(encode(html))::INT AS bytes_before, (octet_length(encode(html)) + 4)::INT AS bytes_after, 4::INT AS delta FROM v_fetches"),
-    "semantic_audit": (lambda s, d: pages.semantic_audit(_rich_elements(s, d)).groupBy("rule").agg(F.count("*").alias("n")),
-        "SELECT r AS rule, count(*) AS n FROM pages, (VALUES ('missing_main'), ('missing_header'), ('missing_footer'), ('missing_nav'), ('missing_html_lang'), ('skipped_heading_level'), ('heading_inside_aside'), ('anchor_without_accessible_name'), ('button_without_accessible_name'), ('image_missing_alt'), ('image_generic_alt')) AS x(r) GROUP BY 1 UNION ALL SELECT 'anchor_non_crawlable_href', count(*) FILTER (WHERE page_id % 2 = 0) FROM pages"),
-    "heading_outline": (lambda s, d: pages.heading_outline(_rich_elements(s, d)).select("url", "level", "before"), "SELECT 'https://site.example.com/l?page=' || page_id AS url, l::INT AS level, b::INT AS before FROM pages, (VALUES (1, NULL), (3, 1), (2, 3)) AS x(l, b)"),
-    "http_audit": (lambda s, d: pages.http_audit(_fetches(s, d)).select("url", "rule").where("rule not in ('mixed_content_on_https', 'noindex_in_meta_tag', 'possible_soft_404')"), _union(_HTTP, "SELECT * FROM v_fetches")),
     "redirect_types": (lambda s, d: pages.redirect_types(_fetches(s, d).select("url", F.array(F.struct(F.concat(F.lit("http://www.e.com/"), "page_id").alias("url"), F.when(F.col("page_id") % 2 == 0, 302).otherwise(301).alias("status"), F.concat(F.lit("https://e.com/"), "page_id", F.when(F.col("page_id") % 3 == 0, "/").otherwise("")).alias("location"))).alias("chain"))).select("url", "rule"),
         "SELECT url, r AS rule FROM v_fetches, (VALUES ('wrong_redirect_type_http_to_https'), ('wrong_redirect_type_www_normalization')) AS x(r) WHERE page_id % 2 = 0 UNION ALL SELECT url, 'wrong_redirect_type_trailing_slash' FROM v_fetches WHERE page_id % 6 = 0"),
-    "page_assertions": (lambda s, d: pages.page_assertions(_fetches(s, d), _heads(s, d)).groupBy("name").agg(F.count_if(~F.col("passed")).alias("failed")),
-        "WITH r AS (SELECT h.*, f.status, f.content_type, f.x_robots_tag FROM v_heads h JOIN v_fetches f USING (url)) SELECT n AS name, count(*) FILTER (WHERE CASE n WHEN 'status' THEN status <> 200 WHEN 'content_type' THEN content_type NOT LIKE 'text/html%' WHEN 'title' THEN n_title <> 1 OR title = '' WHEN 'canonical' THEN n_canonical <> 1 OR canonical NOT LIKE 'http%' WHEN 'description' THEN n_description <> 1 WHEN 'indexable' THEN robots = 'noindex' WHEN 'header_indexable' THEN x_robots_tag <> '' WHEN 'og_title' THEN NOT has_og_title WHEN 'og_image' THEN NOT has_og_image WHEN 'og_url' THEN NOT has_og_url WHEN 'viewport' THEN viewport = '' ELSE charset <> 'utf-8' END) AS failed FROM r, (VALUES ('status'), ('content_type'), ('title'), ('canonical'), ('description'), ('indexable'), ('header_indexable'), ('og_title'), ('og_image'), ('og_url'), ('viewport'), ('charset')) AS x(n) GROUP BY 1"),
-    "locale_probe_audit": (lambda s, d: pages.locale_probe_audit(_probes(s, d)).groupBy("rule").agg(F.count("*").alias("n")),
-        "SELECT r AS rule, CASE r WHEN 'status_varies' THEN count(*) FILTER (WHERE page_id % 4 = 0) WHEN 'not_ok' THEN count(*) FILTER (WHERE page_id % 4 = 0) WHEN 'redirect_varies' THEN count(*) FILTER (WHERE page_id % 5 = 0) WHEN 'missing_lang' THEN 3 * count(*) FILTER (WHERE page_id % 7 = 0) WHEN 'lang_prefix_mismatch' THEN 3 * count(*) FILTER (WHERE page_id % 7 = 0) + count(*) FILTER (WHERE page_id % 5 = 0 AND page_id % 7 <> 0) ELSE 3 * count(*) FILTER (WHERE page_id % 6 = 0 AND page_id <> 1) END AS n FROM pages, (VALUES ('status_varies'), ('not_ok'), ('redirect_varies'), ('missing_lang'), ('lang_prefix_mismatch'), ('canonical_not_self')) AS x(r) GROUP BY r"),
-    "pagination_audit": (lambda s, d: pages.pagination_audit(_rich(s, d).select("url", F.lit("https://site.example.com/l?page=1").alias("canonical")), _rich_elements(s, d)).select("url", "rule"),
-        "SELECT 'https://site.example.com/l?page=' || page_id AS url, 'next_not_crawlable' AS rule FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'https://site.example.com/l?page=' || page_id, 'canonical_to_page_one' FROM pages WHERE page_id > 1"),
     "pagination_walk": (lambda s, d: pages.pagination_walk(table(s, d, "pages").selectExpr("concat('/l/', page_id) url", "concat('/l/', if(page_id % 10 = 9, page_id - 9, page_id + 1)) next"), table(s, d, "pages").where("page_id % 10 = 0").selectExpr("concat('/l/', page_id) start")),
         "SELECT '/l/' || (page_id - page_id % 10) AS start, '/l/' || page_id AS url, (page_id % 10)::INT AS step FROM pages"),
-    "jsonld_blocks": (lambda s, d: _blocks(s, d).select(F.explode_outer("types").alias("type")).groupBy("type").agg(F.count("*").alias("n")),
-        "SELECT CASE page_id % 4 WHEN 0 THEN 'Product' WHEN 1 THEN t END AS type, count(*) AS n FROM pages JOIN (VALUES (0, ''), (1, 'HowTo'), (1, 'Organization'), (1, 'BreadcrumbList'), (2, ''), (3, '')) AS x(m, t) ON page_id % 4 = m GROUP BY 1"),
-    "validate_jsonld": (lambda s, d: jsonld.validate_jsonld(_blocks(s, d)).groupBy("rule").agg(F.count("*").alias("n")),
-        "SELECT r AS rule, CASE r WHEN 'missing_field' THEN count(*) FILTER (WHERE page_id % 4 = 0) + 2 * count(*) FILTER (WHERE page_id % 4 = 1) WHEN 'invalid_currency' THEN count(*) FILTER (WHERE page_id % 12 = 0) WHEN 'invalid_availability' THEN count(*) FILTER (WHERE page_id % 20 = 0) WHEN 'invalid_json' THEN count(*) FILTER (WHERE page_id % 4 = 2) WHEN 'missing_type' THEN count(*) FILTER (WHERE page_id % 4 = 3) WHEN 'unsanitized_user_content' THEN count(*) FILTER (WHERE page_id % 4 = 3) ELSE count(*) FILTER (WHERE page_id % 4 = 1) END AS n FROM pages, (VALUES ('missing_field'), ('invalid_currency'), ('invalid_availability'), ('invalid_json'), ('missing_type'), ('unsanitized_user_content'), ('duplicate_position'), ('deprecated_type')) AS x(r) GROUP BY r"),
-    "jsonld_regressions": (lambda s, d: jsonld.jsonld_regressions(_blocks(s, d), jsonld.baseline_rows(s, [("list", "/l[?]page=", "Product"), ("none", "/x/", "Article")])), "SELECT 'https://site.example.com/l?page=' || page_id AS url, 'list' AS template, 'Product' AS type FROM pages WHERE page_id % 4 <> 0"),
-    "schema_consistency": (_consistency, "SELECT 'https://site.example.com/l?page=' || page_id AS url, 'name_mismatch' AS rule FROM pages WHERE page_id % 8 = 0"),
-    "speculation_audit": (lambda s, d: jsonld.speculation_audit(_rich_elements(s, d)).groupBy("rule").agg(F.count("*").alias("n")),
-        "SELECT r AS rule, count(*) FILTER (WHERE page_id % 3 = m) AS n FROM pages, (VALUES ('one_time_action', 0), ('unknown_action', 1), ('eager_site_wide', 1), ('unknown_eagerness', 2), ('no_source', 2)) AS x(r, m) GROUP BY r"),
     "sitemap_limits": (lambda s, d: sets.sitemap_limits(_sitemap(s, d), _sitemap(s, d).groupBy("sitemap").agg((F.count("*") * F.when(F.col("sitemap").contains("-0"), 10**8).otherwise(1)).alias("bytes"))).select("sitemap", "rule"), "SELECT DISTINCT sitemap, 'too_large' AS rule FROM v_sitemap WHERE sitemap LIKE '%-0%'"),
     "lastmod_checks": (lambda s, d: sets.lastmod_checks(_sitemap(s, d)), "SELECT sitemap, 'lastmod_format' AS rule, count(*) AS n FROM v_sitemap WHERE lastmod LIKE '%/%' GROUP BY 1 UNION ALL SELECT sitemap, 'lastmod_all_alike', count(*) FROM v_sitemap WHERE lastmod LIKE '2024-%' GROUP BY 1 HAVING count(*) >= 10 AND epoch(max(lastmod::TIMESTAMP)) - epoch(min(lastmod::TIMESTAMP)) < 3600"),
     "staging_leaks": (lambda s, d: sets.staging_leaks(_sitemap(s, d)), "SELECT sitemap, loc FROM v_sitemap WHERE loc LIKE 'https://staging.%'"),
@@ -195,7 +110,6 @@ ENTRIES: dict[str, tuple] = {
         "WITH r AS (SELECT e.loc, f.status, f.hops, f.x_robots_tag, h.canonical, h.robots, f.url FROM v_sitemap e LEFT JOIN v_fetches f ON f.url = e.loc LEFT JOIN v_heads h ON h.url = e.loc) SELECT loc, 'not_fetched' AS rule FROM r WHERE url IS NULL UNION ALL SELECT loc, 'redirect_chain' FROM r WHERE hops > 0 UNION ALL SELECT loc, 'http_status' FROM r WHERE status <> 200 UNION ALL SELECT loc, 'noindex_header' FROM r WHERE x_robots_tag LIKE '%noindex%' UNION ALL SELECT loc, 'noindex_meta' FROM r WHERE robots = 'noindex' UNION ALL SELECT loc, 'canonical_mismatch' FROM r WHERE canonical <> url UNION ALL SELECT loc, 'robots_disallow' FROM r WHERE loc LIKE 'https://site%/p/1%' AND loc NOT LIKE '%/p/12%'"),
     "freshness_findings": (lambda s, d: _freshness(s, d, 0).select("url", "rule"), _FRESH + "SELECT url, 'overactive_lastmod' AS rule FROM n WHERE page_id % 9 <> 0 AND h = 'hold' AND lastmod <> old UNION ALL SELECT url, 'stale_lastmod' FROM n WHERE page_id % 9 <> 0 AND h = 'hnew' AND lastmod = old UNION ALL SELECT url, 'lastmod_missing' FROM n WHERE page_id % 9 <> 0 AND lastmod = '' UNION ALL SELECT url, 'lastmod_format' FROM n WHERE page_id % 9 <> 0 AND lastmod LIKE '%/%'"),
     "freshness_state": (lambda s, d: _freshness(s, d, 1), _FRESH + "SELECT url, CASE WHEN page_id % 9 = 0 THEN old ELSE lastmod END AS lastmod, CASE WHEN page_id % 9 = 0 THEN 'hold' ELSE coalesce(h, 'hold') END AS content_hash, CASE WHEN page_id % 9 = 0 THEN '2024-01-01' ELSE '2024-02-01' END AS last_seen FROM n"),
-    "content_hash": (lambda s, d: sets.content_hash(_elements(s, d)), None),
     "hreflang_bidirectional": (lambda s, d: sets.hreflang_bidirectional(_hreflang(s, d)), "SELECT l.url, CASE WHEN l.href NOT IN (SELECT url FROM v_hreflang) THEN 'missing_target_entry' ELSE 'missing_return_link' END AS rule, l.lang, l.href FROM v_hreflang l WHERE lang <> 'x-default' AND url <> href AND NOT EXISTS (SELECT 1 FROM v_hreflang b WHERE b.url = l.href AND b.href = l.url)"),
     "hreflang_codes": (lambda s, d: sets.hreflang_codes(_hreflang(s, d)), "SELECT url, 'missing_self' AS rule, '' AS lang FROM v_hreflang GROUP BY url HAVING NOT bool_or(url = href) UNION ALL SELECT url, 'confused_code', lang FROM v_hreflang WHERE lang = 'uk'"),
     "hreflang_clusters": (lambda s, d: sets.hreflang_clusters(_hreflang(s, d)),
@@ -204,8 +118,10 @@ ENTRIES: dict[str, tuple] = {
         "WITH h AS (SELECT DISTINCT href FROM v_hreflang), f AS (SELECT 'https://h.example.com/en/' || page_id AS href, status, page_id FROM v_fetches), r AS (SELECT h.href, CASE WHEN status IS NULL THEN 'url_fetch_failed' WHEN status <> 200 THEN 'url_non_200' WHEN page_id % 11 = 0 THEN 'url_redirects' END AS rule FROM h LEFT JOIN f USING (href)) SELECT * FROM r WHERE rule IS NOT NULL"),
     "robots_allowed": (lambda s, d: sets.robots_allowed(_tests(s, d), _robots(s, d)), _ALLOWED),
     "robots_assertions": (lambda s, d: sets.robots_assertions(_tests(s, d).withColumn("expected", F.lit(True)), _robots(s, d)), f"SELECT url, user_agent, true AS expected, allowed FROM ({_ALLOWED.replace('WITH t AS (SELECT url, page_id % 3 AS a, ' + chr(39) + '/p/' + chr(39) + ' || page_id AS p FROM v_fetches)', '').replace('FROM t', 'FROM (SELECT url, page_id % 3 AS a, ' + chr(39) + '/p/' + chr(39) + ' || page_id AS p FROM v_fetches)')}) WHERE NOT allowed"),
-    "robots_lint": (lambda s, d: sets.robots_lint(_docs(s, d)).select("host", "rule"), "SELECT 'h' || s_suppkey || '.example.com' AS host, r AS rule FROM supplier JOIN (VALUES (0, 'bom'), (0, 'catch_all_disallow'), (0, 'sitemap_not_absolute'), (0, 'crawl_delay'), (1, 'asset_blocked'), (1, 'asset_blocked'), (1, 'asset_blocked')) AS x(m, r) ON s_suppkey % 2 = m"),
-    "robots_rules": (lambda s, d: sets.robots_rules(_docs(s, d)).groupBy("agent", "directive", "path").agg(F.count("*").alias("n")), "SELECT a AS agent, k AS directive, p AS path, count(*) AS n FROM supplier JOIN (VALUES (0, '*', 'disallow', '/'), (1, 'x', 'disallow', '/static/'), (1, 'y', 'disallow', '/static/'), (1, 'x', 'allow', '/static/ok'), (1, 'y', 'allow', '/static/ok'), (1, '*', 'disallow', '/*.js$')) AS x(m, a, k, p) ON s_suppkey % 2 = m GROUP BY 1, 2, 3"),
+    "robots_lint": (lambda s, d: sets.robots_lint(_docs(s, d)),
+        "SELECT 'h' || s_suppkey || '.example.com' AS host, v AS severity, r AS rule, x.d AS detail FROM supplier JOIN (VALUES (0, 'warning', 'bom', ''), (0, 'error', 'catch_all_disallow', '2'), (0, 'error', 'sitemap_not_absolute', '/s.xml'), (0, 'warning', 'crawl_delay_for_googlebot', '5'), (1, 'warning', 'asset_blocked', '/*.js$')) AS x(m, v, r, d) ON s_suppkey % 2 = m"),
+    "robots_rules": (lambda s, d: sets.robots_rules(_docs(s, d)),
+        "SELECT 'h' || s_suppkey || '.example.com' AS host, g::INT AS group_id, a AS agent, k AS directive, p AS path, l::INT AS line FROM supplier JOIN (VALUES (0, 0, '*', 'disallow', '/', 2), (0, 1, 'googlebot', '', '', 6), (0, 2, 'z', '', '', 8), (0, 3, 'z', 'allow', '/z', 11), (1, 0, 'x', 'disallow', '/static/', 3), (1, 0, 'y', 'disallow', '/static/', 3), (1, 0, 'x', 'allow', '/static/ok', 4), (1, 0, 'y', 'allow', '/static/ok', 4), (1, 1, '*', 'disallow', '/*.js$', 7)) AS x(m, g, a, k, p, l) ON s_suppkey % 2 = m"),
     "robots_deploy_check": (lambda s, d: sets.robots_deploy_check(_docs(s, d).select("host", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(0).alias("hops"), "body"), _docs(s, d).withColumn("body", F.when(F.col("host").like("h1%"), F.concat("body", F.lit("x"))).otherwise(F.col("body")))).select("host", "rule"),
         "WITH h AS (SELECT 'h' || s_suppkey || '.example.com' AS host FROM supplier) SELECT host, 'content_type' AS rule FROM h UNION ALL SELECT host, 'body_differs' FROM h WHERE host LIKE 'h1%'"),
     "validate_contract": (_cms, _CMS),
@@ -218,7 +134,7 @@ ENTRIES: dict[str, tuple] = {
     "lcp_breakdown": (lambda s, d: records.lcp_breakdown(view(s, d, "v_base").select(F.col("event_id").cast("string").alias("url"), (F.col("k") * 10).alias("ttfb"), (F.col("k") * 20).alias("load_start"), (F.col("k") * 15).alias("load_end"), (F.col("k") * 60).alias("lcp"))),
         "SELECT event_id::VARCHAR AS url, k * 60 AS lcp, CASE WHEN k * 60 <= 2500 THEN 'good' WHEN k * 60 <= 4000 THEN 'needs-improvement' ELSE 'poor' END AS rating, k * 10 AS ttfb, k * 10 AS load_delay, 0 AS load_time, k * 45 AS render_delay FROM v_base"),
     "build_product_jsonld": (lambda s, d: records.build_product_jsonld(_products(s, d)),
-        r"""SELECT p_partkey AS id, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN '{"@context":"https://schema.org","@type":"Product","name":"' || p_name || ' <x>","sku":"S' || p_partkey || '","image":"i.png"' || CASE WHEN p_partkey % 3 = 0 THEN ',"brand":{"@type":"Brand","name":"' || p_brand || '"}' ELSE '' END
+        r"""SELECT p_partkey AS id, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN '{"@context":"https://schema.org","@type":"Product","name":"' || p_name || ' \u003cx\u003e","sku":"S' || p_partkey || '","image":"i.png"' || CASE WHEN p_partkey % 3 = 0 THEN ',"brand":{"@type":"Brand","name":"' || p_brand || '"}' ELSE '' END
             || ',"offers":{"@type":"Offer","price":"' || p_size || '","priceCurrency":"USD","availability":"https://schema.org/' || CASE WHEN p_partkey % 2 = 0 THEN 'InStock' ELSE 'OutOfStock' END || '"}' || CASE WHEN p_partkey % 4 > 0 THEN ',"aggregateRating":{"@type":"AggregateRating","ratingValue":4.3,"reviewCount":' || (p_partkey % 4) || '}' ELSE '' END || '}' END AS jsonld FROM part"""),
     "build_breadcrumb_jsonld": (lambda s, d: records.build_breadcrumb_jsonld(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.struct(F.lit("Home").alias("name"), F.lit("/").alias("url")), F.struct(F.col("p_brand").alias("name"), F.lit("/b").alias("url"))).alias("items"))),
         """SELECT p_partkey AS id, '{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"Home","item":"/"},{"@type":"ListItem","position":2,"name":"' || p_brand || '","item":"/b"}]}' AS jsonld FROM part"""),
@@ -226,8 +142,17 @@ ENTRIES: dict[str, tuple] = {
         "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 AND p_partkey % 3 <> 0 THEN p_name || ', ' || p_brand || ' | Shop' WHEN p_partkey % 5 = 1 AND p_partkey % 3 <> 0 AND p_size % 3 > 0 THEN p_brand || ', ' || (p_size % 3) || ' Products | Shop' WHEN p_partkey % 5 = 1 AND p_partkey % 3 <> 0 THEN p_brand || ' | Shop' WHEN p_partkey % 5 = 2 THEN p_name || ' | Shop' WHEN p_partkey % 5 = 3 THEN 'Shop' WHEN p_partkey % 2 = 1 THEN p_name || ' | Shop' ELSE 'Shop' END AS title FROM part"),
     "product_alt": (lambda s, d: records.product_alt(table(s, d, "part").selectExpr("p_partkey id", "p_name name", "if(p_partkey % 2 = 0, 'red', null) color", "if(p_partkey % 3 = 0, '', p_type) category", "if(p_partkey % 5 = 0, 'zip', null) attribute")),
         "WITH r AS (SELECT p_partkey AS id, p_name, concat_ws(' ', CASE WHEN p_partkey % 2 = 0 THEN 'red' END, CASE WHEN p_partkey % 3 <> 0 THEN p_type END, CASE WHEN p_partkey % 5 = 0 THEN 'with zip' END) AS l FROM part) SELECT id, CASE WHEN l = '' THEN p_name ELSE l || ', ' || p_name END AS alt FROM r"),
-    "stream_hourly_latency": (lambda s, d: _stream(lambda x: jobs.hourly_latency(x).select("hour", "requests", "errors"), "v_logs", s, d), None),
-    "stream_waste_alerts": (lambda s, d: _stream(jobs.waste_alerts, "v_logs", s, d), None),
-    "stream_crawl_sessions": (lambda s, d: _stream(jobs.crawl_sessions, "v_classified", s, d), None),
+    "stream_hourly_latency": (lambda s, d: _stream(jobs.hourly_latency, "v_logs", s, d).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "requests", "errors", F.round("p50", 8).alias("p50")),
+        """WITH h AS (SELECT date_trunc('hour', timestamp) AS hour, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors, round(quantile_disc(request_time, 0.5), 8) AS p50 FROM v_logs GROUP BY 1)
+           SELECT * FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 2 HOUR FROM v_logs)"""),
+    "stream_waste_alerts": (lambda s, d: _stream(jobs.waste_alerts, "v_logs", s, d).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "requests", "errors"),
+        """WITH e AS (SELECT time_bucket(INTERVAL 10 MINUTE, timestamp) - i * INTERVAL 10 MINUTE AS start, status FROM v_logs, range(6) AS r(i)),
+             w AS (SELECT start, start + INTERVAL 1 HOUR AS "end", count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors FROM e GROUP BY 1)
+           SELECT * FROM w WHERE errors > 0.2 * requests AND "end" <= (SELECT max(timestamp) - INTERVAL 30 MINUTE FROM v_logs)"""),
+    "stream_crawl_sessions": (lambda s, d: _stream(jobs.crawl_sessions, "v_classified", s, d).select("verified_crawler", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "requests"),
+        """WITH r AS (SELECT verified_crawler, timestamp, timestamp - lag(timestamp) OVER w > INTERVAL 30 MINUTE AS cut FROM v_classified WHERE verified_crawler <> '' WINDOW w AS (PARTITION BY verified_crawler ORDER BY timestamp)),
+             n AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY verified_crawler ORDER BY timestamp) AS n FROM r),
+             g AS (SELECT verified_crawler, min(timestamp) AS start, max(timestamp) + INTERVAL 30 MINUTE AS "end", count(*) AS requests FROM n GROUP BY verified_crawler, n.n)
+           SELECT * FROM g WHERE "end" <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM r)"""),
     "stream_drop_repeated": (lambda s, d: _stream(lambda x: jobs.drop_repeated_lines(x.union(x), ["event_id"]).select("event_id"), "v_logs", s, d), "SELECT event_id FROM v_logs"),
 }

@@ -41,9 +41,10 @@ def _sitemap_xml(s: SparkSession, d: str) -> str:
 def _ranges(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "ranges")
     k = F.col("s_suppkey")
-    rows = table(s, d, "supplier").select(F.array(F.struct(F.concat(F.lit("10."), k % 256, F.lit(".0.0/16")).alias("ipv4Prefix"), F.lit(None).cast("string").alias("ipv6Prefix")), F.struct(F.lit("broken").alias("ipv4Prefix"), F.lit(None).cast("string").alias("ipv6Prefix")), F.struct(F.lit(None).cast("string").alias("ipv4Prefix"), F.concat(F.lit("2001:"), k, F.lit("::/32")).alias("ipv6Prefix"))).alias("prefixes"))
-    whole = rows.select(F.explode("prefixes").alias("p")).agg(F.collect_list("p").alias("prefixes"))  # a published prefix file is one small document
-    whole.coalesce(1).write.json(path)
+    rows = table(s, d, "supplier").select("s_suppkey", F.array(F.struct(F.concat(F.lit("10."), k % 256, F.lit(".0.0/16")).alias("ipv4Prefix"), F.lit(None).cast("string").alias("ipv6Prefix")), F.struct(F.lit("broken").alias("ipv4Prefix"), F.lit(None).cast("string").alias("ipv6Prefix")), F.struct(F.lit(None).cast("string").alias("ipv4Prefix"), F.concat(F.lit("2001:"), k, F.lit("::/32")).alias("ipv6Prefix"))).alias("prefixes"))
+    # Published prefix files are small documents: one for each thousand suppliers.
+    files = rows.select((k / 1000).cast("int").alias("no"), F.explode("prefixes").alias("p")).groupBy("no").agg(F.collect_list("p").alias("prefixes"))
+    files.write.partitionBy("no").json(path)
     return readers.read_ip_ranges(s, path, "bot", 3)
 
 
@@ -63,7 +64,7 @@ def _report(s: SparkSession, d: str) -> DataFrame:
 def _inspections(s: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id")
     row = F.struct(F.struct(F.lit("PASS").alias("verdict"), F.lit("Indexed").alias("coverageState"), F.concat(F.lit("/p/"), k).alias("googleCanonical"), F.concat(F.lit("/p/"), F.when(k % 4 == 0, k + 1).otherwise(k)).alias("userCanonical"), F.lit("2024-01-01").alias("lastCrawlTime")).alias("indexStatusResult"))
-    return readers.flatten_inspections(table(s, d, "pages").select("url", row.alias("inspectionResult"))).select("url", "verdict", "canonical_differs")
+    return readers.flatten_inspections(table(s, d, "pages").select("url", row.alias("inspectionResult")))
 
 
 def _enriched_stream(s: SparkSession, d: str) -> DataFrame:
@@ -77,9 +78,22 @@ def _enriched_stream(s: SparkSession, d: str) -> DataFrame:
 def _freshness_stream(s: SparkSession, d: str) -> DataFrame:
     src, state, mark = (new_path(s, x) for x in ("fetched", "state", "mark"))
     schema = "url string, lastmod string, content_hash string, last_seen string"
-    view(s, d, "v_sitemap").select(F.col("loc").alias("url"), "lastmod", F.sha2("loc", 256).alias("content_hash"), F.lit("2024-02-01").alias("last_seen")).write.parquet(src)
-    jobs.freshness_stream(s.readStream.schema(schema).parquet(src), state, mark).awaitTermination()
-    return s.read.schema(schema).parquet(f"{state}/batch=0").select("url", "lastmod", "last_seen")
+    # Each URL was seen twice, and files come one by one, so there are several batches.
+    now, before = F.struct("lastmod", F.lit("2024-02-01").alias("last_seen")), F.struct(F.lit("2023").alias("lastmod"), F.lit("2024-01-15").alias("last_seen"))
+    rows = view(s, d, "v_sitemap").repartition(3, "loc").select(F.col("loc").alias("url"), F.explode(F.array(now, before, before)).alias("x"))
+    rows.select("url", "x.lastmod", F.sha2("url", 256).alias("content_hash"), "x.last_seen").write.parquet(src)
+    jobs.freshness_stream(s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), state, mark).awaitTermination()
+    return jobs.freshness_state(s, state).select("url", "lastmod", "content_hash", "last_seen")
+
+
+def _expanded(s: SparkSession, d: str) -> DataFrame:
+    """Entries of the sitemaps that an index reaches: two of four, one of them through a second index."""
+    entries = view(s, d, "v_sitemap").select("sitemap", "loc")
+    path = new_path(s, "sitemap-index")
+    rows = s.createDataFrame([(f"<sitemapindex><sitemap><loc> {a} </loc></sitemap><sitemap><loc>{b}</loc></sitemap></sitemapindex>", no) for no, a, b in ((0, "https://site.example.com/sitemap-1.xml", "https://site.example.com/more.xml"), (1, "https://site.example.com/sitemap-3.xml", "https://site.example.com/root.xml"))], "value string, no int")
+    rows.write.partitionBy("no").text(path)
+    index = readers.read_sitemap_index(s, path).select(F.when(F.col("sitemap").contains("no=0"), "https://site.example.com/root.xml").otherwise("https://site.example.com/more.xml").alias("sitemap"), "child")
+    return readers.expand_sitemaps(index, entries, "https://site.example.com/root.xml")
 
 
 ENTRIES: dict[str, tuple] = {
@@ -90,8 +104,9 @@ ENTRIES: dict[str, tuple] = {
     "read_ip_ranges": (_ranges, "SELECT 'bot' AS crawler, 3 AS ord, p AS cidr FROM (SELECT '10.' || (s_suppkey % 256) || '.0.0/16' AS p FROM supplier UNION ALL SELECT '2001:' || s_suppkey || '::/32' FROM supplier)"),
     "write_enriched": (_written, "SELECT timestamp::DATE AS log_date, count(*) AS n FROM v_logs GROUP BY 1"),
     "write_report": (_report, "SELECT status, string_agg(DISTINCT method, '; ' ORDER BY method) AS methods FROM v_logs GROUP BY 1"),
-    "flatten_inspections": (_inspections, "SELECT url, 'PASS' AS verdict, page_id % 4 = 0 AS canonical_differs FROM pages"),
+    "flatten_inspections": (_inspections, "SELECT url, 'PASS' AS verdict, 'Indexed' AS coverage, '/p/' || page_id AS google_canonical, '/p/' || (page_id + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END) AS user_canonical, '2024-01-01' AS last_crawl, page_id % 4 = 0 AS canonical_differs FROM pages"),
     "percentile_linear": (lambda s, d: view(s, d, "v_logs").groupBy("status").agg(F.round(crawl.percentile_linear("bytes_sent", 0.9), 6).alias("p90")), "SELECT status, round(quantile_cont(bytes_sent::DOUBLE, 0.9), 6) AS p90 FROM v_logs GROUP BY 1"),
     "stream_enrich": (_enriched_stream, "SELECT status, verified_crawler, count(*) AS n FROM v_classified WHERE event_id % 50 <> 49 GROUP BY 1, 2"),
-    "stream_freshness": (_freshness_stream, "SELECT loc AS url, lastmod, '2024-02-01' AS last_seen FROM v_sitemap"),
+    "stream_freshness": (_freshness_stream, "SELECT loc AS url, lastmod, sha256(loc) AS content_hash, '2024-02-01' AS last_seen FROM v_sitemap"),
+    "expand_sitemaps": (_expanded, "SELECT sitemap, loc FROM v_sitemap WHERE sitemap LIKE '%-1.xml' OR sitemap LIKE '%-3.xml'"),
 }

@@ -52,22 +52,16 @@ SELECT timestamp, CASE WHEN remote_addr LIKE '%:%' THEN '0000:0000:0000:0:0:0:0:
        verified_crawler IN ('googlebot', 'special-crawlers') AS verified_googlebot, event_id
 FROM v_classified"""
 
-# Links of a crawl: some pages get no links, some give none.
+# Links of a crawl: between all consecutive line items. Pages without links to or from them come from mapped ids; no row is dropped.
 VIEWS["v_edges"] = """
-SELECT DISTINCT '/p/' || CAST(a.l_partkey AS STRING) AS source_url, '/p/' || CAST(b.l_partkey AS STRING) AS target_url,
-       CASE WHEN a.l_returnflag = 'A' AND a.l_suppkey % 9 = 0 THEN 404 WHEN a.l_returnflag = 'N' AND a.l_suppkey % 7 = 0 THEN 301 WHEN a.l_suppkey % 50 = 0 THEN 0 ELSE 200 END AS target_status_code,
-       'a' || CAST(a.l_quantity AS INT) AS anchor
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-WHERE a.l_linenumber = 1 AND b.l_partkey % 20 <> 0 AND a.l_partkey % 17 <> 0"""
-
-# All links between consecutive line items. Pages without links to or from them come from mapped ids; no row is dropped.
-VIEWS["v_links"] = """
 SELECT DISTINCT '/p/' || CAST(CASE WHEN a.l_partkey % 17 = 0 THEN a.l_partkey + 1 ELSE a.l_partkey END AS STRING) AS source_url,
        '/p/' || CAST(CASE WHEN b.l_partkey % 20 = 0 THEN b.l_partkey + 1 ELSE b.l_partkey END AS STRING) AS target_url,
        CASE WHEN a.l_returnflag = 'A' AND a.l_suppkey % 9 = 0 THEN 404 WHEN a.l_returnflag = 'N' AND a.l_suppkey % 7 = 0 THEN 301 WHEN a.l_suppkey % 50 = 0 THEN 0 ELSE 200 END AS target_status_code,
        'a' || CAST(a.l_quantity AS INT) AS anchor
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"""
 
+VIEWS["v_links"] = "SELECT * FROM v_edges"
+
 VIEWS["v_urls"] = """
 SELECT page_id, url || CASE page_id % 7 WHEN 0 THEN '&utm_source=x&b=2' WHEN 1 THEN '' WHEN 2 THEN '&gclid=1' WHEN 3 THEN '&SID=9&a=1' ELSE '' END AS url FROM pages WHERE url LIKE '%?%' AND url NOT LIKE '%#%'
 UNION ALL SELECT page_id, url FROM pages WHERE url NOT LIKE '%?%' OR url LIKE '%#%'
@@ -85,6 +79,38 @@ SELECT page_id, 'https://site.example.com/p/' || CAST(page_id AS STRING) AS url,
        page_id % 12 AS hops, html, page_id % 4 <> 3 AS should_index
 FROM pages"""
 
+# Pages of a list with structured data, speculation rules, headings, links and images put in by page_id.
+VIEWS["v_rich"] = """
+SELECT page_id, 'https://site.example.com/l?page=' || CAST(page_id AS STRING) AS url,
+       '<html><head><title>T' || CAST(page_id AS STRING) || '</title>'
+       || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<link rel="canonical" href="/l?page=' || CAST(page_id AS STRING) || '">' WHEN 4 THEN '<link rel="canonical" href="https://other.example.com/">' ELSE '<link rel="canonical" href="/l?page=1">' END
+       || CASE WHEN page_id % 12 = 0 THEN '<meta name="robots" content="NOINDEX, follow">' ELSE '' END
+       || CASE WHEN page_id % 10 = 3 THEN '<script src="http://cdn.example.com/a.js"></script>' ELSE '' END
+       || '<script type="application/ld+json">' || CASE page_id % 4
+            WHEN 0 THEN '{"@context":"https://schema.org","@type":"Product","name":"P' || CAST(page_id AS STRING) || '"' || CASE WHEN page_id % 8 = 0 THEN ',"image":"i.png"' ELSE '' END
+                || ',"offers":{"@type":"Offer","price":"' || CAST(page_id AS STRING) || '.50","priceCurrency":"' || CASE WHEN page_id % 3 = 0 THEN 'usd' ELSE 'USD' END
+                || '","availability":"https://schema.org/' || CASE page_id % 5 WHEN 0 THEN 'Gone' WHEN 1 THEN 'OutOfStock' ELSE 'InStock' END || '"}}'
+            WHEN 1 THEN '{"@graph":[{"@type":"HowTo","name":"h"},[[{"@type":["Organization"],"name":"o"}]],{"@type":"BreadcrumbList","itemListElement":[{"position":1,"name":"a"},{"position":1,"name":"b"}]}]}'
+            WHEN 2 THEN '{"@type": broken' ELSE '[[[[[[{"@type":"NewsArticle","author":{"bio":["ok","x <script>"]}}]]]]]]' END
+       || '</script><script type="speculationrules">' || CASE page_id % 3
+            WHEN 0 THEN '{"prerender":[{"urls":["/a","/cart"],"eagerness":"eager"}]}' WHEN 1 THEN '{"prefetch":[{"where":{"and":[{"href_matches":"/*"},{"not":{"selector_matches":".x"}}]},"eagerness":"immediate"}],"other":[]}'
+            ELSE '{"prefetch":[{"eagerness":"fast"}],"prerender":[{"urls":["https://cdn.example.com/x"]}]}' END
+       || '</script></head><body>' || CASE WHEN page_id % 3 = 0 THEN '<nav class="crumbs"><ul><li>a<li>c</ul></nav>' ELSE '' END
+       || '<h1><span>' || CASE WHEN page_id % 8 = 0 THEN 'Q' ELSE 'P' END || '</span>' || CAST(page_id AS STRING) || '</h1><h3>in <b>stock</b></h3><aside><h2>x</h2></aside><p>costs ' || CASE WHEN page_id % 16 = 0 THEN 'nothing' ELSE CAST(page_id AS STRING) || '.50' END
+       || CASE WHEN page_id % 15 = 2 THEN '<p>Page not found' ELSE '' END
+       || CASE WHEN page_id % 14 = 0 THEN '<div class="pagination"><button>1</button></div>' WHEN page_id % 7 = 0 THEN '' ELSE '<a href="' || CASE WHEN page_id % 2 = 0 THEN '#' WHEN page_id % 6 = 1 THEN '/l?page=1' ELSE '/l?page=3' END || '"><span>Next</span></a>' END
+       || '<img src="a.png"><img alt="photo 3"><a href="/q"><img alt="name"></a><a href="/r"></a><button></button></body></html>' AS html
+FROM pages"""
+
+# Stored answers with what a second, conditional request got.
+VIEWS["v_answers"] = """
+SELECT f.page_id, CASE WHEN f.page_id % 31 = 5 THEN 'https://h' || CAST(f.page_id AS STRING) || '.example.com/robots.txt' WHEN f.page_id % 31 = 6 THEN 'https://site.example.com/s-' || CAST(f.page_id AS STRING) || '.xml' ELSE f.url END AS url,
+       f.final_url, CASE WHEN f.page_id % 37 = 1 THEN 0 ELSE f.status END AS status, f.hops, f.content_type, f.cache_control, f.x_robots_tag, f.etag,
+       CASE WHEN f.page_id % 4 = 0 THEN 'Mon, 01 Jan 2024 00:00:00 GMT' ELSE '' END AS last_modified,
+       CASE WHEN f.page_id % 9 = 2 THEN '<https://site.example.com/l?page=1>; rel="canonical"' ELSE '' END AS link,
+       CASE WHEN f.page_id % 6 = 0 THEN 304 WHEN f.page_id % 6 = 3 THEN 200 END AS conditional_status, f.page_id % 2 = 1 AS in_sitemap, r.html
+FROM v_fetches f JOIN v_rich r ON r.page_id = f.page_id"""
+
 VIEWS["v_heads"] = """
 SELECT page_id, url, CAST(CASE WHEN page_id % 10 = 0 THEN 0 WHEN page_id % 10 = 1 THEN 2 ELSE 1 END AS INT) AS n_title,
        CASE WHEN page_id % 10 = 2 THEN '' WHEN page_id % 10 = 3 THEN 'Home' ELSE 'Page ' || CAST(page_id AS STRING) END AS title,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -50,14 +50,16 @@ def read_sitemap_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def expand_sitemaps(index: DataFrame, entries: DataFrame, root: str, depth: int = 5) -> DataFrame:
     """The entries (sitemap, ...) of all sitemaps that `root` reaches through index rows
-    (sitemap, child) in at most `depth` steps; each sitemap once."""
+    (sitemap, child) in at most `depth` steps; each sitemap once. Deeper ones raise."""
     spark = entries.sparkSession
     front = seen = spark.createDataFrame([(root,)], "sitemap string")
-    for _ in range(depth):
+    for step in range(depth + 1):
         front = index.join(front, "sitemap").select(F.col("child").alias("sitemap")).distinct().join(seen, "sitemap", "left_anti")
         front = materialize(front, "sitemaps")
         if front.isEmpty():
             break
+        if step == depth:
+            raise RuntimeError(f"sitemaps lie deeper than {depth}")
         seen = materialize(seen.union(front), "sitemaps")
     return entries.join(seen.distinct(), "sitemap", "left_semi")
 
@@ -84,8 +86,3 @@ def flatten_inspections(rows: DataFrame) -> DataFrame:
     r = "inspectionResult.indexStatusResult"
     out = rows.select("url", F.col(f"{r}.verdict").alias("verdict"), F.col(f"{r}.coverageState").alias("coverage"), F.col(f"{r}.googleCanonical").alias("google_canonical"), F.col(f"{r}.userCanonical").alias("user_canonical"), F.col(f"{r}.lastCrawlTime").alias("last_crawl"))
     return out.withColumn("canonical_differs", F.coalesce(F.col("google_canonical") != F.col("user_canonical"), F.lit(False)))
-
-
-def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key; a key with very many rows is sorted with spilling."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")

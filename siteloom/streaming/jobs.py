@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.logs import enrich_logs, parse_logs
 from ..operators.sets import freshness
+from ..storage import delete
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -46,12 +47,24 @@ def drop_repeated_lines(logs: DataFrame, keys: list[str], late: str = "1 day") -
 
 def freshness_stream(current: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
     """Keep the freshness state as Parquet, one folder for each batch: a batch that runs
-    again writes the same folder, so the update is idempotent."""
+    again writes the same folder, so the update is idempotent. A URL seen more than once in a
+    batch counts as it was seen last (ties: by date and hash). The last folder is the whole state
+    (`freshness_state`); folders before the last two are deleted."""
     spark = current.sparkSession
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        known = batch.select("url", "lastmod", "content_hash", "last_seen")
-        prior = spark.read.parquet(f"{state}/batch={batch_id - 1}") if batch_id else known.limit(0)
+        rows = batch.select("url", "lastmod", "content_hash", "last_seen")
+        known = rows.groupBy("url").agg(F.max(F.struct("last_seen", "lastmod", "content_hash")).alias("r")).select("url", "r.lastmod", "r.content_hash", "r.last_seen")
+        prior = spark.read.schema(known.schema).parquet(f"{state}/batch={batch_id - 1}") if batch_id else known.limit(0)
         freshness(known, prior)[1].write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        if batch_id > 1:
+            delete(spark, f"{state}/batch={batch_id - 2}")
 
     return current.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def freshness_state(spark: SparkSession, state: str) -> DataFrame:
+    """The state after the last batch that is whole."""
+    rows = spark.read.option("basePath", state).parquet(state)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == last).drop("batch")
