@@ -1,14 +1,17 @@
 """The corpus operators against brute-force versions, and on odd tables."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from siteloom.llm import chat, decontam, jaccard, langid, mixing, pii, secrets, toxicity, vptree, warc
-from siteloom.llm.common import WordHashes, components
+from siteloom.llm.common import WordHashes, components, edge_state, with_row_key
 from siteloom.llm.queries import ORACLES, QUERIES
 
 from ..compare import database, same
@@ -111,9 +114,64 @@ def test_chat_odd_rows(spark):
     assert chat.read_back(chat.format_conversations(empty)).count() == 0
 
 
+def test_chat_ties_and_clashes(spark):
+    rows = [(1, 0, "user", "b", 9), (1, 0, "user", "a", 8), (1, 0, None, "z", 7), (1, 0, "assistant", "x", 6), (1, 0, "assistant", "x", 6)]
+    table = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "conv_id long, turn long, role string, text string, piece int, formatted string, mask string")
+    got = chat.read_back(chat.format_conversations(table)).first()
+    said = [("", "z"), ("assistant", "x"), ("assistant", "x"), ("user", "a"), ("user", "b")]  # by turn, role, text; nulls first
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256(b"xx").hexdigest() and got["n_turns"] == 5
+
+
 # --- language --------------------------------------------------------------
 
 
+def plain_language(train, text, longest=5, known=3):
+    """The backoff score by its definition: counts of words and n-grams, walked from the left."""
+    langs = sorted({lang for lang, _ in train})
+    table, words_in = Counter(), lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    for lang, t in train:
+        for w in words_in(t):
+            table[0, w, lang] += 1
+            for k in range(1, longest + 1):
+                for i in range(len(w) + 3 - k):
+                    table[k, f"^{w}$"[i : i + k], lang] += 1
+    units = {(k, u) for k, u, _ in table}
+    n = lambda k, u: [table[k, u, x] for x in langs]
+    total = {k: [sum(v for (a, _, x), v in table.items() if a == k and x == lang) for lang in langs] for k in range(longest + 1)}
+    kinds = Counter(k for k, _ in units)
+    logs = lambda k, u, c: [math.log((v + c) / (t + c * kinds[k])) for v, t in zip(n(k, u), total[k], strict=True)]
+    of = Counter(lang for lang, _ in train)
+    score = [math.log((of[x] + 1) / (len(train) + len(langs))) for x in langs]
+    for w in words_in(text):
+        if sum(n(0, w)) >= known:
+            steps = [logs(0, w, 0.05)]
+        else:
+            steps, marked, i = [], f"^{w}$", 0
+            while i < len(marked):
+                k = next((k for k in range(min(longest, len(marked) - i), 0, -1) if sum(n(k, marked[i : i + k])) >= known), 0)
+                if k:
+                    steps.append(logs(k, marked[i : i + k], 0.3))
+                i += max(k, 1)
+        score = [a + sum(s[j] for s in steps) for j, a in enumerate(score)]
+    best = max(range(len(langs)), key=lambda j: (score[j], -j))
+    return langs[best], 1 / sum(math.exp(s - score[best]) for s in score)
+
+
+def test_language_equals_the_plain_backoff(spark):
+    rng = random.Random(15)
+    stems = {"aa": ["lor", "mit", "sun", "ekal"], "bb": ["grun", "haf", "mit", "zwo"], "cc": ["ota", "ilo", "sun", "ruma"]}
+    word = lambda x: "".join(rng.choice(stems[x]) for _ in range(rng.randrange(1, 4)))
+    # one word of 300 letters: its end is learned like its beginning
+    rows = [(i, " ".join(word(x) for _ in range(20)) + (" " + "lorekal" * 43 if x == "aa" and i < 30 else ""), x, None) for i, x in enumerate(rng.choice(list(stems)) for _ in range(60))]
+    train = [(x, t) for i, t, x, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    asked = [(100 + i, " ".join(word(rng.choice(list(stems))) + rng.choice(["", "q", "xx"]) for _ in range(3)), None, None) for i in range(40)] + [(200, "ekallor" * 50, None, None)]
+    got = {r["doc_id"]: r for r in langid.predict(docs_of(spark, asked), langid.fit(docs_of(spark, rows))).collect()}
+    for i, text, _, _ in asked:
+        lang, score = plain_language(train, text)
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, rel=1e-3), text
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
@@ -271,9 +329,63 @@ def test_components_of_edges(spark):
     assert got == {n: c for n, c in label.items() if any(a != b and n in (a, b) for a, b in edges)}
 
 
+def test_checksum_of_many_edges(spark):
+    n = 20_000_000
+    count, check = edge_state(spark.range(n).selectExpr("id a", "id * 3 b"))
+    assert count == n and check != edge_state(spark.range(n).selectExpr("id a", "if(id = 5, 0, id * 3) b"))[1]
+
+
+def test_row_keys_tell_rows_apart(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for table in (docs, docs.where("doc_id > 5"), docs.union(docs), docs.join(docs.select("doc_id").union(docs.select("doc_id")), "doc_id"), docs.limit(0), docs_of(spark, ODD).withColumnRenamed("rank", "Row_Key")):
+        keyed, key = with_row_key(table)
+        assert keyed.select(key).distinct().count() == table.count() and key not in table.columns
+
+
 # --- mixing ----------------------------------------------------------------
 
 
+def plain_mix(rows):
+    """taken of each document from the words at its place, by following the stream of each source."""
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, n, x in rows if x == s) for s in sources}
+    goals = dict(zip(sources, mixing_targets([size[s] for s in sources]), strict=True))
+    out = []
+    for s in sources:
+        own = sorted((int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16), d, n) for d, n, x in rows if x == s)
+        stream = [d for _, d, n in own for _ in range(n)]
+        got = Counter(stream[i % len(stream)] for i in range(math.floor(goals[s] + 0.5))) if stream else Counter()
+        out += [(d, n, size[s], got[d]) for _, d, n in own]
+    return sorted(out)
+
+
+def mixing_targets(sizes):
+    w = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    capped = set()
+    while True:
+        left, whole = sum(sizes) - sum(3 * sizes[i] for i in capped), sum(x for i, x in enumerate(w) if i not in capped)
+        over = {i for i in range(len(sizes)) if i not in capped and w[i] * left / whole > 3 * sizes[i]}
+        if not over:
+            return [3.0 * sizes[i] if i in capped else left * w[i] / whole for i in range(len(sizes))]
+        capped |= over
+
+
+def test_mix_equals_the_stream(spark):
+    rng = random.Random(19)
+    sources = [None, "", *(f"s{i}" for i in range(25))]
+    rows = [(i, rng.choice([0, 1, 9, 80]), rng.choice(sources[: 2 + i % 26])) for i in range(300)]
+    docs = docs_of(spark, [(d, "w " * n, None, s) for d, n, s in rows])
+    for block in (5, 64):
+        got = sorted((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in mixing.mix(docs, block=block).collect())
+        assert got == plain_mix(rows)
+
+
+def test_mix_of_many_sources_and_one_doc_id(spark):
+    rows = [(None if i % 2 else 7, "w " * (1 + i % 5), None, f"site{i % 900}") for i in range(3000)]
+    out = mixing.mix(docs_of(spark, rows)).toPandas()
+    assert len(out) == 3000 and abs(out.taken.sum() - out["size"].sum()) <= 900 and (out.taken <= 3 * out["size"]).all()
+
+
 def test_mix_targets_and_caps(spark):
     rng = random.Random(9)
     rows = [(i, words_of(rng, rng.choice([0, 1, 30, 700])), None, rng.choice(["a", "b", "c", "d", None, ""])) for i in range(400)] + [(500, None, None, "z"), (1, "again", None, "a")]
@@ -284,7 +396,6 @@ def test_mix_targets_and_caps(spark):
         assert ((per.taken - per.target).abs() <= 1).all()
         again = mixing.mix(docs_of(spark, rows[::-1]), block=block).toPandas()
         assert sorted(map(tuple, out.values.tolist())) == sorted(map(tuple, again.values.tolist()))
-    assert sum(mixing.targets([100, 100, 1, 0])) == pytest.approx(201) and mixing.targets([100, 100, 1, 0])[2:] == [3.0, 0.0]
     assert mixing.mix(docs_of(spark, []).limit(0)).count() == 0
 
 
@@ -308,9 +419,33 @@ def test_edited_copies_are_found(spark):
         rows.append((i, " ".join(text).replace("alpha", "Alpha, "), None, None))
     out = decontam.contaminated(docs_of(spark, rows + ODD[:3]), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in out} == planted
+    # the same, by aligning each whole document with each item
+    for d, text, _, _ in rows[:40]:
+        own = [hash(w) for w in decontam.tokens(text)]
+        for item, t in items[:20]:
+            best = plain_alignment([hash(w) for w in decontam.tokens(t)], own)
+            assert (best >= 0.5) == ((d, item) in planted) and [round(r["score"], 6) for r in out if (r["doc_id"], r["item_id"]) == (d, item)] == ([round(best, 6)] if best >= 0.5 else [])
     assert decontam.contaminated(docs_of(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def plain_alignment(a, b):
+    last, best = [0] * (len(b) + 1), 0
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(max(0, last[j] + (2 if x == y else -1), last[j + 1] - 1, now[j] - 1))
+        last, best = now, max(best, max(now))
+    return best / (2 * len(a))
+
+
+def test_short_items_and_odd_rows(spark):
+    items = spark.createDataFrame([(1, "Two, words!"), (2, "one"), (3, "a b c d e f g"), (4, " "), (None, "two words"), (6, None), (7, "x y")], "item_id long, text string")
+    rows = [(1, "here two words stand", None, None), (1, "here two other words stand", None, None), (None, "a b c d e f g", None, None), (None, "a b c d e f h", None, None), (5, "one", None, None), (5, "one", None, None), (6, None, None, None), (7, "", None, None), (8, "x. Y" + " z" * 100_000, None, None)]
+    out = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["score"], r["first_word"], r["end_word"]) for r in decontam.contaminated(docs_of(spark, rows), items).collect())
+    assert out == [(0, 3, 1.0, 0, 7), (1, 0, 1.0, 1, 3), (1, 1, 1.0, 1, 3), (5, 2, 1.0, 0, 1), (5, 2, 1.0, 0, 1), (8, 7, 1.0, 0, 2)]
+    assert decontam.contaminated(docs_of(spark, []).limit(0), items).count() == 0
+
+
 def test_alignment_equals_the_table():
     rng = np.random.default_rng(11)
     for _ in range(60):
@@ -353,9 +488,104 @@ def test_random_strings_are_told_from_words(spark):
     assert secrets.find_secrets(docs_of(spark, []).limit(0)).count() == 0
 
 
+def plain_battery(text, k, alphabet):
+    x = [alphabet.index(c) for c in text]
+    n, q = len(x), lambda z: max(0.5 * math.erfc(min(z, 13) / math.sqrt(2)), 1e-40)
+    chi = sum((x.count(a) - n / k) ** 2 / (n / k) for a in range(k))
+    high = [2 * v >= k for v in x]
+    h, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    mu = 2 * h * (n - h) / n + 1
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    r = math.sqrt(n) if mu <= 2 else abs(runs - mu) / math.sqrt((mu - 1) * (mu - 2) / (n - 1))
+    c = math.sqrt(n) if not spread else abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / spread) * math.sqrt(n)
+    cube = ((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1)))
+    fisher = lambda ps: (lambda h: (-h + math.log(1 + h + h * h / 2)) / math.log(10))(-sum(map(math.log, ps)))
+    cdf = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+
+    def against_text(e, dr, dc):
+        near = lambda z, d: cdf(z - d * math.sqrt(n)) - cdf(-z - d * math.sqrt(n))
+        ps = [q((n * e - (chi - k + 1)) / math.sqrt(2 * (k - 1) + 4 * n * e)), near(r, dr), near(c, dc)]
+        return fisher(ps) if min(ps) > 1e-12 else None  # below, the series ends
+
+    return (chi - k + 1) / n, r, c, fisher([q(cube), 2 * q(r), 2 * q(c)]), against_text
+
+
+def test_battery_equals_the_plain_one(spark):
+    rng, rows, want = random.Random(16), [], {}
+    kinds = {k: a for k, (_, a, _) in secrets.ALPHABETS.items()}
+    for i in range(140):
+        k = list(kinds)[i % 7]
+        n = rng.randrange(24, 90)
+        pool = kinds[k] if i % 2 else kinds[k][: 2 + k // 4] + kinds[k][-1]
+        text = "".join(rng.choice(pool) for _ in range(n - 2)) + {10: "", 16: "a", 26: "z", 32: "7A", 52: "aZ", 62: "aZ9", 64: "+/a"}[k]
+        rows.append((i, 0, len(text), text))
+        want[i] = plain_battery(text, k, kinds[k])
+    tested = secrets.battery(spark.createDataFrame([*rows, (900, 0, 19, "a" * 19), (901, 0, 30, "b" * 16 + "=" * 14)], "row_key long, start int, end int, s string"))
+    got = {r["row_key"]: r for r in tested.collect()}
+    assert set(got) == set(want)
+    for i, (excess, r, c, uniform, _) in want.items():
+        assert [got[i][x] for x in ("excess", "runs_z", "serial_z")] == pytest.approx([excess, r, c], rel=1e-6, abs=1e-9)
+        assert got[i]["uniform"] == pytest.approx(uniform, rel=1e-3, abs=1e-4)
+    nulls = {k: (1.2, 0.2, 0.15) for k in kinds}
+    steps = {r["row_key"]: (r["step"], r["length"]) for r in secrets.text_p(tested, nulls).collect()}
+    told = {i: against(1.2, 0.2, 0.15) for i, (*_, against) in want.items()}
+    assert sum(p is not None for p in told.values()) > 100
+    for i, p in told.items():
+        assert (p is None or abs(steps[i][0] - min(640, max(0, math.floor(-16 * p)))) <= 1) and steps[i][1] == min(8, int(math.log2(len(rows[i][3]))))
+    # the threshold: the least step at which rate * found covers what chance gives
+    table = spark.createDataFrame([(4, s) for s in [0] * 60 + [30] * 4 + [70] * 3] + [(5, 10)], "length int, step int")
+    fits = [s for s in (0, 30, 70) if 67 * 10 ** (-s / 16) <= 0.01 * {0: 67, 30: 7, 70: 3}[s]]
+    assert secrets.thresholds(table, 0.01) == {4: min(fits)}
+
+
+def test_regular_strings_and_digits(spark):
+    rng = random.Random(18)
+    digits = [(i, "no " + "".join(rng.choice("0123456789") for _ in range(200)), None, None) for i in range(30)]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    regular = [(100, upper + upper.lower() + "0123456789", None, None), (101, "Zz9" * 30, None, None), (102, "q" * 500, None, None), (103, "ab" * 40, None, None)]
+    out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs_of(spark, digits + regular)).collect()}
+    assert sum("random" in out[i] for i in range(30)) >= 0 and not any("random" in out[i] for i in range(100, 104))
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"{i:016x}" for i in range(40_000))
+    got = secrets.find_secrets(docs_of(spark, [(1, text, None, None), (1, text, None, None), (None, "token=" + "Q7" * 9, None, None)])).collect()
+    assert sorted(r["n_hex"] for r in got) == [0, 40_000, 40_000] and {r["spans"].count(",") for r in got} == {39_999, 0}
+
+
 # --- toxicity --------------------------------------------------------------
 
 
+def test_gradient_of_the_ordinal_likelihood():
+    rng = np.random.default_rng(17)
+    score, y, per, cut = rng.normal(size=30), rng.integers(0, 3, 30), rng.random(30), np.array([-0.3, 0.9])
+    plain = -sum(p * math.log({0: 1 / (1 + math.exp(s - cut[0])), 2: 1 - 1 / (1 + math.exp(s - cut[1]))}.get(g, 1 / (1 + math.exp(s - cut[1])) - 1 / (1 + math.exp(s - cut[0])))) for s, g, p in zip(score, y, per, strict=True))
+    loss, by_score, by_cut = toxicity.likelihood(score, cut, y, per)
+    assert loss == pytest.approx(plain)
+    h = 1e-6
+    for i in range(30):
+        step = h * (np.arange(30) == i)
+        assert by_score[i] == pytest.approx((toxicity.likelihood(score + step, cut, y, per)[0] - toxicity.likelihood(score - step, cut, y, per)[0]) / (2 * h), abs=1e-6)
+    for j in range(2):
+        step = h * (np.arange(2) == j)
+        assert by_cut[j] == pytest.approx((toxicity.likelihood(score, cut + step, y, per)[0] - toxicity.likelihood(score, cut - step, y, per)[0]) / (2 * h), abs=1e-6)
+
+
+def test_given_grades_order_severity(spark):
+    rng, rows, labels = random.Random(20), [], []
+    for i in range(600):
+        grade = (0, 0, 0, 1, 2)[i % 5]
+        text = words_of(rng, 40) + {0: "", 1: " foul nasty", 2: " foul nasty vile murderous"}[grade]
+        rows.append((i, text, None, None))
+        labels.append((i, 1, int(grade > 0), grade))
+    model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, grade int"))
+    out = {r["doc_id"]: r for r in toxicity.score(docs_of(spark, rows), model).collect()}
+    assert sum(out[i]["severity"] == (0, 0, 0, 1, 2)[i % 5] for i in range(600)) >= 580
+    mean = [np.mean([out[i]["expected_severity"] for i in range(600) if (0, 0, 0, 1, 2)[i % 5] == g]) for g in range(3)]
+    assert mean[0] < mean[1] < mean[2]
+
+
 def test_toxic_documents(spark):
     rng = random.Random(14)
     bad, rows, labels = ["vile", "foul", "nasty"], [], []
@@ -390,8 +620,16 @@ def test_odd_documents_do_not_crash(spark):
     out = [tuple(r) for r in jaccard.jaccard_components(odd, 3, 90, 100).collect()]
     assert len(out) == len(ODD) and {r[2] for r in out if r[0] in (4, 6)} == {4} and [r[2] for r in out if r[0] is None] == [None]
     assert decontam.contaminated(odd, spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")).count() == 0
-    for f in (pii.find_personal_data, jaccard.jaccard_components, mixing.mix, pii.sanitise):
+    for f in (pii.find_personal_data, jaccard.jaccard_components, mixing.mix, pii.sanitise, secrets.find_secrets):
         assert f(odd.limit(0)).count() == 0
+    labels = spark.createDataFrame([(5, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(odd.limit(0), labels)
+    assert toxicity.score(odd.limit(0), model).count() == 0 and toxicity.keep_clean(odd, model).count() == len(ODD)
+    assert langid.predict(odd.limit(0), langid.fit(odd.limit(0))).count() == 0
+    clash = spark.createDataFrame([(20, [1.0, 2.0], 1, 2.0, "x"), (21, [2.0, 1.0], 1, 2.0, "x")], "vec_id long, embedding array<double>, rank int, score double, query_id string")
+    assert [tuple(r) for r in vptree.nearest(clash).collect()] == [(20, 1, 21, 4.0)]
+    pages = spark.createDataFrame([(1, "http://e.com/", "x", "c", 5)], "page_id long, url string, html string, record_type string, offset int")
+    assert warc.archive_pages(pages).first()["record_type"] == "response"
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
