@@ -80,8 +80,8 @@ ENTRIES: dict[str, tuple] = {
     "parse_combined": _parse(0, "combined"), "parse_nginx_json": _parse(1, "nginx_json"), "parse_cloudflare": _parse(2, "cloudflare"), "parse_alb": _parse(3, "alb"),
     "parse_logs_counts": (lambda s, d: (lambda g, b: g.agg(F.count("*").alias("n")).select(F.lit("accepted").alias("kind"), "n").union(b.agg(F.count("*").alias("n")).select(F.lit("rejected").alias("kind"), "n")))(*logs.parse_logs(raw_lines(s, d))),
         "SELECT CASE WHEN event_id % 50 = 49 THEN 'rejected' ELSE 'accepted' END AS kind, count(*) AS n FROM v_logs GROUP BY 1"),
-    "parse_by_index": (lambda s, d: logs.parse_by_index(raw_lines(s, d).where("value rlike '^[0-9a-f:.]+ - -'")).groupBy("status").agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes")),
-        "SELECT status, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes FROM v_logs WHERE event_id % 50 <> 49 AND event_id % 4 = 0 GROUP BY 1"),
+    "parse_by_index": (lambda s, d: logs.parse_by_index(raw_lines(s, d).where("value rlike '^[0-9a-f:.]+ - -'")).select("url", "status", "bytes_sent"),
+        "SELECT uri AS url, status, bytes_sent FROM v_logs WHERE event_id % 50 <> 49 AND event_id % 4 = 0"),
     "with_path": (lambda s, d: logs.with_path(_logs(s, d)).select("event_id", "path"), "SELECT event_id, regexp_extract(uri, '^([^?]+)', 1) AS path FROM v_logs"),
     "verify_crawler": (lambda s, d: logs.verify_crawler(_logs(s, d), _ranges(s, d)).select("event_id", "verified_crawler"), "SELECT event_id, verified_crawler FROM v_classified"),
     "ua_claim": (lambda s, d: logs.ua_claim(_logs(s, d)).select("event_id", "claimed_crawler"), "SELECT event_id, CASE WHEN user_agent LIKE '%Googlebot%' THEN 'googlebot' WHEN user_agent LIKE '%GPTBot%' THEN 'gptbot' ELSE '' END AS claimed_crawler FROM v_logs"),

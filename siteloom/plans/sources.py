@@ -51,7 +51,7 @@ def _ranges(s: SparkSession, d: str) -> DataFrame:
 def _written(s: SparkSession, d: str) -> DataFrame:
     path = new_path(s, "enriched")
     writers.write_enriched(logs.enrich_logs(view(s, d, "v_logs"), view(s, d, "v_ranges")), path)
-    return s.read.parquet(path).groupBy("log_date").agg(F.count("*").alias("n"))
+    return s.read.parquet(path).select("event_id", "remote_addr", "path", "status", "bytes_sent", "verified_crawler", F.to_date("log_date").alias("log_date"))
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def _enriched_stream(s: SparkSession, d: str) -> DataFrame:
     src, out, mark = (new_path(s, x) for x in ("lines", "stream", "mark"))
     raw_lines(s, d).write.text(src)
     jobs.enrich_stream(jobs.stream_lines(s, src), view(s, d, "v_ranges"), out, mark, None).awaitTermination()
-    return s.read.parquet(out).groupBy("status", "verified_crawler").agg(F.count("*").alias("n"))
+    return s.read.parquet(out).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "remote_addr", "method", "uri", "path", "status", "bytes_sent", "user_agent", F.round("request_time", 6).alias("request_time"), "verified_crawler", "crawler_purpose", "verified_googlebot")
 
 
 def _freshness_stream(s: SparkSession, d: str) -> DataFrame:
@@ -102,11 +102,11 @@ ENTRIES: dict[str, tuple] = {
     "read_hreflang": (lambda s, d: readers.read_hreflang(s, _sitemap_xml(s, d)), "SELECT loc AS url, l AS lang, loc || '/' || l AS href FROM v_sitemap, (VALUES ('en'), ('fr')) AS x(l)"),
     "read_url_list": (lambda s, d: readers.read_url_list(s, _text(table(s, d, "pages"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("# "), "url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("  "), "url")).otherwise(""), "urls")), "SELECT url FROM pages WHERE page_id % 3 = 1"),
     "read_ip_ranges": (_ranges, "SELECT 'bot' AS crawler, 3 AS ord, p AS cidr FROM (SELECT '10.' || (s_suppkey % 256) || '.0.0/16' AS p FROM supplier UNION ALL SELECT '2001:' || s_suppkey || '::/32' FROM supplier)"),
-    "write_enriched": (_written, "SELECT timestamp::DATE AS log_date, count(*) AS n FROM v_logs GROUP BY 1"),
+    "write_enriched": (_written, "SELECT event_id, remote_addr, path, status, bytes_sent, verified_crawler, timestamp::DATE AS log_date FROM v_enriched"),
     "write_report": (_report, "SELECT status, string_agg(DISTINCT method, '; ' ORDER BY method) AS methods FROM v_logs GROUP BY 1"),
     "flatten_inspections": (_inspections, "SELECT url, 'PASS' AS verdict, 'Indexed' AS coverage, '/p/' || page_id AS google_canonical, '/p/' || (page_id + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END) AS user_canonical, '2024-01-01' AS last_crawl, page_id % 4 = 0 AS canonical_differs FROM pages"),
     "percentile_linear": (lambda s, d: view(s, d, "v_logs").groupBy("status").agg(F.round(crawl.percentile_linear("bytes_sent", 0.9), 6).alias("p90")), "SELECT status, round(quantile_cont(bytes_sent::DOUBLE, 0.9), 6) AS p90 FROM v_logs GROUP BY 1"),
-    "stream_enrich": (_enriched_stream, "SELECT status, verified_crawler, count(*) AS n FROM v_classified WHERE event_id % 50 <> 49 GROUP BY 1, 2"),
+    "stream_enrich": (_enriched_stream, "SELECT date_trunc('second', timestamp) AS timestamp, remote_addr, method, uri, path, status, bytes_sent, user_agent, round(request_time, 6) AS request_time, verified_crawler, crawler_purpose, verified_googlebot FROM v_enriched WHERE event_id % 50 <> 49"),
     "stream_freshness": (_freshness_stream, "SELECT loc AS url, lastmod, sha256(loc) AS content_hash, '2024-02-01' AS last_seen FROM v_sitemap"),
     "expand_sitemaps": (_expanded, "SELECT sitemap, loc FROM v_sitemap WHERE sitemap LIKE '%-1.xml' OR sitemap LIKE '%-3.xml'"),
 }

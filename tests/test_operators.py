@@ -367,6 +367,8 @@ def test_sources_and_sinks(spark, tmp_path):
     report = spark.createDataFrame([("u", ["a", "b"])], "url string, issues array<string>")
     writers.write_report(report, str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).first()["issues"] == "a; b"
+    writers.write_report(report, str(tmp_path / "json"), "json")
+    assert tuple(spark.read.json(str(tmp_path / "json")).select("url", "issues").first()) in (("u", ["a", "b"]), ("u", "a; b"))
     writers.write_enriched(spark.sql("SELECT timestamp'2024-01-05 10:00:00' AS timestamp, 1 AS x"), str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e")).where("log_date = '2024-01-05'").count() == 1
     rows = spark.sql("SELECT 'u' AS url, named_struct('indexStatusResult', named_struct('verdict', 'PASS', 'coverageState', 'ok', 'googleCanonical', 'a', 'userCanonical', 'b', 'lastCrawlTime', 't')) AS inspectionResult")
