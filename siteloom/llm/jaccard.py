@@ -15,8 +15,8 @@ are *derived* from that one's counts by the elements in which the two differ. Se
 that are linked already are skipped. The links found connect exactly the documents
 that all links connect.
 
-Large groups are cut into blocks of `block` sets, each with the centre; sets that a
-block could not connect to the centre are then compared with the other blocks, the
+Large groups are cut into blocks of `block` sets, fewer if they are long, each with the
+centre; sets that a block could not connect to the centre are then compared with the other blocks, the
 ones of one block with one other block at a time.
 """
 
@@ -38,6 +38,8 @@ from .common import WordHashes, batches, bit_table, components, materialize, ngr
 LEVEL = 1.3
 #: Groups of so few sets are compared directly.
 FEW = 6
+#: A block of a large group has about so many elements at most (8 bytes each), however long its texts are.
+BLOCK_ELEMENTS = 4_000_000
 #: Share of sets that may have more thin blocks than a level puts up with.
 THIN_TAIL = 2e-3
 
@@ -344,8 +346,9 @@ def links(docs: DataFrame, sets: DataFrame, n: int = 5, num: int = 8, den: int =
     rows = rows.join(sets.where("sketch is not null").select("doc_id", "n_shingles", "sketch"), "doc_id")
     near = _by_group(rows, lambda group: apart(group, num, den), "centre long, doc_id long").distinct()
     pairs = materialize(near.union(pairs.join(sizes.where(F.col("members") > block), "centre").select("centre", "doc_id")), "pairs")
-    sizes = pairs.groupBy("centre").agg(F.count("*").alias("members"))
-    cuts = sizes.select("centre", F.ceil(F.col("members") / block).alias("blocks"))
+    known = sets.where("n_shingles > 0").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = pairs.join(known, "doc_id").groupBy("centre").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("elements"))
+    cuts = materialize(sizes.select("centre", F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).alias("blocks")), "cuts")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")
     placed = pairs.join(cuts, "centre").select("doc_id", "centre", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("part"))
     placed = materialize(placed.union(cuts.select(F.col("centre").alias("doc_id"), "centre", "blocks", every)), "placed")

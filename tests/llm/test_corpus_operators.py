@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siteloom.llm import chat, decontam, jaccard, langid, mixing, pii, secrets, toxicity, vptree, warc
 from siteloom.llm.common import WordHashes, components, edge_state, with_row_key
@@ -294,6 +295,26 @@ def test_unconnected_sets_are_compared_block_by_block(spark, monkeypatch):
     assert most and max(most) <= 4 * 10
 
 
+def test_blocks_are_bounded_by_elements(spark, monkeypatch):
+    rng, texts, most, plain = random.Random(21), [], [], jaccard._by_group
+    base = words_of(rng, 400).split()
+    for i in range(60):  # versions that drift: each is similar to the one before, few to the first
+        for _ in range(6):
+            base[rng.randrange(400)] = f"v{rng.randrange(10**6)}"
+        texts.append((i, " ".join(base)))
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 5000)
+
+    def seen(rows, compare, schema):
+        if "elements" in rows.columns:
+            most.append(rows.groupBy("centre", "part").agg(F.sum(F.length("elements") / 8).alias("n")).agg(F.max("n")).first()[0])
+        return plain(rows, compare, schema)
+
+    monkeypatch.setattr(jaccard, "_by_group", seen)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs_of(spark, [(d, t, None, None) for d, t in texts]), 3, 80, 100).collect()}
+    assert got == brute_components(texts, 3, 80, 100)
+    assert len(most) == 2 and 0 < max(most) <= 4 * 5000  # two blocks, each with the centre, dealt by hash
+
+
 def test_derived_counts_equal_direct_ones():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 2**60, 300, dtype=np.uint64))
