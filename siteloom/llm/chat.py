@@ -76,7 +76,9 @@ def format_conversations(turns: DataFrame, mask_role: str = "assistant", piece:
     all kept; nulls first). Null role and text: empty. Null conv_id: one conversation.
     Pieces stream through the task, so a conversation of any length needs little memory.
     """
-    schema = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("mask", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    schema = pa.schema(
+        [("conv_id", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("mask", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    )
 
     def run(it):
         conv, no, made, length, known = object(), 0, [], 0, []
@@ -120,7 +122,9 @@ def format_conversations(turns: DataFrame, mask_role: str = "assistant", piece:
         yield flush()
 
     given = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return given.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, piece long, formatted string, mask array<struct<start:long,end:long>>")
+    return given.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(
+        run, "conv_id long, piece long, formatted string, mask array<struct<start:long,end:long>>",
+    )
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
@@ -156,4 +160,6 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(
+        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+    )

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..storage import Rounds, materialize, new_path, shared_dir
 
-__all__ = ["WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "passes", "shared_dir", "text_key", "utf8", "with_row_key"]
+__all__ = [
+    "WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "passes", "shared_dir", "text_key",
+    "utf8", "with_row_key",
+]
 
 #: Words longer than this are hashed anew each time instead of being remembered.
 REMEMBERED_WORD = 64

@@ -81,7 +81,9 @@ def item_seeds(benchmark: DataFrame, n: int, least_words: int) -> DataFrame:
                         rows[name].append(value)
             yield batches(rows, schema)
 
-    texts = benchmark.select(F.xxhash64(F.col("text").cast("string")).alias("item_key"), F.col("text").cast("string")).where("text is not null").dropDuplicates(["item_key"])
+    texts = benchmark.select(
+        F.xxhash64(F.col("text").cast("string")).alias("item_key"), F.col("text").cast("string"),
+    ).where("text is not null").dropDuplicates(["item_key"])
     return texts.mapInArrow(run, "item_key long, words binary, n_words long, gram long, seeds array<long>")
 
 
@@ -138,7 +140,9 @@ def candidates(docs: DataFrame, rare: DataFrame) -> DataFrame:
     place = Window.partitionBy("row_key", "item_key").orderBy("at")  # one item in one text
     part = hits.withColumn("gap", F.col("at") - F.lag("at").over(place) > F.col("n_words"))
     part = part.withColumn("part", F.sum(F.coalesce(F.col("gap").cast("int"), F.lit(0))).over(place))
-    near = part.groupBy("row_key", "item_key", "part", "need").agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("gram")).alias("hi"), F.count_distinct("seed").alias("kinds"))
+    near = part.groupBy("row_key", "item_key", "part", "need").agg(
+        F.min("at").alias("lo"), F.max(F.col("at") + F.col("gram")).alias("hi"), F.count_distinct("seed").alias("kinds"),
+    )
     return near.where("kinds >= need").select("row_key", "item_key", "lo", "hi")
 
 
@@ -149,7 +153,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rarest: float
     near = candidates(docs, rare).join(items.select("item_key", "words"), "item_key")
     # A row has no more candidates than its text has seeds.
     near = materialize(near.groupBy("row_key").agg(F.collect_list(F.struct("item_key", "lo", "hi", "words")).alias("near")), "near")
-    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("item_key", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
+    schema = pa.schema(
+        [("row_key", pa.int64()), ("doc_id", pa.int64()), ("item_key", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]
+    )
 
     def run(it):
         words = WordHashes()
@@ -168,7 +174,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rarest: float
             yield batches(rows, schema)
 
     given = docs.select(text_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = given.join(near, "row_key").select("row_key", "doc_id", "text", "near").mapInArrow(run, "row_key long, doc_id long, item_key long, score double, first_word long, end_word long")
+    found = given.join(near, "row_key").select("row_key", "doc_id", "text", "near").mapInArrow(
+        run, "row_key long, doc_id long, item_key long, score double, first_word long, end_word long",
+    )
     named = benchmark.where("text is not null").select(F.xxhash64(F.col("text").cast("string")).alias("item_key"), F.col("item_id").cast("long").alias("item_id"))
     return found.join(named, "item_key").select("row_key", *(x.split()[0] for x in _FOUND.split(", ")))
 

@@ -370,7 +370,9 @@ def links(docs: DataFrame, sets: DataFrame, n: int = 5, num: int = 8, den: int =
     # holds one block and the unconnected sets of one other block. Part: block * blocks + that other block.
     lost = found.where("blocks > 0").select(F.col("a").alias("doc_id"), "centre", "blocks", every, F.col("part").alias("home")).where("part <> home")
     met = lost.select("centre", "part", "home").distinct()
-    own = placed.where("blocks > 1 and doc_id <> centre").join(met, ["centre", "part"]).select("doc_id", "centre", "blocks", (F.col("part") * F.col("blocks") + F.col("home")).alias("part"), F.lit(-1).cast("long").alias("home"))
+    own = placed.where("blocks > 1 and doc_id <> centre").join(met, ["centre", "part"]).select(
+        "doc_id", "centre", "blocks", (F.col("part") * F.col("blocks") + F.col("home")).alias("part"), F.lit(-1).cast("long").alias("home"),
+    )
     rest = own.union(lost.select("doc_id", "centre", "blocks", (F.col("part") * F.col("blocks") + F.col("home")).alias("part"), "home"))
 
     def across(group: list[dict]) -> list[tuple]:

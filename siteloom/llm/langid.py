@@ -136,7 +136,9 @@ class FastModel(Model):
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple:
     """Arguments of a Model, from about `sample` labelled documents outside the held-out
     part, taken by the hash of doc_id. Only counts of that bounded sample reach the driver."""
-    labelled = docs.where(f"lang is not null and text is not null and not coalesce({HELD_OUT}, false)").select(F.col("lang").cast("string"), F.col("text").cast("string"), "doc_id")
+    labelled = docs.where(
+        f"lang is not null and text is not null and not coalesce({HELD_OUT}, false)"
+    ).select(F.col("lang").cast("string"), F.col("text").cast("string"), "doc_id")
     total = labelled.count()
     share = min(1.0, sample / max(1, total))
     part = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
@@ -157,7 +159,10 @@ def predict(docs: DataFrame, model: tuple) -> DataFrame:
         m = _unpack(cell.value)
         for batch in it:
             found = [m.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                names=["doc_id", "held_out", "lang_pred", "score"],
+            )
 
     given = docs.select(F.col("doc_id").cast("long"), F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), F.col("text").cast("string"))
     return given.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -166,7 +171,10 @@ def predict(docs: DataFrame, model: tuple) -> DataFrame:
 def _pack(model: tuple) -> dict:
     """What the tasks need of the model: recurring words and n-grams as two matrices."""
     m = Model(*model)
-    return {"langs": m.langs, "prior": m.prior, "words": (list(m.words), np.array(list(m.words.values()), np.float32)), "grams": (list(m.grams), np.array(list(m.grams.values()), np.float32))}
+    return {
+        "langs": m.langs, "prior": m.prior, "words": (list(m.words), np.array(list(m.words.values()), np.float32)),
+        "grams": (list(m.grams), np.array(list(m.grams.values()), np.float32)),
+    }
 
 
 def _unpack(x: dict) -> FastModel:

@@ -45,7 +45,10 @@ def word_counts(docs: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), size, batch.column(3)], names=["row_key", "doc_id", "source", "size", "tie"])
 
     text = F.col("text").cast("string")
-    given = docs.select(F.col(key).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    given = docs.select(
+        F.col(key).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.xxhash64(text).alias("tie"), text.alias("text"),
+    )
     return given.mapInArrow(run, "row_key long, doc_id long, source string, size long, tie long")
 
 
@@ -84,7 +87,10 @@ def source_table(counted: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
     first = placed.agg(F.sum("weight")).first()[0] or 1
     left, whole, capped = total, first, -1
     while True:
-        now = placed.agg(F.count_if(over()), F.coalesce(F.sum(F.when(over(), F.col("source_size") * most)), F.lit(0)), F.coalesce(F.sum(F.when(over(), F.col("weight"))), F.lit(0))).first()
+        now = placed.agg(
+            F.count_if(over()), F.coalesce(F.sum(F.when(over(), F.col("source_size") * most)), F.lit(0)),
+            F.coalesce(F.sum(F.when(over(), F.col("weight"))), F.lit(0)),
+        ).first()
         if now[0] == capped or now[2] == first:
             break
         capped, left, whole = now[0], total - now[1], first - now[2]
@@ -109,7 +115,10 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     drawn = spark.range(total // block).select("id", point.alias("point")).withColumn("cell", F.shiftright("point", shift)).join(parts, "cell").where("point >= lo and point < hi")
     drawn = drawn.select("id", "source_no", F.expr(f"id div {RANGE_ROWS}").alias("part"), F.lit(1).alias("one"))
     ranked = running_total(drawn, "source_no", "part", ["id"], "one", "rank").join(facts, "source_no")
-    placed = ranked.select("source_no", "source_size", "take", F.col("id").alias("slot"), F.expr("rank div blocks").alias("epoch"), F.expr("rank % blocks").alias("block"))
+    placed = ranked.select(
+        "source_no", "source_size", "take", F.col("id").alias("slot"), F.expr("rank div blocks").alias("epoch"),
+        F.expr("rank % blocks").alias("block"),
+    )
     begin = F.expr(f"epoch * source_size + block * {block}L")
     length = F.expr(f"least({block}L, source_size - block * {block}L, take - begin)")
     slotted = placed.withColumn("begin", begin).withColumn("words", length).where("words > 0").select("slot", "source_no", "epoch", "block", "begin", "words")
@@ -117,10 +126,16 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     reached = slotted.groupBy("source_no").agg(F.max(F.expr("begin + words")).alias("reached"))
     rest = facts.where("take > 0").join(reached, "source_no", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).where("reached < take")
     # The closing slot, cut at the ends of passes and blocks like the others.
-    closing = rest.select("source_no", "source_size", "take", "reached", F.explode(F.expr("sequence(reached div source_size, (take - 1) div source_size)")).alias("epoch"))
+    closing = rest.select(
+        "source_no", "source_size", "take", "reached",
+        F.explode(F.expr("sequence(reached div source_size, (take - 1) div source_size)")).alias("epoch"),
+    )
     closing = closing.withColumn("lo", F.expr("greatest(reached - epoch * source_size, 0L)")).withColumn("hi", F.expr("least(take - epoch * source_size, source_size)"))
     closing = closing.select("source_no", "epoch", "source_size", "hi", "lo", F.explode(F.expr(f"sequence(lo div {block}L, (hi - 1) div {block}L)")).alias("block"))
-    closing = closing.select(F.lit(None).cast("long").alias("slot"), "source_no", "epoch", "block", F.expr("epoch * source_size + lo").alias("begin"), F.expr(f"least(hi, (block + 1) * {block}L) - greatest(lo, block * {block}L)").alias("words"))
+    closing = closing.select(
+        F.lit(None).cast("long").alias("slot"), "source_no", "epoch", "block", F.expr("epoch * source_size + lo").alias("begin"),
+        F.expr(f"least(hi, (block + 1) * {block}L) - greatest(lo, block * {block}L)").alias("words"),
+    )
     return slotted.union(closing)
 
 
@@ -136,12 +151,18 @@ def mix_rows(docs: DataFrame, key: str, weights: tuple = WEIGHTS, most: int = MO
     slots = materialize(schedule(sources, block), "slots")
     # Whole takes of a block, and how far the last, partial one goes.
     taken = slots.join(sources.select("source_no", "source_size"), "source_no").withColumn("length", F.expr(f"least({block}L, source_size - block * {block}L)"))
-    times = taken.groupBy("source_no", "epoch", "block", "length").agg(F.sum("words").alias("words")).groupBy("source_no", "block").agg(F.sum(F.expr("if(words = length, 1L, 0L)")).alias("whole"), F.max(F.expr("if(words = length, 0L, words)")).alias("part"))
+    times = taken.groupBy("source_no", "epoch", "block", "length").agg(F.sum("words").alias("words")).groupBy("source_no", "block").agg(
+        F.sum(F.expr("if(words = length, 1L, 0L)")).alias("whole"), F.max(F.expr("if(words = length, 0L, words)")).alias("part"),
+    )
     # A part is always the head of its block: slots of a source take its stream from the start.
     rows = materialize(rows.drop("part", "hash", "tie"), "rows")
-    pieces = rows.where("size > 0").select("source_no", "row_key", "begin", "size", F.explode(F.expr(f"sequence(begin div {block}L, (begin + size - 1) div {block}L)")).alias("block"))
+    pieces = rows.where("size > 0").select(
+        "source_no", "row_key", "begin", "size", F.explode(F.expr(f"sequence(begin div {block}L, (begin + size - 1) div {block}L)")).alias("block"),
+    )
     lo, hi = F.expr(f"greatest(begin, block * {block}L) - block * {block}L"), F.expr(f"least(begin + size, (block + 1) * {block}L) - block * {block}L")
-    got = pieces.withColumn("lo", lo).withColumn("hi", hi).join(times, ["source_no", "block"]).groupBy("row_key").agg(F.sum(F.expr("whole * (hi - lo) + greatest(least(hi, part) - lo, 0L)")).alias("taken"))
+    got = pieces.withColumn("lo", lo).withColumn("hi", hi).join(times, ["source_no", "block"]).groupBy("row_key").agg(
+        F.sum(F.expr("whole * (hi - lo) + greatest(least(hi, part) - lo, 0L)")).alias("taken")
+    )
     return rows.join(got, "row_key", "left").select("row_key", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 

@@ -119,7 +119,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, row_key (hash of id and text), counts, base spans, the distinct
     entities, and all places of terms if there is an entity."""
     word = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_spans", pa.string()), ("base_sha256", pa.string()), ("entities", pa.list_(pa.int64())), ("words", pa.list_(word))])
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()), ("row_key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_spans", pa.string()),
+            ("base_sha256", pa.string()), ("entities", pa.list_(pa.int64())), ("words", pa.list_(word)),
+        ]
+    )
 
     def made(given, rows, flat, ends):
         words = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(flat, word, strict=True)], fields=list(word))
@@ -148,7 +153,10 @@ def scan(docs: DataFrame) -> DataFrame:
             yield made(batch.slice(first), rows, flat, ends)
 
     given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text"), F.col("text").cast("string"))
-    return given.mapInArrow(run, "doc_id long, row_key long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, base_sha256 string, entities array<long>, words array<struct<term:string,start:int,end:int>>")
+    return given.mapInArrow(
+        run,
+        "doc_id long, row_key long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, base_sha256 string, entities array<long>, words array<struct<term:string,start:int,end:int>>",
+    )
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -215,7 +223,10 @@ def find_personal_data(docs: DataFrame, alpha: float = ALPHA, level: float = LEV
     """
     scanned = materialize(scan(docs), "pii")
     terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, level))
-    spans = F.concat_ws(",", F.when(F.col("base_spans") != "", F.col("base_spans")), F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"])), ","))
+    spans = F.concat_ws(
+        ",", F.when(F.col("base_spans") != "", F.col("base_spans")),
+        F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"])), ","),
+    )
     return scanned.join(terms, "row_key", "left").select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
 
 

@@ -57,8 +57,14 @@ def find_spans(docs: DataFrame, key: str) -> DataFrame:
     in the matches of a text."""
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": RANDOM}
     rows = docs.select(F.col(key).alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("*", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"{k}_m") for k, p in patterns.items()), F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)).alias("assign_v"))
-    rows = rows.select("row_key", "assign_v", *(c for k, p in patterns.items() for c in (f"{k}_m", F.when(F.size(f"{k}_m") > 0, F.split("text", p, -1)).otherwise(F.array().cast("array<string>")).alias(f"{k}_p"))))
+    rows = rows.select(
+        "*", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"{k}_m") for k, p in patterns.items()),
+        F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)).alias("assign_v"),
+    )
+    rows = rows.select(
+        "row_key", "assign_v",
+        *(c for k, p in patterns.items() for c in (f"{k}_m", F.when(F.size(f"{k}_m") > 0, F.split("text", p, -1)).otherwise(F.array().cast("array<string>")).alias(f"{k}_p"))),
+    )
 
     def listed(no: int, kind: str) -> Column:
         fits = "length(assign_v[i]) >= 12" if kind == "assign" else "true"
@@ -76,7 +82,9 @@ def untouched(spans: DataFrame) -> DataFrame:
     base = F.col("no") < len(KINDS)
     up, down = (Window.partitionBy("row_key").orderBy(c) for c in (F.asc("start"), F.desc("start")))  # the spans of one text
     near = spans.withColumn("before", F.max(F.when(base, F.col("end"))).over(up)).withColumn("after", F.min(F.when(base, F.col("start"))).over(down))
-    return near.where(~base & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))).select("row_key", "start", "end", "s")
+    return near.where(
+        ~base & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    ).select("row_key", "start", "end", "s")
 
 
 def _log_tail(z: str) -> str:
@@ -128,7 +136,10 @@ def text_nulls(tested: DataFrame) -> dict[int, tuple[float, float, float]]:
     counting with them. One row an alphabet is gathered."""
     far = tested.where(F.col("uniform") < math.log10(UNIFORM)).groupBy("k")
     quarter = lambda c: F.percentile_approx(c, 0.25)
-    rows = far.agg(F.count("*").alias("m"), quarter("excess").alias("a"), quarter(F.expr("runs_z / sqrt(n)")).alias("b"), quarter(F.expr("serial_z / sqrt(n)")).alias("c")).collect()
+    rows = far.agg(
+        F.count("*").alias("m"), quarter("excess").alias("a"), quarter(F.expr("runs_z / sqrt(n)")).alias("b"),
+        quarter(F.expr("serial_z / sqrt(n)")).alias("c"),
+    ).collect()
     seen = {r["k"]: r for r in rows}
     out = {}
     for k, (_, _, excess) in ALPHABETS.items():
@@ -156,7 +167,9 @@ def thresholds(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
     counts = tested.groupBy("length", "step").agg(F.count("*").alias("n"))
     every = Window.partitionBy("length")
     down = every.orderBy(F.desc("step"))
-    held = counts.withColumn("found", F.sum("n").over(down)).withColumn("all", F.sum("n").over(every)).where(F.col("all") * F.pow(F.lit(10.0), -F.col("step") / FINE) <= rate * F.col("found"))
+    held = counts.withColumn("found", F.sum("n").over(down)).withColumn("all", F.sum("n").over(every)).where(
+        F.col("all") * F.pow(F.lit(10.0), -F.col("step") / FINE) <= rate * F.col("found")
+    )
     return {r["length"]: r["step"] for r in held.groupBy("length").agg(F.min("step").alias("step")).collect()}
 
 
@@ -181,8 +194,16 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     spans = materialize(find_spans(keyed, key), "spans")
     found = random_strings(untouched(spans), rate).select("row_key", "start", F.lit(len(KINDS)).alias("no"), "end")
     every = spans.where(F.col("no") < len(KINDS)).select("row_key", "start", "no", "end").union(found)
-    every = every.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "no", "end"))).alias("all"), *(F.count_if(F.col("no") == i).alias(f"n_{k}") for i, k in enumerate(KINDS)))
+    every = every.groupBy("row_key").agg(
+        F.sort_array(F.collect_list(F.struct("start", "no", "end"))).alias("all"),
+        *(F.count_if(F.col("no") == i).alias(f"n_{k}") for i, k in enumerate(KINDS)),
+    )
     rows = keyed.select(F.col(key).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id")).join(every, "row_key", "left")
     names = ", ".join(f"'{k}'" for k in (*KINDS, "random"))
-    joined = lambda c: F.expr(f"coalesce(array_join(transform({c}, x -> concat_ws(':', element_at(array({names}), x.no + 1), cast(x.start as string), cast(x.end as string))), ','), '')")
-    return rows.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS), F.sha2(joined(f"filter(all, x -> x.no < {len(KINDS)})").cast("binary"), 256).alias("base_sha256"), joined("all").alias("spans"))
+    joined = lambda c: F.expr(
+        f"coalesce(array_join(transform({c}, x -> concat_ws(':', element_at(array({names}), x.no + 1), cast(x.start as string), cast(x.end as string))), ','), '')"
+    )
+    return rows.select(
+        "doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS),
+        F.sha2(joined(f"filter(all, x -> x.no < {len(KINDS)})").cast("binary"), 256).alias("base_sha256"), joined("all").alias("spans"),
+    )

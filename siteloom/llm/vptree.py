@@ -131,7 +131,14 @@ def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FAC
     good = good.join(of.drop("n"), "dim").withColumn("product", _dot("v", "vantage")).drop("vantage")
     lift = lambda c: F.sqrt(F.greatest(F.col("largest") - F.col(c), F.lit(0.0)))
     away = F.sqrt(F.greatest(F.col("square") + F.col("far_square") - 2 * F.col("product") + F.pow(lift("square") - lift("far_square"), 2), F.lit(0.0)))
-    points = materialize(good.select("dim", "vec_id", "v", "largest", away.alias("away"), F.sqrt(F.greatest(F.col("square") + F.col("largest") - 2 * F.col("product"), F.lit(0.0))).alias("seen"), (F.col("square") + F.col("largest")).alias("sum")), "points")
+    points = materialize(
+        good.select(
+            "dim", "vec_id", "v", "largest", away.alias("away"),
+            F.sqrt(F.greatest(F.col("square") + F.col("largest") - 2 * F.col("product"), F.lit(0.0))).alias("seen"),
+            (F.col("square") + F.col("largest")).alias("sum"),
+        ),
+        "points",
+    )
     parts = max(1, min(rings, -(-count // shard)))
     cuts = materialize(points.groupBy("dim").agg(F.percentile_approx("away", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("cuts")), "cuts")
     ring = F.size(F.filter("cuts", lambda c: c < F.col("away"))) if parts > 1 else F.lit(0)
@@ -139,7 +146,9 @@ def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FAC
     bounds = points.groupBy("dim", "ring").agg(F.min("away").alias("lo"), F.max("away").alias("hi"), F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     bounds = materialize(bounds, "rings")
     every = materialize(bounds.groupBy("dim").agg(F.collect_list(F.struct("ring", "lo", "hi")).alias("rings")), "rings")  # at most `rings` entries
-    queries = points.where(F.pmod("vec_id", F.lit(divisor)) == 0).join(every, "dim").select("dim", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "seen", "sum", "rings")
+    queries = points.where(F.pmod("vec_id", F.lit(divisor)) == 0).join(every, "dim").select(
+        "dim", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "seen", "sum", "rings",
+    )
     bound = lambda r: F.greatest(r["lo"] - F.col("seen"), F.col("seen") - r["hi"], F.lit(0.0))
     home = F.array_min(F.transform("rings", lambda r: F.struct(bound(r).alias("bound"), r["ring"].alias("ring"))))["ring"]
     queries = materialize(queries.withColumn("home", home), "queries")
@@ -159,11 +168,17 @@ def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FAC
     def visit(asked: DataFrame) -> DataFrame:
         """The best of each ring for the queries (dim, ring, query_id, q, floor) that ask it: shards
         of points meet blocks of queries, whatever one ring holds of either."""
-        load = materialize(asked.groupBy("dim", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(bounds.select("dim", "ring", "shards"), ["dim", "ring"]), "load")
+        load = materialize(
+            asked.groupBy("dim", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(bounds.select("dim", "ring", "shards"), ["dim", "ring"]),
+            "load",
+        )
         cell = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         p = points.join(load, ["dim", "ring"]).select("dim", "ring", "vec_id", "v", "largest", cell("vec_id", "shards", 1).alias("shard"), each("blocks").alias("block"))
-        q = asked.join(load, ["dim", "ring"]).select(F.col("dim").alias("q_dim"), F.col("ring").alias("q_ring"), "query_id", "q", "floor", each("shards").alias("q_shard"), cell("query_id", "blocks", 2).alias("q_block"))
+        q = asked.join(load, ["dim", "ring"]).select(
+            F.col("dim").alias("q_dim"), F.col("ring").alias("q_ring"), "query_id", "q", "floor", each("shards").alias("q_shard"),
+            cell("query_id", "blocks", 2).alias("q_block"),
+        )
         met = p.groupBy("dim", "ring", "shard", "block").cogroup(q.groupBy("q_dim", "q_ring", "q_shard", "q_block"))
         return met.applyInPandas(search, "query_id long, vec_id long, score double")
 
@@ -174,6 +189,8 @@ def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FAC
     rest = queries.join(known, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     reach = F.when(F.col("floor") == float("-inf"), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.col("sum") - 2 * F.col("floor"), F.lit(0.0))) + 1e-6)
     near = F.filter("rings", lambda r: (r["ring"] != F.col("home")) & (bound(r) * factor <= F.col("reach")))
-    rest = rest.withColumn("reach", reach).select("dim", "query_id", "q", "floor", F.explode(near).alias("r")).select("dim", F.col("r.ring").alias("ring"), "query_id", "q", "floor")
+    rest = rest.withColumn("reach", reach).select("dim", "query_id", "q", "floor", F.explode(near).alias("r")).select(
+        "dim", F.col("r.ring").alias("ring"), "query_id", "q", "floor",
+    )
     more = visit(materialize(rest, "asked"))
     return top(first.drop("rank").union(more)).select("query_id", "rank", "vec_id", "score")

@@ -78,7 +78,10 @@ def loser_tree_merge(runs: list[list]):
 
 def _payloads(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
+        F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"),
+    )
 
 
 def write_archives(pages: DataFrame, least: int = LEAST) -> tuple[str, int]:
@@ -89,17 +92,31 @@ def write_archives(pages: DataFrame, least: int = LEAST) -> tuple[str, int]:
     rows = _payloads(pages)
     facts = materialize(rows.select("page_id", "digest", "bytes", F.coalesce(F.octet_length("url"), F.lit(0)).cast("long").alias("url_bytes")), "payloads")
     size = facts.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.coalesce(F.sum("url_bytes"), F.lit(0)).alias("u")).first()
-    first = materialize(facts.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "repeats")
+    first = materialize(
+        facts.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"),
+        "repeats",
+    )
     joined = rows.join(first, "digest", "left").withColumn("first", F.when(F.col("bytes") >= least, F.col("first")))
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     moment = F.expr("to_utc_timestamp(timestamp_seconds(1704067200 + pmod(coalesce(page_id, 0), 300000000)), current_timezone())")
     text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     head = [
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: <urn:page:"), text(F.col("page_id")),
-        F.lit(">\r\nWARC-Date: "), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.when(F.col("url").isNotNull(), F.concat(F.lit("\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\p{Cntrl}\s]+", ""))).otherwise(F.lit("")),
+        F.lit(">\r\nWARC-Date: "),
+        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.when(F.col("url").isNotNull(), F.concat(F.lit("\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\p{Cntrl}\s]+", ""))).otherwise(F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("bytes").cast("string"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), text(F.col("first")), F.lit(">"))).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), (F.lit(len(HTTP)) + F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))).cast("string"), F.lit("\r\n\r\n" + HTTP), F.when(revisit, F.lit("")).otherwise(F.col("payload")),
+        F.when(
+            revisit,
+            F.concat(
+                F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"),
+                text(F.col("first")), F.lit(">"),
+            ),
+        ).otherwise(F.lit("")),
+        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
+        (F.lit(len(HTTP)) + F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))).cast("string"),
+        F.lit("\r\n\r\n" + HTTP),
+        F.when(revisit, F.lit("")).otherwise(F.col("payload")),
     ]
     path = new_path(pages.sparkSession, "warc")
     a_file = max(1, ARCHIVE_BYTES // max(1, size["b"] // max(1, size["n"])))
