@@ -36,7 +36,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = materialize(jaccard.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), n=5, num=8, den=10), "groups")
     groups = found.where("doc_id <> component_id").select("component_id").distinct()
     member = found.join(groups, "component_id").select(F.col("doc_id").alias("_member"), "component_id")
-    facts = keyed.select(F.col(key).alias("_member"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text_key().alias("text"), F.col(key).alias("place")).alias("_order"))
+    facts = keyed.select(
+        F.col(key).alias("_member"),
+        F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text_key().alias("text"), F.col(key).alias("place")).alias("_order"),
+    )
     member = materialize(member.join(facts, "_member"), "members")
     kept = member.groupBy("component_id").agg(F.min("_order").alias("_first"))
     gone = member.join(kept, "component_id").where(F.col("_order.place") != F.col("_first.place")).select(F.col("_member").alias(key))

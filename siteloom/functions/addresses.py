@@ -23,7 +23,9 @@ def hextets(address: Column) -> Column:
     half = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(address, "::"), F.lit(i)), F.lit("")), ":"), lambda x: x != "")
     left, right = half(0), half(1)
     missing = F.lit(8) - F.size(left) - F.size(right)
-    whole = F.when(address.contains("::") & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right)).when(~address.contains("::") & (missing == 0), left)
+    whole = F.when(
+        address.contains("::") & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right),
+    ).when(~address.contains("::") & (missing == 0), left)
     return F.when(address.rlike(_V6), whole)
 
 

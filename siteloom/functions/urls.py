@@ -13,8 +13,16 @@ _RFC = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 # Parameters that only track, as three sites' rules have them.
 TRACKING = {
     "audit": ["fbclid", "gclid", "gclsrc", "dclid", "msclkid", "mc_cid", "mc_eid", "ref", "session_id", "sessionid", "sid", "_ga", "_gl", "yclid", "scid"],
-    "normalize": ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "ref", "sessionid", "sid", "source", "mc_cid", "mc_eid", "_ga", "_gl", "yclid", "scid"],
-    "edge": ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_source_platform", "utm_creative_format", "utm_marketing_tactic", "gclid", "gclsrc", "dclid", "wbraid", "gbraid", "fbclid", "fb_ref", "fb_source", "msclkid", "mc_cid", "mc_eid", "twclid", "li_fat_id", "igshid", "yclid", "_openstat", "ref", "source", "_ga", "_gl", "mkt_tok", "oly_anon_id", "hsCtaTracking", "_hsenc", "_hsmi", "ck_subscriber_id", "vero_id", "sb_referer_host"],
+    "normalize": [
+        "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "ref", "sessionid", "sid", "source",
+        "mc_cid", "mc_eid", "_ga", "_gl", "yclid", "scid",
+    ],
+    "edge": [
+        "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_source_platform", "utm_creative_format",
+        "utm_marketing_tactic", "gclid", "gclsrc", "dclid", "wbraid", "gbraid", "fbclid", "fb_ref", "fb_source", "msclkid", "mc_cid", "mc_eid",
+        "twclid", "li_fat_id", "igshid", "yclid", "_openstat", "ref", "source", "_ga", "_gl", "mkt_tok", "oly_anon_id", "hsCtaTracking", "_hsenc",
+        "_hsmi", "ck_subscriber_id", "vero_id", "sb_referer_host",
+    ],
 }
 
 
@@ -22,16 +30,31 @@ def url_parts(url: Column) -> Column:
     """scheme, authority, host, port, path, query, fragment; '' where absent."""
     g = lambda i: F.regexp_extract(url, _RFC, i)
     host = F.lower(F.regexp_extract(g(2), r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
-    return F.struct(F.lower(g(1)).alias("scheme"), g(2).alias("authority"), host.alias("host"), F.regexp_extract(g(2), r":(\d+)$", 1).alias("port"), g(3).alias("path"), g(4).alias("query"), g(5).alias("fragment"))
+    return F.struct(
+        F.lower(g(1)).alias("scheme"), g(2).alias("authority"), host.alias("host"), F.regexp_extract(g(2), r":(\d+)$", 1).alias("port"),
+        g(3).alias("path"), g(4).alias("query"), g(5).alias("fragment"),
+    )
 
 
 def joined(scheme: Column, authority: Column, path: Column, query: Column) -> Column:
-    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.concat(
+        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(""),
+        path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+    )
 
 
 def query_pairs(query: Column) -> Column:
     """Raw parameters (name, value, text, at) in order, blank ones left out."""
-    return F.filter(F.transform(F.split(query, "&"), lambda x, i: F.struct(F.substring_index(x, "=", 1).alias("name"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("value"), x.alias("text"), i.alias("at"))), lambda p: p["text"] != "")
+    return F.filter(
+        F.transform(
+            F.split(query, "&"),
+            lambda x, i: F.struct(
+                F.substring_index(x, "=", 1).alias("name"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("").alias("value"),
+                x.alias("text"), i.alias("at"),
+            ),
+        ),
+        lambda p: p["text"] != "",
+    )
 
 
 def _trimmed(path: Column) -> Column:
@@ -58,14 +81,19 @@ def normalize_url_compare(url: Column) -> Column:
     port, path encoded one way without its last slash, no fragment."""
     u = url_parts(url)
     both = F.split(_ascii_host_and_path(F.rtrim(u["host"], F.lit(".")), u["path"]), "\n")
-    port = F.when((u["port"] == "") | ((u["scheme"] == "https") & (u["port"] == "443")) | ((u["scheme"] == "http") & (u["port"] == "80")), "").otherwise(F.concat(F.lit(":"), u["port"]))
+    port = F.when(
+        (u["port"] == "") | ((u["scheme"] == "https") & (u["port"] == "443")) | ((u["scheme"] == "http") & (u["port"] == "80")), "",
+    ).otherwise(F.concat(F.lit(":"), u["port"]))
     return joined(u["scheme"], F.concat(both[0], port), _trimmed(both[1]), u["query"])
 
 
 def normalize_url_sorted(url: Column) -> Column:
     """Scheme and authority lowered, parameters sorted by name, then value; no fragment."""
     u = url_parts(url)
-    query = F.array_join(F.transform(F.array_sort(F.transform(query_pairs(u["query"]), lambda p: F.struct(p["name"], p["value"]))), lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
+    query = F.array_join(
+        F.transform(F.array_sort(F.transform(query_pairs(u["query"]), lambda p: F.struct(p["name"], p["value"]))), lambda p: F.concat(p["name"], F.lit("="), p["value"])),
+        "&",
+    )
     return joined(u["scheme"], F.lower(u["authority"]), _trimmed(u["path"]), query)
 
 
@@ -86,8 +114,12 @@ def resolve(base: Column, href: Column) -> Column:
     folder = F.regexp_replace(F.when(b["path"] == "", "/").otherwise(b["path"]), "[^/]*$", "")
     here = F.regexp_replace(base, r"#.*$", "")
     return (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href)).when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("#") | (href == ""), F.concat(here, href)).when(href.startswith("?"), F.concat(F.regexp_replace(here, r"\?.*$", ""), href)).otherwise(F.concat(origin, folder, href))
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(
+            href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href),
+        ).when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("#") | (href == ""), F.concat(here, href)).when(
+            href.startswith("?"), F.concat(F.regexp_replace(here, r"\?.*$", ""), href),
+        ).otherwise(F.concat(origin, folder, href))
     )
 
 
@@ -121,7 +153,13 @@ def tracking_params(url: Column, rules: str = "audit") -> Column:
 
 def canonical_query(query: Column) -> Column:
     """Blank values dropped, values lowered and trimmed, sorted by name; equal names keep their order."""
-    clean = F.filter(F.transform(query_pairs(query), lambda p: F.struct(p["name"].alias("name"), p["at"].alias("at"), F.trim(F.lower(F.coalesce(F.try_url_decode(p["value"]), p["value"]))).alias("value"))), lambda p: p["value"] != "")
+    clean = F.filter(
+        F.transform(
+            query_pairs(query),
+            lambda p: F.struct(p["name"].alias("name"), p["at"].alias("at"), F.trim(F.lower(F.coalesce(F.try_url_decode(p["value"]), p["value"]))).alias("value")),
+        ),
+        lambda p: p["value"] != "",
+    )
     return F.array_join(F.transform(F.array_sort(clean), lambda p: F.concat(p["name"], F.lit("="), F.url_encode(p["value"]))), "&")
 
 
@@ -130,7 +168,10 @@ def is_abs_http(url: Column) -> Column:
 
 
 # What a link must not prerender.
-ONE_TIME = ["checkout", "confirm", "confirmation", "order/[^/]+/complete", "order/[^/]+/confirmation", "payment", "pay", "cart", "add-to-cart", "unsubscribe", "opt-out", "logout", "signout", "sign-out", "delete", "cancel", "verify", "reset-password", "password-reset", "api"]
+ONE_TIME = [
+    "checkout", "confirm", "confirmation", "order/[^/]+/complete", "order/[^/]+/confirmation", "payment", "pay", "cart", "add-to-cart", "unsubscribe",
+    "opt-out", "logout", "signout", "sign-out", "delete", "cancel", "verify", "reset-password", "password-reset", "api",
+]
 
 
 def is_one_time_action(url: Column) -> Column:

@@ -33,7 +33,9 @@ def status_by_day(logs: DataFrame, as_of: str, days: int = 14) -> DataFrame:
 def depth_distribution(logs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Requests by number of path segments; the root counts as one."""
     rows = logs.where(F.col("verified_googlebot") & (F.col("status") == 200) & _since(as_of, days))
-    return rows.groupBy(F.size(F.split(F.expr("trim(BOTH '/' FROM path)"), "/")).alias("depth")).agg(F.count("*").alias("requests"), F.countDistinct("path").alias("unique_urls"))
+    return rows.groupBy(F.size(F.split(F.expr("trim(BOTH '/' FROM path)"), "/")).alias("depth")).agg(
+        F.count("*").alias("requests"), F.countDistinct("path").alias("unique_urls"),
+    )
 
 
 def latency_by_hour(logs: DataFrame, as_of: str, days: int = 7, exact: bool = False) -> DataFrame:
@@ -41,12 +43,19 @@ def latency_by_hour(logs: DataFrame, as_of: str, days: int = 7, exact: bool = Fa
     hour is then bounded; exact ones hold each distinct value of the hour."""
     rows = logs.where(F.col("verified_googlebot") & (F.col("status") == 200) & _since(as_of, days))
     p = lambda q: F.percentile("request_time", q) if exact else F.percentile_approx("request_time", q)
-    return rows.groupBy(F.date_trunc("hour", "timestamp").alias("hour")).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.count("*").alias("requests"))
+    return rows.groupBy(F.date_trunc("hour", "timestamp").alias("hour")).agg(
+        p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.count("*").alias("requests"),
+    )
 
 
 def parameter_proliferation(logs: DataFrame, as_of: str, days: int = 30, min_distinct: int = 50, top: int = 100) -> DataFrame:
-    rows = logs.where(F.col("verified_googlebot") & _since(as_of, days)).select(split_path(F.col("uri")).alias("path"), F.regexp_extract("uri", r"\?(.*)$", 1).alias("query"))
-    out = rows.groupBy("path").agg(F.count("*").alias("total_crawls"), F.count_if(F.col("query") != "").alias("parameterized_crawls"), F.countDistinct("query").alias("unique_parameter_combinations"))
+    rows = logs.where(F.col("verified_googlebot") & _since(as_of, days)).select(
+        split_path(F.col("uri")).alias("path"), F.regexp_extract("uri", r"\?(.*)$", 1).alias("query"),
+    )
+    out = rows.groupBy("path").agg(
+        F.count("*").alias("total_crawls"), F.count_if(F.col("query") != "").alias("parameterized_crawls"),
+        F.countDistinct("query").alias("unique_parameter_combinations"),
+    )
     out = out.where(F.col("unique_parameter_combinations") > min_distinct).withColumn("pct_parameterized", _share(F.col("parameterized_crawls"), F.col("total_crawls")))
     return out.orderBy(F.desc("unique_parameter_combinations"), "path").limit(top)
 
@@ -57,7 +66,10 @@ def uncrawled_pages(sitemap: DataFrame, logs: DataFrame, as_of: str, days: int =
 
 
 # Classes of URLs, first match wins.
-URL_CLASSES = [("tracking", r"\butm_"), ("session", r"\bsessionid="), ("session", r"\bsid="), ("sort", r"\bsort="), ("per_page", r"\bper_page="), ("view", r"\bview="), ("pagination", r"\bpage="), ("multi_facet", r"\?.*=.*&.*="), ("single_facet", r"\?[^=]+=")]
+URL_CLASSES = [
+    ("tracking", r"\butm_"), ("session", r"\bsessionid="), ("session", r"\bsid="), ("sort", r"\bsort="), ("per_page", r"\bper_page="),
+    ("view", r"\bview="), ("pagination", r"\bpage="), ("multi_facet", r"\?.*=.*&.*="), ("single_facet", r"\?[^=]+="),
+]
 _FACET = r"\?[^=]+="
 
 
@@ -75,7 +87,9 @@ def _bot(access: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def url_class_distribution(access: DataFrame, start: str, end: str) -> DataFrame:
-    out = _bot(access, start, end).groupBy(url_class(F.col("request_uri")).alias("url_class")).agg(F.count("*").alias("requests"), F.countDistinct("request_uri").alias("unique_urls"))
+    out = _bot(access, start, end).groupBy(url_class(F.col("request_uri")).alias("url_class")).agg(
+        F.count("*").alias("requests"), F.countDistinct("request_uri").alias("unique_urls"),
+    )
     return out.withColumn("percent_of_total", _share(F.col("requests"), F.sum("requests").over(Window.partitionBy())))
 
 
@@ -89,7 +103,9 @@ def url_class_weekly(access: DataFrame, start: str, end: str) -> DataFrame:
 
 def top_wasted_paths(access: DataFrame, start: str, end: str, k: int = 50) -> DataFrame:
     rows = _bot(access, start, end).where(F.col("request_uri").rlike(_FACET))
-    return rows.groupBy(split_path(F.col("request_uri")).alias("path")).agg(F.count("*").alias("requests"), F.countDistinct("request_uri").alias("unique_urls_with_params")).orderBy(F.desc("requests"), "path").limit(k)
+    return rows.groupBy(split_path(F.col("request_uri")).alias("path")).agg(
+        F.count("*").alias("requests"), F.countDistinct("request_uri").alias("unique_urls_with_params"),
+    ).orderBy(F.desc("requests"), "path").limit(k)
 
 
 def facet_status_distribution(access: DataFrame, start: str, end: str) -> DataFrame:
@@ -99,7 +115,10 @@ def facet_status_distribution(access: DataFrame, start: str, end: str) -> DataFr
 
 def status_bucket(status: Column) -> Column:
     named = F.when(status.isin(200, 304, 404, 410), status.cast("string"))
-    return F.coalesce(named, F.when(status.between(300, 399), "3xx").when(status.between(500, 599), "5xx").when(status.between(200, 299), "2xx_other").when(status.between(400, 499), "4xx_other").otherwise("other"))
+    return F.coalesce(
+        named,
+        F.when(status.between(300, 399), "3xx").when(status.between(500, 599), "5xx").when(status.between(200, 299), "2xx_other").when(status.between(400, 499), "4xx_other").otherwise("other"),
+    )
 
 
 def status_distribution(logs: DataFrame) -> DataFrame:
@@ -120,11 +139,19 @@ def top_patterns(logs: DataFrame, k: int = 50) -> DataFrame:
     and never a value held in memory. A path without times has null percentiles.
     """
     rows = logs.select(split_path(F.col("uri")).alias("pattern"), status_bucket(F.col("status")).alias("bucket"), "bytes_sent", "request_time")
-    cells = materialize(rows.groupBy("pattern", "bucket").agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), F.count("request_time").alias("timed")), "patterns")
+    cells = materialize(
+        rows.groupBy("pattern", "bucket").agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), F.count("request_time").alias("timed")),
+        "patterns",
+    )
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
-    per = cells.groupBy("pattern").agg(F.sum("n").alias("requests"), F.sum("bytes").alias("bytes_total"), F.sum("timed").alias("timed"), F.sum(F.when(F.col("bucket") == "3xx", F.col("n")).otherwise(0)).alias("redirects"))
+    per = cells.groupBy("pattern").agg(
+        F.sum("n").alias("requests"), F.sum("bytes").alias("bytes_total"), F.sum("timed").alias("timed"),
+        F.sum(F.when(F.col("bucket") == "3xx", F.col("n")).otherwise(0)).alias("redirects"),
+    )
     top = materialize(per.orderBy(F.desc("requests"), "pattern").limit(k), "patterns")
-    statuses = cells.join(top.select("pattern"), "pattern").groupBy("pattern").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("status_breakdown"))  # nine at most
+    statuses = cells.join(top.select("pattern"), "pattern").groupBy("pattern").agg(  # nine at most
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("status_breakdown")
+    )
     times = rows.where("request_time is not null").join(top.select("pattern", "timed"), "pattern").groupBy("pattern", "timed", "request_time").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("request_time"))
     times = times.withColumn("upto", upto)
@@ -134,7 +161,10 @@ def top_patterns(logs: DataFrame, k: int = 50) -> DataFrame:
     times = times.groupBy("pattern").agg(between(0.5).alias("p50"), between(0.95).alias("p95"))
     out = top.join(statuses, "pattern", "left").join(times, "pattern", "left")
     ratio = lambda a, b: F.round(a.cast("double") / b, 6)
-    return out.select("pattern", "requests", ratio(F.col("requests"), F.lit(total)).alias("share"), "bytes_total", "p50", "p95", "redirects", ratio(F.col("redirects"), F.col("requests")).alias("redirect_ratio"), "status_breakdown").orderBy(F.desc("requests"), "pattern")
+    return out.select(
+        "pattern", "requests", ratio(F.col("requests"), F.lit(total)).alias("share"), "bytes_total", "p50", "p95", "redirects",
+        ratio(F.col("redirects"), F.col("requests")).alias("redirect_ratio"), "status_breakdown",
+    ).orderBy(F.desc("requests"), "pattern")
 
 
 def pattern_statuses(logs: DataFrame) -> DataFrame:
@@ -146,7 +176,13 @@ def query_params(uri: Column) -> Column:
     query = F.regexp_extract(uri, r"^[^?#]*\?([^#]*)", 1)
     plain = lambda c: F.coalesce(F.try_url_decode(c), c)
     pairs = F.filter(F.split(query, "&"), lambda x: x != "")
-    return F.transform(pairs, lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("name"), plain(F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")).alias("value")))
+    return F.transform(
+        pairs,
+        lambda x: F.struct(
+            plain(F.substring_index(x, "=", 1)).alias("name"),
+            plain(F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")).alias("value"),
+        ),
+    )
 
 
 def parameter_frequency(logs: DataFrame, k: int = 50) -> DataFrame:
@@ -156,7 +192,9 @@ def parameter_frequency(logs: DataFrame, k: int = 50) -> DataFrame:
 
 def is_asset(uri: Column) -> Column:
     path = split_path(uri)
-    return path.rlike(r"(?i)\.(css|js|mjs|map|png|jpe?g|gif|svg|webp|avif|ico|woff2?|ttf|otf|eot)([?#]|$)") | path.rlike(r"(?i)^/(static|assets|_next|_nuxt|build|dist|public|cdn)/")
+    return path.rlike(
+        r"(?i)\.(css|js|mjs|map|png|jpe?g|gif|svg|webp|avif|ico|woff2?|ttf|otf|eot)([?#]|$)"
+    ) | path.rlike(r"(?i)^/(static|assets|_next|_nuxt|build|dist|public|cdn)/")
 
 
 def asset_share(logs: DataFrame) -> DataFrame:
@@ -174,9 +212,14 @@ def crawl_waste_report(logs: DataFrame, k: int = 10) -> DataFrame:
     """The waste figures in long form: section, name, value. The logs are counted once by path,
     status and size; all figures but the parameters' are sums of these counts."""
     small = (F.col("status") == 200) & (F.col("bytes_sent") > 0) & (F.col("bytes_sent") < 1024)
-    rows = logs.select(split_path(F.col("uri")).alias("pattern"), status_bucket(F.col("status")).alias("bucket"), is_asset(F.col("uri")).alias("asset"), F.coalesce(small, F.lit(False)).alias("small"))
+    rows = logs.select(
+        split_path(F.col("uri")).alias("pattern"), status_bucket(F.col("status")).alias("bucket"), is_asset(F.col("uri")).alias("asset"),
+        F.coalesce(small, F.lit(False)).alias("small"),
+    )
     cells = materialize(rows.groupBy("pattern", "bucket", "asset", "small").agg(F.count("*").alias("n")), "waste")
-    row = lambda df, section, name, value: df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    row = lambda df, section, name, value: df.select(
+        F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("double").alias("value"),
+    )
     n = F.sum("n")
     parts = [
         row(cells.groupBy("bucket").agg(n.alias("v")), "status", F.col("bucket"), F.col("v")),

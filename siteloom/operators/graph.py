@@ -43,7 +43,9 @@ def pagerank(vertices: DataFrame, links: DataFrame, d: float = 0.85, tol: float
     for _ in range(rounds or max_iter):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
         got = shares.join(ranks, shares.src == ranks.url).groupBy("dst").agg(F.sum(F.col("rank") / F.col("links")).alias("got"))
-        new = ranks.join(got, ranks.url == got.dst, "left").select("url", "dangling", (F.lit((1 - d) / n + d * lost / n) + d * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+        new = ranks.join(got, ranks.url == got.dst, "left").select(
+            "url", "dangling", (F.lit((1 - d) / n + d * lost / n) + d * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"),
+        )
         new = kept.write(new)
         ranks = new.drop("old")
         if not rounds and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tol:
@@ -97,7 +99,9 @@ def orphans(vertices: DataFrame, links: DataFrame, home: str, known: DataFrame |
 def link_status_counts(edges: DataFrame) -> DataFrame:
     """Broken (400 and over, or no answer) and redirected links of each source."""
     s = F.col("target_status_code")
-    return edges.groupBy(F.col("source_url").alias("url")).agg(F.count_if((s >= 400) | (s < 100)).alias("broken_links"), F.count_if(s.between(300, 399)).alias("redirect_links"))
+    return edges.groupBy(F.col("source_url").alias("url")).agg(
+        F.count_if((s >= 400) | (s < 100)).alias("broken_links"), F.count_if(s.between(300, 399)).alias("redirect_links"),
+    )
 
 
 def link_report(edges: DataFrame, home: str, known: DataFrame | None = None, **rank) -> DataFrame:
@@ -119,7 +123,10 @@ def depth_buckets(vertices: DataFrame, depths: DataFrame) -> DataFrame:
 
 
 def depth_summary(depths: DataFrame, near: int = 3) -> DataFrame:
-    return depths.agg(F.count("*").alias("reachable"), F.max("depth").alias("max_depth"), F.round(F.avg("depth"), 3).alias("avg_depth"), F.round(100.0 * F.count_if(F.col("depth") <= near).cast("double") / F.count("*"), 2).alias("pct_near"))
+    return depths.agg(
+        F.count("*").alias("reachable"), F.max("depth").alias("max_depth"), F.round(F.avg("depth"), 3).alias("avg_depth"),
+        F.round(100.0 * F.count_if(F.col("depth") <= near).cast("double") / F.count("*"), 2).alias("pct_near"),
+    )
 
 
 def unreachable(vertices: DataFrame, depths: DataFrame) -> DataFrame:
@@ -147,21 +154,37 @@ def graph_verdict(report: DataFrame) -> DataFrame:
     """One row: counts and a verdict of the link report, and whether the top rank is tied.
     Pages are counted by rank first, so that no task sees them all."""
     c = F.col
-    by_rank = report.where("rank is not null").groupBy("rank").agg(F.count("*").alias("pages"), F.count_if(c("orphan")).alias("orphans"), F.count_if(c("depth").isNull()).alias("unreachable"), F.sum("broken_links").alias("broken"))
-    sums = by_rank.agg(F.sum("pages").alias("pages"), F.sum("orphans").alias("orphans"), F.sum("unreachable").alias("unreachable"), F.sum("broken").alias("broken"), F.max_by("pages", "rank").alias("at_top"))
+    by_rank = report.where("rank is not null").groupBy("rank").agg(
+        F.count("*").alias("pages"), F.count_if(c("orphan")).alias("orphans"), F.count_if(c("depth").isNull()).alias("unreachable"),
+        F.sum("broken_links").alias("broken"),
+    )
+    sums = by_rank.agg(
+        F.sum("pages").alias("pages"), F.sum("orphans").alias("orphans"), F.sum("unreachable").alias("unreachable"), F.sum("broken").alias("broken"),
+        F.max_by("pages", "rank").alias("at_top"),
+    )
     bad = c("orphans") + c("unreachable")
     verdict = F.when((bad == 0) & (c("broken") == 0), "healthy").when(bad * 10 > c("pages"), "poor").otherwise("needs work")
-    return sums.select(*(F.coalesce(x, F.lit(0)).alias(x) for x in ("pages", "orphans", "unreachable")), "broken", (c("at_top") > 1).alias("tied"), verdict.alias("verdict"))
+    return sums.select(
+        *(F.coalesce(x, F.lit(0)).alias(x) for x in ("pages", "orphans", "unreachable")), "broken", (c("at_top") > 1).alias("tied"),
+        verdict.alias("verdict"),
+    )
 
 
 def internal_links(pages: DataFrame) -> DataFrame:
     """(url, target): distinct links of pages (url, html) to their own host, absolute."""
     hrefs = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#]+)"""), F.lit(1))
-    rows = pages.select("url", F.regexp_extract("url", r"^(https?)://", 1).alias("scheme"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.explode(hrefs).alias("href"))
-    absolute = F.when(F.col("href").startswith("//"), F.concat("scheme", F.lit(":"), "href")).when(F.col("href").startswith("/"), F.concat("scheme", F.lit("://"), "host", "href")).when(F.col("href").rlike("(?i)^https?://"), F.col("href"))
+    rows = pages.select(
+        "url", F.regexp_extract("url", r"^(https?)://", 1).alias("scheme"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"),
+        F.explode(hrefs).alias("href"),
+    )
+    absolute = F.when(F.col("href").startswith("//"), F.concat("scheme", F.lit(":"), "href")).when(
+        F.col("href").startswith("/"), F.concat("scheme", F.lit("://"), "host", "href"),
+    ).when(F.col("href").rlike("(?i)^https?://"), F.col("href"))
     return rows.withColumn("target", absolute).where(F.regexp_extract("target", r"^https?://([^/?#]+)", 1) == F.col("host")).select("url", "target").distinct()
 
 
 def broken_internal_links(pages: DataFrame, statuses: DataFrame) -> DataFrame:
     """(url, target, status) of internal links whose stored fetch isn't 200, or is missing (null)."""
-    return internal_links(pages).join(statuses.select(F.col("url").alias("target"), "status"), "target", "left").where("status is null or status <> 200").select("url", "target", "status")
+    return internal_links(pages).join(
+        statuses.select(F.col("url").alias("target"), "status"), "target", "left",
+    ).where("status is null or status <> 200").select("url", "target", "status")

@@ -22,33 +22,51 @@ BUSINESSES = [
 ]
 REQUIRED = [
     (["Product"], "name", "product_missing_name", "high"), (["Product"], "image", "product_missing_image", "high"),
-    (["Product"], "offers review aggregateRating", "product_no_offer_or_rating", "high"), (["Product"], "sku gtin gtin8 gtin12 gtin13 gtin14 mpn", "product_no_identifier", "low"),
-    (["Offer"], "+price", "offer_missing_price", "high"), (["Offer"], "+priceCurrency", "offer_missing_priceCurrency", "high"), (["Offer"], "+availability", "offer_missing_availability", "high"),
+    (["Product"], "offers review aggregateRating", "product_no_offer_or_rating", "high"),
+    (["Product"], "sku gtin gtin8 gtin12 gtin13 gtin14 mpn", "product_no_identifier", "low"),
+    (["Offer"], "+price", "offer_missing_price", "high"),
+    (["Offer"], "+priceCurrency", "offer_missing_priceCurrency", "high"),
+    (["Offer"], "+availability", "offer_missing_availability", "high"),
     (["AggregateRating"], "+ratingValue", "rating_missing_value", "high"), (["AggregateRating"], "+reviewCount +ratingCount", "rating_missing_count", "high"),
     (ARTICLES, "headline", "article_missing_headline", "high"), (ARTICLES, "image", "article_missing_image", "medium"),
     (ARTICLES, "datePublished", "article_missing_date_published", "medium"), (ARTICLES, "author", "article_missing_author", "medium"),
     (["Recipe"], "name", "recipe_missing_name", "high"), (["Recipe"], "image", "recipe_missing_image", "high"),
     (["Recipe"], "recipeIngredient", "recipe_missing_recipeIngredient", "high"), (["Recipe"], "recipeInstructions", "recipe_missing_recipeInstructions", "high"),
-    (["Event"], "name", "event_missing_name", "high"), (["Event"], "startDate", "event_missing_startDate", "high"), (["Event"], "location", "event_missing_location", "high"),
-    (BUSINESSES, "name", "localbusiness_missing_name", "high"), (BUSINESSES, "address", "localbusiness_missing_address", "high"), (BUSINESSES, "telephone url", "localbusiness_no_contact", "medium"),
-    (["Organization"], "name", "organization_missing_name", "high"), (["Organization"], "url", "organization_missing_url", "medium"), (["Organization"], "sameAs", "organization_missing_same_as", "medium"),
+    (["Event"], "name", "event_missing_name", "high"),
+    (["Event"], "startDate", "event_missing_startDate", "high"),
+    (["Event"], "location", "event_missing_location", "high"),
+    (BUSINESSES, "name", "localbusiness_missing_name", "high"),
+    (BUSINESSES, "address", "localbusiness_missing_address", "high"),
+    (BUSINESSES, "telephone url", "localbusiness_no_contact", "medium"),
+    (["Organization"], "name", "organization_missing_name", "high"),
+    (["Organization"], "url", "organization_missing_url", "medium"),
+    (["Organization"], "sameAs", "organization_missing_same_as", "medium"),
     (["VideoObject"], "name", "video_missing_name", "high"), (["VideoObject"], "description", "video_missing_description", "high"),
     (["VideoObject"], "thumbnailUrl", "video_missing_thumbnailUrl", "high"), (["VideoObject"], "uploadDate", "video_missing_uploadDate", "high"),
 ]
-DEPRECATED = ["BookAction", "ReadAction", "BorrowAction", "Course", "CourseInfo", "ClaimReview", "EstimatedSalary", "Occupation", "LearningVideo", "LearningResource", "SpecialAnnouncement", "Vehicle", "Car", "VehicleListing", "PracticeProblem", "Quiz", "FAQPage", "HowTo"]
+DEPRECATED = [
+    "BookAction", "ReadAction", "BorrowAction", "Course", "CourseInfo", "ClaimReview", "EstimatedSalary", "Occupation", "LearningVideo",
+    "LearningResource", "SpecialAnnouncement", "Vehicle", "Car", "VehicleListing", "PracticeProblem", "Quiz", "FAQPage", "HowTo",
+]
 AVAILABILITY = ["InStock", "OutOfStock", "OnlineOnly", "InStoreOnly", "PreOrder", "PreSale", "BackOrder", "SoldOut", "Discontinued", "LimitedAvailability"]
 #: Texts of a page that go with an availability.
 STOCK_TEXTS = {
-    "https://schema.org/InStock": ["in stock", "available", "add to cart", "add to bag", "buy now"], "https://schema.org/OutOfStock": ["out of stock", "sold out", "unavailable"],
-    "https://schema.org/PreOrder": ["pre-order", "preorder", "pre order"], "https://schema.org/BackOrder": ["back order", "backorder", "backordered"], "https://schema.org/SoldOut": ["sold out"],
-    "https://schema.org/Discontinued": ["discontinued", "no longer available"], "https://schema.org/LimitedAvailability": ["limited stock", "limited availability", "few left"],
+    "https://schema.org/InStock": ["in stock", "available", "add to cart", "add to bag", "buy now"],
+    "https://schema.org/OutOfStock": ["out of stock", "sold out", "unavailable"],
+    "https://schema.org/PreOrder": ["pre-order", "preorder", "pre order"],
+    "https://schema.org/BackOrder": ["back order", "backorder", "backordered"],
+    "https://schema.org/SoldOut": ["sold out"],
+    "https://schema.org/Discontinued": ["discontinued", "no longer available"],
+    "https://schema.org/LimitedAvailability": ["limited stock", "limited availability", "few left"],
 }
 EAGERNESS = ["immediate", "eager", "moderate", "conservative"]
 
 
 def jsonld_scripts(elements: DataFrame) -> DataFrame:
     """(url, block, raw) of the JSON-LD scripts of pages."""
-    return elements.where((F.col("tag") == "script") & (F.lower(F.trim(attr("type"))) == "application/ld+json")).select("url", F.col("seq").alias("block"), F.col("text").alias("raw"))
+    return elements.where(
+        (F.col("tag") == "script") & (F.lower(F.trim(attr("type"))) == "application/ld+json")
+    ).select("url", F.col("seq").alias("block"), F.col("text").alias("raw"))
 
 
 def _kind(c: Column) -> Column:
@@ -61,7 +79,10 @@ def jsonld_blocks(scripts: DataFrame) -> DataFrame:
     a null node. Each level is a table of its own, so that the HTML is read once."""
     level = scripts.select("url", "block", F.array().cast("array<int>").alias("at"), F.try_parse_json("raw").alias("node"))
     graph = F.try_variant_get("node", "$['@graph']", "variant")
-    opened = F.when(_kind(F.col("node")) == "ARRAY", F.try_variant_get("node", "$", "array<variant>")).when((_kind(F.col("node")) == "OBJECT") & graph.isNotNull(), F.coalesce(F.try_variant_get("node", "$['@graph']", "array<variant>"), F.array(graph)))
+    opened = F.when(_kind(F.col("node")) == "ARRAY", F.try_variant_get("node", "$", "array<variant>")).when(
+        (_kind(F.col("node")) == "OBJECT") & graph.isNotNull(),
+        F.coalesce(F.try_variant_get("node", "$['@graph']", "array<variant>"), F.array(graph)),
+    )
     done = []
     while True:
         level = materialize(level.withColumn("inner", opened), "jsonld")
@@ -89,8 +110,12 @@ def script_texts(nodes: DataFrame) -> DataFrame:
         text = F.try_variant_get("value", "$", "string")
         found.append(level.where((_kind(F.col("value")) == "STRING") & text.rlike(tag)).select("url", "block", "path"))
         fields = level.where(_kind(F.col("value")) == "OBJECT").select("url", "block", "path", F.explode(_entries(F.col("value"))).alias("k", "value"))
-        items = level.where(_kind(F.col("value")) == "ARRAY").select("url", "block", "path", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("i", "value"))
-        inner = fields.select("url", "block", F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "value").unionByName(items.select("url", "block", F.concat("path", F.lit("["), "i", F.lit("]")).alias("path"), "value"))
+        items = level.where(_kind(F.col("value")) == "ARRAY").select(
+            "url", "block", "path", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("i", "value"),
+        )
+        inner = fields.select("url", "block", F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "value").unionByName(
+            items.select("url", "block", F.concat("path", F.lit("["), "i", F.lit("]")).alias("path"), "value")
+        )
         level = materialize(inner.where(F.to_json("value").rlike(tag)), "strings")
     return union_all(found) if found else nodes.select("url", "block", F.lit("").alias("path")).limit(0)
 
@@ -112,22 +137,33 @@ def validate_jsonld(blocks: DataFrame) -> DataFrame:
     there = F.map_keys(_entries(F.col("node")))
     full = F.map_keys(F.map_filter(_entries(F.col("node")), lambda k, v: ~F.to_json(v).isin("null", '""', "[]", "{}", "0", "false")))
     nodes = materialize(nodes.withColumn("fields", F.concat(full, F.transform(there, lambda k: F.concat(F.lit("+"), k)))), "nodes")
-    rules = blocks.sparkSession.createDataFrame([(t, fields.split(), rule, severity) for kinds, fields, rule, severity in REQUIRED for t in kinds], "type string, any array<string>, rule string, severity string")
+    rules = blocks.sparkSession.createDataFrame(
+        [(t, fields.split(), rule, severity) for kinds, fields, rule, severity in REQUIRED for t in kinds],
+        "type string, any array<string>, rule string, severity string",
+    )
     typed = nodes.select("url", "block", "fields", F.explode(F.array_distinct("types")).alias("type"))
     missing = typed.join(rules, "type").where(~F.arrays_overlap("any", "fields")).select("url", "block", "severity", "rule", F.col("type").alias("detail"))
     old = typed.where(F.col("type").isin(*DEPRECATED)).select("url", "block", F.lit("high"), F.lit("deprecated_type"), "type")
     value = lambda f: F.coalesce(F.try_variant_get("node", f"$.{f}", "string"), F.lit(""))
     offers = nodes.where(F.array_contains("types", "Offer"))
-    currency = offers.where((value("priceCurrency") != "") & ~value("priceCurrency").rlike("^[A-Z]{3}$")).select("url", "block", F.lit("high"), F.lit("offer_invalid_currency"), value("priceCurrency"))
-    stock = offers.where((value("availability") != "") & ~F.substring_index(value("availability"), "/", -1).isin(*AVAILABILITY)).select("url", "block", F.lit("medium"), F.lit("offer_unknown_availability"), value("availability"))
+    currency = offers.where((value("priceCurrency") != "") & ~value("priceCurrency").rlike("^[A-Z]{3}$")).select(
+        "url", "block", F.lit("high"), F.lit("offer_invalid_currency"), value("priceCurrency"),
+    )
+    stock = offers.where(
+        (value("availability") != "") & ~F.substring_index(value("availability"), "/", -1).isin(*AVAILABILITY)
+    ).select("url", "block", F.lit("medium"), F.lit("offer_unknown_availability"), value("availability"))
     unsafe = script_texts(whole).select("url", "block", F.lit("high"), F.lit("unsanitized_user_content"), "path")
     broken = blocks.where("node is null").select("url", "block", F.lit("high"), F.lit("invalid_json"), F.lit(""))
     lists = nodes.where(F.array_contains("types", "BreadcrumbList")).withColumn("items", F.try_variant_get("node", "$.itemListElement", "array<variant>"))
     none = lists.where("coalesce(size(items), 0) <= 0").select("url", "block", F.lit("high"), F.lit("breadcrumb_missing_items"), F.lit(""))
     part = lambda f: F.try_variant_get("item", f"$.{f}", "string")
-    crumbs = lists.select("url", "block", "at", F.posexplode("items").alias("i", "item")).where(_kind(F.col("item")) == "OBJECT").select("url", "block", "at", "i", part("position").alias("position"), F.coalesce(part("name"), F.lit("")).alias("name"))
+    crumbs = lists.select("url", "block", "at", F.posexplode("items").alias("i", "item")).where(_kind(F.col("item")) == "OBJECT").select(
+        "url", "block", "at", "i", part("position").alias("position"), F.coalesce(part("name"), F.lit("")).alias("name"),
+    )
     again = F.row_number().over(Window.partitionBy("url", "block", "at", "position").orderBy("i"))  # the crumbs of one list
-    twice = crumbs.where("position is not null").withColumn("n", again).where("n > 1").select("url", "block", F.lit("high"), F.lit("breadcrumb_duplicate_position"), "position")
+    twice = crumbs.where("position is not null").withColumn("n", again).where("n > 1").select(
+        "url", "block", F.lit("high"), F.lit("breadcrumb_duplicate_position"), "position",
+    )
     placeless = crumbs.where("position is null").select("url", "block", F.lit("high"), F.lit("breadcrumb_item_missing_position"), F.col("i").cast("string"))
     nameless = crumbs.where("name = ''").select("url", "block", F.lit("high"), F.lit("breadcrumb_item_missing_name"), F.coalesce("position", F.lit("")))
     out = missing
@@ -151,14 +187,26 @@ def schema_consistency(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     kind = lambda t: F.array_contains("types", t)
     value = lambda p: F.try_variant_get("node", p, "string")
     place = F.struct("block", "at")
-    facts = F.struct(value("$.name").alias("name"), F.coalesce(value("$.offers[0].price"), value("$.offers.price")).alias("price"), F.coalesce(value("$.offers[0].priceCurrency"), value("$.offers.priceCurrency")).alias("currency"), F.coalesce(value("$.offers[0].availability"), value("$.offers.availability")).alias("stock"), F.try_variant_get("node", "$.offers", "variant").isNotNull().alias("sold"))
+    facts = F.struct(
+        value("$.name").alias("name"), F.coalesce(value("$.offers[0].price"), value("$.offers.price")).alias("price"),
+        F.coalesce(value("$.offers[0].priceCurrency"), value("$.offers.priceCurrency")).alias("currency"),
+        F.coalesce(value("$.offers[0].availability"), value("$.offers.availability")).alias("stock"),
+        F.try_variant_get("node", "$.offers", "variant").isNotNull().alias("sold"),
+    )
     alone = F.struct(value("$.price").alias("price"), value("$.priceCurrency").alias("currency"), value("$.availability").alias("stock"))
     trail = F.try_variant_get("node", "$.itemListElement", "array<variant>")
     first = lambda t, what: F.min_by(F.when(kind(t), what), F.when(kind(t), place))
-    per = blocks.where("node is not null").groupBy("url").agg(first("Product", facts).alias("product"), first("Offer", alone).alias("offer"), first("BreadcrumbList", trail).alias("trail"))
+    per = blocks.where("node is not null").groupBy("url").agg(
+        first("Product", facts).alias("product"), first("Offer", alone).alias("offer"), first("BreadcrumbList", trail).alias("trail"),
+    )
     c = F.col
     rows = per.join(texts, "url")
-    rows = rows.select("url", "product", "trail", *(F.when(c("product.sold"), c(f"product.{x}")).when(c("product").isNotNull(), c(f"offer.{x}")).alias(x) for x in ("price", "currency", "stock")), plain(c("product.name")).alias("name"), plain(c("h1")).alias("h1"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), plain(c("nav")).alias("nav"))
+    rows = rows.select(
+        "url", "product", "trail",
+        *(F.when(c("product.sold"), c(f"product.{x}")).when(c("product").isNotNull(), c(f"offer.{x}")).alias(x) for x in ("price", "currency", "stock")),
+        plain(c("product.name")).alias("name"), plain(c("h1")).alias("h1"), F.lower(F.coalesce("text", F.lit(""))).alias("text"),
+        plain(c("nav")).alias("nav"),
+    )
     number = c("price").try_cast("double")
     grouped = F.format_number(number, 2)
     forms = F.array(F.format_string("%.2f", number), F.format_string("%.0f", F.floor(number + 0.5).cast("double")), grouped, F.translate(grouped, ",.", ".,"))
@@ -168,9 +216,15 @@ def schema_consistency(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     items = F.filter(F.transform(F.coalesce("trail", F.array().cast("array<variant>")), lambda x: plain(F.try_variant_get(x, "$.name", "string"))), lambda x: x != "")
     hidden = F.filter(items, lambda x: ~c("nav").contains(x))
     out = [
-        ("name_no_h1", "medium", (c("name") != "") & (c("h1") == ""), c("name")), ("name_mismatch", "high", (c("name") != "") & (c("h1") != "") & ~c("h1").contains(c("name")) & ~c("name").contains(c("h1")), c("h1")),
-        ("price_mismatch", "high", c("price").isNotNull() & (F.coalesce("currency", F.lit("")) != "") & ~F.coalesce(F.exists(forms, lambda f: c("text").contains(f)), F.lit(False)), c("price")),
-        ("stock_mismatch", "high", ~shows(known), c("stock")), ("stock_conflict", "high", (c("stock") == "https://schema.org/OutOfStock") & shows(signals["https://schema.org/InStock"]), c("stock")),
+        ("name_no_h1", "medium", (c("name") != "") & (c("h1") == ""), c("name")),
+        ("name_mismatch", "high", (c("name") != "") & (c("h1") != "") & ~c("h1").contains(c("name")) & ~c("name").contains(c("h1")), c("h1")),
+        (
+            "price_mismatch", "high",
+            c("price").isNotNull() & (F.coalesce("currency", F.lit("")) != "") & ~F.coalesce(F.exists(forms, lambda f: c("text").contains(f)), F.lit(False)),
+            c("price"),
+        ),
+        ("stock_mismatch", "high", ~shows(known), c("stock")),
+        ("stock_conflict", "high", (c("stock") == "https://schema.org/OutOfStock") & shows(signals["https://schema.org/InStock"]), c("stock")),
         ("breadcrumb_no_nav", "medium", c("trail").isNotNull() & (c("nav") == ""), None),
     ]
     unseen = rows.where(c("trail").isNotNull() & (c("nav") != "")).select("url", F.explode(hidden).alias("detail"))
@@ -203,12 +257,17 @@ def speculation_audit(elements: DataFrame) -> DataFrame:
     scripts = elements.where((F.col("tag") == "script") & (F.lower(attr("type")) == "speculationrules")).select("url", "seq", F.try_parse_json("text").alias("node"))
     broken = scripts.where("node is null").select("url", F.lit("high").alias("severity"), F.lit("invalid_json").alias("rule"), F.lit("").alias("detail"))
     actions = F.map_filter(_entries(F.col("node")), lambda k, v: k.isin("prefetch", "prerender"))
-    rules = scripts.where("node is not null").select("url", "seq", F.explode(actions).alias("action", "rules")).select("url", "seq", "action", F.posexplode(F.try_variant_get("rules", "$", "array<variant>")).alias("i", "r"))
+    rules = scripts.where("node is not null").select("url", "seq", F.explode(actions).alias("action", "rules")).select(
+        "url", "seq", "action", F.posexplode(F.try_variant_get("rules", "$", "array<variant>")).alias("i", "r"),
+    )
     # The rules of all scripts of a page count as one list for each action.
     no = F.row_number().over(Window.partitionBy("url", "action").orderBy("seq", "i")) - 1
     urls = F.coalesce(F.try_variant_get("r", "$.urls", "array<string>"), F.array().cast("array<string>"))
     said = F.try_variant_get("r", "$.eagerness", "string")
-    rows = rules.select("url", "action", no.alias("no"), said.alias("said"), F.try_variant_get("r", "$.urls", "array<variant>").isNotNull().alias("lists"), F.concat(urls, _where_patterns(F.to_json(F.try_variant_get("r", "$.where", "variant")))).alias("patterns"))
+    rows = rules.select(
+        "url", "action", no.alias("no"), said.alias("said"), F.try_variant_get("r", "$.urls", "array<variant>").isNotNull().alias("lists"),
+        F.concat(urls, _where_patterns(F.to_json(F.try_variant_get("r", "$.where", "variant")))).alias("patterns"),
+    )
     rows = rows.withColumn("eager", F.coalesce("said", F.when(F.col("lists"), "immediate").otherwise("conservative")))
     c = F.col
     which = lambda f: F.array_join(F.filter("patterns", f), " ")
@@ -218,9 +277,13 @@ def speculation_audit(elements: DataFrame) -> DataFrame:
     detail = lambda what: F.concat_ws(" ", "action", "no", what)
     prerender, now = c("action") == "prerender", c("eager") == "immediate"
     return broken.unionByName(findings(rows, [
-        ("unknown_eagerness", "medium", c("said").isNotNull() & ~c("said").isin(*EAGERNESS), detail(c("said"))), ("default_immediate", "medium", c("said").isNull() & now, detail(F.lit(None).cast("string"))),
-        ("immediate_broad_pattern", "high", now & (broad != "") & prerender, detail(broad)), ("immediate_broad_pattern", "medium", now & (broad != "") & ~prerender, detail(broad)),
-        ("immediate_selector", "high", prerender & now & (selectors != ""), detail(selectors)), ("one_time_action", "high", prerender & (once != ""), detail(once)), ("cross_origin", "medium", other != "", detail(other)),
+        ("unknown_eagerness", "medium", c("said").isNotNull() & ~c("said").isin(*EAGERNESS), detail(c("said"))),
+        ("default_immediate", "medium", c("said").isNull() & now, detail(F.lit(None).cast("string"))),
+        ("immediate_broad_pattern", "high", now & (broad != "") & prerender, detail(broad)),
+        ("immediate_broad_pattern", "medium", now & (broad != "") & ~prerender, detail(broad)),
+        ("immediate_selector", "high", prerender & now & (selectors != ""), detail(selectors)),
+        ("one_time_action", "high", prerender & (once != ""), detail(once)),
+        ("cross_origin", "medium", other != "", detail(other)),
     ]))
 
 

@@ -23,7 +23,10 @@ REGISTRY = [
     ("applebot", "search", ["Applebot"]),
 ]
 # Tokens of genuine search fetchers; strict mode takes the first alone.
-SEARCH_TOKENS = ["Googlebot", "Googlebot-Image", "Googlebot-News", "Googlebot-Video", "Storebot-Google", "AdsBot-Google", "AdsBot-Google-Mobile", "Mediapartners-Google", "APIs-Google", "FeedFetcher-Google", "Google-Read-Aloud", "GoogleOther"]
+SEARCH_TOKENS = [
+    "Googlebot", "Googlebot-Image", "Googlebot-News", "Googlebot-Video", "Storebot-Google", "AdsBot-Google", "AdsBot-Google-Mobile",
+    "Mediapartners-Google", "APIs-Google", "FeedFetcher-Google", "Google-Read-Aloud", "GoogleOther",
+]
 
 _COMBINED = r'^(\S+) \S+ \S+ \[?([^\]]+?)\]? "([A-Z]+) (\S+)(?: [^"]*)?" (\d{3}) (\d+|-) "([^"]*)" "([^"]*)"(?: "?([\d.]+)"?)?\s*$'
 
@@ -40,7 +43,9 @@ def detect_log_format(lines: DataFrame) -> DataFrame:
     """`lines` with log_format of each line, so that mixed files work."""
     v, first = F.ltrim(F.col("value")), F.substring_index(F.ltrim(F.col("value")), " ", 1)
     key = lambda *names: F.greatest(*[v.contains(f'"{n}"').cast("int") for n in names]) == 1
-    kind = F.when(v.startswith("{") & key("EdgeStartTimestamp", "ClientRequestURI", "ClientIP"), "cloudflare").when(v.startswith("{"), "nginx_json").when(first.isin("http", "https", "h2", "grpcs", "ws", "wss"), "alb").otherwise("combined")
+    kind = F.when(
+        v.startswith("{") & key("EdgeStartTimestamp", "ClientRequestURI", "ClientIP"), "cloudflare",
+    ).when(v.startswith("{"), "nginx_json").when(first.isin("http", "https", "h2", "grpcs", "ws", "wss"), "alb").otherwise("combined")
     return lines.withColumn("log_format", kind)
 
 
@@ -54,8 +59,17 @@ def _moment(c: Column) -> Column:
 def _shape(rows: DataFrame, **cols: Column) -> DataFrame:
     uri = cols["uri"]
     row = {
-        "timestamp": _moment(cols["timestamp"]), "remote_addr": cols["remote_addr"], "method": cols["method"], "host": cols.get("host", F.lit("")), "uri": uri, "path": split_path(uri),
-        "status": cols["status"].try_cast("int"), "bytes_sent": F.coalesce(cols["bytes_sent"].try_cast("long"), F.lit(0).cast("long")), "referer": cols.get("referer", F.lit("")), "user_agent": cols["user_agent"], "request_time": cols.get("request_time", F.lit(None)).try_cast("double"),
+        "timestamp": _moment(cols["timestamp"]),
+        "remote_addr": cols["remote_addr"],
+        "method": cols["method"],
+        "host": cols.get("host", F.lit("")),
+        "uri": uri,
+        "path": split_path(uri),
+        "status": cols["status"].try_cast("int"),
+        "bytes_sent": F.coalesce(cols["bytes_sent"].try_cast("long"), F.lit(0).cast("long")),
+        "referer": cols.get("referer", F.lit("")),
+        "user_agent": cols["user_agent"],
+        "request_time": cols.get("request_time", F.lit(None)).try_cast("double"),
     }
     fine = row["timestamp"].isNotNull() & (F.coalesce(uri, F.lit("")) != "") & row["status"].isNotNull()
     return rows.withColumn("record", F.when(fine, F.struct(*[c.alias(k) for k, c in row.items()])))
@@ -65,7 +79,10 @@ def parse_combined(lines: DataFrame) -> DataFrame:
     """`lines` with record (null if the line is malformed): the NCSA combined form,
     time in NCSA or ISO form, with a request time at the end if there is one."""
     g = lambda i: F.regexp_extract("value", _COMBINED, i)
-    return _shape(lines, timestamp=g(2), remote_addr=g(1), method=g(3), uri=g(4), status=g(5), bytes_sent=g(6), referer=F.when(g(7) == "-", "").otherwise(g(7)), user_agent=g(8), request_time=F.nullif(g(9), F.lit("")))
+    return _shape(
+        lines, timestamp=g(2), remote_addr=g(1), method=g(3), uri=g(4), status=g(5), bytes_sent=g(6), referer=F.when(g(7) == "-", "").otherwise(g(7)),
+        user_agent=g(8), request_time=F.nullif(g(9), F.lit("")),
+    )
 
 
 def _json(lines: DataFrame, names: list[str]) -> dict[str, Column]:
@@ -73,15 +90,35 @@ def _json(lines: DataFrame, names: list[str]) -> dict[str, Column]:
 
 
 def parse_nginx_json(lines: DataFrame) -> DataFrame:
-    j = _json(lines, ["timestamp", "time_iso8601", "remote_addr", "method", "request_method", "host", "uri", "request_uri", "status", "bytes_sent", "body_bytes_sent", "referer", "http_referer", "user_agent", "http_user_agent", "request_time"])
+    j = _json(
+        lines,
+        [
+            "timestamp", "time_iso8601", "remote_addr", "method", "request_method", "host", "uri", "request_uri", "status", "bytes_sent",
+            "body_bytes_sent", "referer", "http_referer", "user_agent", "http_user_agent", "request_time",
+        ],
+    )
     either = lambda *names: F.coalesce(*[j[n] for n in names], F.lit(""))
-    return _shape(lines, timestamp=either("timestamp", "time_iso8601"), remote_addr=either("remote_addr"), method=either("method", "request_method"), host=either("host"), uri=either("uri", "request_uri"), status=either("status"), bytes_sent=either("bytes_sent", "body_bytes_sent"), referer=either("referer", "http_referer"), user_agent=either("user_agent", "http_user_agent"), request_time=j["request_time"])
+    return _shape(
+        lines, timestamp=either("timestamp", "time_iso8601"), remote_addr=either("remote_addr"), method=either("method", "request_method"),
+        host=either("host"), uri=either("uri", "request_uri"), status=either("status"), bytes_sent=either("bytes_sent", "body_bytes_sent"),
+        referer=either("referer", "http_referer"), user_agent=either("user_agent", "http_user_agent"), request_time=j["request_time"],
+    )
 
 
 def parse_cloudflare(lines: DataFrame) -> DataFrame:
-    j = _json(lines, ["EdgeStartTimestamp", "ClientIP", "ClientRequestMethod", "ClientRequestHost", "ClientRequestURI", "EdgeResponseStatus", "EdgeResponseBytes", "ClientRequestReferer", "ClientRequestUserAgent", "OriginResponseDurationMs"])
+    j = _json(
+        lines,
+        [
+            "EdgeStartTimestamp", "ClientIP", "ClientRequestMethod", "ClientRequestHost", "ClientRequestURI", "EdgeResponseStatus",
+            "EdgeResponseBytes", "ClientRequestReferer", "ClientRequestUserAgent", "OriginResponseDurationMs",
+        ],
+    )
     text = lambda n: F.coalesce(j[n], F.lit(""))
-    return _shape(lines, timestamp=text("EdgeStartTimestamp"), remote_addr=text("ClientIP"), method=text("ClientRequestMethod"), host=text("ClientRequestHost"), uri=text("ClientRequestURI"), status=text("EdgeResponseStatus"), bytes_sent=text("EdgeResponseBytes"), referer=text("ClientRequestReferer"), user_agent=text("ClientRequestUserAgent"), request_time=j["OriginResponseDurationMs"].try_cast("double") / 1000)
+    return _shape(
+        lines, timestamp=text("EdgeStartTimestamp"), remote_addr=text("ClientIP"), method=text("ClientRequestMethod"), host=text("ClientRequestHost"),
+        uri=text("ClientRequestURI"), status=text("EdgeResponseStatus"), bytes_sent=text("EdgeResponseBytes"), referer=text("ClientRequestReferer"),
+        user_agent=text("ClientRequestUserAgent"), request_time=j["OriginResponseDurationMs"].try_cast("double") / 1000,
+    )
 
 
 def parse_alb(lines: DataFrame) -> DataFrame:
@@ -91,7 +128,11 @@ def parse_alb(lines: DataFrame) -> DataFrame:
     t = lambda i: F.regexp_replace(F.coalesce(F.get(tokens, F.lit(i)), F.lit("")), '^"|"$', "")
     url = F.get(F.split(t(12), " "), F.lit(1))
     uri = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[a-z]+://[^/]+", "")
-    return _shape(lines, timestamp=t(1), remote_addr=F.regexp_replace(t(3), r":\d+$", ""), method=F.substring_index(t(12), " ", 1), host=F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-z]+://([^/:]+)", 1), uri=F.when((uri == "") & (url != ""), "/").otherwise(uri), status=t(8), bytes_sent=t(11), user_agent=t(13), request_time=F.when(t(6) != "-1", t(6)))
+    return _shape(
+        lines, timestamp=t(1), remote_addr=F.regexp_replace(t(3), r":\d+$", ""), method=F.substring_index(t(12), " ", 1),
+        host=F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-z]+://([^/:]+)", 1), uri=F.when((uri == "") & (url != ""), "/").otherwise(uri),
+        status=t(8), bytes_sent=t(11), user_agent=t(13), request_time=F.when(t(6) != "-1", t(6)),
+    )
 
 
 PARSERS = {"combined": parse_combined, "nginx_json": parse_nginx_json, "cloudflare": parse_cloudflare, "alb": parse_alb}
@@ -118,7 +159,11 @@ def parse_by_index(lines: DataFrame, status: int = 9, url: int = 7, size: int =
     quoted = F.regexp_extract("value", r'"(?:GET|POST|HEAD|PUT|DELETE|OPTIONS|PATCH) (\S+)[^"]*" (\d{3}) (\d+|-)', 1)
     q = lambda i: F.regexp_extract("value", r'"(?:GET|POST|HEAD|PUT|DELETE|OPTIONS|PATCH) (\S+)[^"]*" (\d{3}) (\d+|-)', i)
     pick = lambda a, b: F.when(quoted != "", a).otherwise(b)
-    out = lines.select(pick(q(1), at(url)).alias("url"), pick(q(2), at(status)).try_cast("int").alias("status"), F.coalesce(pick(q(3), at(size)).try_cast("long"), F.lit(0)).alias("bytes_sent"), (at(rtime) if rtime else F.lit(None)).try_cast("double").alias("request_time"))
+    out = lines.select(
+        pick(q(1), at(url)).alias("url"), pick(q(2), at(status)).try_cast("int").alias("status"),
+        F.coalesce(pick(q(3), at(size)).try_cast("long"), F.lit(0)).alias("bytes_sent"),
+        (at(rtime) if rtime else F.lit(None)).try_cast("double").alias("request_time"),
+    )
     return out.where("url is not null and status is not null")
 
 
@@ -130,8 +175,12 @@ def verify_crawler(logs: DataFrame, ranges: DataFrame, out: str = "verified_craw
     occurs, which Spark answers by broadcasts: the logs are not shuffled. Of more ranges than
     `FEW_RANGES`, the distinct addresses are looked up instead, and joined to the logs once.
     """
-    cut = ranges.select("crawler", "ord", F.split("cidr", "/").alias("p")).select("crawler", "ord", ip_bits(F.col("p")[0]).alias("bits"), F.get("p", F.lit(1)).try_cast("int").alias("plen"))
-    cut = cut.where("bits is not null and plen between 0 and length(bits)").select(F.length("bits").alias("size"), "plen", F.expr("left(bits, plen)").alias("prefix"), F.struct("ord", "crawler").alias("hit"))
+    cut = ranges.select("crawler", "ord", F.split("cidr", "/").alias("p")).select(
+        "crawler", "ord", ip_bits(F.col("p")[0]).alias("bits"), F.get("p", F.lit(1)).try_cast("int").alias("plen"),
+    )
+    cut = cut.where("bits is not null and plen between 0 and length(bits)").select(
+        F.length("bits").alias("size"), "plen", F.expr("left(bits, plen)").alias("prefix"), F.struct("ord", "crawler").alias("hit"),
+    )
     cut = materialize(cut.groupBy("size", "plen", "prefix").agg(F.min("hit").alias("hit")), "ranges")
     lengths = sorted((r["size"], r["plen"]) for r in cut.select("size", "plen").distinct().collect())  # 161 at most
     if not logs.isStreaming and cut.count() > FEW_RANGES:
@@ -187,14 +236,19 @@ def enrich_logs(raw: DataFrame, ranges: DataFrame, anonymize: bool = True) -> Da
 def enrichment_summary(enriched: DataFrame) -> DataFrame:
     """Requests, errors, distinct paths and share for each verified crawler ('' is none)."""
     every = Window.partitionBy()
-    counts = enriched.groupBy("verified_crawler").agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"), F.countDistinct("path").alias("paths"))
+    counts = enriched.groupBy("verified_crawler").agg(
+        F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"), F.countDistinct("path").alias("paths"),
+    )
     return counts.withColumn("share", F.round(100.0 * F.col("requests") / F.sum("requests").over(every), 4).cast("double"))
 
 
 def enrichment_totals(enriched: DataFrame) -> DataFrame:
     """One row: all requests, those of verified crawlers, and how many kinds of these there are."""
     real = F.col("verified_crawler") != ""
-    return enriched.agg(F.count("*").alias("total_requests"), F.count_if(real).alias("verified_crawlers"), F.count_distinct(F.when(real, F.col("verified_crawler"))).alias("distinct_crawler_types"))
+    return enriched.agg(
+        F.count("*").alias("total_requests"), F.count_if(real).alias("verified_crawlers"),
+        F.count_distinct(F.when(real, F.col("verified_crawler"))).alias("distinct_crawler_types"),
+    )
 
 
 def googlebot_verification(logs: DataFrame, ranges: DataFrame, strict: bool = False) -> DataFrame:
@@ -218,7 +272,10 @@ def crawler_verification_report(logs: DataFrame, ranges: DataFrame) -> DataFrame
     """For each crawler, requests verified by address, and requests that only claim it."""
     rows = ua_claim(verify_crawler(logs, ranges))
     name = F.when(F.col("verified_crawler") != "", F.col("verified_crawler")).otherwise(F.col("claimed_crawler"))
-    return rows.groupBy(name.alias("crawler")).agg(F.count_if(F.col("verified_crawler") != "").alias("verified"), F.count_if(F.expr("verified_crawler = '' and claimed_crawler <> ''")).alias("spoofed")).where("crawler <> ''")
+    return rows.groupBy(name.alias("crawler")).agg(
+        F.count_if(F.col("verified_crawler") != "").alias("verified"),
+        F.count_if(F.expr("verified_crawler = '' and claimed_crawler <> ''")).alias("spoofed"),
+    ).where("crawler <> ''")
 
 
 def keep_verified(logs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -244,7 +301,10 @@ def ip_membership(logs: DataFrame, ranges: DataFrame, lists_loaded: bool = True)
 
 def negotiate(accept: Column, supported: list[str], default: str = "en") -> Column:
     """The supported language that the Accept-Language header likes best; ties by place."""
-    item = lambda x, i: F.struct((-F.coalesce(F.nullif(F.regexp_extract(x, r"q=([0-9.]+)", 1), F.lit("")).try_cast("double"), F.lit(1.0))).alias("q"), i.alias("at"), F.lower(F.regexp_extract(x, r"^\s*([A-Za-z]+)", 1)).alias("lang"))
+    item = lambda x, i: F.struct(
+        (-F.coalesce(F.nullif(F.regexp_extract(x, r"q=([0-9.]+)", 1), F.lit("")).try_cast("double"), F.lit(1.0))).alias("q"), i.alias("at"),
+        F.lower(F.regexp_extract(x, r"^\s*([A-Za-z]+)", 1)).alias("lang"),
+    )
     liked = F.filter(F.array_sort(F.transform(F.split(F.coalesce(accept, F.lit("")), ","), item)), lambda s: s["lang"].isin(*supported) & (s["q"] < 0))
     return F.coalesce(F.get(liked, F.lit(0))["lang"], F.lit(default))
 

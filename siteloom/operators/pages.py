@@ -21,7 +21,9 @@ TEXT = "#text"
 # What a start tag ends, and what it doesn't reach out of (as HTML's tree construction has it).
 _BLOCKS = "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 _HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
-ENDS: dict[str, tuple[frozenset, frozenset]] = {tag: (frozenset({"p"}) | (_HEADINGS if tag in _HEADINGS else frozenset()), frozenset({"button", "table", "td", "th", "caption"})) for tag in _BLOCKS}
+ENDS: dict[str, tuple[frozenset, frozenset]] = {
+    tag: (frozenset({"p"}) | (_HEADINGS if tag in _HEADINGS else frozenset()), frozenset({"button", "table", "td", "th", "caption"})) for tag in _BLOCKS
+}
 ENDS |= {
     "li": (frozenset({"li", "p"}), frozenset({"ul", "ol", "menu", "table"})),
     "dt": (frozenset({"dt", "dd", "p"}), frozenset({"dl", "table"})),
@@ -42,8 +44,17 @@ LISTED = frozenset("main article aside nav header footer script style noscript t
 
 # Titles, texts and names that say nothing, and component classes.
 GENERIC_TITLES = ["untitled", "home", "homepage", "page", "default", "welcome", "index", "title"]
-SOFT_404 = ["no results found", "no products found", "no posts found", "no items found", "page not found", "page cannot be found", "page could not be found", "page doesn't exist", "page does not exist", "currently unavailable", "no longer available", "out of stock", "this product is unavailable", "this product has been discontinued", "there are no results", "there are no posts", "there are no items", "we couldn't find", "we could not find", "error 404", "404 error", "404 not found"]
-SOFT_404_SHORT = ["page not found", "page cannot be found", "404 not found", "the requested url was not found", "this page doesn't exist", "this page does not exist", "sorry, we could not find", "the page you are looking for", "no results found", "out of stock", "no products match", "this product is no longer available"]
+SOFT_404 = [
+    "no results found", "no products found", "no posts found", "no items found", "page not found", "page cannot be found", "page could not be found",
+    "page doesn't exist", "page does not exist", "currently unavailable", "no longer available", "out of stock", "this product is unavailable",
+    "this product has been discontinued", "there are no results", "there are no posts", "there are no items", "we couldn't find", "we could not find",
+    "error 404", "404 error", "404 not found",
+]
+SOFT_404_SHORT = [
+    "page not found", "page cannot be found", "404 not found", "the requested url was not found", "this page doesn't exist",
+    "this page does not exist", "sorry, we could not find", "the page you are looking for", "no results found", "out of stock", "no products match",
+    "this product is no longer available",
+]
 GENERIC_ALT = r"(?i)^(images?|photos?|pictures?|product image|product photo|thumbnail|icon|logo|banner|photo \d+|image \d+|img_\d+|dsc_\d+|untitled)$"
 COMPONENTS = ["card", "modal", "dialog", "popover", "tooltip", "dropdown", "menu", "sidebar", "widget", "banner", "tile"]
 
@@ -124,7 +135,12 @@ def page_elements(pages: DataFrame) -> DataFrame:
     buttons, and elements with a role, class or aria-label; `parent` leads to the others.
     """
     up = pa.struct([("seq", pa.int32()), ("tag", pa.string()), ("role", pa.string()), ("class", pa.string()), ("label", pa.string())])
-    schema = pa.schema([("url", pa.string()), ("seq", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("alts", pa.string()), ("ancestors", pa.list_(up)), ("in_head", pa.bool_())])
+    schema = pa.schema(
+        [
+            ("url", pa.string()), ("seq", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+            ("text", pa.string()), ("alts", pa.string()), ("ancestors", pa.list_(up)), ("in_head", pa.bool_()),
+        ]
+    )
 
     def made(out):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -153,7 +169,10 @@ def attr(name: str) -> Column:
 
 def head_facts(elements: DataFrame) -> DataFrame:
     """Counts and first values of the head's parts, one row a page."""
-    e = elements.select("url", "seq", "tag", "text", F.lower(attr("name")).alias("name"), F.lower(attr("property")).alias("property"), F.lower(attr("rel")).alias("rel"), attr("content").alias("content"), attr("href").alias("href"), attr("charset").alias("charset"), "in_head").where("tag in ('html', 'title', 'link', 'meta')")
+    e = elements.select(
+        "url", "seq", "tag", "text", F.lower(attr("name")).alias("name"), F.lower(attr("property")).alias("property"),
+        F.lower(attr("rel")).alias("rel"), attr("content").alias("content"), attr("href").alias("href"), attr("charset").alias("charset"), "in_head",
+    ).where("tag in ('html', 'title', 'link', 'meta')")
     meta = lambda n: (F.col("tag") == "meta") & (F.col("name") == n)
     prop = lambda p: (F.col("tag") == "meta") & ((F.col("property") == p) | (F.col("name") == p))
     canonical = (F.col("tag") == "link") & F.array_contains(F.split("rel", r"\s+"), "canonical") & F.col("in_head")
@@ -161,8 +180,16 @@ def head_facts(elements: DataFrame) -> DataFrame:
     n = lambda cond, name: F.count_if(cond).cast("int").alias(name)
     first = lambda cond, value, name: F.coalesce(F.min_by(F.when(cond, F.col(value)), F.when(cond, F.col("seq"))), F.lit("")).alias(name)
     return e.groupBy("url").agg(
-        n(title, "n_title"), first(title, "text", "title"), n(canonical, "n_canonical"), first(canonical, "href", "canonical"), n(meta("description"), "n_description"), first(meta("description"), "content", "description"),
-        first(meta("robots"), "content", "robots"), first(meta("googlebot"), "content", "googlebot"), first(meta("viewport"), "content", "viewport"), first((F.col("tag") == "meta") & (F.col("charset") != ""), "charset", "charset"),
+        n(title, "n_title"),
+        first(title, "text", "title"),
+        n(canonical, "n_canonical"),
+        first(canonical, "href", "canonical"),
+        n(meta("description"), "n_description"),
+        first(meta("description"), "content", "description"),
+        first(meta("robots"), "content", "robots"),
+        first(meta("googlebot"), "content", "googlebot"),
+        first(meta("viewport"), "content", "viewport"),
+        first((F.col("tag") == "meta") & (F.col("charset") != ""), "charset", "charset"),
         *((F.count_if(prop(p)) > 0).alias(name) for p, name in (("og:title", "has_og_title"), ("og:image", "has_og_image"), ("og:url", "has_og_url"), ("twitter:card", "has_twitter_card"))),
         *(first(prop(p), "content", p.replace(":", "_")) for p in ("og:title", "og:description", "og:image")),
     )
@@ -185,21 +212,36 @@ def head_audit(facts: DataFrame, fetches: DataFrame) -> DataFrame:
     noindex = has_noindex(c("robots")) | has_noindex(c("googlebot")) | has_noindex(c("x_robots_tag"))
     outside = absolute & (host(c("canonical")) != host(c("url")))
     return findings(rows, [
-        ("missing_title", "high", c("n_title") == 0, None), ("multiple_titles", "high", c("n_title") > 1, c("n_title")), ("empty_title", "high", (c("n_title") > 0) & (F.trim("title") == ""), None), ("generic_title", "medium", (c("n_title") > 0) & F.lower(F.trim("title")).isin(*GENERIC_TITLES), c("title")),
-        ("missing_canonical", "high", c("n_canonical") == 0, None), ("multiple_canonicals", "high", c("n_canonical") > 1, c("n_canonical")), ("relative_canonical", "high", one & ~absolute, c("canonical")), ("canonical_host_mismatch", "medium", outside, c("canonical")),
-        ("canonical_not_200", "high", absolute & ~outside & (c("_target_status") != 200), c("_target_status")), ("canonical_unreachable", "medium", absolute & c("_target").isNull(), c("canonical")),
-        ("noindex_on_indexable_page", "high", noindex & c("should_index"), None), ("noindex_with_external_canonical", "medium", noindex & absolute & (c("canonical") != c("url")), None),
+        ("missing_title", "high", c("n_title") == 0, None),
+        ("multiple_titles", "high", c("n_title") > 1, c("n_title")),
+        ("empty_title", "high", (c("n_title") > 0) & (F.trim("title") == ""), None),
+        ("generic_title", "medium", (c("n_title") > 0) & F.lower(F.trim("title")).isin(*GENERIC_TITLES), c("title")),
+        ("missing_canonical", "high", c("n_canonical") == 0, None),
+        ("multiple_canonicals", "high", c("n_canonical") > 1, c("n_canonical")),
+        ("relative_canonical", "high", one & ~absolute, c("canonical")),
+        ("canonical_host_mismatch", "medium", outside, c("canonical")),
+        ("canonical_not_200", "high", absolute & ~outside & (c("_target_status") != 200), c("_target_status")),
+        ("canonical_unreachable", "medium", absolute & c("_target").isNull(), c("canonical")),
+        ("noindex_on_indexable_page", "high", noindex & c("should_index"), None),
+        ("noindex_with_external_canonical", "medium", noindex & absolute & (c("canonical") != c("url")), None),
         ("missing_description", "medium", c("n_description") == 0, None), ("multiple_descriptions", "medium", c("n_description") > 1, c("n_description")),
-        ("missing_og_title", "low", ~c("has_og_title"), None), ("missing_og_image", "low", ~c("has_og_image"), None), ("missing_og_url", "low", ~c("has_og_url"), None), ("missing_twitter_card", "low", ~c("has_twitter_card"), None),
-        ("missing_viewport", "medium", c("viewport") == "", None), ("viewport_blocks_zoom", "medium", c("viewport").rlike(r"(?i)user-scalable\s*=\s*(no|0)|maximum-scale\s*=\s*1(\.0*)?\b"), c("viewport")),
-        ("missing_charset", "medium", c("charset") == "", None), ("non_utf8_charset", "medium", (c("charset") != "") & ~F.lower("charset").isin("utf-8", "utf8"), c("charset")),
+        ("missing_og_title", "low", ~c("has_og_title"), None),
+        ("missing_og_image", "low", ~c("has_og_image"), None),
+        ("missing_og_url", "low", ~c("has_og_url"), None),
+        ("missing_twitter_card", "low", ~c("has_twitter_card"), None),
+        ("missing_viewport", "medium", c("viewport") == "", None),
+        ("viewport_blocks_zoom", "medium", c("viewport").rlike(r"(?i)user-scalable\s*=\s*(no|0)|maximum-scale\s*=\s*1(\.0*)?\b"), c("viewport")),
+        ("missing_charset", "medium", c("charset") == "", None),
+        ("non_utf8_charset", "medium", (c("charset") != "") & ~F.lower("charset").isin("utf-8", "utf8"), c("charset")),
     ])
 
 
 def noindex_gate(facts: DataFrame, fetches: DataFrame) -> DataFrame:
     """(url, source) of pages meant for the index that say noindex, in header, robots or googlebot."""
     rows = fetches.where("should_index").select("url", "x_robots_tag").join(facts.select("url", "robots", "googlebot"), "url", "left")
-    made = F.array_compact(F.array(*[F.when(has_noindex(F.col(c)), F.lit(name)) for c, name in (("x_robots_tag", "header"), ("robots", "meta_robots"), ("googlebot", "meta_googlebot"))]))
+    made = F.array_compact(
+        F.array(*[F.when(has_noindex(F.col(c)), F.lit(name)) for c, name in (("x_robots_tag", "header"), ("robots", "meta_robots"), ("googlebot", "meta_googlebot"))])
+    )
     return rows.select("url", F.explode(made).alias("source"))
 
 
@@ -215,7 +257,16 @@ def head_contract(facts: DataFrame, expectations: DataFrame) -> DataFrame:
     (url, page_type, indexable, needs_og)."""
     rows = facts.join(expectations, "url")
     c = F.col
-    return findings(rows, [("one_title", "error", c("n_title") != 1, None), ("absolute_canonical", "error", ~u.is_abs_http(c("canonical")) | c("canonical").rlike("[?#]"), c("canonical")), ("one_description", "error", c("n_description") > 1, None), ("index_state", "error", has_noindex(c("robots")) == c("indexable"), c("robots")), ("viewport", "error", c("viewport") == "", None), ("og_set", "error", c("needs_og") & ~(c("has_og_title") & c("has_og_image") & c("has_og_url")), None)])
+    return findings(
+        rows,
+        [
+            ("one_title", "error", c("n_title") != 1, None),
+            ("absolute_canonical", "error", ~u.is_abs_http(c("canonical")) | c("canonical").rlike("[?#]"), c("canonical")),
+            ("one_description", "error", c("n_description") > 1, None),
+            ("index_state", "error", has_noindex(c("robots")) == c("indexable"), c("robots")), ("viewport", "error", c("viewport") == "", None),
+            ("og_set", "error", c("needs_og") & ~(c("has_og_title") & c("has_og_image") & c("has_og_url")), None),
+        ],
+    )
 
 
 def header_canonicals(link: Column) -> Column:
@@ -224,15 +275,31 @@ def header_canonicals(link: Column) -> Column:
 
 def canonical_audit(fetches: DataFrame, elements: DataFrame) -> DataFrame:
     """Findings on canonicals in the head and the Link header of fetches (url, status, link)."""
-    links = elements.where((F.col("tag") == "link") & F.array_contains(F.split(F.lower(attr("rel")), r"\s+"), "canonical")).groupBy("url").agg(F.collect_list(F.when(F.col("in_head"), attr("href"))).alias("heads"), F.count_if(~F.col("in_head")).alias("outside"))
+    links = elements.where((F.col("tag") == "link") & F.array_contains(F.split(F.lower(attr("rel")), r"\s+"), "canonical")).groupBy("url").agg(
+        F.collect_list(F.when(F.col("in_head"), attr("href"))).alias("heads"), F.count_if(~F.col("in_head")).alias("outside"),
+    )
     rows = fetches.join(links, "url", "left").withColumn("all", F.concat(F.coalesce("heads", F.array().cast("array<string>")), header_canonicals(F.col("link"))))
-    rows = rows.withColumn("first", F.trim(F.coalesce(F.get("all", F.lit(0)), F.lit("")))).withColumn("kinds", F.array_distinct(F.transform("all", lambda x: F.rtrim(F.lower(F.trim(x)), F.lit("/"))))).withColumn("n", F.size("all"))
+    rows = rows.withColumn("first", F.trim(F.coalesce(F.get("all", F.lit(0)), F.lit("")))).withColumn(
+        "kinds", F.array_distinct(F.transform("all", lambda x: F.rtrim(F.lower(F.trim(x)), F.lit("/")))),
+    ).withColumn("n", F.size("all"))
     c = F.col
     rows = rows.withColumn("same", u.normalize_url_compare(c("first"))).withColumn("own", u.normalize_url_compare(u.strip_tracking(c("url"))))
     http = u.is_abs_http(c("first"))
     one = (c("n") > 0) & (c("first") != "")
     other = http & (u.url_parts(c("first"))["host"] != u.url_parts(c("url"))["host"])
-    return findings(rows, [("outside_head", "error", F.coalesce("outside", F.lit(0)) > 0, None), ("missing", "error", c("n") == 0, None), ("conflicting", "error", F.size("kinds") > 1, None), ("multiple_same", "warning", (c("n") > 1) & (F.size("kinds") == 1), None), ("empty", "error", (c("n") > 0) & (c("first") == ""), None), ("relative", "warning", one & ~c("first").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), c("first")), ("non_http", "error", one & ~http & c("first").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), c("first")), ("tracking_in_canonical", "error", one & (F.size(u.tracking_params(c("first"))) > 0), c("first")), ("cross_host", "warning", other, c("first")), ("not_self", "notice", http & ~other & (c("same") != c("own")), c("first")), ("non_success", "error", ~c("status").between(200, 299), c("status"))])
+    return findings(
+        rows,
+        [
+            ("outside_head", "error", F.coalesce("outside", F.lit(0)) > 0, None), ("missing", "error", c("n") == 0, None),
+            ("conflicting", "error", F.size("kinds") > 1, None), ("multiple_same", "warning", (c("n") > 1) & (F.size("kinds") == 1), None),
+            ("empty", "error", (c("n") > 0) & (c("first") == ""), None),
+            ("relative", "warning", one & ~c("first").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), c("first")),
+            ("non_http", "error", one & ~http & c("first").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), c("first")),
+            ("tracking_in_canonical", "error", one & (F.size(u.tracking_params(c("first"))) > 0), c("first")),
+            ("cross_host", "warning", other, c("first")), ("not_self", "notice", http & ~other & (c("same") != c("own")), c("first")),
+            ("non_success", "error", ~c("status").between(200, 299), c("status")),
+        ],
+    )
 
 
 def visible_text(elements: DataFrame, drop: tuple = ("script", "style", "noscript", "template", "nav", "header", "footer")) -> DataFrame:
@@ -269,7 +336,9 @@ def rendering_debt(raw: DataFrame, rendered: DataFrame) -> DataFrame:
     """(url, debt): the share of the rendered words, with multiplicity, that the raw text
     lacks; 0 where nothing is rendered. Characters of scripts without blanks are words."""
     word = rf"[{UNSPACED}]|[\p{{L}}\p{{N}}_&&[^{UNSPACED}]]+"
-    tokens = lambda df, n: df.select("url", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(word), F.lit(0))).alias("w")).groupBy("url", "w").agg(F.count("*").alias(n))
+    tokens = lambda df, n: df.select(
+        "url", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(word), F.lit(0))).alias("w"),
+    ).groupBy("url", "w").agg(F.count("*").alias(n))
     both = tokens(raw, "a").join(tokens(rendered, "b"), ["url", "w"], "full").fillna(0, ["a", "b"])
     sums = both.groupBy("url").agg(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("more"), F.sum("b").alias("all"))
     pages = raw.select("url").union(rendered.select("url")).distinct().join(sums, "url", "left")
@@ -278,8 +347,12 @@ def rendering_debt(raw: DataFrame, rendered: DataFrame) -> DataFrame:
 
 def compare_fetches(a: DataFrame, b: DataFrame) -> DataFrame:
     """How two fetches (url, status, final_url, html) of a page differ, and their sizes."""
-    rows = a.select("url", *(F.col(c).alias(f"{c}_a") for c in ("status", "final_url", "html"))).join(b.select("url", *(F.col(c).alias(f"{c}_b") for c in ("status", "final_url", "html"))), "url")
-    kind = F.when(F.col("status_a") != F.col("status_b"), "status").when(F.col("final_url_a") != F.col("final_url_b"), "redirect").when(F.sha2(F.col("html_a").cast("binary"), 256) == F.sha2(F.col("html_b").cast("binary"), 256), "identical").otherwise("body")
+    rows = a.select("url", *(F.col(c).alias(f"{c}_a") for c in ("status", "final_url", "html"))).join(
+        b.select("url", *(F.col(c).alias(f"{c}_b") for c in ("status", "final_url", "html"))), "url",
+    )
+    kind = F.when(F.col("status_a") != F.col("status_b"), "status").when(F.col("final_url_a") != F.col("final_url_b"), "redirect").when(
+        F.sha2(F.col("html_a").cast("binary"), 256) == F.sha2(F.col("html_b").cast("binary"), 256), "identical",
+    ).otherwise("body")
     return rows.select("url", kind.alias("difference"), F.octet_length("html_a").alias("bytes_a"), F.octet_length("html_b").alias("bytes_b"))
 
 
@@ -296,7 +369,13 @@ def heading_outline(elements: DataFrame) -> DataFrame:
     """(url, seq, level, text, before): headings in order with the level before them."""
     w = Window.partitionBy("url").orderBy("seq")
     rows = elements.where(F.col("tag").rlike("^h[1-6]$")).withColumn("level", F.substring("tag", 2, 1).cast("int"))
-    return rows.select("url", "seq", "level", "text", F.lag("level").over(w).alias("before"), _inside("aside").alias("in_aside"), _inside("nav").alias("in_nav"), F.exists("ancestors", lambda a: a["role"].isin("dialog", "tooltip", "menu") | F.arrays_overlap(F.split(F.lower(a["class"]), r"[\s_-]+"), F.array(*[F.lit(x) for x in COMPONENTS]))).alias("in_component"))
+    return rows.select(
+        "url", "seq", "level", "text", F.lag("level").over(w).alias("before"), _inside("aside").alias("in_aside"), _inside("nav").alias("in_nav"),
+        F.exists(
+            "ancestors",
+            lambda a: a["role"].isin("dialog", "tooltip", "menu") | F.arrays_overlap(F.split(F.lower(a["class"]), r"[\s_-]+"), F.array(*[F.lit(x) for x in COMPONENTS])),
+        ).alias("in_component"),
+    )
 
 
 def semantic_audit(elements: DataFrame) -> DataFrame:
@@ -304,14 +383,48 @@ def semantic_audit(elements: DataFrame) -> DataFrame:
     c = F.col
     tag = lambda *t: c("tag").isin(*t)
     n = lambda cond, name: F.count_if(cond).alias(name)
-    per = elements.groupBy("url").agg(n(tag("h1"), "h1"), n(tag("main") & ~F.map_contains_key("attrs", "hidden"), "main"), n(tag("header"), "header"), n(tag("footer"), "footer"), n(tag("nav"), "nav"), n(tag("html") & (attr("lang") != ""), "lang"))
-    pages = findings(per, [("missing_h1", "high", c("h1") == 0, None), ("multiple_h1", "medium", c("h1") > 1, c("h1")), ("missing_main", "high", c("main") == 0, None), ("multiple_main", "medium", c("main") > 1, c("main")), ("missing_header", "low", c("header") == 0, None), ("missing_footer", "low", c("footer") == 0, None), ("missing_nav", "low", c("nav") == 0, None), ("missing_html_lang", "high", c("lang") == 0, None)])
-    heads = findings(heading_outline(elements), [("skipped_heading_level", "medium", c("level") > c("before") + 1, c("text")), ("heading_inside_aside", "low", c("in_aside"), c("text")), ("heading_inside_nav", "low", c("in_nav"), c("text")), ("heading_inside_ui_component", "low", c("in_component"), c("text"))])
+    per = elements.groupBy("url").agg(
+        n(tag("h1"), "h1"), n(tag("main") & ~F.map_contains_key("attrs", "hidden"), "main"), n(tag("header"), "header"), n(tag("footer"), "footer"),
+        n(tag("nav"), "nav"), n(tag("html") & (attr("lang") != ""), "lang"),
+    )
+    pages = findings(
+        per,
+        [
+            ("missing_h1", "high", c("h1") == 0, None), ("multiple_h1", "medium", c("h1") > 1, c("h1")),
+            ("missing_main", "high", c("main") == 0, None), ("multiple_main", "medium", c("main") > 1, c("main")),
+            ("missing_header", "low", c("header") == 0, None), ("missing_footer", "low", c("footer") == 0, None),
+            ("missing_nav", "low", c("nav") == 0, None), ("missing_html_lang", "high", c("lang") == 0, None),
+        ],
+    )
+    heads = findings(
+        heading_outline(elements),
+        [
+            ("skipped_heading_level", "medium", c("level") > c("before") + 1, c("text")), ("heading_inside_aside", "low", c("in_aside"), c("text")),
+            ("heading_inside_nav", "low", c("in_nav"), c("text")), ("heading_inside_ui_component", "low", c("in_component"), c("text")),
+        ],
+    )
     href = F.lower(F.trim(attr("href")))
     rows = elements.where(tag("a", "button"))
     nameless = (c("text") == "") & (c("alts") == "") & (attr("aria-label") == "") & (attr("title") == "") & (attr("aria-labelledby") == "")
-    links = findings(rows, [("anchor_without_href", "medium", tag("a") & ~F.map_contains_key("attrs", "href"), None), ("anchor_non_crawlable_href", "medium", tag("a") & F.map_contains_key("attrs", "href") & ((href == "") | (href == "#") | href.startswith("javascript:")), attr("href")), ("anchor_without_accessible_name", "high", tag("a") & nameless, None), ("button_without_accessible_name", "high", tag("button") & nameless, None)])
-    images = findings(elements.where(tag("img")), [("image_missing_alt", "high", ~F.map_contains_key("attrs", "alt"), attr("src")), ("image_generic_alt", "low", F.trim(attr("alt")).rlike(GENERIC_ALT), attr("alt"))])
+    links = findings(
+        rows,
+        [
+            ("anchor_without_href", "medium", tag("a") & ~F.map_contains_key("attrs", "href"), None),
+            (
+                "anchor_non_crawlable_href", "medium",
+                tag("a") & F.map_contains_key("attrs", "href") & ((href == "") | (href == "#") | href.startswith("javascript:")), attr("href"),
+            ),
+            ("anchor_without_accessible_name", "high", tag("a") & nameless, None),
+            ("button_without_accessible_name", "high", tag("button") & nameless, None),
+        ],
+    )
+    images = findings(
+        elements.where(tag("img")),
+        [
+            ("image_missing_alt", "high", ~F.map_contains_key("attrs", "alt"), attr("src")),
+            ("image_generic_alt", "low", F.trim(attr("alt")).rlike(GENERIC_ALT), attr("alt")),
+        ],
+    )
     return pages.union(heads).union(links).union(images)
 
 
@@ -341,7 +454,8 @@ def http_audit(fetches: DataFrame, elements: DataFrame, most_hops: int = 3) -> D
     more = findings(answered, [
         ("sitemap_url_returns_404", "error", (c("status") == 404) & c("in_sitemap"), c("status")), ("server_error", "error", c("status").between(500, 599), c("status")),
         ("possible_soft_404", "warning", ok & (F.length(body) < 8000) & F.exists(F.array(*[F.lit(p) for p in SOFT_404_SHORT]), lambda p: body.contains(p)), None),
-        ("no_store_on_html_disables_bfcache", "warning", html & F.lower("cache_control").contains("no-store"), None), ("long_max_age_on_html", "warning", html & (age > 7 * 86400), age),
+        ("no_store_on_html_disables_bfcache", "warning", html & F.lower("cache_control").contains("no-store"), None),
+        ("long_max_age_on_html", "warning", html & (age > 7 * 86400), age),
         ("noindex_in_response_header", "error", ok & F.lower("x_robots_tag").contains("noindex"), c("x_robots_tag")),
         ("mixed_content_on_https", "error", c("url").startswith("https://") & html & (c("plain_loads") > 0), c("plain_loads")),
         ("canonical_signal_conflict", "error", html & (u.resolve(c("url"), header) != u.resolve(c("url"), c("said"))), header),
@@ -351,7 +465,9 @@ def http_audit(fetches: DataFrame, elements: DataFrame, most_hops: int = 3) -> D
         ("no_conditional_request_headers", "warning", ok & ~has("etag") & ~has("last_modified"), None),
         ("conditional_request_not_honored", "warning", ok & (has("etag") | has("last_modified")) & (c("conditional_status") != 304), c("conditional_status")),
     ])
-    tags = answered.where(ok & html).select("url", F.explode("noindex").alias("m")).select("url", F.lit("error").alias("severity"), F.lit("noindex_in_meta_tag").alias("rule"), c("m.content").alias("detail"))
+    tags = answered.where(ok & html).select("url", F.explode("noindex").alias("m")).select(
+        "url", F.lit("error").alias("severity"), F.lit("noindex_in_meta_tag").alias("rule"), c("m.content").alias("detail"),
+    )
     return first.unionByName(more).unionByName(tags)
 
 
@@ -360,7 +476,18 @@ def redirect_types(chains: DataFrame) -> DataFrame:
     redirects where a permanent one is meant."""
     hop = chains.select("url", F.explode("chain").alias("h")).where("h.status = 302").select("url", F.col("h.url").alias("a"), F.col("h.location").alias("b"))
     a, b = u.url_parts(F.col("a")), u.url_parts(F.col("b"))
-    return findings(hop, [("wrong_redirect_type_http_to_https", "error", (a["scheme"] == "http") & (b["scheme"] == "https"), F.col("b")), ("wrong_redirect_type_www_normalization", "error", F.regexp_replace(a["host"], r"^www\.", "") .eqNullSafe(F.regexp_replace(b["host"], r"^www\.", "")) & (a["host"] != b["host"]), F.col("b")), ("wrong_redirect_type_trailing_slash", "error", (F.rtrim(a["path"], F.lit("/")) == F.rtrim(b["path"], F.lit("/"))) & (a["path"] != b["path"]), F.col("b"))])
+    return findings(
+        hop,
+        [
+            ("wrong_redirect_type_http_to_https", "error", (a["scheme"] == "http") & (b["scheme"] == "https"), F.col("b")),
+            (
+                "wrong_redirect_type_www_normalization", "error",
+                F.regexp_replace(a["host"], r"^www\.", "") .eqNullSafe(F.regexp_replace(b["host"], r"^www\.", "")) & (a["host"] != b["host"]),
+                F.col("b"),
+            ),
+            ("wrong_redirect_type_trailing_slash", "error", (F.rtrim(a["path"], F.lit("/")) == F.rtrim(b["path"], F.lit("/"))) & (a["path"] != b["path"]), F.col("b")),
+        ],
+    )
 
 
 def page_assertions(fetches: DataFrame, facts: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -377,7 +504,13 @@ def page_assertions(fetches: DataFrame, facts: DataFrame, scripts: DataFrame) ->
     rows = fetches.join(facts.select("url", "title", "description", "canonical", "og_title", "og_description", "og_image"), "url", "left").join(blocks, "url", "left")
     rows = rows.fillna(0, ["blocks", "broken"]).withColumn("length", F.length(F.coalesce("html", F.lit(""))))
     text = lambda name: F.trim(F.coalesce(c(name), F.lit("")))
-    item = lambda name, when, expected, observed, passed: F.when(when, F.struct(F.lit(name).alias("name"), (expected if isinstance(expected, Column) else F.lit(expected)).cast("string").alias("expected"), F.coalesce(observed.cast("string"), F.lit("")).alias("observed"), F.coalesce(passed, F.lit(False)).alias("passed")))
+    item = lambda name, when, expected, observed, passed: F.when(
+        when,
+        F.struct(
+            F.lit(name).alias("name"), (expected if isinstance(expected, Column) else F.lit(expected)).cast("string").alias("expected"),
+            F.coalesce(observed.cast("string"), F.lit("")).alias("observed"), F.coalesce(passed, F.lit(False)).alias("passed"),
+        ),
+    )
     filled = lambda name, when, column, expected: item(name, when, expected, F.left(text(column), F.lit(60)), text(column) != "")
     moved = c("expect_redirect_to").isNotNull()
     target = u.resolve(c("url"), F.coalesce("location", F.lit("")))
@@ -407,11 +540,18 @@ def locale_probe_audit(probes: DataFrame) -> DataFrame:
     rows = probes.withColumn("answered", c("status").isNotNull())
     order = F.when(c("answered"), c("probe"))
     rows = rows.withColumn("one", F.min(order).over(Window.partitionBy("url")) == c("probe"))
-    rows = rows.select("*", *(F.first(F.when(c("one"), c(x)), True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(f"one_{x}") for x in ("lang", "title", "h1")))
+    rows = rows.select(
+        "*",
+        *(F.first(F.when(c("one"), c(x)), True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(f"one_{x}") for x in ("lang", "title", "h1")),
+    )
     differs = lambda x: c("answered") & ~c("one") & (F.coalesce(c(x), F.lit("")) != "") & (F.coalesce(c(f"one_{x}"), F.lit("")) != "") & (c(x) != c(f"one_{x}"))
     each = findings(rows, [
-        ("probe_failed", "high", ~c("answered"), c("probe")), ("locale_url_redirects", "high", c("answered") & ~u.same_url(c("final_url"), c("url")), c("final_url")), ("non_200_status", "high", c("status") != 200, c("status")),
-        ("locale_adaptive_content", "high", differs("lang"), c("lang")), ("title_varies_by_accept_language", "high", differs("title"), c("title")), ("h1_varies_by_accept_language", "medium", differs("h1"), c("h1")),
+        ("probe_failed", "high", ~c("answered"), c("probe")),
+        ("locale_url_redirects", "high", c("answered") & ~u.same_url(c("final_url"), c("url")), c("final_url")),
+        ("non_200_status", "high", c("status") != 200, c("status")),
+        ("locale_adaptive_content", "high", differs("lang"), c("lang")),
+        ("title_varies_by_accept_language", "high", differs("title"), c("title")),
+        ("h1_varies_by_accept_language", "medium", differs("h1"), c("h1")),
     ])
     said, page = F.lower(F.coalesce("locale", F.lit(""))), F.lower(F.coalesce("lang", F.lit("")))
     fits = (page == said) | F.startswith(page, F.concat(said, F.lit("-"))) | F.startswith(said, F.concat(page, F.lit("-")))
@@ -420,7 +560,8 @@ def locale_probe_audit(probes: DataFrame) -> DataFrame:
     whole = findings(rows.where("one"), [
         ("html_lang_mismatch", "medium", (said != "") & (page != "") & ~fits, c("lang")), ("no_canonical", "medium", canonical == "", None),
         ("canonical_not_self", "high", (canonical != "") & ~u.same_url(u.resolve(c("url"), canonical), c("url")), canonical),
-        ("no_hreflang_annotations", "medium", F.size(links) == 0, None), ("no_self_hreflang", "high", (F.size(links) > 0) & ~F.exists(links, lambda x: u.same_url(u.resolve(c("url"), x), c("url"))), None),
+        ("no_hreflang_annotations", "medium", F.size(links) == 0, None),
+        ("no_self_hreflang", "high", (F.size(links) > 0) & ~F.exists(links, lambda x: u.same_url(u.resolve(c("url"), x), c("url"))), None),
     ])
     return each.unionByName(whole)
 
@@ -432,10 +573,14 @@ def pagination_links(elements: DataFrame) -> DataFrame:
     label, rel, text = F.lower(attr("aria-label")), F.lower(attr("rel")), F.lower(F.trim("text"))
     listed = rel.contains("next") | rel.contains("prev") | label.rlike("page|next|prev") | text.rlike(r"^\d+$") | text.isin("next", "prev", "previous", "»", "‹", "›", "«")
     further = rel.contains("next") | label.contains("next") | text.isin("next", "›", "»")
-    links = elements.where((c("tag") == "a") & (attr("href") != "") & listed).select("url", "seq", u.resolve(c("url"), attr("href")).alias("target"), further.alias("further"))
+    links = elements.where((c("tag") == "a") & (attr("href") != "") & listed).select(
+        "url", "seq", u.resolve(c("url"), attr("href")).alias("target"), further.alias("further"),
+    )
     per = links.groupBy("url").agg(F.min_by(F.when(c("further"), c("target")), F.when(c("further"), c("seq"))).alias("next"), F.collect_set("target").alias("targets"))
     holder = lambda a: ((a["tag"] == "nav") & F.lower(a["label"]).contains("agination")) | a["class"].contains("pagination")
-    inside = elements.where("tag in ('a', 'button', 'span', 'div')").select("url", "tag", attr("href").alias("href"), attr("role").alias("role"), F.explode(F.filter("ancestors", holder)).alias("box"))
+    inside = elements.where("tag in ('a', 'button', 'span', 'div')").select(
+        "url", "tag", attr("href").alias("href"), attr("role").alias("role"), F.explode(F.filter("ancestors", holder)).alias("box"),
+    )
     button = (c("tag") == "button") | (c("tag").isin("span", "div") & (c("role") == "link"))
     boxes = inside.groupBy("url", "box.seq").agg(F.max(button).alias("buttons"), F.max((c("tag") == "a") & (c("href") != "")).alias("anchors"))
     scripted = boxes.groupBy("url").agg(F.max(c("buttons") & ~c("anchors")).alias("scripted"))
@@ -470,12 +615,23 @@ def pagination_audit(pages: DataFrame, elements: DataFrame, require_backlink: bo
     c = F.col
     heads = elements.where((c("tag") == "link") & (attr("rel") == "canonical")).groupBy("url").agg(F.min_by(attr("href"), "seq").alias("canonical"))
     rows = pages.join(heads, "url", "left").join(pagination_links(elements), "url", "left")
-    rows = rows.withColumn("targets", F.coalesce("targets", F.array().cast("array<string>"))).withColumn("said", u.resolve(c("url"), F.nullif(F.coalesce("canonical", F.lit("")), F.lit(""))))
-    first = findings(rows, [("fragment_in_url", "high", c("url").contains("#"), None), ("page_load_failed", "high", c("status").isNull(), None), ("non_200_status", "high", c("status") >= 400, c("status"))])
+    rows = rows.withColumn("targets", F.coalesce("targets", F.array().cast("array<string>"))).withColumn(
+        "said", u.resolve(c("url"), F.nullif(F.coalesce("canonical", F.lit("")), F.lit(""))),
+    )
+    first = findings(
+        rows,
+        [
+            ("fragment_in_url", "high", c("url").contains("#"), None), ("page_load_failed", "high", c("status").isNull(), None),
+            ("non_200_status", "high", c("status") >= 400, c("status")),
+        ],
+    )
     is_start, to_start, to_self = u.same_url(c("url"), c("start")), u.same_url(c("said"), c("start")), u.same_url(c("said"), c("url"))
     more = findings(rows.where("status < 400"), [
-        ("no_canonical", "medium", c("said").isNull(), None), ("canonical_points_to_page_one", "high", to_start & ~is_start, c("said")), ("canonical_not_self", "medium", ~to_self & ~(to_start & ~is_start), c("said")),
-        ("js_only_pagination", "high", (F.size("targets") == 0) & c("scripted"), None), ("no_pagination_links", "high", (F.size("targets") == 0) & ~F.coalesce("scripted", F.lit(False)), None),
+        ("no_canonical", "medium", c("said").isNull(), None),
+        ("canonical_points_to_page_one", "high", to_start & ~is_start, c("said")),
+        ("canonical_not_self", "medium", ~to_self & ~(to_start & ~is_start), c("said")),
+        ("js_only_pagination", "high", (F.size("targets") == 0) & c("scripted"), None),
+        ("no_pagination_links", "high", (F.size("targets") == 0) & ~F.coalesce("scripted", F.lit(False)), None),
         ("no_page_one_backlink", "medium", F.lit(require_backlink) & ~is_start & ~F.exists("targets", lambda x: u.same_url(x, c("start"))), None),
     ])
     return first.unionByName(more)

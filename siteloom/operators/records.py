@@ -23,7 +23,10 @@ def validate_contract(records: DataFrame, contract: DataFrame) -> DataFrame:
         cut = F.is_variant_null(up) if up is not None else F.lit(False)
         missing = value.isNull() & ~F.coalesce(cut, F.lit(False))
         null = F.coalesce(F.is_variant_null(value), F.lit(False)) | F.coalesce(cut, F.lit(False))
-        kinds = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}[r["type"]]
+        kinds = {
+            "string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"],
+            "array": ["ARRAY"], "object": ["OBJECT"],
+        }[r["type"]]
         rule = F.when(missing, "missing").when(null, None if r["nullable"] else "null").when(~kind.isin(*kinds), "type")
         if r["non_empty"]:
             rule = rule.when(text.isin("", "[]", "{}"), "empty")
@@ -35,7 +38,9 @@ def validate_contract(records: DataFrame, contract: DataFrame) -> DataFrame:
             rule = rule.when(~text.rlike(r"(?i)^https?://[^/?#]+"), "url")
         made.append(F.when(rule.isNotNull(), F.struct(F.lit(r["path"]).alias("path"), rule.alias("rule"))))
     broken = records.where(body.isNull()).select("record_id", F.lit("").alias("path"), F.lit("invalid_json").alias("rule"))
-    found = records.where(body.isNotNull()).select("record_id", F.explode(F.array_compact(F.array(*made))).alias("v")).select("record_id", "v.*") if made else broken.limit(0)
+    found = records.where(body.isNotNull()).select(
+        "record_id", F.explode(F.array_compact(F.array(*made))).alias("v"),
+    ).select("record_id", "v.*") if made else broken.limit(0)
     return found.union(broken)
 
 
@@ -48,9 +53,14 @@ def flatten_crux(records: DataFrame) -> DataFrame:
     records (target, record JSON text); p75 may be text or number."""
     metric = "struct<histogram:array<struct<density:double>>,percentiles:struct<p75:string>>"
     schema = f"metrics map<string,{metric}>, collectionPeriod struct<lastDate:struct<year:int,month:int,day:int>>"
-    rows = records.select("target", F.from_json("record", schema).alias("r")).select("target", F.col("r.collectionPeriod.lastDate").alias("d"), F.explode("r.metrics").alias("metric", "m"))
+    rows = records.select("target", F.from_json("record", schema).alias("r")).select(
+        "target", F.col("r.collectionPeriod.lastDate").alias("d"), F.explode("r.metrics").alias("metric", "m"),
+    )
     share = lambda i: F.round(F.get("m.histogram.density", F.lit(i)) * 100, 4)
-    return rows.select("target", "metric", F.col("m.percentiles.p75").try_cast("double").alias("p75"), share(0).alias("good"), share(1).alias("needs_improvement"), share(2).alias("poor"), F.make_date("d.year", "d.month", "d.day").alias("period_end"))
+    return rows.select(
+        "target", "metric", F.col("m.percentiles.p75").try_cast("double").alias("p75"), share(0).alias("good"), share(1).alias("needs_improvement"),
+        share(2).alias("poor"), F.make_date("d.year", "d.month", "d.day").alias("period_end"),
+    )
 
 
 def dedupe_targets(urls: DataFrame, as_origin: bool = True) -> DataFrame:
@@ -83,7 +93,10 @@ def lcp_breakdown(rows: DataFrame) -> DataFrame:
     c = F.col
     gap = lambda a, b: F.greatest(F.lit(0), a - b)
     rating = F.when(c("lcp") <= 2500, "good").when(c("lcp") <= 4000, "needs-improvement").otherwise("poor")
-    return rows.select("url", "lcp", rating.alias("rating"), F.greatest(F.lit(0), c("ttfb")).alias("ttfb"), gap(c("load_start"), c("ttfb")).alias("load_delay"), gap(c("load_end"), c("load_start")).alias("load_time"), gap(c("lcp"), c("load_end")).alias("render_delay"))
+    return rows.select(
+        "url", "lcp", rating.alias("rating"), F.greatest(F.lit(0), c("ttfb")).alias("ttfb"), gap(c("load_start"), c("ttfb")).alias("load_delay"),
+        gap(c("load_end"), c("load_start")).alias("load_time"), gap(c("lcp"), c("load_end")).alias("render_delay"),
+    )
 
 
 def build_product_jsonld(rows: DataFrame, strict: bool = True) -> DataFrame:
@@ -96,7 +109,13 @@ def build_product_jsonld(rows: DataFrame, strict: bool = True) -> DataFrame:
     offer = typed("Offer", c("price").cast("string").alias("price"), c("currency").alias("priceCurrency"), stock.alias("availability"))
     score = F.round("rating", 1) if strict else c("rating")
     rating = F.when(c("reviews") > 0, typed("AggregateRating", score.alias("ratingValue"), c("reviews").alias("reviewCount")))
-    text = F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"), "name", "description", "sku", "image", F.when(c("brand").isNotNull(), typed("Brand", c("brand").alias("name"))).alias("brand"), offer.alias("offers"), rating.alias("aggregateRating")))
+    text = F.to_json(
+        F.struct(
+            F.lit("https://schema.org").alias("@context"), F.lit("Product").alias("@type"), "name", "description", "sku", "image",
+            F.when(c("brand").isNotNull(), typed("Brand", c("brand").alias("name"))).alias("brand"), offer.alias("offers"),
+            rating.alias("aggregateRating"),
+        )
+    )
     if strict:
         for mark in "<>&":
             code = f"\\u{ord(mark):04x}"  # so that no text can end the script element
@@ -108,7 +127,10 @@ def build_product_jsonld(rows: DataFrame, strict: bool = True) -> DataFrame:
 def build_breadcrumb_jsonld(rows: DataFrame) -> DataFrame:
     """(id, jsonld) of trails (id, items array<struct<name,url>>)."""
     items = F.transform("items", lambda x, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), x["name"].alias("name"), x["url"].alias("item")))
-    return rows.select("id", F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), items.alias("itemListElement"))).alias("jsonld"))
+    return rows.select(
+        "id",
+        F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), items.alias("itemListElement"))).alias("jsonld"),
+    )
 
 
 def page_titles(rows: DataFrame, brand: str, tagline: str = "") -> DataFrame:
@@ -117,8 +139,13 @@ def page_titles(rows: DataFrame, brand: str, tagline: str = "") -> DataFrame:
     end = F.lit(f" | {brand}")
     c = F.col
     title = F.when((c("type") == "product") & has("product", "category"), F.concat("product", F.lit(", "), "category", end))
-    title = title.when((c("type") == "category") & has("category") & (F.coalesce("n", F.lit(0)) > 0), F.concat("category", F.lit(", "), c("n").cast("string"), F.lit(" Products"), end)).when((c("type") == "category") & has("category"), F.concat("category", end))
-    title = title.when((c("type") == "article") & has("headline"), F.concat("headline", end)).when(c("type") == "home", f"{brand}, {tagline}" if tagline else brand).when(has("h1"), F.concat("h1", end)).otherwise(brand)
+    title = title.when(
+        (c("type") == "category") & has("category") & (F.coalesce("n", F.lit(0)) > 0),
+        F.concat("category", F.lit(", "), c("n").cast("string"), F.lit(" Products"), end),
+    ).when((c("type") == "category") & has("category"), F.concat("category", end))
+    title = title.when(
+        (c("type") == "article") & has("headline"), F.concat("headline", end),
+    ).when(c("type") == "home", f"{brand}, {tagline}" if tagline else brand).when(has("h1"), F.concat("h1", end)).otherwise(brand)
     return rows.select("id", title.alias("title"))
 
 

@@ -21,7 +21,11 @@ _DAY, _FULL = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\
 def sitemap_limits(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     """Findings on sitemaps with too many entries, or files (sitemap, bytes) too large."""
     rows = sizes.join(entries.groupBy("sitemap").agg(F.count("*").alias("urls")), "sitemap", "left").fillna(0, ["urls"])
-    return findings(rows, [("too_many_urls", "error", F.col("urls") > MAX_URLS, F.col("urls")), ("too_large", "error", F.col("bytes") > MAX_BYTES, F.col("bytes"))], "sitemap")
+    return findings(
+        rows,
+        [("too_many_urls", "error", F.col("urls") > MAX_URLS, F.col("urls")), ("too_large", "error", F.col("bytes") > MAX_BYTES, F.col("bytes"))],
+        "sitemap",
+    )
 
 
 def lastmod_valid(c: Column) -> Column:
@@ -31,7 +35,9 @@ def lastmod_valid(c: Column) -> Column:
 def lastmod_checks(entries: DataFrame) -> DataFrame:
     """(sitemap, rule, n): entries with a malformed date, and sitemaps whose ten or more
     dates lie within an hour."""
-    bad = entries.where((F.col("lastmod") != "") & ~lastmod_valid(F.col("lastmod"))).groupBy("sitemap").agg(F.count("*").alias("n")).select("sitemap", F.lit("lastmod_format").alias("rule"), "n")
+    bad = entries.where(
+        (F.col("lastmod") != "") & ~lastmod_valid(F.col("lastmod"))
+    ).groupBy("sitemap").agg(F.count("*").alias("n")).select("sitemap", F.lit("lastmod_format").alias("rule"), "n")
     stamps = entries.where(lastmod_valid(F.col("lastmod"))).select("sitemap", F.unix_timestamp(F.col("lastmod").try_cast("timestamp")).alias("t"))
     same = stamps.groupBy("sitemap").agg(F.count("t").alias("n"), (F.max("t") - F.min("t")).alias("span")).where("n >= 10 and span < 3600")
     return bad.union(same.select("sitemap", F.lit("lastmod_all_alike"), "n"))
@@ -43,9 +49,20 @@ def staging_leaks(entries: DataFrame) -> DataFrame:
 
 def sitemap_entry_audit(entries: DataFrame, fetches: DataFrame, heads: DataFrame, rules: DataFrame | None = None, agent: str = "googlebot") -> DataFrame:
     """Findings (loc, severity, rule, detail) of entries by their stored fetch and head."""
-    rows = entries.select("loc").join(fetches.select(F.col("url").alias("loc"), "status", "hops", "x_robots_tag"), "loc", "left").join(heads.select(F.col("url").alias("loc"), "canonical", "robots"), "loc", "left")
+    rows = entries.select("loc").join(
+        fetches.select(F.col("url").alias("loc"), "status", "hops", "x_robots_tag"), "loc", "left",
+    ).join(heads.select(F.col("url").alias("loc"), "canonical", "robots"), "loc", "left")
     c = F.col
-    out = findings(rows, [("not_fetched", "notice", c("status").isNull(), None), ("redirect_chain", "warning", c("hops") > 0, c("hops")), ("http_status", "error", c("status") != 200, c("status")), ("noindex_header", "error", has_noindex(c("x_robots_tag")), None), ("noindex_meta", "error", has_noindex(c("robots")), None), ("canonical_mismatch", "error", (c("canonical") != "") & (u.normalize_url_slash(c("canonical")) != u.normalize_url_slash(c("loc"))), c("canonical"))], "loc")
+    out = findings(
+        rows,
+        [
+            ("not_fetched", "notice", c("status").isNull(), None), ("redirect_chain", "warning", c("hops") > 0, c("hops")),
+            ("http_status", "error", c("status") != 200, c("status")), ("noindex_header", "error", has_noindex(c("x_robots_tag")), None),
+            ("noindex_meta", "error", has_noindex(c("robots")), None),
+            ("canonical_mismatch", "error", (c("canonical") != "") & (u.normalize_url_slash(c("canonical")) != u.normalize_url_slash(c("loc"))), c("canonical")),
+        ],
+        "loc",
+    )
     if rules is not None:
         blocked = robots_allowed(entries.select(F.col("loc").alias("url"), F.lit(agent).alias("user_agent")).distinct(), rules).where("not allowed")
         out = out.union(blocked.select(F.col("url").alias("loc"), F.lit("error"), F.lit("robots_disallow"), "user_agent"))
@@ -60,9 +77,20 @@ def freshness(current: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFram
     rows = now.join(prior, "url", "full")
     c = F.col
     both = c("n_content_hash").isNotNull() & c("content_hash").isNotNull() & c("n_lastmod").isNotNull() & c("lastmod").isNotNull()
-    found = findings(rows.where("n_last_seen is not null"), [("overactive_lastmod", "warning", both & (c("n_lastmod") != c("lastmod")) & (c("n_content_hash") == c("content_hash")), c("n_lastmod")), ("stale_lastmod", "warning", both & (c("n_lastmod") == c("lastmod")) & (c("n_content_hash") != c("content_hash")), c("n_lastmod")), ("lastmod_missing", "notice", F.coalesce("n_lastmod", F.lit("")) == "", None), ("lastmod_format", "error", (F.coalesce("n_lastmod", F.lit("")) != "") & ~lastmod_valid(c("n_lastmod")), c("n_lastmod"))])
+    found = findings(
+        rows.where("n_last_seen is not null"),
+        [
+            ("overactive_lastmod", "warning", both & (c("n_lastmod") != c("lastmod")) & (c("n_content_hash") == c("content_hash")), c("n_lastmod")),
+            ("stale_lastmod", "warning", both & (c("n_lastmod") == c("lastmod")) & (c("n_content_hash") != c("content_hash")), c("n_lastmod")),
+            ("lastmod_missing", "notice", F.coalesce("n_lastmod", F.lit("")) == "", None),
+            ("lastmod_format", "error", (F.coalesce("n_lastmod", F.lit("")) != "") & ~lastmod_valid(c("n_lastmod")), c("n_lastmod")),
+        ],
+    )
     seen = c("n_last_seen").isNotNull()
-    state = rows.select("url", F.when(seen, c("n_lastmod")).otherwise(c("lastmod")).alias("lastmod"), F.coalesce("n_content_hash", "content_hash").alias("content_hash"), F.coalesce("n_last_seen", "last_seen").alias("last_seen"))
+    state = rows.select(
+        "url", F.when(seen, c("n_lastmod")).otherwise(c("lastmod")).alias("lastmod"),
+        F.coalesce("n_content_hash", "content_hash").alias("content_hash"), F.coalesce("n_last_seen", "last_seen").alias("last_seen"),
+    )
     return found, state
 
 
@@ -87,7 +115,9 @@ def hreflang_bidirectional(links: DataFrame) -> DataFrame:
 def hreflang_codes(links: DataFrame) -> DataFrame:
     """Findings (url, rule, lang): no link to itself, malformed codes, codes of countries
     taken for languages."""
-    selfless = links.groupBy("url").agg(F.max((F.col("url") == F.col("href")).cast("int")).alias("own")).where("own = 0").select("url", F.lit("missing_self").alias("rule"), F.lit("").alias("lang"))
+    selfless = links.groupBy("url").agg(F.max((F.col("url") == F.col("href")).cast("int")).alias("own")).where("own = 0").select(
+        "url", F.lit("missing_self").alias("rule"), F.lit("").alias("lang"),
+    )
     bad = links.where(~F.col("lang").rlike(HREFLANG)).select("url", F.lit("invalid_code").alias("rule"), "lang")
     confused = links.where(F.substring_index("lang", "-", 1).isin(*CONFUSED)).select("url", F.lit("confused_code").alias("rule"), "lang")
     return selfless.union(bad).union(confused)
@@ -114,14 +144,18 @@ def hreflang_clusters(links: DataFrame, require_default: bool = True) -> DataFra
     """(cluster, pages, has_default, ok) of pages that alternates connect."""
     nodes = connected_components(links.select(F.col("url").alias("a"), F.col("href").alias("b")))
     default = links.groupBy("url").agg(F.max((F.col("lang") == "x-default").cast("int")).alias("d"))
-    out = nodes.join(default, nodes.node == default.url, "left").groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("pages"), (F.coalesce(F.max("d"), F.lit(0)) == 1).alias("has_default"))
+    out = nodes.join(default, nodes.node == default.url, "left").groupBy(F.col("component").alias("cluster")).agg(
+        F.count("*").alias("pages"), (F.coalesce(F.max("d"), F.lit(0)) == 1).alias("has_default"),
+    )
     return out.where("pages > 1").withColumn("ok", F.col("has_default") | F.lit(not require_default))
 
 
 def hreflang_status(links: DataFrame, fetches: DataFrame) -> DataFrame:
     """(href, rule) of alternates that redirect, don't answer 200, or were not fetched."""
     rows = links.select("href").distinct().join(fetches.select(F.col("url").alias("href"), "status", "final_url"), "href", "left")
-    rule = F.when(F.col("status").isNull() | (F.col("status") == 0), "url_fetch_failed").when(F.col("status") != 200, "url_non_200").when(F.col("final_url") != F.col("href"), "url_redirects")
+    rule = F.when(
+        F.col("status").isNull() | (F.col("status") == 0), "url_fetch_failed",
+    ).when(F.col("status") != 200, "url_non_200").when(F.col("final_url") != F.col("href"), "url_redirects")
     return rows.select("href", rule.alias("rule")).where("rule is not null")
 
 
@@ -147,7 +181,10 @@ def robots_rules(docs: DataFrame) -> DataFrame:
     agents = lines.where("key = 'user-agent'").groupBy("host", "group_id", F.lower("value").alias("agent")).agg(F.min("line").alias("first"))
     paths = lines.where("key in ('allow', 'disallow')").select("host", "group_id", F.col("key").alias("directive"), F.col("value").alias("path"), "line")
     rows = agents.join(paths, ["host", "group_id"], "left")
-    return rows.select("host", "group_id", "agent", F.coalesce("directive", F.lit("")).alias("directive"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("line", "first").alias("line"))
+    return rows.select(
+        "host", "group_id", "agent", F.coalesce("directive", F.lit("")).alias("directive"), F.coalesce("path", F.lit("")).alias("path"),
+        F.coalesce("line", "first").alias("line"),
+    )
 
 
 def _pattern(path: Column) -> Column:
@@ -161,14 +198,24 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     one with most characters besides * and $ wins, and allow on a tie; no rule: allowed. Empty
     paths say nothing."""
     parts = u.url_parts(F.col("url"))
-    rows = urls.distinct().withColumn("parts", parts).withColumn("host", F.col("parts.host")).withColumn("target", F.concat(F.when(F.col("parts.path") == "", "/").otherwise(F.col("parts.path")), F.when(F.col("parts.query") != "", F.concat(F.lit("?"), "parts.query")).otherwise("")))
+    rows = urls.distinct().withColumn("parts", parts).withColumn("host", F.col("parts.host")).withColumn(
+        "target",
+        F.concat(
+            F.when(F.col("parts.path") == "", "/").otherwise(F.col("parts.path")),
+            F.when(F.col("parts.query") != "", F.concat(F.lit("?"), "parts.query")).otherwise(""),
+        ),
+    )
     tokens = rules.where("agent <> ''").select("host", "agent").distinct()
     fit = rows.select("host", "user_agent").distinct().join(tokens, "host").where((F.col("agent") == "*") | F.lower("user_agent").contains(F.col("agent")))
     chosen = fit.groupBy("host", "user_agent").agg(F.max_by("agent", F.when(F.col("agent") == "*", 0).otherwise(F.length("agent"))).alias("agent"))
     mine = rows.select("url", "user_agent", "host", "target").join(chosen, ["host", "user_agent"], "left")
     size = F.length(F.regexp_replace("path", "[*$]", ""))
-    paths = rules.where("path <> '' and directive in ('allow', 'disallow')").select("host", "agent", "directive", size.alias("size"), _pattern(F.col("path")).alias("pattern")).distinct()
-    hits = mine.join(paths, ["host", "agent"]).where(F.expr("target rlike pattern")).groupBy("url", "user_agent").agg(F.max(F.struct("size", F.when(F.col("directive") == "allow", 1).otherwise(0).alias("ok"))).alias("best"))
+    paths = rules.where("path <> '' and directive in ('allow', 'disallow')").select(
+        "host", "agent", "directive", size.alias("size"), _pattern(F.col("path")).alias("pattern"),
+    ).distinct()
+    hits = mine.join(paths, ["host", "agent"]).where(F.expr("target rlike pattern")).groupBy("url", "user_agent").agg(
+        F.max(F.struct("size", F.when(F.col("directive") == "allow", 1).otherwise(0).alias("ok"))).alias("best")
+    )
     return mine.join(hits, ["url", "user_agent"], "left").select("url", "user_agent", (F.coalesce("best.ok", F.lit(1)) == 1).alias("allowed"))
 
 
@@ -187,17 +234,22 @@ def robots_lint(docs: DataFrame) -> DataFrame:
     c = F.col
     no = c("key") == "disallow"
     found = findings(rules, [
-        ("catch_all_disallow", "error", c("all") & no & (c("value") == "/"), c("line")), ("crawl_delay_for_googlebot", "warning", c("google") & (c("key") == "crawl-delay"), c("value")),
+        ("catch_all_disallow", "error", c("all") & no & (c("value") == "/"), c("line")),
+        ("crawl_delay_for_googlebot", "warning", c("google") & (c("key") == "crawl-delay"), c("value")),
         ("asset_blocked", "warning", (c("all") | c("google")) & no & c("value").rlike(ASSET_PATHS), c("value")),
     ], "host")
-    maps = docs.select("host", F.explode(F.split("body", r"\r?\n")).alias("l")).select("host", F.trim(F.regexp_extract(F.regexp_replace("l", "#.*$", ""), r"(?i)^\ufeff?\s*sitemap\s*:\s*(.*)$", 1)).alias("map"))
+    maps = docs.select("host", F.explode(F.split("body", r"\r?\n")).alias("l")).select(
+        "host", F.trim(F.regexp_extract(F.regexp_replace("l", "#.*$", ""), r"(?i)^\ufeff?\s*sitemap\s*:\s*(.*)$", 1)).alias("map"),
+    )
     more = findings(maps, [("sitemap_not_absolute", "error", (c("map") != "") & ~c("map").rlike("^https?://"), c("map"))], "host")
     return first.union(found).union(more)
 
 
 def robots_assertions(tests: DataFrame, rules: DataFrame) -> DataFrame:
     """tests (url, user_agent, expected) that come out otherwise."""
-    return tests.join(robots_allowed(tests.select("url", "user_agent"), rules), ["url", "user_agent"]).where("allowed <> expected").select("url", "user_agent", "expected", "allowed")
+    return tests.join(
+        robots_allowed(tests.select("url", "user_agent"), rules), ["url", "user_agent"],
+    ).where("allowed <> expected").select("url", "user_agent", "expected", "allowed")
 
 
 def robots_deploy_check(fetches: DataFrame, expected: DataFrame) -> DataFrame:
@@ -205,4 +257,14 @@ def robots_deploy_check(fetches: DataFrame, expected: DataFrame) -> DataFrame:
     against expected (host, body)."""
     rows = fetches.join(expected.select("host", F.col("body").alias("wanted")), "host", "left")
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    return findings(rows, [("status", "error", F.col("status") != 200, F.col("status")), ("content_type", "error", ~F.col("content_type").startswith("text/plain"), F.col("content_type")), ("redirected", "warning", F.col("hops") > 0, F.col("hops")), ("body_differs", "error", F.col("wanted").isNotNull() & (digest("body") != digest("wanted")), None), ("unexpected_host", "notice", F.col("wanted").isNull(), None)], "host")
+    return findings(
+        rows,
+        [
+            ("status", "error", F.col("status") != 200, F.col("status")),
+            ("content_type", "error", ~F.col("content_type").startswith("text/plain"), F.col("content_type")),
+            ("redirected", "warning", F.col("hops") > 0, F.col("hops")),
+            ("body_differs", "error", F.col("wanted").isNotNull() & (digest("body") != digest("wanted")), None),
+            ("unexpected_host", "notice", F.col("wanted").isNull(), None),
+        ],
+        "host",
+    )

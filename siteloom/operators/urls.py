@@ -16,9 +16,18 @@ from .findings import findings
 
 # Parameters of canonical URLs, reserved path words, lint limits.
 INDEXABLE = ["category", "brand", "type"]
-NOT_INDEXABLE = ["sort", "order", "page", "view", "display", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "ref", "sessionid", "sid"]
-INSIGNIFICANT = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "ref", "sessionid", "sid", "source", "mc_cid", "mc_eid", "sort", "order", "view", "display"]
-RESERVED = ["admin", "api", "static", "assets", "login", "logout", "register", "search", "feed", "sitemap", "robots", "favicon", "null", "undefined", "new", "edit", "delete", "settings", "profile", "account", "help", "support", "about", "contact", "privacy", "terms", "status", "health", "metrics"]
+NOT_INDEXABLE = [
+    "sort", "order", "page", "view", "display", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid",
+    "mc_cid", "mc_eid", "ref", "sessionid", "sid",
+]
+INSIGNIFICANT = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "ref", "sessionid", "sid", "source",
+    "mc_cid", "mc_eid", "sort", "order", "view", "display",
+]
+RESERVED = [
+    "admin", "api", "static", "assets", "login", "logout", "register", "search", "feed", "sitemap", "robots", "favicon", "null", "undefined", "new",
+    "edit", "delete", "settings", "profile", "account", "help", "support", "about", "contact", "privacy", "terms", "status", "health", "metrics",
+]
 MAX_LENGTH, MAX_DEPTH, MAX_ENCODED = 2048, 8, 0.20
 
 
@@ -27,7 +36,10 @@ def generate_canonical(rows: DataFrame, base_url: str = "https://example.com") -
     kept = F.array_sort(F.map_entries(F.map_filter("params", lambda k, v: k.isin(*INDEXABLE) & (F.coalesce(v, F.lit("")) != ""))))
     query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"]))), "&")
     unknown = F.array_sort(F.filter(F.map_keys("params"), lambda k: ~k.isin(*INDEXABLE, *NOT_INDEXABLE)))
-    return rows.select("*", F.concat(F.lit(base_url), "path", F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")).alias("canonical"), unknown.alias("dropped"))
+    return rows.select(
+        "*", F.concat(F.lit(base_url), "path", F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")).alias("canonical"),
+        unknown.alias("dropped"),
+    )
 
 
 def compute_canonical(rows: DataFrame, origin: str) -> DataFrame:
@@ -84,15 +96,22 @@ def assign_slugs(rows: DataFrame, existing: DataFrame, max_len: int = 80, rounds
     open_, taken, done, kept = rows.select("id", "base"), existing.select("slug").distinct(), None, Rounds("slugs")
     for _ in range(rounds):
         number = F.regexp_extract("slug", r"-([1-9][0-9]{0,8})$", 1)
-        used = taken.select(F.col("slug").alias("base"), F.lit(1).alias("t")).union(taken.where(number.try_cast("int") > 1).select(F.regexp_replace("slug", "-[0-9]+$", ""), number.cast("int")))
+        used = taken.select(F.col("slug").alias("base"), F.lit(1).alias("t")).union(
+            taken.where(number.try_cast("int") > 1).select(F.regexp_replace("slug", "-[0-9]+$", ""), number.cast("int"))
+        )
         used = used.distinct().join(open_.select("base").distinct(), "base", "left_semi")
         by = Window.partitionBy("base")
         # A taken number t, the i-th of its base, stands before the free number t - i + 1.
-        marks = used.select("base", (F.col("t") - F.row_number().over(by.orderBy("t")) + 1).alias("k"), F.lit(1).alias("mark"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"))
+        marks = used.select(
+            "base", (F.col("t") - F.row_number().over(by.orderBy("t")) + 1).alias("k"), F.lit(1).alias("mark"),
+            F.lit(None).cast(rows.schema["id"].dataType).alias("id"),
+        )
         asks = open_.select("base", F.row_number().over(by.orderBy("id")).alias("k"), F.lit(0).alias("mark"), "id")
         n = (F.col("k") + F.sum("mark").over(by.orderBy("k", F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0))).cast("int")
         suffix = F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("-"), F.col("n").cast("string")))
-        named = marks.unionByName(asks).withColumn("n", n).where("mark = 0").select("id", "base", "n", F.concat(F.col("base").substr(F.lit(1), F.lit(max_len) - F.length(suffix)), suffix).alias("slug"))
+        named = marks.unionByName(asks).withColumn("n", n).where("mark = 0").select(
+            "id", "base", "n", F.concat(F.col("base").substr(F.lit(1), F.lit(max_len) - F.length(suffix)), suffix).alias("slug"),
+        )
         first = F.row_number().over(Window.partitionBy("slug").orderBy("n", "id"))
         named = materialize(named.join(taken.withColumn("used", F.lit(True)), "slug", "left").withColumn("first", first), "slugs")
         good = named.where("used is null and first = 1").select("id", "base", "slug")
@@ -140,7 +159,10 @@ def register_facets(rows: DataFrame) -> DataFrame:
 
 
 # Parameters that only track, and those that show the same set another way.
-FACET_TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "gbraid", "wbraid", "dclid", "fbclid", "msclkid", "mc_cid", "mc_eid", "sessionid", "sid", "PHPSESSID", "jsessionid", "_ga", "_gl"]
+FACET_TRACKING = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "gbraid", "wbraid", "dclid", "fbclid", "msclkid", "mc_cid",
+    "mc_eid", "sessionid", "sid", "PHPSESSID", "jsessionid", "_ga", "_gl",
+]
 FACET_VIEWS = ["sort", "order", "per_page", "page_size", "items_per_page", "view", "display"]
 
 
@@ -156,7 +178,10 @@ def classify_facets(requests: DataFrame, registry: DataFrame, origin: str = "htt
     tier = F.when(F.col("plain"), F.when(F.col("any"), 2).otherwise(1)).when(F.col("known"), 1).otherwise(3)
     base = F.concat(F.lit(origin + "/category/"), "category_slug")
     canonical = F.when(F.col("plain"), base).when(F.col("known"), F.concat(base, F.lit("?"), "signature"))
-    return rows.select("id", "category_slug", "signature", tier.alias("tier"), canonical.alias("canonical"), F.when(tier == 3, "noindex, follow").otherwise("index, follow").alias("robots"))
+    return rows.select(
+        "id", "category_slug", "signature", tier.alias("tier"), canonical.alias("canonical"),
+        F.when(tier == 3, "noindex, follow").otherwise("index, follow").alias("robots"),
+    )
 
 
 def hreflang_variants(paths: DataFrame, locales: list[tuple[str, str]], origin: str, default: str) -> DataFrame:
@@ -166,5 +191,7 @@ def hreflang_variants(paths: DataFrame, locales: list[tuple[str, str]], origin:
     plain = F.regexp_replace("path", rf"^/({prefixes})(?=/|$)", "") if prefixes else F.col("path")
     bare = F.rtrim(plain, F.lit("/"))
     codes = [*locales, ("x-default", dict(locales)[default])]
-    made = F.array(*[F.struct(F.lit(code).alias("lang"), F.concat(F.lit(origin + ("/" + p.strip("/") if p.strip("/") else "")), F.when((bare == "") & F.lit(not p.strip("/")), "/").otherwise(bare)).alias("href")) for code, p in codes])
+    made = F.array(
+        *[F.struct(F.lit(code).alias("lang"), F.concat(F.lit(origin + ("/" + p.strip("/") if p.strip("/") else "")), F.when((bare == "") & F.lit(not p.strip("/")), "/").otherwise(bare)).alias("href")) for code, p in codes]
+    )
     return paths.select("path", F.explode(made).alias("v")).select("path", "v.*")

@@ -112,6 +112,8 @@ ENTRIES: dict[str, tuple] = {
         "SELECT len(string_split(trim(path, '/'), '/'))::INT AS depth, count(*) AS requests, count(DISTINCT path) AS unique_urls FROM v_enriched WHERE verified_googlebot AND status = 200 AND timestamp >= DATE '2024-01-31' - INTERVAL 30 DAY GROUP BY 1"),
     "latency_by_hour": (lambda s, d: crawl.latency_by_hour(_enriched(s, d), AS_OF, exact=True).select("hour", *(F.round(c, 8).alias(c) for c in ("p50", "p95", "p99")), "requests"),
         "SELECT date_trunc('hour', timestamp) AS hour, round(quantile_cont(request_time, 0.5), 8) AS p50, round(quantile_cont(request_time, 0.95), 8) AS p95, round(quantile_cont(request_time, 0.99), 8) AS p99, count(*) AS requests FROM v_enriched WHERE verified_googlebot AND status = 200 AND timestamp >= DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY 1"),
+    "latency_by_hour_approx": (lambda s, d: crawl.latency_by_hour(_enriched(s, d), AS_OF).select("hour", *(F.round(c, 8).alias(c) for c in ("p50", "p95", "p99")), "requests"),
+        "SELECT date_trunc('hour', timestamp) AS hour, round(quantile_disc(request_time, 0.5), 8) AS p50, round(quantile_disc(request_time, 0.95), 8) AS p95, round(quantile_disc(request_time, 0.99), 8) AS p99, count(*) AS requests FROM v_enriched WHERE verified_googlebot AND status = 200 AND timestamp >= DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY 1"),
     "parameter_proliferation": (lambda s, d: crawl.parameter_proliferation(_enriched(s, d), AS_OF, min_distinct=2),
         """WITH p AS (SELECT path, regexp_extract(uri, '[?](.*)$', 1) AS q FROM v_enriched WHERE verified_googlebot AND timestamp >= DATE '2024-01-31' - INTERVAL 30 DAY)
            SELECT path, count(*) AS total_crawls, count(*) FILTER (WHERE q <> '') AS parameterized_crawls, count(DISTINCT q) AS unique_parameter_combinations, round(100.0 * count(*) FILTER (WHERE q <> '') / count(*), 2)::DOUBLE AS pct_parameterized

@@ -19,7 +19,10 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Header names that crawl exports use.
-ALIASES = {"source_url": ["source_url", "source", "from", "from_url"], "target_url": ["target_url", "destination", "target", "to", "to_url"], "target_status_code": ["target_status_code", "status_code", "status"], "anchor": ["anchor", "anchor_text"]}
+ALIASES = {
+    "source_url": ["source_url", "source", "from", "from_url"], "target_url": ["target_url", "destination", "target", "to", "to_url"],
+    "target_status_code": ["target_status_code", "status_code", "status"], "anchor": ["anchor", "anchor_text"],
+}
 
 
 def read_edges(raw: DataFrame) -> DataFrame:
@@ -31,7 +34,11 @@ def read_edges(raw: DataFrame) -> DataFrame:
         raise ValueError(f"no source and target among {raw.columns}")
     text = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
     status = cols["target_status_code"]
-    out = raw.select(text(cols["source_url"]).alias("source_url"), text(cols["target_url"]).alias("target_url"), F.coalesce(status.cast("string").try_cast("double").cast("int") if status is not None else F.lit(None).cast("int"), F.lit(0)).alias("target_status_code"), (text(cols["anchor"]) if cols["anchor"] is not None else F.lit("")).alias("anchor"))
+    out = raw.select(
+        text(cols["source_url"]).alias("source_url"), text(cols["target_url"]).alias("target_url"),
+        F.coalesce(status.cast("string").try_cast("double").cast("int") if status is not None else F.lit(None).cast("int"), F.lit(0)).alias("target_status_code"),
+        (text(cols["anchor"]) if cols["anchor"] is not None else F.lit("")).alias("anchor"),
+    )
     return out.where("source_url <> '' and target_url <> ''")
 
 
@@ -39,7 +46,10 @@ def read_sitemaps(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(sitemap, pos, loc, lastmod) of the url entries of sitemap files."""
     schema = "loc string, lastmod string"
     rows = spark.read.format("xml").option("rowTag", "url").option("ignoreNamespace", "true").schema(schema).load(path)
-    return rows.select(F.col("_metadata.file_path").alias("sitemap"), F.monotonically_increasing_id().alias("pos"), F.trim("loc").alias("loc"), F.trim("lastmod").alias("lastmod")).where("loc <> ''")
+    return rows.select(
+        F.col("_metadata.file_path").alias("sitemap"), F.monotonically_increasing_id().alias("pos"), F.trim("loc").alias("loc"),
+        F.trim("lastmod").alias("lastmod"),
+    ).where("loc <> ''")
 
 
 def read_sitemap_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -69,7 +79,10 @@ def read_hreflang(spark: SparkSession, path: str | list[str]) -> DataFrame:
     language wins."""
     schema = "loc string, `link` array<struct<_rel: string, _hreflang: string, _href: string>>"
     rows = spark.read.format("xml").option("rowTag", "url").option("ignoreNamespace", "true").schema(schema).load(path)
-    links = rows.select(F.trim("loc").alias("url"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("entry"), F.posexplode("link").alias("at", "l")).where("l._rel = 'alternate' and l._href is not null")
+    links = rows.select(
+        F.trim("loc").alias("url"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("entry"),
+        F.posexplode("link").alias("at", "l"),
+    ).where("l._rel = 'alternate' and l._href is not null")
     return links.groupBy("url", F.lower(F.trim("l._hreflang")).alias("lang")).agg(F.max_by(F.trim("l._href"), F.struct("file", "entry", "at")).alias("href"))
 
 
@@ -77,12 +90,18 @@ def read_ip_ranges(spark: SparkSession, path: str, crawler: str, ord: int = 0) -
     """(crawler, ord, cidr) of a published prefix file."""
     schema = "prefixes array<struct<ipv4Prefix: string, ipv6Prefix: string>>"
     rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("prefixes").alias("p"))
-    return rows.select(F.lit(crawler).alias("crawler"), F.lit(ord).alias("ord"), F.coalesce("p.ipv4Prefix", "p.ipv6Prefix").alias("cidr")).where(r"cidr rlike '^[0-9a-fA-F.:]+/[0-9]+$'")
+    return rows.select(
+        F.lit(crawler).alias("crawler"), F.lit(ord).alias("ord"), F.coalesce("p.ipv4Prefix", "p.ipv6Prefix").alias("cidr"),
+    ).where(r"cidr rlike '^[0-9a-fA-F.:]+/[0-9]+$'")
 
 
 def flatten_inspections(rows: DataFrame) -> DataFrame:
     """(url, verdict, coverage, google_canonical, user_canonical, last_crawl, canonical_differs)
     of stored index inspections (url, inspectionResult.indexStatusResult)."""
     r = "inspectionResult.indexStatusResult"
-    out = rows.select("url", F.col(f"{r}.verdict").alias("verdict"), F.col(f"{r}.coverageState").alias("coverage"), F.col(f"{r}.googleCanonical").alias("google_canonical"), F.col(f"{r}.userCanonical").alias("user_canonical"), F.col(f"{r}.lastCrawlTime").alias("last_crawl"))
+    out = rows.select(
+        "url", F.col(f"{r}.verdict").alias("verdict"), F.col(f"{r}.coverageState").alias("coverage"),
+        F.col(f"{r}.googleCanonical").alias("google_canonical"), F.col(f"{r}.userCanonical").alias("user_canonical"),
+        F.col(f"{r}.lastCrawlTime").alias("last_crawl"),
+    )
     return out.withColumn("canonical_differs", F.coalesce(F.col("google_canonical") != F.col("user_canonical"), F.lit(False)))

@@ -25,7 +25,9 @@ def enrich_stream(lines: DataFrame, ranges: DataFrame, out: str, checkpoint: str
 def hourly_latency(logs: DataFrame, late: str = "2 hours") -> DataFrame:
     """Requests, errors and median time of each hour."""
     rows = logs.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
-    return rows.groupBy(F.window("timestamp", "1 hour").alias("w")).agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"), F.percentile_approx("request_time", 0.5).alias("p50")).select(F.col("w.start").alias("hour"), "requests", "errors", "p50")
+    return rows.groupBy(F.window("timestamp", "1 hour").alias("w")).agg(
+        F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"), F.percentile_approx("request_time", 0.5).alias("p50"),
+    ).select(F.col("w.start").alias("hour"), "requests", "errors", "p50")
 
 
 def waste_alerts(logs: DataFrame, most: float = 0.2, late: str = "30 minutes") -> DataFrame:
@@ -38,7 +40,9 @@ def waste_alerts(logs: DataFrame, most: float = 0.2, late: str = "30 minutes") -
 def crawl_sessions(logs: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Runs of requests of each verified crawler without a longer gap."""
     rows = logs.where("verified_crawler <> ''").withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
-    return rows.groupBy("verified_crawler", F.session_window("timestamp", gap).alias("w")).agg(F.count("*").alias("requests")).select("verified_crawler", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
+    return rows.groupBy("verified_crawler", F.session_window("timestamp", gap).alias("w")).agg(F.count("*").alias("requests")).select(
+        "verified_crawler", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests",
+    )
 
 
 def drop_repeated_lines(logs: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
