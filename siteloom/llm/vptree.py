@@ -146,12 +146,10 @@ def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FAC
     bounds = points.groupBy("dim", "ring").agg(F.min("away").alias("lo"), F.max("away").alias("hi"), F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     bounds = materialize(bounds, "rings")
     every = materialize(bounds.groupBy("dim").agg(F.collect_list(F.struct("ring", "lo", "hi")).alias("rings")), "rings")  # at most `rings` entries
-    queries = points.where(F.pmod("vec_id", F.lit(divisor)) == 0).join(every, "dim").select(
-        "dim", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "seen", "sum", "rings",
-    )
+    queries = points.where(F.pmod("vec_id", F.lit(divisor)) == 0).select("dim", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "seen", "sum")
     bound = lambda r: F.greatest(r["lo"] - F.col("seen"), F.col("seen") - r["hi"], F.lit(0.0))
     home = F.array_min(F.transform("rings", lambda r: F.struct(bound(r).alias("bound"), r["ring"].alias("ring"))))["ring"]
-    queries = materialize(queries.withColumn("home", home), "queries")
+    queries = materialize(queries.join(every, "dim").withColumn("home", home).drop("rings"), "queries")
 
     def search(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):
@@ -189,7 +187,7 @@ def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FAC
     rest = queries.join(known, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     reach = F.when(F.col("floor") == float("-inf"), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.col("sum") - 2 * F.col("floor"), F.lit(0.0))) + 1e-6)
     near = F.filter("rings", lambda r: (r["ring"] != F.col("home")) & (bound(r) * factor <= F.col("reach")))
-    rest = rest.withColumn("reach", reach).select("dim", "query_id", "q", "floor", F.explode(near).alias("r")).select(
+    rest = rest.join(every, "dim").withColumn("reach", reach).select("dim", "query_id", "q", "floor", F.explode(near).alias("r")).select(
         "dim", F.col("r.ring").alias("ring"), "query_id", "q", "floor",
     )
     more = visit(materialize(rest, "asked"))
