@@ -12,7 +12,7 @@ from ..storage import Rounds, materialize, new_path, shared_dir
 
 __all__ = [
     "WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "passes", "shared_dir", "text_key",
-    "utf8", "with_row_key",
+    "utf8", "with_row_key", "without",
 ]
 
 #: Words longer than this are hashed anew each time instead of being remembered.
@@ -95,6 +95,16 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.select("*", F.xxhash64(place["file_path"]).bitwiseXOR(place["row_index"]).alias(name)), name
 
 
+#: So few keys (of 8 bytes) are broadcast, some 40 MB in each executor; more are joined by a shuffle.
+FEW_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """`rows` without those whose `key` is in `gone` (a written table of that column). The
+    rows, texts and all, are not shuffled as long as the keys are few."""
+    return rows.join(F.broadcast(gone) if gone.count() <= FEW_KEYS else gone, key, "left_anti")
+
+
 def bit_table(keys: DataFrame, column: str, most: int = 1 << 27) -> np.ndarray:
     """Words of a bit table over the low bits of a hash column: some 16 bits a key but
     `most` at most (16 MB). Every key has its bit set; with more keys than that, the
