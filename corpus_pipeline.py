@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm import decontam, jaccard, mixing, pii, toxicity
-from siteloom.llm.common import free_name, materialize, text_key, with_row_key
+from siteloom.llm.common import free_name, materialize, text_key, with_row_key, without
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     member = materialize(member.join(facts, "_member"), "members")
     kept = member.groupBy("component_id").agg(F.min("_order").alias("_first"))
     gone = member.join(kept, "component_id").where(F.col("_order.place") != F.col("_first.place")).select(F.col("_member").alias(key))
-    return keyed.join(gone, key, "left_anti").select(docs.columns)
+    return without(keyed, materialize(gone, "gone"), key).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
