@@ -12,7 +12,7 @@ from ..storage import Rounds, materialize, new_path, shared_dir
 
 __all__ = [
     "WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "passes", "shared_dir", "text_key",
-    "utf8", "with_row_key", "without",
+    "utf8", "values", "with_row_key", "without",
 ]
 
 #: Words longer than this are hashed anew each time instead of being remembered.
@@ -25,9 +25,16 @@ def batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
-def utf8(column: pa.Array) -> list:
-    """The UTF-8 bytes of a string column; null stays None."""
-    return column.cast(pa.binary()).to_pylist()
+def values(column: pa.Array):
+    """The values of a column as Python objects, made for some hundred rows at a time: a batch
+    of long texts is never held twice."""
+    for lo in range(0, len(column), 256):
+        yield from column.slice(lo, 256).to_pylist()
+
+
+def utf8(column: pa.Array) -> pa.Array:
+    """A string column as UTF-8 bytes; null stays null."""
+    return column.cast(pa.binary())
 
 
 class WordHashes(dict):

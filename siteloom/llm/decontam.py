@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, bit_table, materialize, ngram_hashes, passes, text_key
+from .common import WordHashes, batches, bit_table, materialize, ngram_hashes, passes, text_key, values
 
 SEED, RAREST, LEAST_WORDS, SCORE = 3, 2 / 3, 8, 0.5
 _BLANK = bytes.maketrans(bytes(string.punctuation, "ascii"), b" " * len(string.punctuation))
@@ -34,11 +34,11 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_BLANK).split()
 
 
-def blocks(texts: list[str | None], words: WordHashes, lengths: list[int], table: np.ndarray):
+def blocks(texts: pa.Array, words: WordHashes, lengths: list[int], table: np.ndarray):
     """Per block of texts: the first text's number, and text, place and hash of each n-gram of
     these lengths that lies within one text and passes the bit table."""
     for lo in range(0, len(texts), 256):
-        parts = [tokens(t) for t in texts[lo : lo + 256]]
+        parts = [tokens(t) for t in texts.slice(lo, 256).to_pylist()]
         ids = words.of(list(chain.from_iterable(parts)))
         ends = np.cumsum([len(p) for p in parts])
         starts = ends - [len(p) for p in parts]
@@ -95,7 +95,7 @@ def document_counts(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     def run(it):
         words, count = WordHashes(), Counter()
         for batch in it:
-            for _, text, _, gram in blocks(batch.column(0).to_pylist(), words, [n], cell.value):
+            for _, text, _, gram in blocks(batch.column(0), words, [n], cell.value):
                 once = np.unique(np.stack((text.astype(np.uint64), gram)), axis=1)[1]
                 count.update(once.view(np.int64).tolist())
             if len(count) > 300_000:
@@ -131,7 +131,7 @@ def candidates(docs: DataFrame, rare: DataFrame) -> DataFrame:
         words = WordHashes()
         for batch in it:
             keys = batch.column(0).to_numpy()
-            for lo, text, at, gram in blocks(batch.column(1).to_pylist(), words, lengths, cell.value):
+            for lo, text, at, gram in blocks(batch.column(1), words, lengths, cell.value):
                 if len(text):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[lo + text]), pa.array(gram.view(np.int64)), pa.array(at, pa.int64())], schema=schema)
 
@@ -161,7 +161,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rarest: float
         words = WordHashes()
         for batch in it:
             rows = {name: [] for name in schema.names}
-            for key, doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, doc, text, found in zip(*(values(batch.column(i)) for i in range(4)), strict=True):
                 ids, best = words.of(tokens(text)), {}
                 for c in found:
                     item = np.frombuffer(c["words"], np.uint64)

@@ -44,11 +44,12 @@ BLOCK_ELEMENTS = 4_000_000
 THIN_TAIL = 2e-3
 
 
-def shingle_sets_of(texts: list[bytes | None], n: int, words: WordHashes):
+def shingle_sets_of(texts: list[bytes | None] | pa.Array, n: int, words: WordHashes):
     """Sorted distinct n-gram hashes of each text; words are runs of non-whitespace, A-Z
     lower-cased. Fewer than n words make one n-gram; no words, none."""
     for lo in range(0, len(texts), 256):
-        tokens = [(t or b"").lower().split() for t in texts[lo : lo + 256]]
+        part = texts[lo : lo + 256]
+        tokens = [(t or b"").lower().split() for t in (part.to_pylist() if isinstance(part, pa.Array) else part)]
         h = words.of(list(chain.from_iterable(tokens)))
         grams, at = ngram_hashes(h, n), 0
         for k in map(len, tokens):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_key
+from .common import materialize, utf8, values, with_row_key
 
 WEIGHTS, MOST, BLOCK = (5, 2, 1), 3, 512
 #: Rows of one range of a running sum, and slots of one range of ranks, about.
@@ -40,8 +40,7 @@ def word_counts(docs: DataFrame, key: str) -> DataFrame:
 
     def run(it):
         for batch in it:
-            texts = batch.column(4).cast(pa.binary()).to_pylist()
-            size = pa.array([len(t.split()) if t else 0 for t in texts], pa.int64())
+            size = pa.array([len(t.split()) if t else 0 for t in values(utf8(batch.column(4)))], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), size, batch.column(3)], names=["row_key", "doc_id", "source", "size", "tie"])
 
     text = F.col("text").cast("string")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize
+from .common import batches, materialize, values
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA, LEVEL = 1.25, 0.01
@@ -135,7 +135,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in it:
             fresh = lambda: ({n: [] for n in schema.names[2:-1]}, ([], [], []), [0])
             first, (rows, flat, ends) = 0, fresh()
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            for i, text in enumerate(values(batch.column(2))):
                 base = find_base(text)
                 for k, spans in zip(KINDS, base, strict=True):
                     rows[f"n_{k}"].append(len(spans))
@@ -144,8 +144,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows["base_sha256"].append(hashlib.sha256(named.encode()).hexdigest())
                 rows["entities"].append(list({entity(k, text[s:e]) for k, spans in zip(KINDS, base, strict=True) for s, e in spans}))
                 if named:
-                    for column, values in zip(flat, zip(*terms_of(text, base), strict=True), strict=False):
-                        column += values
+                    for column, parts in zip(flat, zip(*terms_of(text, base), strict=True), strict=False):
+                        column += parts
                 ends.append(len(flat[0]))
                 if len(flat[0]) > 100_000:
                     yield made(batch.slice(first, i + 1 - first), rows, flat, ends)
@@ -166,7 +166,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     def run(it):
         count: Counter = Counter()
         for batch in it:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 if text:
                     count.update(set(map(str.lower, set(_TERM.findall(text)))))
                 if len(count) > 150_000:
@@ -244,7 +244,7 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> Dat
     def run(it):
         for batch in it:
             at = batch.schema.get_field_index("text")
-            texts = [replaced(t, p) for t, p in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            texts = [replaced(t, p) for t, p in zip(values(batch.column(at)), values(batch.column(len(names))), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(names)
 
     out = rows.mapInArrow(run, docs.schema)

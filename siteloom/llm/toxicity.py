@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
+
 BUCKETS = 1 << 20
 LEAST_G, LEAST_DOCS = 20.0, 5
 GRADES = 3
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, rounds: int = 6
     def run(it):
         words = WordFeatures()
         for batch in it:
-            x = [features(t, words) for t in batch.column("text").to_pylist()]
+            x = [features(t, words) for t in values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.int32())), batch.column("grade").cast(pa.int64())], schema=schema)
 
     rows = labelled_sample(docs, labels, sample).selectExpr("cast(doc_id as long) doc_id", "text", "grade").mapInArrow(run, "doc_id long, x array<int>, grade long").toArrow().sort_by("doc_id")
@@ -155,11 +157,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def run(it):
         words, (w, cut) = WordFeatures(), cell.value
         for batch in it:
-            texts = batch.column("text").to_pylist()
-            s = np.array([float(w[features(t, words)].sum()) for t in texts], float)
+            s = np.array([float(w[features(t, words)].sum()) if t else np.nan for t in values(batch.column("text"))], float)
             p = 1 / (1 + np.exp(-np.clip(s[:, None] - cut, -30, 30)))
-            empty = np.array([not t for t in texts], bool)
-            p[empty] = 0.0
+            p[np.isnan(s)] = 0.0
             cols = [pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)]
             for name, col in zip(names, cols, strict=True):
                 batch = batch.append_column(name, col)
@@ -177,7 +177,7 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
     def run(it):
         words, (w, cut) = WordFeatures(), cell.value
         for batch in it:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = values(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([not t or float(w[features(t, words)].sum()) < cut[0] for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
