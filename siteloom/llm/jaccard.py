@@ -309,6 +309,12 @@ def _members(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, elements binary").join(wanted, "doc_id")
 
 
+def rows_of(batch: pa.RecordBatch):
+    """The rows of a batch, some at a time: sets are held once as bytes, not twice."""
+    for lo in range(0, batch.num_rows, 128):
+        yield from batch.slice(lo, 128).to_pylist()
+
+
 def _by_group(rows: DataFrame, compare, schema: str) -> DataFrame:
     """compare(list of row dicts) of the rows of each (centre, part); tasks stream
     through their sorted rows and hold one group at a time."""
@@ -318,7 +324,7 @@ def _by_group(rows: DataFrame, compare, schema: str) -> DataFrame:
     def run(it):
         group, key, out = [], None, []
         for batch in it:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 if (row["centre"], row["part"]) != key:
                     if group:
                         out += compare(group)
