@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, mixing, pii, secrets, toxicity, vptree, warc
+from . import audit, chat, decontam, jaccard, langid, mixing, pii, secrets, toxicity, vptree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model).select("doc_id", "expected_severity", "severity", "is_toxic")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_formatting, op3_language_id, op4_warc, op5_nearest_neighbours, op6_ngram_jaccard, op7_mixing, op8_decontamination, op9_secrets, op10_toxicity)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OPERATORS = (
+    op1_pii, op2_chat_formatting, op3_language_id, op4_warc, op5_nearest_neighbours, op6_ngram_jaccard, op7_mixing,
+    op8_decontamination, op9_secrets, op10_toxicity, op11_filter_audit,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLES = {
     "op2_chat_formatting": r"""
@@ -123,4 +131,33 @@ ORACLES = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
         SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id""",
+    # Every order is applied filter by filter, without a lattice.
+    "op11_filter_audit": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        f AS (
+            SELECT d.doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+                   regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails, l.good, l.toxic
+            FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+        c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+        o AS (
+            SELECT '' AS filter_order
+            UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+        s AS (
+            SELECT filter_order, step, instr('ABCDE', filter_order[step]) AS own,
+                   list_transform(range(1, step), lambda i: instr('ABCDE', filter_order[i])) AS earlier
+            FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+        e AS (
+            SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fail, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone,
+                   len(list_filter(fails, lambda x: x)) AS failures FROM c, s),
+        r AS (
+            SELECT part, filter_order, CAST(step AS INT) AS step, own, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fail), 0) AS BIGINT) AS kept,
+                   CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND fail), 0) AS BIGINT) AS removed,
+                   CAST(coalesce(sum(n) FILTER (WHERE gone AND fail), 0) AS BIGINT) AS redundant,
+                   CAST(coalesce(sum(n) FILTER (WHERE fail AND failures = 1), 0) AS BIGINT) AS unique_fails,
+                   CAST(coalesce(sum(good) FILTER (WHERE NOT gone AND fail), 0) AS BIGINT) AS good_lost,
+                   CAST(coalesce(sum(toxic) FILTER (WHERE NOT gone AND fail), 0) AS BIGINT) AS toxic_lost
+            FROM e GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
