@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontam, jaccard, langid, mixing, pii, secrets, toxicity, vptree, warc
+from . import audit, chat, decontam, jaccard, langid, merkle, mixing, pii, secrets, toxicity, vptree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_pii, op2_chat_formatting, op3_language_id, op4_warc, op5_nearest_neighbours, op6_ngram_jaccard, op7_mixing,
-    op8_decontamination, op9_secrets, op10_toxicity, op11_filter_audit,
+    op8_decontamination, op9_secrets, op10_toxicity, op11_filter_audit, op13_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
@@ -160,4 +164,43 @@ ORACLES = {
             FROM e GROUP BY part, filter_order, step, own)
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
                CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
+    # Whole levels of nodes as lists, a language at a time; CRC-32 bit by bit.
+    "op13_merkle_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, text, concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                   coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+                   xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, b:
+                       list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x // 2, (x % 2) * 3988292384)), CAST(4294967295 AS BIGINT))) % 3 = 0 AS touched
+            FROM documents),
+        l AS (
+            SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM d),
+        g AS (
+            SELECT *, CASE WHEN touched THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) ELSE leaf END AS given,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+        v AS (
+            SELECT lang, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM g GROUP BY lang
+            UNION ALL SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[8 * i + 1:8 * i + 8], '')))
+            FROM v WHERE len(nodes) > 1),
+        s AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, lang) - 1 AS lang_no FROM v WHERE len(nodes) = 1),
+        t AS (
+            SELECT 0 AS level, list(subroot ORDER BY lang_no) AS nodes FROM s
+            UNION ALL SELECT level + 1, list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[8 * i + 1:8 * i + 8], '')))
+            FROM t WHERE len(nodes) > 1),
+        a AS (
+            SELECT g.doc_id, leaf, given, subroot, 0 AS tree, v.level, idx // CAST(pow(8, v.level) AS BIGINT) AS place, nodes
+            FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang JOIN v ON g.lang IS NOT DISTINCT FROM v.lang
+            UNION ALL SELECT g.doc_id, leaf, given, subroot, 1, t.level, lang_no // CAST(pow(8, t.level) AS BIGINT), nodes
+            FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang, t),
+        p AS (
+            SELECT doc_id, leaf, any_value(given) AS given, any_value(subroot) AS subroot,
+                   coalesce(list(array_to_string(nodes[place - place % 8 + 1:place], '') || '#' || array_to_string(nodes[place + 2:place - place % 8 + 8], '') ORDER BY tree, level)
+                            FILTER (WHERE len(nodes) > 1), []) AS proof
+            FROM a GROUP BY doc_id, leaf),
+        r AS (SELECT nodes[1] AS root FROM t WHERE len(nodes) = 1),
+        f AS (
+            SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(proof, ''), '#', '')) AS proof_sha256,
+                   list_reduce(proof, lambda node, x: sha256(split_part(x, '#', 1) || node || split_part(x, '#', 2)), given) AS folded_root
+            FROM p, r)
+        SELECT *, folded_root = root AS verified FROM f""",
 }
