@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontam, jaccard, langid, merkle, mixing, pii, secrets, toxicity, vptree, warc
+from . import audit, chat, decontam, jaccard, langid, merkle, mixing, pii, repeats, secrets, toxicity, vptree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,13 +62,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.cut_repeats(_table(spark, sf_dir, "documents"), least=400)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
 OPERATORS = (
     op1_pii, op2_chat_formatting, op3_language_id, op4_warc, op5_nearest_neighbours, op6_ngram_jaccard, op7_mixing,
-    op8_decontamination, op9_secrets, op10_toxicity, op11_filter_audit, op13_merkle_manifest,
+    op8_decontamination, op9_secrets, op10_toxicity, op11_filter_audit, op12_suffix_array_dedup, op13_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
@@ -203,4 +209,18 @@ ORACLES = {
                    list_reduce(proof, lambda node, x: sha256(split_part(x, '#', 1) || node || split_part(x, '#', 2)), given) AS folded_root
             FROM p, r)
         SELECT *, folded_root = root AS verified FROM f""",
+    # Every string of 400 bytes (800 hex digits), by its MD5.
+    "op12_suffix_array_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+        w AS (SELECT k, p, md5_number(h[2 * p + 1:2 * p + 800]) AS m FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d)),
+        r AS (SELECT k, p FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+        -- Starts that are 400 apart at most cover one run of bytes.
+        g AS (SELECT k, p, CASE WHEN p - lag(p) OVER (PARTITION BY k ORDER BY p) <= 400 THEN 0 ELSE 1 END AS opens FROM r),
+        o AS (SELECT k, p, sum(opens) OVER (PARTITION BY k ORDER BY p) AS run FROM g),
+        s AS (SELECT k, min(p) AS a, max(p) + 400 AS b FROM o GROUP BY k, run),
+        e AS (SELECT k, list({'a': a, 'b': b} ORDER BY a) AS spans, sum(b - a) AS removed FROM s GROUP BY k)
+        SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(len(spans), 0) AS n_spans,
+               sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(spans) + 1), lambda i:
+                   h[CASE WHEN i = 0 THEN 1 ELSE 2 * spans[i].b + 1 END:CASE WHEN i = len(spans) THEN len(h) ELSE 2 * spans[i + 1].a END]), '') END)) AS kept_sha256
+        FROM d LEFT JOIN e ON e.k = d.k""",
 }
