@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..storage import Rounds, materialize, new_path, shared_dir
 
 __all__ = [
-    "WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "passes", "shared_dir", "small_batches", "text_key",
+    "WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "only", "passes", "shared_dir", "small_batches", "text_key",
     "utf8", "values", "with_row_key", "without",
 ]
 
@@ -89,11 +89,11 @@ def text_key() -> Column:
 
 
 def _is_scan(df: DataFrame) -> bool:
-    """Whether each row of `df` is one row of a file."""
+    """Whether each row of `df` is one row of a Parquet file, the format whose rows have a place."""
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().apply(0)
-    return node.nodeName() == "LogicalRelation" and bool(df.inputFiles())
+    return node.nodeName() == "LogicalRelation" and "parquet" in node.relation().toString().lower()
 
 
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -120,6 +120,12 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(gone) if gone.count() <= FEW_KEYS else gone, key, "left_anti")
 
 
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """`rows` whose key is in `keys` (a written table), as long as the keys are few enough to
+    be broadcast; beyond that all rows, for the join that follows."""
+    return rows.join(F.broadcast(keys), key, "left_semi") if keys.count() <= FEW_KEYS else rows
+
+
 def bit_table(keys: DataFrame, column: str, most: int = 1 << 27) -> np.ndarray:
     """Words of a bit table over the low bits of a hash column: some 16 bits a key but
     `most` at most (16 MB). Every key has its bit set; with more keys than that, the

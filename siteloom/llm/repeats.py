@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_KEYS, batches, materialize, utf8, with_row_key, without
+from .common import FEW_KEYS, batches, materialize, only, utf8, with_row_key, without
 
 LEAST = 400
 #: Bytes that are ranked at a time in a task, about (a longer text in parts that overlap).
@@ -183,12 +183,6 @@ def fetch_bodies(keyed: DataFrame, key: str, runs: DataFrame, least: int) -> Dat
     return joined.mapInArrow(run, _OPEN)
 
 
-def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """`rows` whose key is in `keys` (a written table), before they are shuffled, as long
-    as the keys are few enough to be broadcast; beyond that, all, for the join that follows."""
-    return rows.join(F.broadcast(keys), key, "left_semi") if keys.count() <= FEW_KEYS else rows
-
-
 def pieces_of(bodies: list[bytes], lo: np.ndarray, hi: np.ndarray, size: int, least: int) -> tuple[np.ndarray, ...]:
     """(row, place, one, two, lo, hi, whole) of the pieces of `size` windows: the pair of ranks
     of the bytes that all windows of an uncut piece share, and the name of all bytes."""
@@ -297,6 +291,8 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, carry: tuple = ("doc_id",))
     nothing = F.expr("cast(array() as array<struct<start: long, end: long>>)")
     clean = clean.select(*[F.col(f"`{c}`") for c in carry], F.octet_length("_t").cast("long").alias("n_bytes"), F.col("_t").alias("kept"), nothing.alias("spans"))
 
+    names = clean.columns
+
     def run(it):
         for batch in it:
             for at in range(0, batch.num_rows, 64):
@@ -307,7 +303,7 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, carry: tuple = ("doc_id",))
                     *(part.column(i) for i in range(n)), pa.array(map(len, texts), pa.int64()),
                     pa.array([without_spans(t, m) for t, m in zip(texts, merged, strict=True)], pa.binary()),
                     pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ], names=clean.columns)
+                ], names=names)
 
     touched = only(given, found.select("_k"), "_k").join(found, "_k").select(*[F.col(f"`{c}`") for c in carry], "_t", "spans")
     return touched.mapInArrow(run, clean.schema).union(clean)
