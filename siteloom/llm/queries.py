@@ -212,8 +212,8 @@ ORACLES = {
     # Every string of 400 bytes (800 hex digits), by its MD5.
     "op12_suffix_array_dedup": """
         WITH d AS (SELECT row_number() OVER () AS k, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-        w AS (SELECT k, p, md5_number(h[2 * p + 1:2 * p + 800]) AS m FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d)),
-        r AS (SELECT k, p FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+        w AS (SELECT k, p, md5_number(substr(h, 2 * p + 1, 800)) AS m FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d)),
+        r AS (SELECT k, p FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
         -- Starts that are 400 apart at most cover one run of bytes.
         g AS (SELECT k, p, CASE WHEN p - lag(p) OVER (PARTITION BY k ORDER BY p) <= 400 THEN 0 ELSE 1 END AS opens FROM r),
         o AS (SELECT k, p, sum(opens) OVER (PARTITION BY k ORDER BY p) AS run FROM g),
