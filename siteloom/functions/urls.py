@@ -3,10 +3,8 @@ gives null for blanks and non-ASCII letters."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _RFC = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -61,30 +59,34 @@ def _trimmed(path: Column) -> Column:
     return F.when(F.rtrim(path, F.lit("/")) == "", "/").otherwise(F.rtrim(path, F.lit("/")))
 
 
-@F.pandas_udf(StringType())
-def _ascii_host_and_path(host: pd.Series, path: pd.Series) -> pd.Series:
-    """IDNA host and percent-encoded path: beyond SQL, so one vectorised call."""
-    from urllib.parse import quote, unquote
+#: Characters of a path that are not percent-encoded, besides letters, digits and those that no URL encodes.
+PATH_SAFE = "/:@!$&'()+,;=~"
 
-    def one(h: str, p: str) -> str:
-        try:
-            h = h.encode("idna").decode("ascii")
-        except UnicodeError:
-            pass
-        return h + "\n" + quote(unquote(p), safe="/:@!$&'()*+,;=")
 
-    return pd.Series([None if h is None or p is None else one(h, p) for h, p in zip(host, path, strict=True)])
+def _ascii_host(host: Column) -> Column:
+    """Hosts that are not ASCII in their IDNA form; what IDNA rejects stays."""
+    idna = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)
+    return F.when(host.rlike(r"^[\x00-\x7F]*$"), host).otherwise(F.coalesce(F.lower(idna), host))
+
+
+def _encoded_path(path: Column) -> Column:
+    """A path percent-encoded one way, whichever of its characters were encoded before."""
+    whole = F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    encoded = F.replace(F.url_encode(F.try_url_decode(whole)), F.lit("+"), F.lit("%20"))
+    for c in PATH_SAFE:
+        encoded = F.replace(encoded, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(path.rlike(r"^[A-Za-z0-9_.~/:@!$&'()*+,;=-]*$"), path).otherwise(F.coalesce(encoded, path))
 
 
 def normalize_url_compare(url: Column) -> Column:
     """The form in which URLs are compared: scheme and host lowered, IDNA, no default
     port, path encoded one way without its last slash, no fragment."""
     u = url_parts(url)
-    both = F.split(_ascii_host_and_path(F.rtrim(u["host"], F.lit(".")), u["path"]), "\n")
+    host, path = _ascii_host(F.rtrim(u["host"], F.lit("."))), _encoded_path(u["path"])
     port = F.when(
         (u["port"] == "") | ((u["scheme"] == "https") & (u["port"] == "443")) | ((u["scheme"] == "http") & (u["port"] == "80")), "",
     ).otherwise(F.concat(F.lit(":"), u["port"]))
-    return joined(u["scheme"], F.concat(both[0], port), _trimmed(both[1]), u["query"])
+    return joined(u["scheme"], F.concat(host, port), _trimmed(path), u["query"])
 
 
 def normalize_url_sorted(url: Column) -> Column:
@@ -106,20 +108,38 @@ def normalize_url_slash(url: Column, form: str = "forbid") -> Column:
     return joined(u["scheme"], F.lower(u["authority"]), path, u["query"])
 
 
+def remove_dot_segments(path: Column) -> Column:
+    """A path without its `.` and `..` segments (RFC 3986, 5.2.4): a fold with a stack."""
+    segments = F.split(path, "/")
+    empty = F.array().cast("array<string>")
+    up = lambda stack: F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+    step = lambda stack, x: F.when(x == ".", stack).when(x == "..", up(stack)).otherwise(F.concat(stack, F.array(x)))
+    stack = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), empty, step)
+    folder = F.element_at(segments, -1).isin(".", "..") & (F.size(stack) > 0)
+    folded = F.concat(F.lit("/"), F.array_join(stack, "/"), F.when(folder, "/").otherwise(""))
+    return F.when(path.rlike(r"^/(.*/)?\.\.?(/|$)"), folded).otherwise(path)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """`href` as seen from the page `base`, absolute; a path without a slash in front starts
-    at the page's folder. Dot segments stay as they are."""
-    b = url_parts(base)
-    origin = F.concat(b["scheme"], F.lit("://"), b["authority"])
-    folder = F.regexp_replace(F.when(b["path"] == "", "/").otherwise(b["path"]), "[^/]*$", "")
-    here = F.regexp_replace(base, r"#.*$", "")
+    """The reference `href` as seen from the URL `base` (RFC 3986, 5.2)."""
+    g = lambda x, pattern: F.regexp_extract(x, pattern, 1)
+    scheme, authority = r"(?s)^([^:/?#]+:)", r"(?s)^(?:[^:/?#]+:)?(//[^/?#]*)"
+    path, query, fragment = r"(?s)^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", r"(?s)^[^?#]*(\?[^#]*)", r"(?s)^[^#]*(#.*)"
+    own = href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    # Without a scheme, a colon in the first segment is the path's.
+    rest = F.when(own, F.regexp_replace(href, scheme, "")).otherwise(href)
+    bare = r"(?s)^(?://[^/?#]*)?([^?#]*)"
+    to, of = g(rest, bare), g(base, path)
+    merged = F.when((g(base, authority) != "") & (of == ""), F.concat(F.lit("/"), to)).otherwise(F.concat(F.regexp_replace(of, "[^/]*$", ""), to))
+    placed = F.when(to.startswith("/"), remove_dot_segments(to)).otherwise(remove_dot_segments(merged))
+    tail = F.concat(g(rest, query), g(rest, fragment))
+    root = F.concat(g(base, scheme), g(base, authority))
     return (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(
-            href.startswith("//"), F.concat(b["scheme"], F.lit(":"), href),
-        ).when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("#") | (href == ""), F.concat(here, href)).when(
-            href.startswith("?"), F.concat(F.regexp_replace(here, r"\?.*$", ""), href),
-        ).otherwise(F.concat(origin, folder, href))
+        F.when(own, F.concat(g(href, scheme), g(rest, r"(?s)^(//[^/?#]*)"), remove_dot_segments(to), tail))
+        .when(rest.startswith("//"), F.concat(g(base, scheme), g(rest, r"(?s)^(//[^/?#]*)"), remove_dot_segments(to), tail))
+        .when((to == "") & rest.startswith("?"), F.concat(root, of, tail))
+        .when(to == "", F.concat(root, of, g(base, query), g(rest, fragment)))
+        .otherwise(F.concat(root, placed, tail))
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +47,7 @@ REQUIRED = [
     (["VideoObject"], "name", "video_missing_name", "high"), (["VideoObject"], "description", "video_missing_description", "high"),
     (["VideoObject"], "thumbnailUrl", "video_missing_thumbnailUrl", "high"), (["VideoObject"], "uploadDate", "video_missing_uploadDate", "high"),
 ]
+# Types that search no longer shows, availabilities, what a page says of them, and eagerness.
 DEPRECATED = [
     "BookAction", "ReadAction", "BorrowAction", "Course", "CourseInfo", "ClaimReview", "EstimatedSalary", "Occupation", "LearningVideo",
     "LearningResource", "SpecialAnnouncement", "Vehicle", "Car", "VehicleListing", "PracticeProblem", "Quiz", "FAQPage", "HowTo",
@@ -73,28 +77,83 @@ def _kind(c: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(c), "^([A-Z]+)", 1)
 
 
+#: A string, a mark, or another scalar of a JSON text.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+')
+
+
+class _Nodes:
+    """Table function: the objects of a JSON text that lists and @graph hold, however deep, with
+    their places. One pass over the text with a stack; each object is a piece of it."""
+
+    def eval(self, raw: str):
+        # A frame: closing mark, where it begins, the list of places it has if it is opened
+        # (else None), number of items, whether a key comes next, the last key, whether it has a graph.
+        frames, root = [], True
+        for m in _TOKEN.finditer(raw):
+            token, top = m[0], frames[-1] if frames else None
+            if token in "]}" and len(token) == 1:
+                frame = frames.pop()
+                if token == "}" and frame[2] is not None and not frame[6]:
+                    yield frame[2], raw[frame[1] : m.end()]
+            elif token == ",":
+                top[3], top[4] = top[3] + 1, True
+            elif token == ":":
+                top[4] = False
+            elif top and top[0] == "}" and top[4]:
+                top[5] = token
+                if top[2] is not None and json.loads(token) == "@graph":
+                    top[5], top[6] = "@graph", True
+            elif token in "[{" and len(token) == 1:
+                at = None
+                if root:
+                    at = []
+                elif top[2] is not None and top[0] == "]":
+                    at = [*top[2], top[3]]
+                elif top[2] is not None and top[5] == "@graph":
+                    at = top[2] if token == "[" else [*top[2], 0]
+                frames.append(["]" if token == "[" else "}", m.start(), at, 0, True, None, False])
+            root = False
+
+
+class _Tagged:
+    """Table function: the places of strings of a JSON text that hold a script tag."""
+
+    def eval(self, raw: str):
+        frames = []  # closing mark, path, number of items, whether a key comes next, the last key
+        for m in _TOKEN.finditer(raw):
+            token, top = m[0], frames[-1] if frames else None
+            if token in "]}" and len(token) == 1:
+                frames.pop()
+            elif token == ",":
+                top[2], top[3] = top[2] + 1, True
+            elif token == ":":
+                top[3] = False
+            elif top and top[0] == "}" and top[3]:
+                top[4] = json.loads(token)
+            elif token in "[{" and len(token) == 1 or token[0] == '"' and _SCRIPT.search(json.loads(token)):
+                path = "" if not top else f"{top[1]}[{top[2]}]" if top[0] == "]" else f"{top[1]}.{top[4]}" if top[1] else top[4]
+                if token[0] == '"':
+                    yield (path,)
+                else:
+                    frames.append(["]" if token == "[" else "}", path, 0, True, None])
+
+
+_SCRIPT = re.compile(r"<\s*/?\s*script", re.IGNORECASE)
+
+
 def jsonld_blocks(scripts: DataFrame) -> DataFrame:
     """(url, block, at, node variant, types) of each object of the scripts; lists and @graph
-    are opened, however deep they lie, `at` being the places in them. Text that is no JSON has
-    a null node. Each level is a table of its own, so that the HTML is read once."""
-    level = scripts.select("url", "block", F.array().cast("array<int>").alias("at"), F.try_parse_json("raw").alias("node"))
-    graph = F.try_variant_get("node", "$['@graph']", "variant")
-    opened = F.when(_kind(F.col("node")) == "ARRAY", F.try_variant_get("node", "$", "array<variant>")).when(
-        (_kind(F.col("node")) == "OBJECT") & graph.isNotNull(),
-        F.coalesce(F.try_variant_get("node", "$['@graph']", "array<variant>"), F.array(graph)),
-    )
-    done = []
-    while True:
-        level = materialize(level.withColumn("inner", opened), "jsonld")
-        done.append(level.where("inner is null").drop("inner"))
-        level = level.where("inner is not null").select("url", "block", "at", F.posexplode("inner").alias("i", "node"))
-        if level.isEmpty():
-            break
-        level = level.select("url", "block", F.concat("at", F.array("i")).alias("at"), "node")
-    nodes = union_all(done).where("node is null or " + "schema_of_variant(node) like 'OBJECT%'")
+    are opened, however deep they lie, `at` being the places in them. Text that is no JSON (or is
+    nested deeper than Spark parses, 1,000 levels) has a null node. A table function opens a
+    text in one pass, so the depth of a page costs no further stage."""
+    nodes = F.udtf(_Nodes, returnType="at array<int>, piece string")
+    given = scripts.select("url", "block", "raw", F.try_parse_json("raw").isNotNull().alias("fine"))
+    opened = given.where("fine").lateralJoin(nodes(F.col("raw").outer())).select("url", "block", "at", F.try_parse_json("piece").alias("node"))
+    broken = given.where("not fine").select("url", "block", F.array().cast("array<int>").alias("at"), F.try_parse_json(F.lit("{")).alias("node"))
     one = F.try_variant_get("node", "$['@type']", "string")
     many = F.try_variant_get("node", "$['@type']", "array<string>")
-    return nodes.withColumn("types", F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")))
+    types = F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
+    return materialize(opened.unionByName(broken).withColumn("types", types), "jsonld")
 
 
 def _entries(c: Column) -> Column:
@@ -103,21 +162,9 @@ def _entries(c: Column) -> Column:
 
 def script_texts(nodes: DataFrame) -> DataFrame:
     """(url, block, path) of strings inside the nodes that hold a script tag, at any depth."""
-    tag = r"(?i)<\s*/?\s*script"
-    level = materialize(nodes.where(F.to_json("node").rlike(tag)).select("url", "block", F.lit("").alias("path"), F.col("node").alias("value")), "strings")
-    found = []
-    while not level.isEmpty():
-        text = F.try_variant_get("value", "$", "string")
-        found.append(level.where((_kind(F.col("value")) == "STRING") & text.rlike(tag)).select("url", "block", "path"))
-        fields = level.where(_kind(F.col("value")) == "OBJECT").select("url", "block", "path", F.explode(_entries(F.col("value"))).alias("k", "value"))
-        items = level.where(_kind(F.col("value")) == "ARRAY").select(
-            "url", "block", "path", F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("i", "value"),
-        )
-        inner = fields.select("url", "block", F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "value").unionByName(
-            items.select("url", "block", F.concat("path", F.lit("["), "i", F.lit("]")).alias("path"), "value")
-        )
-        level = materialize(inner.where(F.to_json("value").rlike(tag)), "strings")
-    return union_all(found) if found else nodes.select("url", "block", F.lit("").alias("path")).limit(0)
+    tagged = F.udtf(_Tagged, returnType="path string")
+    given = nodes.select("url", "block", F.to_json("node").alias("json")).where(F.col("json").rlike(r"(?i)<\s*/?\s*script"))
+    return given.lateralJoin(tagged(F.col("json").outer())).select("url", "block", "path")
 
 
 def validate_jsonld(blocks: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ and rules are projections of the facts and the stored fetches."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -10,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as u
-from ..storage import materialize
+from .chains import walk
 from .findings import findings
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_TAGS = frozenset("base link meta noscript script style template title head html".split())
-ELEMENTS = "url string, seq int, parent int, tag string, attrs map<string,string>, text string, alts string, ancestors array<struct<seq:int,tag:string,role:string,class:string,label:string>>, in_head boolean"
+ELEMENTS = "url string, seq int, last int, parent int, tag string, attrs map<string,string>, text string, alts string, in_head boolean"
 TEXT = "#text"
 
 # What a start tag ends, and what it doesn't reach out of (as HTML's tree construction has it).
@@ -37,10 +39,8 @@ ENDS |= {
     "a": (frozenset({"a"}), frozenset({"table", "td", "th"})),
     "button": (frozenset({"button"}), frozenset({"table", "td", "th"})),
 }
-#: Elements whose whole inner text is kept; they can't hold others of their kind, so it stays in proportion to the page.
+#: Elements whose inner text is kept; of those of one kind inside each other, the innermost has it.
 WITH_TEXT = _HEADINGS | frozenset("title a button script style label option summary caption figcaption".split())
-#: Ancestors that are listed, besides those with a role, class or label: what rules ask for.
-LISTED = frozenset("main article aside nav header footer script style noscript template a button".split())
 
 # Titles, texts and names that say nothing, and component classes.
 GENERIC_TITLES = ["untitled", "home", "homepage", "page", "default", "welcome", "index", "title"]
@@ -61,47 +61,51 @@ COMPONENTS = ["card", "modal", "dialog", "popover", "tooltip", "dropdown", "menu
 
 class _Elements(HTMLParser):
     """Elements and texts in document order. An element that can't stand in the head closes
-    it; end tags that HTML lets be left out are put in."""
+    it; end tags that HTML lets be left out are put in. The places of open elements are
+    kept by tag, so that time is linear in the page, however deep it is nested."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.open, self.head = [], [], None
+        self.rows, self.open, self.places, self.head = [], [], defaultdict(list), None
 
     def _add(self, tag, attrs, text):
-        top = self.open[-1] if self.open else None
-        row = [len(self.rows), top[1][0] if top else None, tag, attrs, text, [], top[2] if top else [], bool(self.head) and tag not in ("head", "html")]
+        parent = self.open[-1][0] if self.open else None
+        row = [len(self.rows), len(self.rows), parent, tag, attrs, text, [], bool(self.head) and tag not in ("head", "html")]
         self.rows.append(row)
         return row
 
     def _cut(self, i):
-        del self.open[i:]
+        while len(self.open) > i:
+            row = self.open.pop()
+            row[1] = len(self.rows) - 1
+            self.places[row[3]].pop()
+
+    def _innermost(self, tags):
+        """The place of the last open element of these tags; -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
 
     def handle_starttag(self, tag, attrs):
         if tag == "head" and self.head is None:
             self.head = True
         elif self.head and tag not in HEAD_TAGS:
             self.head = False
-            self._cut(next((i for i, o in enumerate(self.open) if o[0] == "head"), len(self.open)))
-        closed, barrier = ENDS.get(tag, (frozenset(), frozenset()))
-        cut = None
-        for i in range(len(self.open) - 1, -1, -1) if closed else ():
-            if self.open[i][0] in barrier:
-                break
-            if self.open[i][0] in closed:
-                cut = i
-        if cut is not None:
-            self._cut(cut)
+            if self.places["head"]:
+                self._cut(self.places["head"][0])
+        if tag in ENDS:
+            closed, barrier = ENDS[tag]
+            wall = self._innermost(barrier)
+            above = [p[bisect_right(p, wall)] for p in map(self.places.__getitem__, closed) if p and p[-1] > wall]
+            if above:
+                self._cut(min(above))
         kept = {k: v or "" for k, v in reversed(attrs)}
         row = self._add(tag, kept, [])
         if tag == "img" and kept.get("alt", "").strip():
-            for _, outer, _ in self.open:
-                if outer[2] in ("a", "button"):
-                    outer[5].append(kept["alt"].strip())
+            for kind in ("a", "button"):
+                if self.places[kind]:
+                    self.open[self.places[kind][-1]][6].append(kept["alt"].strip())
         if tag not in VOID:
-            up, marks = row[6], [kept.get(k, "") for k in ("role", "class", "aria-label")]
-            if tag in LISTED or any(marks):
-                up = [*up, dict(zip(("seq", "tag", "role", "class", "label"), (row[0], tag, *marks), strict=True))]
-            self.open.append((tag, row, up))
+            self.places[tag].append(len(self.open))
+            self.open.append(row)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -111,36 +115,40 @@ class _Elements(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "head":
             self.head = False
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                return self._cut(i)
-            if self.open[i][0] in ("table", "td", "th") and tag not in ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "body", "html"):
-                return None
+        own = self._innermost((tag,))
+        free = tag in ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "body", "html")
+        if own >= 0 and (free or own > self._innermost(("table", "td", "th"))):
+            self._cut(own)
 
     def handle_data(self, data):
-        for tag, row, _ in self.open:
-            if tag in WITH_TEXT:
-                row[4].append(data)
+        for tag in WITH_TEXT:
+            if self.places[tag]:
+                self.open[self.places[tag][-1]][5].append(data)
         if data.strip():
             self._add(TEXT, {}, [data])
 
+    def close(self):
+        super().close()
+        self._cut(0)
+
 
-def page_elements(pages: DataFrame) -> DataFrame:
+def page_elements(pages: DataFrame, tags: tuple = ()) -> DataFrame:
     """The element table of pages (url, html); null html has no elements.
 
     Elements and texts (tag `#text`) are rows in document order (seq), each with its
-    parent's seq. `text` is the text itself, and of headings, links, buttons, titles,
-    scripts and the like the whole text inside; blanks are made one. `alts` has the
-    alternative texts of images in a link or button. `ancestors` lists sections, links and
-    buttons, and elements with a role, class or aria-label; `parent` leads to the others.
+    parent's seq and the seq of its last descendant (last; its own if it has none): an
+    element holds those after it up to `last`. `text` is the text itself, and of headings,
+    links, buttons, titles, scripts and the like the text inside; blanks are made one.
+    `alts` has the alternative texts of images in a link or button. With `tags`, only these
+    come out of the parser. The table is linear in the page.
     """
-    up = pa.struct([("seq", pa.int32()), ("tag", pa.string()), ("role", pa.string()), ("class", pa.string()), ("label", pa.string())])
     schema = pa.schema(
         [
-            ("url", pa.string()), ("seq", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
-            ("text", pa.string()), ("alts", pa.string()), ("ancestors", pa.list_(up)), ("in_head", pa.bool_()),
+            ("url", pa.string()), ("seq", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
+            ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("alts", pa.string()), ("in_head", pa.bool_()),
         ]
     )
+    wanted = frozenset(tags)
 
     def made(out):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -152,8 +160,10 @@ def page_elements(pages: DataFrame) -> DataFrame:
                 parser = _Elements()
                 parser.feed(html or "")
                 parser.close()
-                for seq, parent, tag, attrs, text, alts, ancestors, head in parser.rows:
-                    out.append((url, seq, parent, tag, list(attrs.items()), " ".join("".join(text).split()), " ".join(alts), ancestors, head))
+                for seq, last, parent, tag, attrs, text, alts, head in parser.rows:
+                    if wanted and tag not in wanted:
+                        continue
+                    out.append((url, seq, last, parent, tag, list(attrs.items()), " ".join("".join(text).split()), " ".join(alts), head))
                     if len(out) > 20_000:
                         yield made(out)
                         out = []
@@ -163,6 +173,19 @@ def page_elements(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInArrow(run, ELEMENTS)
 
 
+def within(elements: DataFrame, **holders: Column) -> DataFrame:
+    """`elements` with a boolean column for each of `holders` (a condition on elements): whether
+    an element that holds this one meets it. Elements nest, so it does if the farthest end of
+    those that meet it before is not before this one: one pass over a page in order."""
+    before = Window.partitionBy("url").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    ends = {name: F.coalesce(F.max(F.when(c, F.col("last"))).over(before) >= F.col("seq"), F.lit(False)) for name, c in holders.items()}
+    return elements.select("*", *(c.alias(name) for name, c in ends.items()))
+
+
+def tagged(*tags: str) -> Column:
+    return F.col("tag").isin(*tags)
+
+
 def attr(name: str) -> Column:
     return F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
 
@@ -274,37 +297,49 @@ def header_canonicals(link: Column) -> Column:
 
 
 def canonical_audit(fetches: DataFrame, elements: DataFrame) -> DataFrame:
-    """Findings on canonicals in the head and the Link header of fetches (url, status, link)."""
-    links = elements.where((F.col("tag") == "link") & F.array_contains(F.split(F.lower(attr("rel")), r"\s+"), "canonical")).groupBy("url").agg(
-        F.collect_list(F.when(F.col("in_head"), attr("href"))).alias("heads"), F.count_if(~F.col("in_head")).alias("outside"),
-    )
-    rows = fetches.join(links, "url", "left").withColumn("all", F.concat(F.coalesce("heads", F.array().cast("array<string>")), header_canonicals(F.col("link"))))
-    rows = rows.withColumn("first", F.trim(F.coalesce(F.get("all", F.lit(0)), F.lit("")))).withColumn(
-        "kinds", F.array_distinct(F.transform("all", lambda x: F.rtrim(F.lower(F.trim(x)), F.lit("/")))),
-    ).withColumn("n", F.size("all"))
+    """Findings on canonicals in the head and the Link header of fetches (url, status, link, and
+    final_url where it differs from url).
+
+    Head links are resolved against the first `base` of the page, if it is in the head, header
+    ones against the final URL. Targets are compared in their normal form, page and canonical
+    without tracking parameters. A page that answers 400 or more has no other finding than that; an
+    empty first canonical, or one that is no web address, no further ones.
+    """
     c = F.col
-    rows = rows.withColumn("same", u.normalize_url_compare(c("first"))).withColumn("own", u.normalize_url_compare(u.strip_tracking(c("url"))))
-    http = u.is_abs_http(c("first"))
-    one = (c("n") > 0) & (c("first") != "")
-    other = http & (u.url_parts(c("first"))["host"] != u.url_parts(c("url"))["host"])
-    return findings(
-        rows,
-        [
-            ("outside_head", "error", F.coalesce("outside", F.lit(0)) > 0, None), ("missing", "error", c("n") == 0, None),
-            ("conflicting", "error", F.size("kinds") > 1, None), ("multiple_same", "warning", (c("n") > 1) & (F.size("kinds") == 1), None),
-            ("empty", "error", (c("n") > 0) & (c("first") == ""), None),
-            ("relative", "warning", one & ~c("first").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), c("first")),
-            ("non_http", "error", one & ~http & c("first").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), c("first")),
-            ("tracking_in_canonical", "error", one & (F.size(u.tracking_params(c("first"))) > 0), c("first")),
-            ("cross_host", "warning", other, c("first")), ("not_self", "notice", http & ~other & (c("same") != c("own")), c("first")),
-            ("non_success", "error", ~c("status").between(200, 299), c("status")),
-        ],
-    )
+    canonical = (c("tag") == "link") & F.array_contains(F.split(F.lower(attr("rel")), r"\s+"), "canonical")
+    base = (c("tag") == "base") & F.map_contains_key("attrs", "href")
+    links = elements.where(c("tag").isin("link", "base")).groupBy("url").agg(
+        F.array_sort(F.collect_list(F.when(canonical & c("in_head"), F.struct("seq", F.trim(attr("href")).alias("href"))))).alias("heads"),
+        F.count_if(canonical & ~c("in_head")).alias("outside"),
+        F.min(F.when(base, F.struct("seq", "in_head", F.trim(attr("href")).alias("href")))).alias("base"),
+    )
+    final = F.coalesce(c("final_url"), c("url")) if "final_url" in fetches.columns else c("url")
+    rows = fetches.where("status is not null").select("url", "status", "link", final.alias("page")).join(links, "url", "left")
+    rows = rows.withColumn("from", F.when(c("base.in_head"), u.resolve(c("page"), c("base.href"))).otherwise(c("page")))
+    found = lambda hrefs, start: F.transform(hrefs, lambda x: F.struct(x.alias("href"), u.resolve(start, x).alias("to")))
+    heads = F.transform(F.coalesce("heads", F.array().cast("array<struct<seq:int,href:string>>")), lambda x: x["href"])
+    rows = rows.withColumn("all", F.concat(found(heads, c("from")), found(F.transform(header_canonicals(c("link")), F.trim), c("page"))))
+    kinds = F.array_distinct(F.transform(F.filter("all", lambda x: x["href"] != ""), lambda x: u.normalize_url_compare(x["to"])))
+    rows = rows.select("url", "page", "status", "outside", F.size("all").alias("n"), F.size(kinds).alias("kinds"), F.get("all", F.lit(0)).alias("one"))
+    rows = rows.select("*", F.coalesce("one.href", F.lit("")).alias("first"), F.coalesce("one.to", F.lit("")).alias("to")).drop("one")
+    some, http = (c("n") > 0) & (c("first") != ""), c("to").rlike("(?i)^https?:")
+    bare, host = lambda x: u.normalize_url_compare(u.strip_tracking(x)), lambda x: F.split(u.normalize_url_compare(x), "/")[2]
+    failed = findings(rows.where("status >= 400"), [("non_success", "error", F.lit(True), c("status"))])
+    return failed.unionByName(findings(rows.where("status < 400"), [
+        ("outside_head", "error", c("outside") > 0, None), ("missing", "error", c("n") == 0, None),
+        ("conflicting", "error", c("kinds") > 1, None), ("multiple_same", "warning", (c("n") > 1) & (c("kinds") <= 1), None),
+        ("empty", "error", (c("n") > 0) & (c("first") == ""), None),
+        ("relative", "warning", some & ~c("first").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]"), c("first")),
+        ("non_http", "error", some & ~http, c("first")),
+        ("tracking_in_canonical", "error", some & http & (F.size(u.tracking_params(c("to"))) > 0), c("first")),
+        ("cross_host", "warning", some & http & (host(c("to")) != host(c("page"))), c("first")),
+        ("not_self", "notice", some & http & (bare(c("to")) != bare(c("page"))), c("first")),
+    ]))
 
 
 def visible_text(elements: DataFrame, drop: tuple = ("script", "style", "noscript", "template", "nav", "header", "footer")) -> DataFrame:
     """(url, text) of the body: texts that no dropped element holds, in document order."""
-    rows = elements.where((F.col("tag") == TEXT) & ~_inside(*drop) & ~F.col("in_head"))
+    rows = within(elements, dropped=tagged(*drop)).where((F.col("tag") == TEXT) & ~F.col("dropped") & ~F.col("in_head"))
     return rows.groupBy("url").agg(_in_order().alias("text"))
 
 
@@ -361,21 +396,13 @@ def byte_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return size(before, "bytes_before").join(size(after, "bytes_after"), "url").withColumn("delta", F.col("bytes_after") - F.col("bytes_before"))
 
 
-def _inside(*tags: str) -> Column:
-    return F.exists("ancestors", lambda a: a["tag"].isin(*tags))
-
-
 def heading_outline(elements: DataFrame) -> DataFrame:
     """(url, seq, level, text, before): headings in order with the level before them."""
     w = Window.partitionBy("url").orderBy("seq")
-    rows = elements.where(F.col("tag").rlike("^h[1-6]$")).withColumn("level", F.substring("tag", 2, 1).cast("int"))
-    return rows.select(
-        "url", "seq", "level", "text", F.lag("level").over(w).alias("before"), _inside("aside").alias("in_aside"), _inside("nav").alias("in_nav"),
-        F.exists(
-            "ancestors",
-            lambda a: a["role"].isin("dialog", "tooltip", "menu") | F.arrays_overlap(F.split(F.lower(a["class"]), r"[\s_-]+"), F.array(*[F.lit(x) for x in COMPONENTS])),
-        ).alias("in_component"),
-    )
+    named = F.arrays_overlap(F.split(F.lower(attr("class")), r"[\s_-]+"), F.array(*[F.lit(x) for x in COMPONENTS]))
+    rows = within(elements, in_aside=tagged("aside"), in_nav=tagged("nav"), in_component=attr("role").isin("dialog", "tooltip", "menu") | named)
+    rows = rows.where(F.col("tag").rlike("^h[1-6]$")).withColumn("level", F.substring("tag", 2, 1).cast("int"))
+    return rows.select("url", "seq", "level", "text", F.lag("level").over(w).alias("before"), "in_aside", "in_nav", "in_component")
 
 
 def semantic_audit(elements: DataFrame) -> DataFrame:
@@ -428,6 +455,10 @@ def semantic_audit(elements: DataFrame) -> DataFrame:
     return pages.union(heads).union(links).union(images)
 
 
+#: Elements that http_audit looks at.
+HTTP_TAGS = ("img", "script", "iframe", "audio", "video", "source", "link", "meta")
+
+
 def http_audit(fetches: DataFrame, elements: DataFrame, most_hops: int = 3) -> DataFrame:
     """Findings on stored answers and their elements. Fetches: url, final_url, status (0: no
     answer), hops, content_type, cache_control, x_robots_tag, etag, last_modified, link,
@@ -439,7 +470,7 @@ def http_audit(fetches: DataFrame, elements: DataFrame, most_hops: int = 3) -> D
     loads = (tag("img", "script", "iframe", "audio", "video", "source") & plain("src")) | (tag("link") & plain("href"))
     canonical = tag("link") & (attr("rel") == "canonical") & (attr("href") != "")
     robots = tag("meta") & (attr("name") == "robots") & F.lower(attr("content")).contains("noindex")
-    facts = elements.where(tag("img", "script", "iframe", "audio", "video", "source", "link", "meta")).groupBy("url").agg(
+    facts = elements.where(tag(*HTTP_TAGS)).groupBy("url").agg(
         F.count_if(loads).alias("plain_loads"), F.min_by(F.when(canonical, attr("href")), F.when(canonical, c("seq"))).alias("said"),
         F.array_sort(F.collect_list(F.when(robots, F.struct("seq", attr("content").alias("content"))))).alias("noindex"),
     )
@@ -577,29 +608,23 @@ def pagination_links(elements: DataFrame) -> DataFrame:
         "url", "seq", u.resolve(c("url"), attr("href")).alias("target"), further.alias("further"),
     )
     per = links.groupBy("url").agg(F.min_by(F.when(c("further"), c("target")), F.when(c("further"), c("seq"))).alias("next"), F.collect_set("target").alias("targets"))
-    holder = lambda a: ((a["tag"] == "nav") & F.lower(a["label"]).contains("agination")) | a["class"].contains("pagination")
-    inside = elements.where("tag in ('a', 'button', 'span', 'div')").select(
-        "url", "tag", attr("href").alias("href"), attr("role").alias("role"), F.explode(F.filter("ancestors", holder)).alias("box"),
-    )
-    button = (c("tag") == "button") | (c("tag").isin("span", "div") & (c("role") == "link"))
-    boxes = inside.groupBy("url", "box.seq").agg(F.max(button).alias("buttons"), F.max((c("tag") == "a") & (c("href") != "")).alias("anchors"))
-    scripted = boxes.groupBy("url").agg(F.max(c("buttons") & ~c("anchors")).alias("scripted"))
+    box = ((c("tag") == "nav") & label.contains("agination")) | attr("class").contains("pagination")
+    button = (c("tag") == "button") | (c("tag").isin("span", "div") & (attr("role") == "link"))
+    # What a box holds is the difference of two running counts: at its last descendant and at itself.
+    until = Window.partitionBy("url").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+    count = lambda cond: F.sum(cond.cast("int")).over(until)
+    counts = elements.select("url", "seq", "last", box.alias("box"), count(button).alias("buttons"), count((c("tag") == "a") & (attr("href") != "")).alias("anchors"))
+    ends = counts.select("url", c("seq").alias("last"), c("buttons").alias("b"), c("anchors").alias("a")).distinct()
+    boxes = counts.where("box").join(ends, ["url", "last"])
+    scripted = boxes.groupBy("url").agg(F.max((c("b") > c("buttons")) & (c("a") == c("anchors"))).alias("scripted"))
     return per.join(scripted, "url", "full").select("url", "next", "targets", F.coalesce("scripted", F.lit(False)).alias("scripted"))
 
 
 def pagination_walk(nexts: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
     """(start, url, step): pages reached by next links (url, next) from each start (start);
-    a page met again ends its walk. A walk that is not over after `most` steps raises."""
-    nexts = materialize(nexts.where("next is not null").select("url", "next"), "nexts")
-    front = materialize(starts.select("start", F.col("start").alias("url"), F.lit(0).alias("step")).distinct(), "walk")
-    fronts = [front]
-    while not fronts[-1].isEmpty():
-        if len(fronts) > most:
-            raise RuntimeError(f"a walk goes on after {most} steps")
-        seen = union_all(fronts).select("start", "url")
-        step = fronts[-1].join(nexts, "url").select("start", F.col("next").alias("url")).distinct().join(seen, ["start", "url"], "left_anti")
-        fronts.append(materialize(step.select("start", "url", F.lit(len(fronts)).alias("step")), "walk"))
-    return union_all(fronts)
+    a page met again ends its walk. A walk of more than `most` steps raises."""
+    found = walk(nexts.select(F.col("url").alias("at"), F.col("next").alias("to")), starts, most)
+    return found.select("start", "url", F.col("step").cast("int").alias("step"))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

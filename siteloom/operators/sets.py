@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as u
 from ..storage import Rounds, materialize
 from .findings import findings
-from .pages import TEXT, _in_order, _inside, has_noindex
+from .pages import TEXT, _in_order, has_noindex, tagged, within
 
 MAX_URLS, MAX_BYTES = 50_000, 50 * 1024 * 1024
 # Names of hosts that are not for the public, and codes taken for others.
@@ -96,8 +96,8 @@ def freshness(current: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFram
 
 def content_hash(elements: DataFrame, drop: tuple = ("script", "style", "noscript", "nav", "header", "footer", "aside")) -> DataFrame:
     """(url, content_hash) of the text in main, else article, else the body, in document order."""
-    rows = elements.where((F.col("tag") == TEXT) & ~_inside(*drop) & ~F.col("in_head"))
-    rows = rows.select("url", "seq", "text", _inside("main").alias("m"), _inside("article").alias("a"))
+    rows = within(elements, dropped=tagged(*drop), m=tagged("main"), a=tagged("article"))
+    rows = rows.where((F.col("tag") == TEXT) & ~F.col("dropped") & ~F.col("in_head")).select("url", "seq", "text", "m", "a")
     best = rows.groupBy("url").agg(F.max("m").alias("has_m"), F.max("a").alias("has_a"))
     kept = rows.join(best, "url").where("if(has_m, m, if(has_a, a, true))")
     return kept.groupBy("url").agg(F.sha2(_in_order().cast("binary"), 256).alias("content_hash"))

@@ -142,11 +142,10 @@ _SPECULATION = {
 
 def page_texts(elements: DataFrame) -> DataFrame:
     """(url, h1, text, nav): first main heading, text of the body and of navigation, of each page."""
-    inside = F.exists("ancestors", lambda a: a["tag"] == "nav")
-    dropped = F.exists("ancestors", lambda a: a["tag"].isin("script", "style", "noscript", "template"))
-    text = (F.col("tag") == pages.TEXT) & ~F.col("in_head") & ~dropped
+    elements = pages.within(elements, inside=pages.tagged("nav"), dropped=pages.tagged("script", "style", "noscript", "template"))
+    text = (F.col("tag") == pages.TEXT) & ~F.col("in_head") & ~F.col("dropped")
     gathered = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("seq", "text")))), lambda x: x["text"]), " ")
-    return elements.groupBy("url").agg(F.min_by(F.when(F.col("tag") == "h1", F.col("text")), F.when(F.col("tag") == "h1", F.col("seq"))).alias("h1"), gathered(text).alias("text"), gathered(text & inside).alias("nav"))
+    return elements.groupBy("url").agg(F.min_by(F.when(F.col("tag") == "h1", F.col("text")), F.when(F.col("tag") == "h1", F.col("seq"))).alias("h1"), gathered(text).alias("text"), gathered(text & F.col("inside")).alias("nav"))
 
 
 def _consistency(s: SparkSession, d: str) -> DataFrame:
@@ -154,17 +153,41 @@ def _consistency(s: SparkSession, d: str) -> DataFrame:
 
 
 def _canonical_audit(s: SparkSession, d: str) -> DataFrame:
-    rows = _rich(s, d)
-    links = F.when(F.col("page_id") % 5 == 0, '</l?page=2>; rel="canonical"').when(F.col("page_id") % 5 == 1, '<https://other.example.com/?utm_source=x>; rel="canonical"')
-    return pages.canonical_audit(rows.select("url", F.when(F.col("page_id") % 9 == 0, 404).otherwise(200).alias("status"), links.alias("link")), pages.page_elements(rows))
+    rows = view(s, d, "v_canonicals")
+    return pages.canonical_audit(rows.select("url", "final_url", "status", "link"), pages.page_elements(rows))
 
 
-_RELATIVE = f"{_K} % 5 <> 4"
+_OF = lambda *kinds: f"{_K} % 13 IN ({', '.join(map(str, kinds))})"
+_FIRST = f"""CASE {_K} % 13 WHEN 2 THEN '/c/' || {_K} WHEN 3 THEN 'https://site.example.com/C/' || {_K} WHEN 5 THEN '../c/' || {_K} WHEN 6 THEN 'mailto:a@b.co'
+    WHEN 7 THEN url || '?utm_source=a' WHEN 11 THEN 'https://other.example.com/c/' || {_K} END"""
 _CANONICAL = {
-    "conflicting": ("error", f"{_K} % 5 = 1", ""), "relative": ("warning", _RELATIVE, f"CASE {_K} % 5 WHEN 0 THEN '/l?page=2' WHEN 1 THEN '/l?page=' || {_K} ELSE '/l?page=1' END"),
-    "cross_host": ("warning", f"{_K} % 5 = 4", "'https://other.example.com/'"), "non_success": ("error", f"{_K} % 9 = 0", "404"),
+    "outside_head": ("error", _OF(9), ""), "missing": ("error", _OF(1, 9), ""), "conflicting": ("error", _OF(3, 12), ""), "multiple_same": ("warning", _OF(2), ""),
+    "empty": ("error", _OF(4), ""), "relative": ("warning", _OF(2, 5, 6), _FIRST), "non_http": ("error", _OF(6), _FIRST), "tracking_in_canonical": ("error", _OF(7), _FIRST),
+    "cross_host": ("warning", _OF(5, 11), _FIRST), "not_self": ("notice", _OF(3, 5, 11), _FIRST), "non_success": ("error", _OF(10), "404"),
 }
 
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    """The element table of pages with canonicals as it comes from the parser."""
+    e = pages.page_elements(view(s, d, "v_canonicals"))
+    return e.select("url", "seq", "last", "parent", "tag", "text", "alts", "in_head", F.to_json("attrs").alias("attrs"))
+
+
+# Each page is html, head, what is in the head, body, what is in the body, in this order.
+_TREE = f"""WITH m AS (
+        SELECT *, {_OF(5)} AS based, CASE WHEN {_OF(1, 9, 11)} THEN 0 WHEN {_OF(2, 3)} THEN 2 ELSE 1 END AS n,
+               {_OF(9)} AS late, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hrefs, regexp_extract_all(html, 'rel="([^"]*)"', 1) AS rels FROM v_canonicals),
+    k AS (SELECT *, 2 + based::INT + n AS body FROM m),
+    e AS (
+        SELECT url, 0 AS seq, body + late::INT + 2 AS last, NULL AS parent, 'html' AS tag, '' AS text, false AS in_head, '{{}}' AS attrs FROM k
+        UNION ALL SELECT url, 1, body - 1, 0, 'head', '', false, '{{}}' FROM k
+        UNION ALL SELECT url, 2, 2, 1, 'base', '', true, '{{"href":"' || hrefs[1] || '"}}' FROM k WHERE based
+        UNION ALL SELECT url, 2 + based::INT + i, 2 + based::INT + i, 1, 'link', '', true, '{{"href":"' || hrefs[1 + based::INT + i] || '","rel":"' || rels[i + 1] || '"}}' FROM k, (VALUES (0), (1)) AS x(i) WHERE i < n
+        UNION ALL SELECT url, body, body + late::INT + 2, 0, 'body', '', false, '{{}}' FROM k
+        UNION ALL SELECT url, body + 1, body + 1, body, 'link', '', false, '{{"href":"' || hrefs[1] || '","rel":"' || rels[1] || '"}}' FROM k WHERE late
+        UNION ALL SELECT url, body + late::INT + 1, body + late::INT + 2, body, 'p', '', false, '{{}}' FROM k
+        UNION ALL SELECT url, body + late::INT + 2, body + late::INT + 2, body + late::INT + 1, '#text', 'x', false, '{{}}' FROM k)
+    SELECT url, seq::INT AS seq, last::INT AS last, parent::INT AS parent, tag, text, '' AS alts, in_head, attrs FROM e"""
+
 # The texts of a page in order, without those of dropped elements: markup is cut out by patterns.
 _TEXT = r"""WITH b AS (SELECT url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->', '', 'g'), '(?s)<({drop})[ >].*?</({drop})>', '', 'g') AS h FROM v_fetches),
     a AS (SELECT url, {root} AS h FROM b),
@@ -186,19 +209,20 @@ def _debt(s: SparkSession, d: str) -> DataFrame:
 ENTRIES: dict[str, tuple] = {
     "page_elements": (lambda s, d: _elements(s, d).where(F.col("tag") != pages.TEXT).groupBy("url", "tag").agg(F.count("*").alias("n"), F.count_if("in_head").alias("in_head")),
         r"SELECT url, t AS tag, count(*) AS n, count(*) FILTER (WHERE t IN ('meta', 'title', 'style', 'script')) AS in_head FROM (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)[ >]', 1)) AS t FROM v_fetches) GROUP BY ALL"),
+    "element_tree": (_tree, _TREE),
     "head_facts": (lambda s, d: pages.head_facts(_elements(s, d)),
         """SELECT url, len(regexp_extract_all(html, '<title>'))::INT AS n_title, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
             len(regexp_extract_all(html, 'rel="canonical"'))::INT AS n_canonical, '' AS canonical, len(regexp_extract_all(html, 'name="description"'))::INT AS n_description, '' AS description, '' AS robots, '' AS googlebot, '' AS viewport,
             regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset, false AS has_og_title, false AS has_og_image, false AS has_og_url, false AS has_twitter_card, '' AS og_title, '' AS og_description, '' AS og_image FROM v_fetches""".replace("\\\\s", "\\s")),
     "head_audit": (lambda s, d: pages.head_audit(_heads(s, d), _fetches(s, d)), _rules(_HEAD_RULES, _HEAD)),
-    "canonical_audit": (_canonical_audit, _rules(_CANONICAL, "SELECT * FROM v_rich")),
+    "canonical_audit": (_canonical_audit, _rules(_CANONICAL, "SELECT * FROM v_canonicals")),
     "visible_text": (lambda s, d: pages.visible_text(_elements(s, d)), _VISIBLE),
     "content_hash": (lambda s, d: sets.content_hash(_elements(s, d)), _HASHED),
     "rendering_debt": (_debt, _DEBT),
     "semantic_audit": (lambda s, d: pages.semantic_audit(_rich_elements(s, d)), _rules(_SEMANTIC, "SELECT * FROM v_rich")),
     "heading_outline": (lambda s, d: pages.heading_outline(_rich_elements(s, d)).drop("seq"),
         "SELECT url, l::INT AS level, CASE l WHEN 1 THEN (CASE WHEN page_id % 8 = 0 THEN 'Q' ELSE 'P' END) || page_id ELSE t END AS text, b::INT AS before, l = 2 AS in_aside, false AS in_nav, false AS in_component FROM v_rich, (VALUES (1, NULL, ''), (3, 1, 'in stock'), (2, 3, 'x')) AS x(l, b, t)"),
-    "http_audit": (lambda s, d: pages.http_audit(_answers(s, d), pages.page_elements(_answers(s, d))), _rules(_HTTP, "SELECT * FROM v_answers")),
+    "http_audit": (lambda s, d: pages.http_audit(_answers(s, d), pages.page_elements(_answers(s, d), pages.HTTP_TAGS)), _rules(_HTTP, "SELECT * FROM v_answers")),
     "page_assertions": (_assertions, _ASSERTED),
     "locale_probe_audit": (lambda s, d: pages.locale_probe_audit(_probes(s, d)), _rules(_PROBE, "SELECT page_id, 'https://site.example.com/en/' || page_id AS url FROM pages")),
     "pagination_audit": (lambda s, d: pages.pagination_audit(_rich(s, d).select("url", F.lit("https://site.example.com/l?page=1").alias("start"), F.expr(_LISTED).alias("status")), _rich_elements(s, d)), _rules(_PAGINATION, _PAGE)),

@@ -102,6 +102,22 @@ SELECT page_id, 'https://site.example.com/l?page=' || CAST(page_id AS STRING) AS
        || '<img src="a.png"><img alt="photo 3"><a href="/q"><img alt="name"></a><a href="/r"></a><button></button></body></html>' AS html
 FROM pages"""
 
+# Pages with canonicals of all kinds, in head, body and header.
+VIEWS["v_canonicals"] = """
+SELECT page_id, 'https://site.example.com/c/' || CAST(page_id AS STRING) AS url,
+       'https://site.example.com/c/' || CAST(page_id AS STRING) || CASE WHEN page_id % 13 = 8 THEN '?utm_source=z&gclid=1' ELSE '' END AS final_url,
+       CASE WHEN page_id % 13 = 10 THEN 404 ELSE 200 END AS status,
+       CASE page_id % 13 WHEN 11 THEN '<https://other.example.com/c/' || CAST(page_id AS STRING) || '>; rel="canonical"'
+           WHEN 12 THEN '<./x/../../z>; rel=canonical' END AS link,
+       '<html><head>' || CASE WHEN page_id % 13 = 5 THEN '<base href="https://cdn.example.com/x/">' ELSE '' END
+       || CASE page_id % 13 WHEN 1 THEN '' WHEN 2 THEN '<link rel="canonical" href="/c/' || CAST(page_id AS STRING) || '">' WHEN 3 THEN '<link rel="canonical" href="https://site.example.com/C/' || CAST(page_id AS STRING) || '">'
+           WHEN 4 THEN '<link rel="canonical" href=" ">' WHEN 5 THEN '<link rel="canonical" href="../c/' || CAST(page_id AS STRING) || '">' WHEN 6 THEN '<link rel="canonical" href="mailto:a@b.co">'
+           WHEN 7 THEN '<link rel="canonical" href="https://site.example.com/c/' || CAST(page_id AS STRING) || '?utm_source=a">' WHEN 9 THEN '' WHEN 11 THEN ''
+           ELSE '<link rel="Canonical" href="https://SITE.example.com:443/c/' || CAST(page_id AS STRING) || '">' END
+       || CASE WHEN page_id % 13 = 2 OR page_id % 13 = 3 THEN '<link rel="canonical" href="https://site.example.com/c/' || CAST(page_id AS STRING) || '">' ELSE '' END || '</head><body>'
+       || CASE WHEN page_id % 13 = 9 THEN '<link rel="canonical" href="https://site.example.com/c/' || CAST(page_id AS STRING) || '">' ELSE '' END || '<p>x</body></html>' AS html
+FROM pages"""
+
 # Stored answers with what a second, conditional request got.
 VIEWS["v_answers"] = """
 SELECT f.page_id, CASE WHEN f.page_id % 31 = 5 THEN 'https://h' || CAST(f.page_id AS STRING) || '.example.com/robots.txt' WHEN f.page_id % 31 = 6 THEN 'https://site.example.com/s-' || CAST(f.page_id AS STRING) || '.xml' ELSE f.url END AS url,

@@ -1,6 +1,8 @@
 """Golden cases: what the queries' views don't bring up."""
 
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from siteloom.functions import urls as u
 from siteloom.functions.addresses import anonymize_ip, ip_bits
 from siteloom.operators import graph, jsonld, logs, pages, records, sets, urls
 from siteloom.sources import readers, writers
+from siteloom.storage import materialize
 from siteloom.streaming import jobs
 
 
@@ -182,7 +185,68 @@ def iter_up(n, parent):
 def test_pages_stay_in_proportion(spark):
     n = 3000
     e = elements(spark, "<li>x" * n + "<a>y" * n + "<h2>z" * n + "<p>w" * n)
-    assert e.agg(F.sum(F.length("text"))).first()[0] <= 10 * n and e.agg(F.sum(F.size("ancestors"))).first()[0] <= 4 * n
+    assert e.agg(F.sum(F.length("text"))).first()[0] <= 10 * n and e.count() == 8 * n and "ancestors" not in e.columns
+
+
+@pytest.mark.parametrize("html", ["<div class=a>", "<nav>", "<label>x", "<button><div><p>", "<a><table><td>", "</p><span>"])
+def test_deep_pages_are_linear(spark, html):
+    began = time.time()
+    n = 100_000 // html.count("<")
+    e = materialize(elements(spark, html * n), "test")
+    assert e.agg(F.sum(F.length("text"))).first()[0] <= 4 * n and e.count() >= n
+    assert pages.within(e, inside=pages.tagged("div", "nav", "label", "td", "span")).where("inside").count() >= n - 1
+    assert time.time() - began < 60
+
+
+def test_intervals_hold_descendants(spark):
+    rng = random.Random(1)
+    html = "".join(rng.choice(["<div class='card'>", "<nav>", "<main>", "<p>", "<aside>", "x", "</div>", "</nav>", "</main>", "<h2>", "</h2>", "<img>", "<table><tr><td>", "</table>"]) for _ in range(600))
+    rows = pages.within(elements(spark, html), in_nav=pages.tagged("nav"), in_card=pages.attr("class") == "card").collect()
+    by = {r["seq"]: r for r in rows}
+    last = {r["seq"]: r["seq"] for r in rows}
+    for r in rows:
+        up = [by[n] for n in iter_up(r["parent"], {k: x["parent"] for k, x in by.items()})]
+        assert r["in_nav"] == any(x["tag"] == "nav" for x in up) and r["in_card"] == any(x["attrs"].get("class") == "card" for x in up)
+        for x in up:
+            last[x["seq"]] = max(last[x["seq"]], r["seq"])
+    assert all(r["last"] == last[r["seq"]] for r in rows) and sum(r["in_nav"] for r in rows) > 50
+
+
+# RFC 3986, 5.4: references and what they are as seen from http://a/b/c/d;p?q.
+RFC_EXAMPLES = """g:h g:h|g http://a/b/c/g|./g http://a/b/c/g|g/ http://a/b/c/g/|/g http://a/g|//g http://g|?y http://a/b/c/d;p?y|g?y http://a/b/c/g?y|#s http://a/b/c/d;p?q#s
+g#s http://a/b/c/g#s|g?y#s http://a/b/c/g?y#s|;x http://a/b/c/;x|g;x http://a/b/c/g;x|g;x?y#s http://a/b/c/g;x?y#s| http://a/b/c/d;p?q|. http://a/b/c/|./ http://a/b/c/|.. http://a/b/|../ http://a/b/
+../g http://a/b/g|../.. http://a/|../../ http://a/|../../g http://a/g|../../../g http://a/g|../../../../g http://a/g|/./g http://a/g|/../g http://a/g|g. http://a/b/c/g.|.g http://a/b/c/.g
+g.. http://a/b/c/g..|..g http://a/b/c/..g|./../g http://a/b/g|./g/. http://a/b/c/g/|g/./h http://a/b/c/g/h|g/../h http://a/b/c/h|g;x=1/./y http://a/b/c/g;x=1/y|g;x=1/../y http://a/b/c/y
+g?y/./x http://a/b/c/g?y/./x|g?y/../x http://a/b/c/g?y/../x|g#s/./x http://a/b/c/g#s/./x|g#s/../x http://a/b/c/g#s/../x|http:g http:g""".replace("\n", "|").split("|")
+
+
+def test_references_resolve_as_the_rfc_says(spark):
+    pairs = [tuple(x.split(" ")) for x in RFC_EXAMPLES]
+    rows = spark.createDataFrame(pairs, "href string, want string").withColumn("got", u.resolve(F.lit("http://a/b/c/d;p?q"), F.col("href")))
+    assert len(pairs) == 42 and rows.where("got is distinct from want").collect() == []
+    more = [("http://a", "b", "http://a/b"), ("http://a/x/../y", "", "http://a/x/../y"), ("http://a/b?x", "//c/./d/../e?f", "http://c/e?f"), ("http://a/", "http://b/x/../y#z", "http://b/y#z"), ("http://a", None, None)]
+    rows = spark.createDataFrame(more, "base string, href string, want string").withColumn("got", u.resolve(F.col("base"), F.col("href")))
+    assert rows.where("got is distinct from want").collect() == []
+
+
+def test_canonical_rules(spark):
+    host = "https://s.example.org"
+    head = lambda *hrefs, before="": "<html><head>" + before + "".join(f'<link rel=canonical href="{h}">' for h in hrefs) + "</head><body></body></html>"
+    cases = [
+        ("/self", None, 200, None, head(host + "/self"), []), ("/root", host, 200, None, head(host + "/"), []), ("/none", None, 200, None, head(), ["missing"]),
+        ("/slash", None, 200, None, head(host + "/slash/#top"), []), ("/é", None, 200, None, head(host + "/%C3%A9"), []),
+        ("/p/1", None, 200, None, head("/p/1", host + "/p/1"), ["multiple_same", "relative"]), ("/p/2", None, 200, None, head(host + "/P/2", host + "/p/2"), ["conflicting", "not_self"]),
+        ("/r", None, 200, None, head("../other"), ["not_self", "relative"]), ("/b", None, 200, None, head("b", before='<base href="https://c.example.net/">'), ["cross_host", "not_self", "relative"]),
+        ("/bb", None, 200, None, '<body><base href="https://c.example.net/"><p>', ["missing"]), ("/t", host + "/t?utm_source=a&b=1", 200, None, head(host + "/t?b=1"), []),
+        ("/u", None, 200, None, head(host + "/u?utm_source=a"), ["tracking_in_canonical"]), ("/h", None, 200, f'<{host}/h>; rel="canonical"', head(), []),
+        ("/i", None, 200, f'<{host}/j>; rel="canonical"', head(host + "/i"), ["conflicting"]), ("/e", None, 200, None, head(""), ["empty"]), ("/m", None, 200, None, head("mailto:x@y.z"), ["non_http", "relative"]),
+        ("/o", None, 200, None, "<head></head><body><link rel=canonical href=/o>", ["missing", "outside_head"]), ("/gone", None, 410, None, head("mailto:x"), ["non_success"]), ("/failed", None, None, None, None, []),
+        ("/moved", None, 301, None, head(host + "/moved"), []), ("/from", host + "/to", 200, None, head(host + "/from"), ["not_self"]),
+    ]
+    rows = spark.createDataFrame([(host + p, f, s, link, html) for p, f, s, link, html, _ in cases], "url string, final_url string, status int, link string, html string")
+    found = pages.canonical_audit(rows, pages.page_elements(rows)).collect()
+    got = {host + p: sorted(r["rule"] for r in found if r["url"] == host + p) for p, *_ in cases}
+    assert got == {host + p: want for p, *_, want in cases}
 
 
 def test_words_count_scripts_without_blanks(spark):
