@@ -126,12 +126,12 @@ def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(keys), key, "left_semi") if keys.count() <= FEW_KEYS else rows
 
 
-def bit_table(keys: DataFrame, column: str, most: int = 1 << 27) -> np.ndarray:
-    """Words of a bit table over the low bits of a hash column: some 16 bits a key but
+def bit_table(keys: DataFrame, column: str, most: int = 1 << 27, each: int = 16) -> np.ndarray:
+    """Words of a bit table over the low bits of a hash column: some `each` bits a key but
     `most` at most (16 MB). Every key has its bit set; with more keys than that, the
     table only lets more others pass."""
     n = keys.agg(F.count("*")).first()[0]
-    size = min(most, 1 << max(10, (16 * n).bit_length()))
+    size = min(most, 1 << max(10, (each * n).bit_length()))
     at = keys.select(F.col(column).bitwiseAND(F.lit(size - 1)).alias("h"))
     bits = at.groupBy(F.expr("h div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("b")).toArrow()
     table = np.zeros(size // 64, np.int64)

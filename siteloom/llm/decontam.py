@@ -130,7 +130,7 @@ def item_seeds(benchmark: DataFrame, least_words: int, score: float) -> DataFram
 
 def seed_counts(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, n_found): how often documents hold these pairs; counted in the task before the shuffle."""
-    cell = docs.sparkSession.sparkContext.broadcast(bit_table(seeds, "seed"))  # 16 MB at most
+    cell = docs.sparkSession.sparkContext.broadcast(bit_table(seeds, "seed", each=512))  # 16 MB at most
     schema = pa.schema([("seed", pa.int64()), ("n", pa.int64())])
 
     def run(it):
@@ -167,7 +167,7 @@ def candidates(docs: DataFrame, rare: DataFrame, score: float = SCORE) -> DataFr
     """(row_key, item_key, reach, lo, hi): where the seeds of an item stand near each other, from
     the first word to the last; an alignment goes `reach` words beyond them at most."""
     lengths = sorted(r["gram"] for r in rare.select("gram").distinct().collect())  # LEAST_WORDS rows at most
-    cell = docs.sparkSession.sparkContext.broadcast(bit_table(rare.select("seed").distinct(), "seed"))  # 16 MB at most
+    cell = docs.sparkSession.sparkContext.broadcast(bit_table(rare.select("seed").distinct(), "seed", each=512))  # 16 MB at most
     schema = pa.schema([("row_key", pa.int64()), ("seed", pa.int64()), ("at", pa.int64())])
 
     def run(it):

@@ -211,32 +211,46 @@ def test_warc_odd_pages(spark):
 # --- nearest neighbours ----------------------------------------------------
 
 
-def brute(vectors, k, divisor):
-    out = {}
-    for q, a in vectors.items():
+def brute(rows, k, divisor):
+    """vec_ids of the nearest rows of each query row, in any order of the queries."""
+    out = []
+    for n, (q, a) in enumerate(rows):
         if q % divisor == 0:
-            scores = sorted((-float(np.dot(np.array(a), np.array(b))), i) for i, b in vectors.items() if i != q)
-            out[q] = [i for _, i in scores[:k]]
-    return out
+            scores = sorted((-float(np.dot(np.array(a), np.array(b))), i) for m, (i, b) in enumerate(rows) if m != n and len(a) == len(b))
+            out.append((q, [i for _, i in scores[:k]]))
+    return sorted(out)
+
+
+def searched(df):
+    """(query_id, vec_ids) as `brute`: one row a query_id here."""
+    return sorted((q, list(g.sort_values("rank").vec_id)) for q, g in df.toPandas().groupby("query_id"))
 
 
-def test_exact_at_factor_one_and_recall(spark):
+@pytest.mark.parametrize(("shard", "rings"), [(200, 256), (50, 4)])
+def test_exact_at_factor_one_and_recall(spark, shard, rings):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(10, 16))
-    x = {i: [float(v) for v in np.round(centre[i % 10] + 0.3 * rng.normal(size=16), 3)] for i in range(900)}
-    rows = [(i, v) for i, v in x.items()] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (2004, [1.0]), (5, x[5])]
+    x = [(i, [float(v) for v in np.round(centre[i % 10] + 0.3 * rng.normal(size=16), 3)]) for i in range(900)]
+    x += [(5, x[5][1]), (7, [9.0] * 16)]  # a row that repeats, and another vector under a known id
+    rows = [*x, (2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (2004, [1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = brute(x, 20, 20)
     for factor, least in ((1.0, 1.0), (vptree.FACTOR, 0.9)):
-        got = vptree.nearest(table, factor=factor, shard=200, block=16).toPandas()
-        found = {q: list(g.sort_values("rank").vec_id) for q, g in got.groupby("query_id")}
-        assert set(found) == set(want)
-        assert np.mean([len(set(found[q]) & set(want[q])) / 20 for q in want]) >= least
+        found = searched(vptree.nearest(table, factor=factor, shard=shard, block=16, rings=rings))
+        assert [q for q, _ in found] == [q for q, _ in want]
+        assert np.mean([len(set(f) & set(w)) / len(set(w)) for (_, f), (_, w) in zip(found, want, strict=True)]) >= least
         if factor == 1.0:
             assert found == want
     assert vptree.nearest(table.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_candidates_and_queries(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.5, 0.0]), (1, [0.9, 0.1])]
+    got = [tuple(r) for r in vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    want = [(20, 1, 1, 0.9), (20, 2, 1, 0.5), (20, 3, 20, 0.0), (20, 1, 1, 0.1), (20, 2, 1, 0.0), (20, 3, 20, 0.0)]
+    assert sorted(got) == sorted(want)
+
+
 # --- Jaccard join ----------------------------------------------------------
 
 
@@ -475,7 +489,54 @@ def test_alignment_equals_the_table():
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
-        assert decontam.align(a, b) == h.max() / (2 * len(a))
+        score, first, end = decontam.align(a, b)
+        assert score == h.max() / (2 * len(a))
+        if score:  # the words given are those aligned: alone they score the same, and less without either end
+            assert score == decontam.align(a, b[first:end])[0] > max(decontam.align(a, b[first + 1 : end])[0], decontam.align(a, b[first : end - 1])[0])
+
+
+def edited(rng, item, share):
+    """A copy of a list of words with random edits that lose about `share` of a full score."""
+    copy, lost = list(item), 0
+    while lost < share * 2 * len(item) - 2 and copy:
+        at, kind = rng.randrange(len(copy)), rng.randrange(4)
+        if kind == 0:
+            copy[at] = f"new{rng.randrange(10**6)}"
+        elif kind == 1:
+            del copy[at]
+        elif kind == 2:
+            copy[at:at] = [f"put{rng.randrange(10**6)}"] * rng.randrange(1, 3)
+        else:
+            del copy[: rng.randrange(3)]
+        lost += 3 if kind < 2 else 2
+    return copy
+
+
+def test_all_copies_that_score_are_found(spark):
+    rng = random.Random(12)
+    items = [words_of(rng, n).split() for n in (8, 9, 12, 16, 24, 30, 45, 60)]
+    rows = []
+    for i in range(400):
+        text = words_of(rng, 60).split()
+        text[30:30] = edited(rng, items[i % 8], rng.choice([0.2, 0.4, 0.5, 0.55]))
+        rows.append((i, " ".join(text), None, None))
+    for step in (3, 4):  # every third and every fourth word replaced, in many documents
+        for i in range(23):
+            copy = [f"other{i}x{j}" if j % step == step - 1 else w for j, w in enumerate(items[5])]
+            rows.append((1000 * step + i, " ".join([*words_of(rng, 20).split(), *copy, *words_of(rng, 20).split()]), None, None))
+    found = decontam.contaminated(docs_of(spark, rows), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in found}
+    want = {}
+    for d, text, _, _ in rows:
+        own = [hash(w) for w in decontam.tokens(text)]
+        for i, item in enumerate(items):
+            best = plain_alignment([hash(w.encode()) for w in item], own)
+            if best >= 0.5:
+                want[d, i] = round(best, 9)
+    assert got == want and sum(d >= 1000 for d, _ in want) == 46 and len(want) > 200
+    for r in found:  # the aligned words score what is said
+        own = decontam.tokens(dict((d, t) for d, t, _, _ in rows)[r["doc_id"]])[r["first_word"] : r["end_word"]]
+        assert round(plain_alignment([w.encode() for w in items[r["item_id"]]], own), 9) == got[r["doc_id"], r["item_id"]]
 
 
 # --- secrets ---------------------------------------------------------------
