@@ -54,11 +54,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     with the same doc_id and another text stay. Rows that repeat are decided alike; null
     and empty texts hold nothing. A score on the threshold counts as held."""
     small_batches(spark)
-    names = [free_name(n, docs.columns) for n in ("found_key", "found_id")]
     hits = decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = hits.select(F.col("row_key").alias(names[0]), F.col("doc_id").alias(names[1])).distinct()
-    same = (text_key() == F.col(names[0])) & F.col("doc_id").cast("long").eqNullSafe(F.col(names[1]))
-    return docs.join(hits, same, "left_anti").select(docs.columns)
+    key = free_name("found_key", docs.columns)
+    gone = materialize(hits.select(F.col("row_key").alias(key)).distinct(), "gone")
+    return without(docs.withColumn(key, text_key()), gone, key).select(docs.columns)
 
 
 def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
