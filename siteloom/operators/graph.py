@@ -6,7 +6,7 @@ that adaptive execution splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import Rounds, materialize
@@ -28,32 +28,52 @@ def resolve_homepage(vertices: DataFrame, url: str) -> str | None:
     return url if url in found else other if other in found else None
 
 
+def numbered_graph(vertices: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices (url, id), links (src, dst, links)) with numbers instead of addresses, in ranges:
+    each task of the vertices counts on from its own base. `links` is the number of links
+    that go out of src. Both are written, the links in the order of src."""
+    numbered = materialize(vertices.select("url").distinct().withColumn("id", F.monotonically_increasing_id()), "vertices")
+    end = lambda c, name: numbered.select(F.col("url").alias(c), F.col("id").alias(name))
+    pairs = materialize(links.select("src", "dst").join(end("src", "a"), "src").join(end("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")), "pairs")
+    out = pairs.groupBy("src").agg(F.count("*").alias("links"))
+    return numbered, materialize(pairs.join(out, "src").repartitionByRange("src"), "links")
+
+
 def pagerank(vertices: DataFrame, links: DataFrame, d: float = 0.85, tol: float = 1e-6, max_iter: int = 200, rounds: int | None = None) -> DataFrame:
     """(url, rank), summing to 1; what dangling vertices hold is spread evenly. Ends when
     ranks change by less than N * tol in all, or after `rounds`, if given; ranks that still
-    change after `max_iter` rounds raise."""
-    vertices = materialize(vertices, "vertices")
-    n = vertices.count()
+    change after `max_iter` rounds raise.
+
+    Pages are numbers while ranks move. A round is one job: the rank that dangling pages hold
+    and the change in all are observed while the round's table is written.
+    """
+    numbered, shares = numbered_graph(vertices, links)
+    n = numbered.count()
     if not n:
-        return vertices.withColumn("rank", F.lit(0.0))
-    out = links.groupBy("src").agg(F.count("*").alias("links"))
-    shares, kept = materialize(links.select("src", "dst").join(out, "src"), "links"), Rounds("ranks")
-    ranks = vertices.join(out.withColumnRenamed("src", "url"), "url", "left").select("url", F.col("links").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
-    ranks = kept.write(ranks)
+        return numbered.select("url", F.lit(0.0).alias("rank"))
+    kept, sources = Rounds("ranks"), shares.select("src").distinct().withColumnRenamed("src", "id")
+    first = numbered.select("id").join(sources.withColumn("linking", F.lit(True)), "id", "left")
+    ranks = first.select("id", F.col("linking").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
+
+    def written(new: DataFrame, change: Column) -> tuple[DataFrame, float, float]:
+        seen = Observation()
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+        new = new.observe(seen, total(F.when(F.col("dangling"), F.col("rank"))).alias("lost"), total(change).alias("change"))
+        return kept.write(new.select("id", "dangling", "rank")), seen.get["lost"], seen.get["change"]
+
+    ranks, lost, _ = written(ranks, F.lit(0.0))
     for _ in range(rounds or max_iter):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
-        got = shares.join(ranks, shares.src == ranks.url).groupBy("dst").agg(F.sum(F.col("rank") / F.col("links")).alias("got"))
-        new = ranks.join(got, ranks.url == got.dst, "left").select(
-            "url", "dangling", (F.lit((1 - d) / n + d * lost / n) + d * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"),
-        )
-        new = kept.write(new)
-        ranks = new.drop("old")
-        if not rounds and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tol:
+        sent = ranks.select(F.col("id").alias("src"), "rank")
+        got = shares.join(sent, "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("links")).alias("got"))
+        new = ranks.withColumnRenamed("rank", "old").join(got, F.col("id") == F.col("dst"), "left")
+        new = new.withColumn("rank", F.lit((1 - d) / n + d * lost / n) + d * F.coalesce("got", F.lit(0.0)))
+        ranks, lost, change = written(new, F.abs(F.col("rank") - F.col("old")))
+        if not rounds and change < n * tol:
             break
     else:
         if not rounds:
             raise RuntimeError(f"ranks still change after {max_iter} rounds")
-    return ranks.select("url", "rank")
+    return numbered.join(ranks, "id").select("url", "rank")
 
 
 def click_depth(links: DataFrame, home: str, max_depth: int = 10_000) -> DataFrame:

@@ -322,19 +322,22 @@ def canonical_audit(fetches: DataFrame, elements: DataFrame) -> DataFrame:
     kinds = F.array_distinct(F.transform(F.filter("all", lambda x: x["href"] != ""), lambda x: u.normalize_url_compare(x["to"])))
     rows = rows.select("url", "page", "status", "outside", F.size("all").alias("n"), F.size(kinds).alias("kinds"), F.get("all", F.lit(0)).alias("one"))
     rows = rows.select("*", F.coalesce("one.href", F.lit("")).alias("first"), F.coalesce("one.to", F.lit("")).alias("to")).drop("one")
+    # One step a column, so that no step's expression is repeated in the next.
+    rows = rows.select("*", u.strip_tracking(c("to")).alias("to_bare"), u.strip_tracking(c("page")).alias("page_bare"))
+    rows = rows.select("*", *(u.normalize_url_compare(c(f"{x}_bare")).alias(f"{x}_form") for x in ("to", "page")))
     some, http = (c("n") > 0) & (c("first") != ""), c("to").rlike("(?i)^https?:")
-    bare, host = lambda x: u.normalize_url_compare(u.strip_tracking(x)), lambda x: F.split(u.normalize_url_compare(x), "/")[2]
-    failed = findings(rows.where("status >= 400"), [("non_success", "error", F.lit(True), c("status"))])
-    return failed.unionByName(findings(rows.where("status < 400"), [
-        ("outside_head", "error", c("outside") > 0, None), ("missing", "error", c("n") == 0, None),
-        ("conflicting", "error", c("kinds") > 1, None), ("multiple_same", "warning", (c("n") > 1) & (c("kinds") <= 1), None),
-        ("empty", "error", (c("n") > 0) & (c("first") == ""), None),
-        ("relative", "warning", some & ~c("first").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]"), c("first")),
-        ("non_http", "error", some & ~http, c("first")),
-        ("tracking_in_canonical", "error", some & http & (F.size(u.tracking_params(c("to"))) > 0), c("first")),
-        ("cross_host", "warning", some & http & (host(c("to")) != host(c("page"))), c("first")),
-        ("not_self", "notice", some & http & (bare(c("to")) != bare(c("page"))), c("first")),
-    ]))
+    host = lambda x: F.split(c(f"{x}_form"), "/")[2]
+    ok = c("status") < 400
+    return findings(rows, [
+        ("non_success", "error", ~ok, c("status")), ("outside_head", "error", ok & (c("outside") > 0), None), ("missing", "error", ok & (c("n") == 0), None),
+        ("conflicting", "error", ok & (c("kinds") > 1), None), ("multiple_same", "warning", ok & (c("n") > 1) & (c("kinds") <= 1), None),
+        ("empty", "error", ok & (c("n") > 0) & (c("first") == ""), None),
+        ("relative", "warning", ok & some & ~c("first").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]"), c("first")),
+        ("non_http", "error", ok & some & ~http, c("first")),
+        ("tracking_in_canonical", "error", ok & some & http & (F.size(u.tracking_params(c("to"))) > 0), c("first")),
+        ("cross_host", "warning", ok & some & http & (host("to") != host("page")), c("first")),
+        ("not_self", "notice", ok & some & http & (c("to_form") != c("page_form")), c("first")),
+    ])
 
 
 def visible_text(elements: DataFrame, drop: tuple = ("script", "style", "noscript", "template", "nav", "header", "footer")) -> DataFrame:

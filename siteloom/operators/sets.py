@@ -69,6 +69,25 @@ def sitemap_entry_audit(entries: DataFrame, fetches: DataFrame, heads: DataFrame
     return out
 
 
+def freshness_rules(rows: DataFrame) -> DataFrame:
+    """Findings (url, severity, rule, detail) of what was seen of URLs (n_lastmod, n_content_hash)
+    beside what was known (lastmod, content_hash; null: nothing). A date moved if it is later
+    than the known one, both being valid, or if none was known."""
+    c = F.col
+    now, old = F.coalesce("n_lastmod", F.lit("")), F.coalesce("lastmod", F.lit(""))
+    both = c("n_content_hash").isNotNull() & c("content_hash").isNotNull()
+    later = lastmod_valid(now) & lastmod_valid(old) & (now.try_cast("timestamp") > old.try_cast("timestamp"))
+    moved = F.coalesce(F.when((now != "") & (old != ""), later).otherwise((now != "") & (old == "")), F.lit(False))
+    return findings(
+        rows,
+        [
+            ("overactive_lastmod", "warning", both & moved & (c("n_content_hash") == c("content_hash")), now),
+            ("stale_lastmod", "warning", both & ~moved & (c("n_content_hash") != c("content_hash")), now),
+            ("lastmod_missing", "notice", now == "", None), ("lastmod_format", "error", (now != "") & ~lastmod_valid(now), now),
+        ],
+    )
+
+
 def freshness(current: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings, new state) of url, lastmod, content_hash, last_seen: a date that moved
     without the content, content that moved without the date, missing or malformed
@@ -76,16 +95,7 @@ def freshness(current: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFram
     now = current.select("url", *(F.col(c).alias(f"n_{c}") for c in ("lastmod", "content_hash", "last_seen")))
     rows = now.join(prior, "url", "full")
     c = F.col
-    both = c("n_content_hash").isNotNull() & c("content_hash").isNotNull() & c("n_lastmod").isNotNull() & c("lastmod").isNotNull()
-    found = findings(
-        rows.where("n_last_seen is not null"),
-        [
-            ("overactive_lastmod", "warning", both & (c("n_lastmod") != c("lastmod")) & (c("n_content_hash") == c("content_hash")), c("n_lastmod")),
-            ("stale_lastmod", "warning", both & (c("n_lastmod") == c("lastmod")) & (c("n_content_hash") != c("content_hash")), c("n_lastmod")),
-            ("lastmod_missing", "notice", F.coalesce("n_lastmod", F.lit("")) == "", None),
-            ("lastmod_format", "error", (F.coalesce("n_lastmod", F.lit("")) != "") & ~lastmod_valid(c("n_lastmod")), c("n_lastmod")),
-        ],
-    )
+    found = freshness_rules(rows.where("n_last_seen is not null"))
     seen = c("n_last_seen").isNotNull()
     state = rows.select(
         "url", F.when(seen, c("n_lastmod")).otherwise(c("lastmod")).alias("lastmod"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as fu
 from ..operators import graph, urls
 from ..operators.findings import findings_summary
+from ..storage import materialize
 from .views import table, view
 
 HOME, ROUNDS = "/p/1", 10
@@ -62,6 +63,18 @@ def _converged(s: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(vertices, links, tol=1e-6 / max(1, vertices.count()))
 
 
+def _residual(s: SparkSession, d: str) -> DataFrame:
+    """Whether the converged ranks meet their own equation: what one more round would change."""
+    _, links = graph.build_graph(view(s, d, "v_links"), ok_only=True, drop_self=True)
+    ranks = materialize(_converged(s, d), "ranks")
+    out = links.groupBy("src").agg(F.count("*").alias("links"))
+    got = links.join(out, "src").join(ranks.withColumnRenamed("url", "src"), "src").groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("rank") / F.col("links")).alias("got"))
+    rows = ranks.join(got, "url", "left").join(out.withColumnRenamed("src", "url"), "url", "left")
+    lost = rows.agg(F.count("*").alias("n"), F.sum(F.when(F.col("links").isNull(), F.col("rank")).otherwise(0.0)).alias("lost")).first()
+    new = 0.15 / lost["n"] + 0.85 * lost["lost"] / lost["n"] + 0.85 * F.coalesce("got", F.lit(0.0))
+    return rows.agg(F.count("*").alias("pages"), (F.abs(F.sum("rank") - 1) < 1e-6).alias("sums_to_one"), (F.sum(F.abs(new - F.col("rank"))) < 1e-6).alias("settled"))
+
+
 def _urls(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "v_urls")
 
@@ -125,6 +138,7 @@ ENTRIES: dict[str, tuple] = {
     "at_risk": (lambda s, d: graph.at_risk(graph.orphans(*_graph(s, d), HOME), graph.unreachable(_graph(s, d)[0], _depths(s, d)), graph.sitemap_diff(_known(s, d), _graph(s, d)[0])), _G + "SELECT url FROM orphan UNION SELECT url FROM v WHERE url NOT IN (SELECT url FROM depths) UNION SELECT url FROM known WHERE url NOT IN (SELECT url FROM v)"),
     "graph_verdict": (lambda s, d: graph.graph_verdict(_report(s, d).withColumn("rank", F.round("rank", 8))), _REPORT + "SELECT count(*) AS pages, count(*) FILTER (WHERE orphan) AS orphans, count(*) FILTER (WHERE depth IS NULL) AS unreachable, sum(broken_links)::BIGINT AS broken, count(*) FILTER (WHERE rank = (SELECT max(rank) FROM rep)) > 1 AS tied, CASE WHEN count(*) FILTER (WHERE orphan) + count(*) FILTER (WHERE depth IS NULL) = 0 AND sum(broken_links) = 0 THEN 'healthy' WHEN (count(*) FILTER (WHERE orphan) + count(*) FILTER (WHERE depth IS NULL)) * 10 > count(*) THEN 'poor' ELSE 'needs work' END AS verdict FROM rep WHERE rank IS NOT NULL"),
     "pagerank_converged": (_converged, None),
+    "pagerank_residual": (_residual, "SELECT (SELECT count(*) FROM (SELECT source_url FROM v_links WHERE target_status_code BETWEEN 200 AND 299 UNION SELECT target_url FROM v_links WHERE target_status_code BETWEEN 200 AND 299)) AS pages, true AS sums_to_one, true AS settled"),
     "all_links_report": (lambda s, d: graph.link_report(view(s, d, "v_links"), HOME, _known(s, d), rounds=ROUNDS).withColumn("rank", F.round("rank", 8)), _REPORT.replace("v_edges", "v_links") + "SELECT * FROM rep"),
     "broken_internal_links": (lambda s, d: graph.broken_internal_links(table(s, d, "pages").select("url", "html"), table(s, d, "pages").selectExpr("regexp_extract(url, '^(https?://[^/]+)', 1) || '/the' url", "200 status").distinct()),
         r"""WITH l AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#]+)', 1)) AS href FROM pages), t AS (SELECT DISTINCT url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS target FROM l WHERE href LIKE '/%' AND href NOT LIKE '//%')

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pages, records, sets
+from ..operators import chains, pages, records, sets
 from ..storage import new_path
 from ..streaming import jobs
+from .audits import _rules
 from .views import table, view
 
 
@@ -83,10 +84,21 @@ def _freshness(s: SparkSession, d: str, part: int) -> DataFrame:
 
 _FRESH = """WITH n AS (SELECT loc AS url, lastmod AS old, CASE WHEN page_id % 6 = 0 THEN '2024-02-01' ELSE lastmod END AS lastmod, CASE WHEN page_id % 13 = 0 THEN NULL WHEN page_id % 4 = 0 THEN 'hnew' ELSE 'hold' END AS h, page_id FROM v_sitemap JOIN pages ON page_id = pos) """
 
+#: A date that moved is later than a valid one before it, or the first one.
+_FRESH_RULES = {
+    "overactive_lastmod": ("warning", "h = 'hold' AND moved", "lastmod"), "stale_lastmod": ("warning", "h = 'hnew' AND NOT moved", "lastmod"),
+    "lastmod_missing": ("notice", "lastmod = ''", ""), "lastmod_format": ("error", "lastmod LIKE '%/%'", "lastmod"),
+}
+
+
 def _union(rules: dict[str, str], rows: str, key: str = "url") -> str:
     return f"WITH r AS ({rows}) " + " UNION ALL ".join(f"SELECT {key}, '{name}' AS rule FROM r WHERE {cond}" for name, cond in rules.items())
 
 
+#: Limits of the stream's alerts: so many requests an hour, such shares of errors.
+_LIMITS = [("requests", 3.0), ("error_share", 0.25), ("server_error_share", 0.3)]
+
+
 ENTRIES: dict[str, tuple] = {
     "noindex_gate": (lambda s, d: pages.noindex_gate(_heads(s, d), _fetches(s, d)), "SELECT url, 'header' AS source FROM v_fetches WHERE should_index AND x_robots_tag LIKE '%noindex%' UNION ALL SELECT url, 'meta_robots' FROM v_heads JOIN v_fetches USING (url) WHERE should_index AND robots = 'noindex' UNION ALL SELECT url, 'meta_googlebot' FROM v_heads JOIN v_fetches USING (url) WHERE should_index AND googlebot = 'none'"),
     "canonical_status": (lambda s, d: pages.canonical_status(_heads(s, d), _fetches(s, d)), "SELECT h.url, h.canonical, t.status, CASE WHEN n_canonical = 0 THEN 'missing' WHEN n_canonical > 1 THEN 'multiple' ELSE 'not_200' END AS problem FROM v_heads h LEFT JOIN v_fetches t ON t.url = h.canonical WHERE n_canonical <> 1 OR coalesce(t.status, 0) <> 200"),
@@ -101,6 +113,15 @@ ENTRIES: dict[str, tuple] = {
     "byte_delta": (lambda s, d: pages.byte_delta(_fetches(s, d), _fetches(s, d).withColumn("html", F.concat("html", F.lit("éé")))), "SELECT url, octet_length(encode(html))::INT AS bytes_before, (octet_length(encode(html)) + 4)::INT AS bytes_after, 4::INT AS delta FROM v_fetches"),
     "redirect_types": (lambda s, d: pages.redirect_types(_fetches(s, d).select("url", F.array(F.struct(F.concat(F.lit("http://www.e.com/"), "page_id").alias("url"), F.when(F.col("page_id") % 2 == 0, 302).otherwise(301).alias("status"), F.concat(F.lit("https://e.com/"), "page_id", F.when(F.col("page_id") % 3 == 0, "/").otherwise("")).alias("location"))).alias("chain"))).select("url", "rule"),
         "SELECT url, r AS rule FROM v_fetches, (VALUES ('wrong_redirect_type_http_to_https'), ('wrong_redirect_type_www_normalization')) AS x(r) WHERE page_id % 2 = 0 UNION ALL SELECT url, 'wrong_redirect_type_trailing_slash' FROM v_fetches WHERE page_id % 6 = 0"),
+    "redirect_ends": (lambda s, d: chains.chain_ends(table(s, d, "pages").selectExpr(
+            "concat('/r/', page_id) at", "case when page_id % 25 = 11 then null when page_id % 25 = 24 then concat('/r/', page_id - 4) else concat('/r/', page_id + 1) end to")),
+        """SELECT '/r/' || page_id AS url, '/r/' || CASE WHEN page_id % 25 < 11 THEN page_id - page_id % 25 + 11 ELSE (SELECT min(x) FROM (VALUES ('' || (page_id - page_id % 25 + 20)), ('' || (page_id - page_id % 25 + 21)),
+               ('' || (page_id - page_id % 25 + 22)), ('' || (page_id - page_id % 25 + 23)), ('' || (page_id - page_id % 25 + 24))) AS t(x))::BIGINT END AS final,
+               CASE WHEN page_id % 25 < 11 THEN 11 - page_id % 25 END AS hops, page_id % 25 > 11 AS loop
+           FROM pages WHERE page_id % 25 <> 11 AND page_id - page_id % 25 + 24 <= (SELECT max(page_id) FROM pages)
+           UNION ALL SELECT '/r/' || page_id, '/r/' || CASE WHEN page_id % 25 < 11 AND page_id - page_id % 25 + 10 <= m THEN page_id - page_id % 25 + 11 ELSE m + 1 END,
+               CASE WHEN page_id % 25 < 11 AND page_id - page_id % 25 + 10 <= m THEN 11 - page_id % 25 ELSE m + 1 - page_id END, false
+           FROM pages, (SELECT max(page_id) AS m FROM pages) WHERE page_id % 25 <> 11 AND page_id - page_id % 25 + 24 > m"""),
     "pagination_walk": (lambda s, d: pages.pagination_walk(table(s, d, "pages").selectExpr("concat('/l/', page_id) url", "concat('/l/', if(page_id % 10 = 9, page_id - 9, page_id + 1)) next"), table(s, d, "pages").where("page_id % 10 = 0").selectExpr("concat('/l/', page_id) start")),
         "SELECT '/l/' || (page_id - page_id % 10) AS start, '/l/' || page_id AS url, (page_id % 10)::INT AS step FROM pages"),
     "sitemap_limits": (lambda s, d: sets.sitemap_limits(_sitemap(s, d), _sitemap(s, d).groupBy("sitemap").agg((F.count("*") * F.when(F.col("sitemap").contains("-0"), 10**8).otherwise(1)).alias("bytes"))).select("sitemap", "rule"), "SELECT DISTINCT sitemap, 'too_large' AS rule FROM v_sitemap WHERE sitemap LIKE '%-0%'"),
@@ -108,7 +129,8 @@ ENTRIES: dict[str, tuple] = {
     "staging_leaks": (lambda s, d: sets.staging_leaks(_sitemap(s, d)), "SELECT sitemap, loc FROM v_sitemap WHERE loc LIKE 'https://staging.%'"),
     "sitemap_entry_audit": (lambda s, d: sets.sitemap_entry_audit(_sitemap(s, d), _fetches(s, d), _heads(s, d), _robots(s, d), "other").select("loc", "rule"),
         "WITH r AS (SELECT e.loc, f.status, f.hops, f.x_robots_tag, h.canonical, h.robots, f.url FROM v_sitemap e LEFT JOIN v_fetches f ON f.url = e.loc LEFT JOIN v_heads h ON h.url = e.loc) SELECT loc, 'not_fetched' AS rule FROM r WHERE url IS NULL UNION ALL SELECT loc, 'redirect_chain' FROM r WHERE hops > 0 UNION ALL SELECT loc, 'http_status' FROM r WHERE status <> 200 UNION ALL SELECT loc, 'noindex_header' FROM r WHERE x_robots_tag LIKE '%noindex%' UNION ALL SELECT loc, 'noindex_meta' FROM r WHERE robots = 'noindex' UNION ALL SELECT loc, 'canonical_mismatch' FROM r WHERE canonical <> url UNION ALL SELECT loc, 'robots_disallow' FROM r WHERE loc LIKE 'https://site%/p/1%' AND loc NOT LIKE '%/p/12%'"),
-    "freshness_findings": (lambda s, d: _freshness(s, d, 0).select("url", "rule"), _FRESH + "SELECT url, 'overactive_lastmod' AS rule FROM n WHERE page_id % 9 <> 0 AND h = 'hold' AND lastmod <> old UNION ALL SELECT url, 'stale_lastmod' FROM n WHERE page_id % 9 <> 0 AND h = 'hnew' AND lastmod = old UNION ALL SELECT url, 'lastmod_missing' FROM n WHERE page_id % 9 <> 0 AND lastmod = '' UNION ALL SELECT url, 'lastmod_format' FROM n WHERE page_id % 9 <> 0 AND lastmod LIKE '%/%'"),
+    "freshness_findings": (lambda s, d: _freshness(s, d, 0),
+        _rules(_FRESH_RULES, _FRESH + "SELECT *, page_id % 6 = 0 AND old NOT LIKE '%/%' AS moved FROM n WHERE page_id % 9 <> 0")),
     "freshness_state": (lambda s, d: _freshness(s, d, 1), _FRESH + "SELECT url, CASE WHEN page_id % 9 = 0 THEN old ELSE lastmod END AS lastmod, CASE WHEN page_id % 9 = 0 THEN 'hold' ELSE coalesce(h, 'hold') END AS content_hash, CASE WHEN page_id % 9 = 0 THEN '2024-01-01' ELSE '2024-02-01' END AS last_seen FROM n"),
     "hreflang_bidirectional": (lambda s, d: sets.hreflang_bidirectional(_hreflang(s, d)), "SELECT l.url, CASE WHEN l.href NOT IN (SELECT url FROM v_hreflang) THEN 'missing_target_entry' ELSE 'missing_return_link' END AS rule, l.lang, l.href FROM v_hreflang l WHERE lang <> 'x-default' AND url <> href AND NOT EXISTS (SELECT 1 FROM v_hreflang b WHERE b.url = l.href AND b.href = l.url)"),
     "hreflang_codes": (lambda s, d: sets.hreflang_codes(_hreflang(s, d)), "SELECT url, 'missing_self' AS rule, '' AS lang FROM v_hreflang GROUP BY url HAVING NOT bool_or(url = href) UNION ALL SELECT url, 'confused_code', lang FROM v_hreflang WHERE lang = 'uk'"),
@@ -149,6 +171,16 @@ ENTRIES: dict[str, tuple] = {
         """WITH e AS (SELECT time_bucket(INTERVAL 10 MINUTE, timestamp) - i * INTERVAL 10 MINUTE AS start, status FROM v_logs, range(6) AS r(i)),
              w AS (SELECT start, start + INTERVAL 1 HOUR AS "end", count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors FROM e GROUP BY 1)
            SELECT * FROM w WHERE errors > 0.2 * requests AND "end" <= (SELECT max(timestamp) - INTERVAL 30 MINUTE FROM v_logs)"""),
+    "stream_alert_episodes": (lambda s, d: _stream(lambda x: jobs.alert_episodes(x, s.createDataFrame(_LIMITS, "metric string, most double")), "v_logs", s, d).select(
+            "metric", "most", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "windows", F.round("worst", 8).alias("worst")),
+        f"""WITH e AS (SELECT time_bucket(INTERVAL 10 MINUTE, timestamp) - i * INTERVAL 10 MINUTE AS start, status, bytes_sent FROM v_logs, range(6) AS r(i)),
+             w AS (SELECT start, count(*)::DOUBLE AS requests, avg((status >= 400)::INT) AS error_share, avg((status >= 500)::INT) AS server_error_share, coalesce(sum(bytes_sent), 0)::DOUBLE AS bytes FROM e GROUP BY 1),
+             m AS (UNPIVOT w ON requests, error_share, server_error_share, bytes INTO NAME metric VALUE value),
+             o AS (SELECT m.*, t.most FROM m JOIN (VALUES {', '.join(str(x) for x in _LIMITS)}) AS t(metric, most) ON t.metric = m.metric AND m.value > t.most),
+             g AS (SELECT *, coalesce(start - lag(start) OVER (PARTITION BY metric ORDER BY start) <= INTERVAL 10 MINUTE, false) AS same FROM o),
+             n AS (SELECT *, sum((NOT same)::INT) OVER (PARTITION BY metric ORDER BY start) AS episode FROM g),
+             s AS (SELECT metric, most::DOUBLE AS most, min(start) AS start, max(start) + INTERVAL 1 HOUR AS "end", count(*) AS windows, round(max(value), 8) AS worst FROM n GROUP BY metric, most, episode)
+           SELECT * FROM s WHERE "end" + INTERVAL 10 MINUTE <= (SELECT max(timestamp) - INTERVAL 30 MINUTE FROM v_logs)"""),
     "stream_crawl_sessions": (lambda s, d: _stream(jobs.crawl_sessions, "v_classified", s, d).select("verified_crawler", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "requests"),
         """WITH r AS (SELECT verified_crawler, timestamp, timestamp - lag(timestamp) OVER w > INTERVAL 30 MINUTE AS cut FROM v_classified WHERE verified_crawler <> '' WINDOW w AS (PARTITION BY verified_crawler ORDER BY timestamp)),
              n AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY verified_crawler ORDER BY timestamp) AS n FROM r),

@@ -49,8 +49,11 @@ def _ranges(s: SparkSession, d: str) -> DataFrame:
 
 
 def _written(s: SparkSession, d: str) -> DataFrame:
+    """Days that are written twice are there once."""
     path = new_path(s, "enriched")
-    writers.write_enriched(logs.enrich_logs(view(s, d, "v_logs"), view(s, d, "v_ranges")), path)
+    rows = logs.enrich_logs(view(s, d, "v_logs"), view(s, d, "v_ranges"))
+    writers.write_enriched(rows, path)
+    writers.write_enriched(rows, path)
     return s.read.parquet(path).select("event_id", "remote_addr", "path", "status", "bytes_sent", "verified_crawler", F.to_date("log_date").alias("log_date"))
 
 
@@ -75,15 +78,30 @@ def _enriched_stream(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(out).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "remote_addr", "method", "uri", "path", "status", "bytes_sent", "user_agent", F.round("request_time", 6).alias("request_time"), "verified_crawler", "crawler_purpose", "verified_googlebot")
 
 
-def _freshness_stream(s: SparkSession, d: str) -> DataFrame:
-    src, state, mark = (new_path(s, x) for x in ("fetched", "state", "mark"))
-    schema = "url string, lastmod string, content_hash string, last_seen string"
-    # Each URL was seen twice, and files come one by one, so there are several batches.
-    now, before = F.struct("lastmod", F.lit("2024-02-01").alias("last_seen")), F.struct(F.lit("2023").alias("lastmod"), F.lit("2024-01-15").alias("last_seen"))
-    rows = view(s, d, "v_sitemap").repartition(3, "loc").select(F.col("loc").alias("url"), F.explode(F.array(now, before, before)).alias("x"))
-    rows.select("url", "x.lastmod", F.sha2("url", 256).alias("content_hash"), "x.last_seen").write.parquet(src)
-    jobs.freshness_stream(s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), state, mark).awaitTermination()
-    return jobs.freshness_state(s, state).select("url", "lastmod", "content_hash", "last_seen")
+_SEEN = "url string, lastmod string, content_hash string, last_seen string"
+#: What a page says and holds the k-th time: dates of odd pages move, texts of every third one.
+_LASTMOD = "case when {id} % 5 = 0 then '' when {id} % 7 = 0 then concat('0', {k}, '/01/2024') else concat('2024-0', 1 + ({k} - 1) * ({id} % 2), '-10') end"
+_HELD = "case when {id} % 11 = 0 and {k} = 2 then null else concat('h', case when {id} % 3 = 0 then {k} else 0 end) end"
+
+
+def _freshness_stream(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Findings and state of pages that are seen in three batches, one file each; the last time, each
+    is there twice, the earlier one to be passed over."""
+    src, out, mark = (new_path(s, x) for x in ("fetched", "found", "mark"))
+    pages = table(s, d, "pages").where("url is not null").repartition(1)
+    for k in (1, 2, 3):
+        one = lambda k, day: pages.selectExpr("url", _LASTMOD.format(id="page_id", k=k) + " lastmod", _HELD.format(id="page_id", k=k) + " content_hash", f"'2024-02-0{day}' last_seen")
+        rows = one(3, 3).union(one(1, 2)).repartition(1) if k == 3 else one(k, k)
+        rows.write.mode("append").parquet(src)
+    jobs.freshness_stream(s.readStream.schema(_SEEN).option("maxFilesPerTrigger", 1).parquet(src), out, mark).awaitTermination()
+    return s.read.schema("url string, severity string, rule string, detail string").parquet(out), jobs.freshness_state(s, mark)
+
+
+_FOUND = f"""WITH v AS (SELECT url, k, {_LASTMOD.format(id="page_id", k="k")} AS lastmod, {_HELD.format(id="page_id", k="k")} AS h FROM pages, (VALUES (1), (2), (3)) AS t(k) WHERE url IS NOT NULL),
+    r AS (SELECT *, coalesce(lag(lastmod) OVER w, '') AS old, last_value(h IGNORE NULLS) OVER (PARTITION BY url ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM v WINDOW w AS (PARTITION BY url ORDER BY k)),
+    m AS (SELECT *, CASE WHEN lastmod <> '' AND old <> '' THEN lastmod NOT LIKE '%/%' AND lastmod > old ELSE lastmod <> '' AND old = '' END AS moved FROM r)
+    SELECT url, 'warning' AS severity, 'overactive_lastmod' AS rule, lastmod AS detail FROM m WHERE h = held AND moved UNION ALL SELECT url, 'warning', 'stale_lastmod', lastmod FROM m WHERE h <> held AND NOT moved
+    UNION ALL SELECT url, 'notice', 'lastmod_missing', '' FROM m WHERE lastmod = '' UNION ALL SELECT url, 'error', 'lastmod_format', lastmod FROM m WHERE lastmod LIKE '%/%'"""
 
 
 def _expanded(s: SparkSession, d: str) -> DataFrame:
@@ -107,6 +125,8 @@ ENTRIES: dict[str, tuple] = {
     "flatten_inspections": (_inspections, "SELECT url, 'PASS' AS verdict, 'Indexed' AS coverage, '/p/' || page_id AS google_canonical, '/p/' || (page_id + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END) AS user_canonical, '2024-01-01' AS last_crawl, page_id % 4 = 0 AS canonical_differs FROM pages"),
     "percentile_linear": (lambda s, d: view(s, d, "v_logs").groupBy("status").agg(F.round(crawl.percentile_linear("bytes_sent", 0.9), 6).alias("p90")), "SELECT status, round(quantile_cont(bytes_sent::DOUBLE, 0.9), 6) AS p90 FROM v_logs GROUP BY 1"),
     "stream_enrich": (_enriched_stream, "SELECT date_trunc('second', timestamp) AS timestamp, remote_addr, method, uri, path, status, bytes_sent, user_agent, round(request_time, 6) AS request_time, verified_crawler, crawler_purpose, verified_googlebot FROM v_enriched WHERE event_id % 50 <> 49"),
-    "stream_freshness": (_freshness_stream, "SELECT loc AS url, lastmod, sha256(loc) AS content_hash, '2024-02-01' AS last_seen FROM v_sitemap"),
+    "stream_freshness": (lambda s, d: _freshness_stream(s, d)[1],
+        f"SELECT url, {_LASTMOD.format(id='page_id', k=3)} AS lastmod, {_HELD.format(id='page_id', k=3)} AS content_hash, '2024-02-03' AS last_seen FROM pages WHERE url IS NOT NULL"),
+    "stream_freshness_findings": (lambda s, d: _freshness_stream(s, d)[0], _FOUND),
     "expand_sitemaps": (_expanded, "SELECT sitemap, loc FROM v_sitemap WHERE sitemap LIKE '%-1.xml' OR sitemap LIKE '%-3.xml'"),
 }

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_enriched(logs: DataFrame, path: str, mode: str = "append") -> None:
-    """Enriched logs as Parquet with ZSTD, a folder for each day. Rows are dealt by day and
-    hour first, so a day is some files, not one from each task."""
-    rows = logs.withColumn("log_date", F.to_date("timestamp"))
-    rows.repartition("log_date", F.hour("timestamp")).write.mode(mode).partitionBy("log_date").option("compression", "zstd").parquet(path)
+def write_enriched(logs: DataFrame, path: str) -> None:
+    """Enriched logs as Parquet with ZSTD, a folder for each day. The days that `logs` have
+    replace those that are there, whole, and others stay: a day that is run again is there once.
+    Rows are dealt by day into parts of about the session's advisory size, so that a day is
+    a number of files by its bytes and a busy one more than one task."""
+    rows = logs.withColumn("log_date", F.to_date("timestamp")).hint("rebalance", "log_date")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    writer.partitionBy("log_date").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.logs import enrich_logs, parse_logs
-from ..operators.sets import freshness
-from ..storage import delete
+from ..operators.sets import freshness_rules
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -49,26 +50,63 @@ def drop_repeated_lines(logs: DataFrame, keys: list[str], late: str = "1 day") -
     return logs.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late).dropDuplicatesWithinWatermark(keys)
 
 
-def freshness_stream(current: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Keep the freshness state as Parquet, one folder for each batch: a batch that runs
-    again writes the same folder, so the update is idempotent. A URL seen more than once in a
-    batch counts as it was seen last (ties: by date and hash). The last folder is the whole state
-    (`freshness_state`); folders before the last two are deleted."""
-    spark = current.sparkSession
+def alert_episodes(logs: DataFrame, thresholds: DataFrame, length: str = "1 hour", slide: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
+    """(metric, most, start, end, windows, worst): spells in which a metric of the log was over its
+    limit in thresholds (metric, most) in every window of `length`, a new one each `slide`.
+    Windows over the limit that follow each other are one alert, which opens with the first
+    of them and is given out once, when it is closed.
+
+    Metrics: requests, error_share (400 and over), server_error_share (500 and over), bytes.
+    Windows that no threshold names, or that stay within it, cost no state.
+    """
+    rows = logs.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
+    share = lambda least: F.count_if(F.col("status") >= least).cast("double") / F.count("*")
+    values = {"requests": F.count("*").cast("double"), "error_share": share(400), "server_error_share": share(500), "bytes": F.coalesce(F.sum("bytes_sent"), F.lit(0)).cast("double")}
+    seen = rows.groupBy(F.window("timestamp", length, slide).alias("w")).agg(*(v.alias(k) for k, v in values.items()))
+    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in values]))
+    seen = seen.select(F.window_time("w").alias("at"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), listed.alias("m")).select("at", "start", "end", "m.*")
+    over = seen.join(thresholds, "metric").where("value > most")
+    found = over.groupBy("metric", "most", F.session_window("at", f"{slide} 1 second")).agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("windows"), F.max("value").alias("worst"),
+    )
+    return found.select("metric", "most", "start", "end", "windows", "worst")
+
+
+_SEEN = "lastmod string, content_hash string, last_seen string"
+_MET = "url string, n_lastmod string, n_content_hash string, n_last_seen string, " + _SEEN
+
+
+def _met(key: tuple, parts, state):
+    """What is seen of a URL in a batch beside what was known before; only its own state is touched."""
+    rows = pd.concat(parts)
+    last = max(rows[["last_seen", "lastmod", "content_hash"]].itertuples(index=False), key=lambda r: tuple("" if pd.isna(v) else v for v in r))
+    now = [None if pd.isna(v) else v for v in (last.lastmod, last.content_hash, last.last_seen)]
+    old = list(state.get) if state.exists else [None, None, None]
+    state.update((now[0], now[1] if now[1] is not None else old[1], now[2]))
+    yield pd.DataFrame([[key[0], *now, *old]], columns=["url", "n_lastmod", "n_content_hash", "n_last_seen", "lastmod", "content_hash", "last_seen"])
+
+
+def freshness_findings(current: DataFrame) -> DataFrame:
+    """The findings of `freshness` (url, severity, rule, detail) of a stream of url, lastmod,
+    content_hash, last_seen, batch by batch, against what was known before.
+
+    State is kept by URL; a batch reads and writes that of the URLs that it has. A URL seen more
+    than once in a batch counts as it was seen last (ties: by date and hash); a failed
+    fetch (null hash) keeps the last hash.
+    """
+    given = current.select("url", "lastmod", "content_hash", "last_seen").where("url is not null")
+    met = given.groupBy("url").applyInPandasWithState(_met, _MET, _SEEN, "append", GroupStateTimeout.NoTimeout)
+    return freshness_rules(met)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("url", "lastmod", "content_hash", "last_seen")
-        known = rows.groupBy("url").agg(F.max(F.struct("last_seen", "lastmod", "content_hash")).alias("r")).select("url", "r.lastmod", "r.content_hash", "r.last_seen")
-        prior = spark.read.schema(known.schema).parquet(f"{state}/batch={batch_id - 1}") if batch_id else known.limit(0)
-        freshness(known, prior)[1].write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        if batch_id > 1:
-            delete(spark, f"{state}/batch={batch_id - 2}")
 
-    return current.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def freshness_stream(current: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the freshness of pages as a stream: its findings go to Parquet at `out`, the state
+    to the checkpoint, from where `freshness_state` reads it."""
+    writer = freshness_findings(current).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(availableNow=True).start()
 
 
-def freshness_state(spark: SparkSession, state: str) -> DataFrame:
-    """The state after the last batch that is whole."""
-    rows = spark.read.option("basePath", state).parquet(state)
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.where(F.col("batch") == last).drop("batch")
+def freshness_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """url, lastmod, content_hash, last_seen: the state after the last batch that is whole."""
+    rows = spark.read.format("statestore").load(checkpoint)
+    return rows.select("key.url", "value.groupState.lastmod", "value.groupState.content_hash", "value.groupState.last_seen")
