@@ -9,10 +9,17 @@ with an entity, and with both, wherever they stand, are counted. With N document
 
 A term discloses an entity if PMI >= IC / alpha: knowing the term then gives at least
 1/alpha of the entity's information. There is no least count, as most entities stand in
-one or two documents; a pair that chance explains is left alone instead. That so many of
-the entity's documents hold a term which n(term) of N documents hold must have a chance
-of at most `level`, by the Chernoff bound of the binomial tail. In documents with the
-entity, such terms are generalised (to TERM) at every place, and base spans to their kind.
+one or two documents. A pair that chance explains is left alone instead: every term of the
+corpus could have met the entity, so what counts is how many of them are expected to meet it
+as surprisingly if all stood at random, at most `level` (an E-value; Chernoff bounds of
+the binomial tails, summed over the corpus's own document frequencies). A word that stands in
+one document with an entity is thus no find in a corpus in which documents have such
+words anyway, whatever its size. In documents with the entity, terms that disclose it are
+generalised (to TERM) at every place, and base spans to their kind.
+
+Pairs are counted by classes: entities of the same documents are one, and so are terms
+of one frequency in the same documents. A list of addresses that is copied on is one class, not
+as many as it has lines, so a document's pairs stay in proportion to the sets it is part of.
 """
 
 from __future__ import annotations
@@ -23,12 +30,14 @@ import re
 from collections import Counter
 from itertools import chain
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, values
+from .common import batches, free_name, materialize, values
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA, LEVEL = 1.25, 0.01
@@ -177,6 +186,13 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def _classes(rows: DataFrame, what: str, n: str, name: str) -> DataFrame:
+    """(what, n, name): a number for all of `what` that have the same count n and the same
+    documents among `rows` (row_key, what, n; distinct)."""
+    marks = [F.bit_xor(F.xxhash64("row_key", F.lit(salt))) for salt in (1, 2)]
+    return rows.groupBy(what, n).agg(F.xxhash64(F.col(n), *marks).alias(name))
+
+
 def disclosing(scanned: DataFrame, docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """(row_key, term): disclosing terms of the entities that a row holds, from counts over all rows.
 
@@ -186,29 +202,85 @@ def disclosing(scanned: DataFrame, docs: DataFrame, alpha: float = ALPHA, level:
     """
     n = scanned.count()
     holders = scanned.where("size(entities) > 0")
-    who = holders.select("row_key", F.explode("entities").alias("entity"))
-    who = materialize(who.distinct().join(who.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity").where(F.col("n_entity") < n), "pii")
+    times = materialize(holders.groupBy("row_key").agg(F.count("*").alias("times")), "pii")  # rows that repeat have one key
+    who = holders.select("row_key", F.explode("entities").alias("entity")).distinct()
+    sizes = who.join(times, "row_key").groupBy("entity").agg(F.sum("times").alias("n_entity"))
+    who = materialize(who.join(sizes, "entity").where(F.col("n_entity") < n), "pii")
+    who = who.join(_classes(who, "entity", "n_entity", "who"), ["entity", "n_entity"]).select("row_key", "who", "n_entity").distinct()
+    who = materialize(who, "pii")
     frequency = materialize(document_frequency(docs), "pii")
     most = lambda n_entity: n ** (1 - 1 / alpha) * F.pow(n_entity, F.lit(1 / alpha)) * (1 + 1e-9)
     largest = who.agg(F.coalesce(F.max("n_entity"), F.lit(0))).first()[0]
     # Terms in over a hundredth of the rows: at most 100 times the mean of distinct terms in a text.
     common = materialize(frequency.where(F.col("n_term") > F.greatest(most(F.lit(largest)), F.lit(n / 100))).select("term"), "pii")
-    held = holders.select("row_key", F.explode(F.array_distinct(F.col("words.term"))).alias("term")).join(common, "term", "left_anti").join(frequency, "term")
+    held = holders.select("row_key", F.explode(F.array_distinct(F.col("words.term"))).alias("term")).distinct().join(common, "term", "left_anti").join(frequency, "term")
     widest = who.groupBy("row_key").agg(F.max("n_entity").alias("n"))
     held = materialize(held.join(widest, "row_key").where(F.col("n_term") <= most(F.col("n"))).select("row_key", "term", "n_term"), "pii")
-    paired = held.join(who, "row_key").where(F.col("n_term") <= most(F.col("n_entity")))
-    pairs = paired.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(discloses(n, alpha, level))
-    return materialize(paired.join(pairs.select("entity", "term"), ["entity", "term"]).select("row_key", "term").distinct(), "pii")
+    held = materialize(held.join(_classes(held, "term", "n_term", "what"), ["term", "n_term"]), "pii")
+    alike = held.select("row_key", "what", "n_term").distinct()
+    paired = alike.join(who, "row_key").where(F.col("n_term") <= most(F.col("n_entity"))).join(times, "row_key")
+    pairs = paired.groupBy("who", "what", "n_entity", "n_term").agg(F.sum("times").alias("n_both")).where(discloses(n, alpha, level))
+    usual = expected_finds(n, frequency_classes(frequency))
+    pairs = materialize(pairs.where(usual("n_both", "n_term", "n_entity") <= level + 1e-9).select("who", "what"), "pii")
+    given = paired.select("row_key", "who", "what").join(pairs, ["who", "what"]).select("row_key", "what").distinct()
+    return materialize(held.join(given, ["row_key", "what"]).select("row_key", "term").distinct(), "pii")
 
 
 def discloses(n: int, alpha: float, level: float) -> Column:
-    """Whether n_both, n_term and n_entity of a pair say that the term gives the entity away."""
+    """Whether n_both, n_term and n_entity of a pair say that the term gives the entity away, and
+    one such pair alone were no chance."""
     both, term, who = (F.col(c).cast("double") for c in ("n_both", "n_term", "n_entity"))
     seen, usual = both / who, term / n
     gain = seen * F.log(seen / usual) + F.when(seen < 1, (1 - seen) * F.log((1 - seen) / (1 - usual))).otherwise(0.0)
     return (F.log2(n * both / (term * who)) >= F.log2(n / who) / alpha) & (seen > usual) & (-who * gain <= math.log(level) + 1e-9)
 
 
+def frequency_classes(frequency: DataFrame) -> list[tuple[int, float, int]]:
+    """(least, mean, terms) of classes of document frequencies, each a twentieth wider than the one
+    before: some 500 rows for any corpus."""
+    class_of = F.floor(F.log("n_term") / math.log(1.05))
+    rows = frequency.groupBy(class_of.alias("c")).agg(F.min("n_term"), F.avg("n_term"), F.count("*")).collect()
+    return sorted(tuple(r)[1:] for r in rows)
+
+
+def tail(k: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
+    """Chernoff bound of the chance that k or more of n documents hold a term of that share."""
+    seen = k / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = seen * np.log(seen / share) + np.where(seen < 1, (1 - seen) * np.log((1 - seen) / (1 - share)), 0.0)
+    return np.where(seen > share, np.exp(-n * gain), 1.0)
+
+
+def expected(both: int, term: int, who: int, n: int, least: np.ndarray, mean: np.ndarray, terms: np.ndarray) -> float:
+    """How many terms of the corpus, spread at random, would meet an entity of `who` documents
+    in so many that it is as surprising as `both` for one of `term` documents."""
+    x = float(tail(np.array([float(both)]), who, np.array([term / n]))[0]) * (1 + 1e-9)
+    lo, hi = np.zeros(len(least), np.int64), np.full(len(least), who + 1, np.int64)  # too few, enough
+    while (hi - lo > 1).any():
+        mid = (lo + hi) // 2
+        enough = (mid > 0) & (tail(np.minimum(mid, who).astype(float), who, np.minimum(least / n, 1 - 1e-12)) <= x)
+        hi, lo = np.where(enough, mid, hi), np.where(enough, lo, np.minimum(mid, hi - 1))
+    met = np.where(hi <= who, tail(np.minimum(hi, who).astype(float), who, np.minimum(mean / n, 1 - 1e-12)), 0.0)
+    return float((terms * met).sum())
+
+
+def expected_finds(n: int, classes: list[tuple[int, float, int]]):
+    """A column function of n_both, n_term and n_entity: `expected`."""
+    least, mean, terms = (np.array(c, float) for c in zip(*classes, strict=True)) if classes else (np.zeros(0),) * 3
+
+    @F.pandas_udf("double")
+    def usual(both: pd.Series, term: pd.Series, who: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for key in zip(both.tolist(), term.tolist(), who.tolist(), strict=True):
+            if key not in known:
+                known[key] = expected(*key, n, least, mean, terms)
+            out.append(known[key])
+        return pd.Series(out, dtype=float)
+
+    return usual
+
+
 def flagged_terms(scanned: DataFrame, found: DataFrame) -> DataFrame:
     """(row_key, terms): sorted spans of all places of disclosing terms of each row that has any."""
     words = scanned.where("size(entities) > 0").select("row_key", F.explode("words").alias("w")).select("row_key", "w.term", "w.start", "w.end")
@@ -233,23 +305,25 @@ def find_personal_data(docs: DataFrame, alpha: float = ALPHA, level: float = LEV
 def sanitise(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """`docs` with every span in `text` replaced by its kind in brackets; where two spans
     overlap, the union is replaced and named after the one that begins first. An n_chars
-    column is counted anew where it was not null. Null texts stay null."""
+    column is counted anew where it was not null. Null texts stay null. Columns may be spelled
+    in any case, and others may have any name."""
     scanned = materialize(scan(docs), "pii")
     terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, level))
     names = docs.columns
-    key = "_row_key_of_pii"
+    key, found = free_name("row_key", names), free_name("terms", names)
     rows = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
-    rows = rows.join(terms.select(F.col("row_key").alias(key), F.col("terms").alias("_terms_of_pii")), key, "left").drop(key)
+    rows = rows.join(terms.select(F.col("row_key").alias(key), F.col("terms").alias(found)), key, "left").drop(key)
+    at = [c.lower() for c in names].index("text")
 
     def run(it):
         for batch in it:
-            at = batch.schema.get_field_index("text")
             texts = [replaced(t, p) for t, p in zip(values(batch.column(at)), values(batch.column(len(names))), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(names)
 
     out = rows.mapInArrow(run, docs.schema)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+    for c in names:
+        if c.lower() == "n_chars":
+            out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.char_length("text")).cast(docs.schema[c].dataType))
     return out
 
 

@@ -10,9 +10,11 @@ farthest from the first, into cells; only what exceeds RINGS cells of a ring is
 hash. A query goes to its home cell first, the nearest one of its nearest ring. What it finds
 there bounds how far the rest may lie, and it goes on only to rings, and of these to cells,
 within that bound; this is decided on numbers, before a vector moves. In a cell, the
-same is done at each node: what is left out has bound * factor > distance to the k-th best
-so far, the bound being the triangle inequality's. At factor 1 nothing nearer is ever
-left out.
+same is done at each node. Left out is what the triangle inequality, relaxed by the factor,
+puts beyond the k-th best so far: with h the least height of the points, which every
+distance has in it, h^2 + factor^2 * (bound^2 - h^2) > distance^2. (Heights are near M where few
+vectors are much longer than the rest; relaxing them too would leave out everything.)
+At factor 1 nothing nearer is ever left out.
 """
 
 from __future__ import annotations
@@ -31,8 +33,14 @@ SPARE = 12
 FACTOR = 3.0
 
 
+def relaxed(bound, lowest, factor: float, larger=np.maximum):
+    """The square of the relaxed bound, for points whose squared heights are `lowest` at least."""
+    return lowest + factor**2 * larger(bound * bound - lowest, 0.0 * bound)
+
+
 class Tree:
-    """Points in tree order; a node is (start, end, vantage, ranges, inner, outer)."""
+    """Points in tree order; a node is (start, end, vantage, ranges, inner, outer), a range the
+    least and largest distance to the vantage point, and the least squared height."""
 
     def __init__(self, x: np.ndarray, largest: float):
         self.norm = np.einsum("ij,ij->i", x, x)
@@ -56,7 +64,8 @@ class Tree:
         rank = np.argsort(d, kind="stable")
         part[1:], d = part[1:][rank], d[rank]
         mid = len(d) // 2
-        ranges = ((d[0], d[mid - 1]), (d[mid], d[-1]))
+        height = self.largest - self.norm[part[1:]]
+        ranges = ((d[0], d[mid - 1], max(0.0, height[:mid].min())), (d[mid], d[-1], max(0.0, height[mid:].min())))
         return lo, hi, int(part[0]), ranges, self._build(lo + 1, lo + 1 + mid), self._build(lo + 1 + mid, hi)
 
 
@@ -99,11 +108,11 @@ class Search:
         near_inner = d < (ranges[0][1] + ranges[1][0]) / 2
         for first, second, chosen in ((0, 1, near_inner), (1, 0, ~near_inner)):
             for side in (first, second):
-                lo, hi = ranges[side]
+                lo, hi, lowest = ranges[side]
                 bound = np.maximum(np.maximum(d - hi, lo - d), 0)
                 kth = np.maximum(self.best[at, self.k - 1], self.floor[at])
                 reach = np.sqrt(np.maximum(self.square[at] - 2 * kth, 0))
-                self._visit((inner, outer)[side], at[chosen & (bound * self.factor <= reach + 1e-6)])
+                self._visit((inner, outer)[side], at[chosen & (relaxed(bound, lowest, self.factor) <= (reach + 1e-6) ** 2)])
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -167,18 +176,18 @@ def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FAC
         points = _seen_from(points, second, "away2", "seen2")
     else:
         points = points.withColumn("away2", F.lit(0.0)).withColumn("seen2", F.lit(0.0))
-    points = materialize(points.withColumn("sum", F.col("square") + F.col("largest")).drop("square"), "points")
+    points = materialize(points.withColumn("sum", F.col("square") + F.col("largest")).withColumn("height", F.col("largest") - F.col("square")).drop("square"), "points")
     points = _dealt(_dealt(points, ["dim"], "away", parts, "ring"), ["dim", "ring"], "away2", cells, "cell")
     bounds = points.groupBy("dim", "ring", "cell").agg(
         F.min("away").alias("lo"), F.max("away").alias("hi"), F.min("away2").alias("lo2"), F.max("away2").alias("hi2"),
-        F.ceil(F.count("*") / shard).cast("int").alias("shards"),
+        F.greatest(F.min("height"), F.lit(0.0)).alias("lowest"), F.ceil(F.count("*") / shard).cast("int").alias("shards"),
     )
     bounds = materialize(bounds, "cells")
-    every = bounds.groupBy("dim", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    every = materialize(every.groupBy("dim").agg(F.collect_list(F.struct("ring", "lo", "hi")).alias("rings")), "rings")  # at most `rings` entries
+    every = bounds.groupBy("dim", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("lowest").alias("lowest"))
+    every = materialize(every.groupBy("dim").agg(F.collect_list(F.struct("ring", "lo", "hi", "lowest")).alias("rings")), "rings")  # at most `rings` entries
     queries = points.where(F.pmod("vec_id", F.lit(divisor)) == 0).select("dim", F.col("row_key").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "seen", "seen2", "sum")
     home = F.array_min(F.transform("rings", lambda r: F.struct(_bound("seen", r["lo"], r["hi"]).alias("bound"), r["ring"].alias("ring"))))["ring"]
-    of_ring = bounds.select("dim", "ring", "cell", "lo2", "hi2")
+    of_ring = bounds.select("dim", "ring", "cell", "lo2", "hi2", "lowest")
     at_home = queries.join(every, "dim").withColumn("ring", home).select("dim", "ring", "query", "seen2").join(of_ring, ["dim", "ring"])
     at_home = at_home.groupBy("query").agg(F.min(F.struct(_bound("seen2", F.col("lo2"), F.col("hi2")).alias("bound"), "ring", "cell")).alias("h"))
     queries = materialize(queries.join(at_home.select("query", F.col("h.ring").alias("home"), F.col("h.cell").alias("home_cell")), "query"), "queries")
@@ -227,12 +236,13 @@ def nearest(rows: DataFrame, k: int = 20, divisor: int = 20, factor: float = FAC
     known = first.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
     rest = queries.join(known, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     reach = F.when(F.col("floor") == float("-inf"), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.col("sum") - 2 * F.col("floor"), F.lit(0.0))) + 1e-6)
-    near = F.filter("rings", lambda r: _bound("seen", r["lo"], r["hi"]) * factor <= F.col("reach"))
+    within = lambda bound, lowest: relaxed(bound, lowest, factor, F.greatest) <= F.col("reach") * F.col("reach")
+    near = F.filter("rings", lambda r: within(_bound("seen", r["lo"], r["hi"]), r["lowest"]))
     rest = materialize(rest.withColumn("reach", reach), "rest")
     # Which cells a query asks is found without its vector.
     asks = rest.select("dim", "query", "home", "home_cell", "seen", "seen2", "reach").join(every, "dim")
     asks = asks.select("dim", "query", "home", "home_cell", "seen2", "reach", F.explode(near).alias("r")).withColumn("ring", F.col("r.ring")).drop("r")
-    asks = asks.join(of_ring, ["dim", "ring"]).where(_bound("seen2", F.col("lo2"), F.col("hi2")) * factor <= F.col("reach"))
+    asks = asks.join(of_ring, ["dim", "ring"]).where(within(_bound("seen2", F.col("lo2"), F.col("hi2")), F.col("lowest")))
     asks = asks.where("ring <> home or cell <> home_cell").select("query", "ring", "cell")
     more = visit(materialize(rest.select("dim", "query", "query_id", "q", "floor").join(asks, "query"), "asked"))
     return top(first.drop("rank").union(more)).select("query_id", "rank", "vec_id", "score")

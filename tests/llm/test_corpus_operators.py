@@ -82,6 +82,94 @@ def test_terms_of_entities_in_one_or_two_documents(spark):
     assert {r["spans"] for r in pii.find_personal_data(docs_of(spark, rows)).where("doc_id = 7").collect()} == {"email:9:15,term:0:5"}
 
 
+def plain_terms(rows, alpha=1.25, level=0.01):
+    """doc_id -> disclosing terms, from all pairs of all rows, one by one."""
+    def tail(k, n, q):
+        s = k / n
+        return 1.0 if s <= q else math.exp(-n * (s * math.log(s / q) + ((1 - s) * math.log((1 - s) / (1 - q)) if s < 1 else 0)))
+
+    n, who, what = len(rows), {}, {}
+    for i, (_, text, *_) in enumerate(rows):
+        base = pii.find_base(text)
+        for k, spans in zip(pii.KINDS, base, strict=True):
+            for s, e in spans:
+                who.setdefault(pii.entity(k, text[s:e]), set()).add(i)
+        for w in {w.lower() for w in pii._TERM.findall(text or "")}:
+            what.setdefault(w, set()).add(i)
+    held = [{w for w, _, _ in pii.terms_of(text or "", pii.find_base(text))} for _, text, *_ in rows]
+    sizes = Counter(len(d) for d in what.values())
+    out = {}
+    for docs in who.values():
+        for w in set().union(*(held[i] for i in docs)):
+            both, term, size = sum(w in held[i] for i in docs), len(what[w]), len(docs)
+            if size == n or both / size <= term / n or math.log2(n * both / (term * size)) < math.log2(n / size) / alpha - 1e-12:
+                continue
+            x, usual = tail(both, size, term / n) * (1 + 1e-9), 0.0
+            for df, count in sizes.items():
+                k = next((k for k in range(1, size + 1) if tail(k, size, df / n) <= x), None)
+                usual += count * tail(k, size, df / n) if k else 0.0
+            if max(x, usual) <= level + 1e-9:
+                for i in docs:
+                    if w in held[i]:
+                        out.setdefault(rows[i][0], set()).add(w)
+    return out
+
+
+def code_names(rng, n, planted):
+    """Documents with e-mail addresses in some of them, each with names of its own and chance words."""
+    letters = lambda k: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(k))
+    usual = [letters(6) for _ in range(300)]
+    rows, truth = [], {}
+    for i in range(n):
+        words = [usual[min(int(rng.paretovariate(0.6)) - 1, 299)] for _ in range(60)] + [letters(9) for _ in range(rng.randrange(4))]
+        rng.shuffle(words)
+        rows.append([i, words])
+    for e in range(planted):
+        names = [f"zz{letters(8)}" for _ in range(2)]
+        for i in rng.sample(range(n), rng.choice([2, 3, 5, 8])):
+            rows[i][1] += [f"user{e}@mail{e}.example", *names]
+            truth.setdefault(i, set()).update(names)
+    return [(i, " ".join(w), None, None) for i, w in rows], truth
+
+
+def test_terms_equal_the_plain_count_and_find_what_was_planted(spark):
+    rows, truth = code_names(random.Random(7), 500, 15)
+    rows += [(900, rows[0][1], None, None), (901, None, None, None), (901, "", None, None), rows[1]]
+    want = plain_terms(rows)
+    got = {}
+    for r in pii.find_personal_data(docs_of(spark, rows)).collect():
+        text = next((t or "" for d, t, *_ in rows if d == r["doc_id"]), "")
+        found = {text[int(x.split(":")[1]) : int(x.split(":")[2])].lower() for x in r["spans"].split(",") if x.startswith("term")}
+        if found:
+            got[r["doc_id"]] = found
+    assert got == want
+    pairs = lambda d: {(i, w) for i, ws in d.items() for w in ws if i < 900}
+    hit = pairs(got) & pairs(truth)
+    assert len(hit) >= 0.95 * len(pairs(truth)) and len(hit) >= 0.95 * len(pairs(got))
+
+
+def test_chance_words_are_left_alone(spark):
+    # each document has 100 words that no other has, and half of them an address of their own
+    rng = random.Random(9)
+    letters = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9))
+    rows = [(i, " ".join(letters() for _ in range(100)) + (f" u{i}@m{i}.example" if i % 2 else ""), None, None) for i in range(120)]
+    assert all("term" not in r["spans"] for r in pii.find_personal_data(docs_of(spark, rows)).collect())
+
+
+def test_lists_of_addresses_are_few_classes(spark):
+    # 3,000 addresses beside 3,000 words, in two documents: nine million pairs, one of classes
+    text = " ".join(f"u{i}@m{i}.example" for i in range(3000)) + " " + " ".join("w" + "".join(chr(97 + int(c)) for c in f"{i:05d}") for i in range(3000))
+    rows = [(1, text, None, None), (2, text + " end", None, None)] + [(10 + i, "plain words here", None, None) for i in range(1500)]
+    scanned = pii.scan(docs_of(spark, rows))
+    assert pii.disclosing(scanned, docs_of(spark, rows)).groupBy("row_key").count().where("count >= 3000").count() == 2
+
+
+def test_sanitise_spelled_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "mail a@b.co", 3, "x", 7), (2, None, None, "y", 8)], "Doc_Id long, Text string, N_chars int, _terms_of_pii string, _row_key_of_pii int")
+    out = pii.sanitise(rows)
+    assert out.columns == rows.columns and [tuple(r) for r in out.orderBy("Doc_Id").collect()] == [(1, "mail [EMAIL]", 12, "x", 7), (2, None, None, "y", 8)]
+
+
 def test_disclosing_terms_anywhere_in_the_document(spark):
     long = "word " * 100
     text = f"Zanzibar\n{long}mail a@b.co\n{long}\nzanzibar zanzibar@b.co"

@@ -23,7 +23,7 @@ def fails(text, doc_id, first):
 
 
 def brute_audit(rows, labels):
-    good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    good, toxic = ({x[0] for x in labels if x[i] == 1 and x[0] is not None} for i in (1, 2))
     first = {}
     for d, t, *_ in rows:
         if d is not None:
