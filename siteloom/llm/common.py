@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Rounds, materialize, new_path, shared_dir
 
 __all__ = [
-    "WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "only", "passes", "shared_dir", "small_batches", "text_key",
+    "WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "only", "passes", "shared_dir", "text_key",
     "utf8", "values", "with_row_key", "without",
 ]
 
@@ -25,14 +25,6 @@ def batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches have `rows` rows, where the session has Spark's 10,000: of long texts, a
-    batch is held by the JVM, whose buffers double as they grow, and by the Python worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
-
-
 def values(column: pa.Array):
     """The values of a column as Python objects, made for some hundred rows at a time: a batch
     of long texts is never held twice."""
