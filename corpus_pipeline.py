@@ -6,7 +6,7 @@ last return the columns of documents, whatever other columns these have.
 
 All stages decide by row, never by doc_id: rows with a null or repeated doc_id are
 documents like others. Texts may be null, empty or very long. An empty table stays empty.
-As texts are long, stages let Arrow batches have 1,000 rows where the session has the default.
+No setting of the session is changed; `siteloom.session.get_session` bounds Arrow batches by bytes.
 """
 
 from __future__ import annotations
@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm import decontam, jaccard, mixing, pii, toxicity
-from siteloom.llm.common import free_name, materialize, small_batches, text_key, with_row_key, without
+from siteloom.llm.common import free_name, materialize, text_key, with_row_key, without
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the ordinal model finds toxic go; null and empty texts stay. Rows
     that repeat are decided alike; a score on the threshold counts as toxic. Texts of any
     length are scored whole. Columns named like the model's results are left alone."""
-    small_batches(spark)
     model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
@@ -34,7 +33,6 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows that repeat are linked like other copies, so one of them stays. Rows with one
     doc_id and unlike texts all stay. Texts without words are linked with nothing and stay.
     """
-    small_batches(spark)
     keyed, key = with_row_key(docs)
     found = materialize(jaccard.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), n=5, num=8, den=10), "groups")
     groups = found.where("doc_id <> component_id").select("component_id").distinct()
@@ -53,7 +51,6 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows whose text holds a benchmark item, copied or edited, go, and no others: rows
     with the same doc_id and another text stay. Rows that repeat are decided alike; null
     and empty texts hold nothing. A score on the threshold counts as held."""
-    small_batches(spark)
     hits = decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     key = free_name("found_key", docs.columns)
     gone = materialize(hits.select(F.col("row_key").alias(key)).distinct(), "gone")
@@ -64,7 +61,6 @@ def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Personal data, and terms that give it away, are generalised in the texts; all rows
     stay. Rows that repeat are sanitised alike; null texts stay null, empty ones empty.
     Where spans overlap, their union is replaced. Only text and n_chars change."""
-    small_batches(spark)
     return pii.sanitise(docs)
 
 
@@ -73,7 +69,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words (null and empty texts), or that the schedule doesn't reach, are not in
     the mix. Rows that repeat are documents of their own, each with its own `taken`. Input
     columns named like the four results come back as input_<name>."""
-    small_batches(spark)
     names = ("size", "source_size", "target", "taken")
     for column in docs.columns:
         if column.lower() in names:
