@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST, KNOWN, SAMPLE = 5, 3, 6000
@@ -55,21 +55,19 @@ def _counts(it):
 class Model:
     """Log-frequency vectors, one entry a language (sorted by code point)."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[str, int, str, int]], prior: list[int]):
-        self.langs = langs
+    def __init__(self, langs: list[str], rows: list[tuple], prior: list[int], sums: list[tuple] = (), kinds: dict | None = None):
+        """rows: (lang, kind, unit, n) of recurring units; sums: (lang, kind, n) and kinds: how many
+        units there are of each kind, both of all units of the sample."""
+        self.langs, kinds = langs, kinds or {}
         at = {x: i for i, x in enumerate(langs)}
         table: dict = defaultdict(lambda: np.zeros(len(langs)))
         for lang, kind, unit, n in rows:
             table[kind, unit][at[lang]] += n
         total = defaultdict(lambda: np.zeros(len(langs)))
-        kinds = defaultdict(int)
-        for (kind, _), v in table.items():
-            total[kind] += v
-            kinds[kind] += 1
-        # All units of the sample are counted in the totals; only recurring ones are kept.
-        keep = {k: v for k, v in table.items() if v.sum() >= KNOWN}
-        self.words = {u: np.log((v + 0.05) / (total[0] + 0.05 * kinds[0])).astype(np.float32) for (k, u), v in keep.items() if k == 0}
-        self.grams = {u: np.log((v + 0.3) / (total[k] + 0.3 * kinds[k])).astype(np.float32) for (k, u), v in keep.items() if k}
+        for lang, kind, n in sums:
+            total[kind][at[lang]] += n
+        self.words = {u: np.log((v + 0.05) / (total[0] + 0.05 * kinds[0])).astype(np.float32) for (k, u), v in table.items() if k == 0}
+        self.grams = {u: np.log((v + 0.3) / (total[k] + 0.3 * kinds[k])).astype(np.float32) for (k, u), v in table.items() if k}
         self.prior = np.log((np.array(prior) + 1.0) / (sum(prior) + len(langs))) if langs else np.zeros(0)
         self.memory: dict[str, np.ndarray] = {}
 
@@ -133,20 +131,44 @@ class FastModel(Model):
         return self.langs[best], float(1 / np.exp(np.minimum(score - score[best], 0)).sum())
 
 
+def shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """The share of each language's documents that is learned from: all of a rare one, and
+    equally many of the others, `sample` in all."""
+    most, left, part = 0.0, sample, sorted(counts.values())
+    for i, n in enumerate(part):
+        most = left / (len(part) - i)
+        if n >= most:
+            break
+        left -= n
+    else:
+        most = max(part, default=0)
+    return {x: min(1.0, most / n) for x, n in counts.items()}
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple:
     """Arguments of a Model, from about `sample` labelled documents outside the held-out
-    part, taken by the hash of doc_id. Only counts of that bounded sample reach the driver."""
+    part, taken by language and the hash of doc_id, so that no language is left out.
+
+    Only the recurring units (KNOWN times) of that bounded sample, and sums of the others, reach
+    the driver. Rows that repeat are learned as often; texts count whole, whatever
+    their length; of an empty table, or one without labels, nothing is learned.
+    """
     labelled = docs.where(
         f"lang is not null and text is not null and not coalesce({HELD_OUT}, false)"
     ).select(F.col("lang").cast("string"), F.col("text").cast("string"), "doc_id")
-    total = labelled.count()
-    share = min(1.0, sample / max(1, total))
-    part = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    prior = {r["lang"]: r["n"] for r in part.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    units = part.select("lang", "text").mapInArrow(_counts, "lang string, kind int, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
-    table = units.toArrow().to_pydict()
+    prior = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(prior)
-    return langs, list(zip(table["lang"], table["kind"], table["unit"], table["n"], strict=True)), [prior[x] for x in langs]
+    if not langs:
+        return [], [], [], [], {}
+    bound = F.create_map(*[F.lit(v) for x, share in shares(prior, sample).items() for v in (x, math.ceil(share * (1 << 20)))])
+    part = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.element_at(bound, F.col("lang")))
+    units = part.select("lang", "text").mapInArrow(_counts, "lang string, kind int, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
+    units = materialize(units, "units")
+    sums = [tuple(r) for r in units.groupBy("lang", "kind").agg(F.sum("n")).collect()]
+    each = units.groupBy("kind", "unit").agg(F.sum("n").alias("all"))
+    kinds = {r["kind"]: r["n"] for r in each.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    table = units.join(each.where(F.col("all") >= KNOWN), ["kind", "unit"]).select("lang", "kind", "unit", "n").toArrow().to_pydict()
+    return langs, list(zip(table["lang"], table["kind"], table["unit"], table["n"], strict=True)), [prior[x] for x in langs], sums, kinds
 
 
 def predict(docs: DataFrame, model: tuple) -> DataFrame:

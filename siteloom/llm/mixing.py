@@ -150,8 +150,8 @@ def mix_rows(docs: DataFrame, key: str, weights: tuple = WEIGHTS, most: int = MO
     slots = materialize(schedule(sources, block), "slots")
     # Whole takes of a block, and how far the last, partial one goes.
     taken = slots.join(sources.select("source_no", "source_size"), "source_no").withColumn("length", F.expr(f"least({block}L, source_size - block * {block}L)"))
-    times = taken.groupBy("source_no", "epoch", "block", "length").agg(F.sum("words").alias("words")).groupBy("source_no", "block").agg(
-        F.sum(F.expr("if(words = length, 1L, 0L)")).alias("whole"), F.max(F.expr("if(words = length, 0L, words)")).alias("part"),
+    times = taken.groupBy("source_no", "epoch", "block", "length").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")).groupBy("source_no", "block").agg(
+        F.sum(F.expr("if(words = length, 1L, 0L)")).alias("whole"), F.max(F.expr("if(words = length, 0L, words)")).alias("part"), F.min("slot").alias("slot"),
     )
     # A part is always the head of its block: slots of a source take its stream from the start.
     rows = materialize(rows.drop("part", "hash", "tie"), "rows")
@@ -160,13 +160,15 @@ def mix_rows(docs: DataFrame, key: str, weights: tuple = WEIGHTS, most: int = MO
     )
     lo, hi = F.expr(f"greatest(begin, block * {block}L) - block * {block}L"), F.expr(f"least(begin + size, (block + 1) * {block}L) - block * {block}L")
     got = pieces.withColumn("lo", lo).withColumn("hi", hi).join(times, ["source_no", "block"]).groupBy("row_key").agg(
-        F.sum(F.expr("whole * (hi - lo) + greatest(least(hi, part) - lo, 0L)")).alias("taken")
+        F.sum(F.expr("whole * (hi - lo) + greatest(least(hi, part) - lo, 0L)")).alias("taken"), F.min("slot").alias("first_slot"),
     )
-    return rows.join(got, "row_key", "left").select("row_key", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return rows.join(got, "row_key", "left").select("row_key", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row.
+    """doc_id, size, source_size, target, taken, first_slot of each row; first_slot is the slot of
+    the schedule that first takes words of the document: the order of the mix (null: none does,
+    or its source's closing slot, which takes what the others leave of its target).
 
     Sources are in the order of code points, null last (an empty name is a source).
     Texts null or without words have size 0 and nothing taken; rows that repeat are

@@ -124,10 +124,21 @@ ORACLES = {
         t AS (SELECT source, source_size, CASE WHEN weight * lft / whole > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE lft * weight / whole END AS target FROM o, l),
         k AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS take FROM t),
         d AS (
-            SELECT w.doc_id, w.size, k.source_size, k.target, k.take, CAST(coalesce(sum(w.size) OVER (
+            SELECT row_number() OVER () AS n, w.doc_id, w.source, w.size, k.source_size, k.target, k.take, CAST(coalesce(sum(w.size) OVER (
                 PARTITION BY w.source ORDER BY CAST('0x' || md5(CAST(w.doc_id AS VARCHAR))[1:15] AS BIGINT), w.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin
-            FROM w JOIN k ON w.source IS NOT DISTINCT FROM k.source)
-        SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (take // source_size) * size + greatest(0, least(begin + size, take % source_size) - begin) END AS taken FROM d""",
+            FROM w JOIN k ON w.source IS NOT DISTINCT FROM k.source),
+        -- Golden-ratio points through the cumulative takes; a source's slots are ranked and take its blocks of 512 words in turn.
+        c2 AS (SELECT *, coalesce(sum(take) OVER (ORDER BY source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(take) OVER () AS total FROM k),
+        p AS (SELECT *, CAST(before AS HUGEINT) * 2147483648 // greatest(total, 1) AS lo, CAST(before + take AS HUGEINT) * 2147483648 // greatest(total, 1) AS hi FROM c2),
+        i AS (SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range(0, CAST(total // 512 AS BIGINT))) AS slot FROM (SELECT any_value(total) AS total FROM p))),
+        q AS (SELECT slot, source, source_size, take, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank, (source_size + 511) // 512 AS blocks FROM i JOIN p ON point >= lo AND point < hi),
+        f AS (
+            SELECT source, rank % blocks AS block, min(slot) AS slot FROM q
+            WHERE least(512, source_size - (rank % blocks) * 512, take - (rank // blocks) * source_size - (rank % blocks) * 512) > 0 GROUP BY source, rank % blocks),
+        b AS (SELECT n, source, unnest(range(CAST(begin // 512 AS BIGINT), CAST((begin + size - 1) // 512 + 1 AS BIGINT))) AS block FROM d WHERE size > 0),
+        g AS (SELECT n, min(slot) AS first_slot FROM b JOIN f ON b.source IS NOT DISTINCT FROM f.source AND b.block = f.block GROUP BY n)
+        SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (take // source_size) * size + greatest(0, least(begin + size, take % source_size) - begin) END AS taken, first_slot
+        FROM d LEFT JOIN g ON g.n = d.n""",
     "op6_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

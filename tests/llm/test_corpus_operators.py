@@ -509,6 +509,35 @@ def test_mix_of_many_sources_and_one_doc_id(spark):
     assert len(out) == 3000 and abs(out.taken.sum() - out["size"].sum()) <= 900 and (out.taken <= 3 * out["size"]).all()
 
 
+def test_schedule_is_of_low_discrepancy(spark):
+    sizes = [9000, 5200, 20_000, 300, 14_000]
+    rows = [(100 * s + i, "w " * (n // 20), None, f"s{s}") for s, n in enumerate(sizes) for i in range(20)]
+    docs, key = with_row_key(docs_of(spark, rows))
+    sources = mixing.source_table(mixing.word_counts(docs, key))
+    take = {r["source_no"]: r["take"] for r in sources.collect()}
+    blocks = {r["source_no"]: -(-r["source_size"] // 16) for r in sources.collect()}
+    slots = sorted((r["slot"], r["source_no"], r["block"], r["words"]) for r in mixing.schedule(sources, 16).where("slot is not null").collect())
+    total, seen, worst, turn = sum(take.values()), Counter(), 0.0, Counter()
+    for n, (slot, s, block, words) in enumerate(slots, 1):
+        assert block == turn[s] % blocks[s] and words <= 16  # a source's blocks in turn
+        turn[s] += 1
+        seen[s] += 1
+        worst = max(worst, *(abs(seen[x] - (slot + 1) * take[x] / total) for x in take))
+    # After any number of slots each source has had its share but for a few; one source after the other is off by hundreds.
+    plain = max(sum(take[x] for x in list(take)[:i]) / 16 * (1 - sum(take[x] for x in list(take)[:i]) / total) for i in range(len(take)))
+    assert len(slots) > 2500 and worst < 6 and plain > 300
+    out = mixing.mix_rows(docs, key, block=16).where("taken > 0")
+    first = {r["row_key"]: r["first_slot"] for r in out.collect()}
+    assert out.count() == 100 and sum(x is None for x in first.values()) == 0 and min(first.values()) == 0
+
+
+def test_languages_are_learned_however_rare():
+    counts = {"a": 1_000_000, "b": 300, "c": 40, "d": 90_000}
+    share = langid.shares(counts, 6000)
+    assert share["b"] == share["c"] == 1 and share["a"] * 1_000_000 == pytest.approx(share["d"] * 90_000) == pytest.approx((6000 - 340) / 2)
+    assert langid.shares({"a": 3, "b": 5}, 6000) == {"a": 1.0, "b": 1.0} and langid.shares({}, 6000) == {}
+
+
 def test_mix_targets_and_caps(spark):
     rng = random.Random(9)
     rows = [(i, words_of(rng, rng.choice([0, 1, 30, 700])), None, rng.choice(["a", "b", "c", "d", None, ""])) for i in range(400)] + [(500, None, None, "z"), (1, "again", None, "a")]
