@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Rounds, materialize, new_path, shared_dir
+from .. import storage
+from ..storage import Rounds, new_path, shared_dir
 
 __all__ = [
-    "WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "only", "passes", "shared_dir", "text_key",
+    "WordHashes", "batches", "bit_table", "components", "free_name", "materialize", "new_path", "ngram_hashes", "only", "passes", "shared_dir", "small_batches", "text_key",
     "utf8", "values", "with_row_key", "without",
 ]
 
@@ -25,6 +28,26 @@ def batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20):
+    """Inside, batches that go to Python have `size` bytes at most (and a row): of long texts, a batch
+    is held by the JVM, whose buffers double as they grow, and by the Python worker. The
+    session has its own bound again afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """`df` written in the shared folder and read back, by way of small batches."""
+    with small_batches(df.sparkSession):
+        return storage.materialize(df, tag)
+
+
 def values(column: pa.Array):
     """The values of a column as Python objects, made for some hundred rows at a time: a batch
     of long texts is never held twice."""

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, free_name, materialize, values
+from .common import batches, free_name, materialize, only, values, without
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA, LEVEL = 1.25, 0.01
@@ -311,20 +311,23 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> Dat
     terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, level))
     names = docs.columns
     key, found = free_name("row_key", names), free_name("terms", names)
-    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
-    rows = rows.join(terms.select(F.col("row_key").alias(key), F.col("terms").alias(found)), key, "left").drop(key)
     at = [c.lower() for c in names].index("text")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
+    # Only the rows that have a span go through Python; the others stay where they are.
+    changed = scanned.where("base_spans <> ''").select("row_key").union(terms.select("row_key")).distinct()
+    changed = materialize(changed.select(F.col("row_key").alias(key)), "changed")
+    rows = only(keyed, changed, key).join(changed, key).join(terms.select(F.col("row_key").alias(key), F.col("terms").alias(found)), key, "left").select(*names, found)
 
     def run(it):
         for batch in it:
             texts = [replaced(t, p) for t, p in zip(values(batch.column(at)), values(batch.column(len(names))), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(names)
 
-    out = rows.mapInArrow(run, docs.schema)
+    out = materialize(rows.mapInArrow(run, docs.schema), "sanitised")
     for c in names:
         if c.lower() == "n_chars":
             out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.char_length("text")).cast(docs.schema[c].dataType))
-    return out
+    return without(keyed, changed, key).select(names).union(out)
 
 
 def replaced(text: str | None, terms: list[dict] | None) -> str | None:

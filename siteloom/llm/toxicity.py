@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import materialize, small_batches, values, with_row_key, without
 
 BUCKETS = 1 << 20
 LEAST_G, LEAST_DOCS = 20.0, 5
@@ -140,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, rounds: int = 6
             x = [features(t, words) for t in values(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.int32())), batch.column("grade").cast(pa.int64())], schema=schema)
 
-    rows = labelled_sample(docs, labels, sample).selectExpr("cast(doc_id as long) doc_id", "text", "grade").mapInArrow(run, "doc_id long, x array<int>, grade long").toArrow().sort_by("doc_id")
+    given = labelled_sample(docs, labels, sample).selectExpr("cast(doc_id as long) doc_id", "text", "grade")
+    with small_batches(docs.sparkSession):
+        rows = given.mapInArrow(run, "doc_id long, x array<int>, grade long").toArrow().sort_by("doc_id")
     x = rows.column("x").combine_chunks()
     return _fit(x.flatten().to_numpy(), np.diff(x.offsets.to_numpy()), rows.column("grade").to_numpy(), "grade" in labels.columns, rounds, ridge, pace)
 
@@ -170,14 +172,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """`docs` without the rows that `score` finds toxic; all columns as they are."""
+    """`docs` without the rows that `score` finds toxic; all columns as they are. The keys of the
+    rows that go are found first, so no text comes back from Python."""
     w, cut = model
     cell = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), cut))  # fixed size: BUCKETS floats
 
     def run(it):
         words, (w, cut) = WordFeatures(), cell.value
         for batch in it:
-            texts = values(batch.column(batch.schema.get_field_index("text")))
-            yield batch.filter(pa.array([not t or float(w[features(t, words)].sum()) < cut[0] for t in texts], pa.bool_()))
+            bad = [bool(t) and float(w[features(t, words)].sum()) >= cut[0] for t in values(batch.column(1))]
+            yield batch.select([0]).filter(pa.array(bad, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    keyed, key = with_row_key(docs)
+    toxic = keyed.select(key, F.col("text").cast("string").alias("_t")).mapInArrow(run, f"`{key}` long")
+    return without(keyed, materialize(toxic, "toxic"), key).select(*(F.col(f"`{c}`") for c in docs.columns))
