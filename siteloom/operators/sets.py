@@ -197,9 +197,35 @@ def robots_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def _pattern(path: Column) -> Column:
-    """A robots path as a regular expression: * is anything, $ is the end, wherever it stands."""
-    return F.concat(F.lit("^"), F.replace(F.regexp_replace(path, r"([\\.+?^{}()|\[\]])", r"\\$1"), F.lit("*"), F.lit(".*")))
+def _matches(target: Column, parts: Column, ends: Column) -> Column:
+    """Whether `parts`, the texts between the wildcards of a robots path behind its literal
+    head, follow each other in `target` from character `at` on, the last one at the end if `ends`.
+    Each is taken where it first stands, so a path is passed over once and nothing is tried again."""
+    last = F.coalesce(F.element_at(parts, -1), F.lit(""))
+    free = F.when(ends & (F.size(parts) > 0), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    def step(at: Column, part: Column) -> Column:
+        found = F.position(part, target, at)
+        return F.when((at == 0) | (part == ""), at).when(found == 0, F.lit(0)).otherwise(found + F.length(part))
+
+    reached = F.aggregate(free, F.col("at"), step)
+    closed = F.when(F.size(parts) == 0, F.col("at") == F.length(target) + 1).otherwise(
+        F.endswith(target, last) & (F.length(target) - F.length(last) + 1 >= reached)
+    )
+    return (reached > 0) & (~ends | closed)
+
+
+def robots_index(rules: DataFrame) -> DataFrame:
+    """Rules (host, agent, directive, size, head, parts, ends): the literal head of each path, up to
+    its first wildcard, the texts between the wildcards, and whether it ends with $. A path
+    with text behind its $ matches nothing and is left out."""
+    path = F.col("path")
+    body = F.regexp_extract(path, r"^([^$]*)", 1)
+    texts = F.split(body, r"\*")
+    return rules.where("path <> '' and directive in ('allow', 'disallow')").where(~path.rlike(r"\$.*[^*$]")).select(
+        "host", "agent", "directive", F.length(F.regexp_replace("path", "[*$]", "")).alias("size"), texts[0].alias("head"),
+        F.slice(texts, F.lit(2), F.size(texts)).alias("parts"), path.contains("$").alias("ends"),
+    ).distinct()
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -219,11 +245,13 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     fit = rows.select("host", "user_agent").distinct().join(tokens, "host").where((F.col("agent") == "*") | F.lower("user_agent").contains(F.col("agent")))
     chosen = fit.groupBy("host", "user_agent").agg(F.max_by("agent", F.when(F.col("agent") == "*", 0).otherwise(F.length("agent"))).alias("agent"))
     mine = rows.select("url", "user_agent", "host", "target").join(chosen, ["host", "user_agent"], "left")
-    size = F.length(F.regexp_replace("path", "[*$]", ""))
-    paths = rules.where("path <> '' and directive in ('allow', 'disallow')").select(
-        "host", "agent", "directive", size.alias("size"), _pattern(F.col("path")).alias("pattern"),
-    ).distinct()
-    hits = mine.join(paths, ["host", "agent"]).where(F.expr("target rlike pattern")).groupBy("url", "user_agent").agg(
+    # A path meets the rules of its agent by those of its prefixes that are as long as some rule's head.
+    index = materialize(robots_index(rules), "robots")
+    lengths = index.groupBy("host", "agent").agg(F.collect_set(F.length("head")).alias("lengths"))  # of one file's paths
+    asked = mine.join(lengths, ["host", "agent"]).select("url", "user_agent", "host", "agent", "target", F.explode("lengths").alias("n")).where(F.length("target") >= F.col("n"))
+    asked = asked.select("url", "user_agent", "host", "agent", "target", F.left("target", "n").alias("head"))
+    met = asked.join(index, ["host", "agent", "head"]).withColumn("at", F.length("head") + 1)
+    hits = met.where(_matches(F.col("target"), F.col("parts"), F.col("ends"))).groupBy("url", "user_agent").agg(
         F.max(F.struct("size", F.when(F.col("directive") == "allow", 1).otherwise(0).alias("ok"))).alias("best")
     )
     return mine.join(hits, ["url", "user_agent"], "left").select("url", "user_agent", (F.coalesce("best.ok", F.lit(1)) == 1).alias("allowed"))
@@ -262,19 +290,46 @@ def robots_assertions(tests: DataFrame, rules: DataFrame) -> DataFrame:
     ).where("allowed <> expected").select("url", "user_agent", "expected", "allowed")
 
 
-def robots_deploy_check(fetches: DataFrame, expected: DataFrame) -> DataFrame:
-    """Findings on deployed robots files: fetches (host, status, content_type, hops, body)
-    against expected (host, body)."""
-    rows = fetches.join(expected.select("host", F.col("body").alias("wanted")), "host", "left")
-    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    return findings(
+def robots_deploy_check(fetches: DataFrame, expected: DataFrame, tests: DataFrame | None = None, alternates: DataFrame | None = None, agent: str = "Googlebot") -> DataFrame:
+    """Findings (host, severity, rule, detail) on deployed robots files: fetches (host, status,
+    content_type, hops, body) against expected (host, body).
+
+    A file that is answered is also asked: the search bot `agent` must reach the site's root, and
+    tests (url, user_agent, expected) must come out on it as expected. alternates (host,
+    canonical, status, location) are other hosts of a site: they may serve the file or send on
+    to that of the canonical host (its URL), and nothing else.
+    """
+    c = F.col
+    rows = fetches.join(expected.select("host", c("body").alias("wanted")), "host", "left")
+    digest = lambda x: F.sha2(c(x).cast("binary"), 256)
+    ok, status = c("status") == 200, F.coalesce("status", F.lit(0))
+    found = findings(
         rows,
         [
-            ("status", "error", F.col("status") != 200, F.col("status")),
-            ("content_type", "error", ~F.col("content_type").startswith("text/plain"), F.col("content_type")),
-            ("redirected", "warning", F.col("hops") > 0, F.col("hops")),
-            ("body_differs", "error", F.col("wanted").isNotNull() & (digest("body") != digest("wanted")), None),
-            ("unexpected_host", "notice", F.col("wanted").isNull(), None),
+            ("reachability", "error", status == 0, None), ("canonical_redirect", "error", status.between(300, 399), c("status")),
+            ("status", "error", (status != 0) & ~ok & ~status.between(300, 399), c("status")),
+            ("content_type", "warning", ok & ~F.lower(F.coalesce("content_type", F.lit(""))).contains("text/plain"), c("content_type")),
+            ("redirected", "warning", ok & (c("hops") > 0), c("hops")),
+            ("body_differs", "error", ok & c("wanted").isNotNull() & (digest("body") != digest("wanted")), digest("body")),
+            ("unexpected_host", "notice", c("wanted").isNull(), None),
         ],
         "host",
     )
+    live = fetches.where(ok).select("host", "body")
+    rules = materialize(robots_rules(live), "robots")
+    root = live.select(F.concat(F.lit("https://"), "host", F.lit("/")).alias("url"), F.lit(agent).alias("user_agent"))
+    shut = robots_allowed(root, rules).where("not allowed").select("url")
+    found = found.unionByName(shut.select(u.url_parts(c("url"))["host"].alias("host"), F.lit("error").alias("severity"), F.lit("search_bot_blocked").alias("rule"), c("url").alias("detail")))
+    if tests is not None:
+        asked = tests.withColumn("host", u.url_parts(c("url"))["host"]).join(live.select("host"), "host").select("url", "user_agent", "expected")
+        failed = robots_assertions(asked, rules)
+        detail = F.concat_ws(" ", "user_agent", "url", F.when(c("expected"), "must pass").otherwise("must not pass"))
+        found = found.unionByName(failed.select(u.url_parts(c("url"))["host"].alias("host"), F.lit("error").alias("severity"), F.lit("assertion_failed").alias("rule"), detail.alias("detail")))
+    if alternates is not None:
+        sent, to = status.between(300, 399), F.coalesce("location", F.lit(""))
+        found = found.unionByName(findings(alternates, [
+            ("alt_host_fetch", "warning", status == 0, None),
+            ("alt_host_redirect", "warning", sent & (to != c("canonical")) & ~to.endswith("/robots.txt"), to),
+            ("alt_host_status", "error", (status != 0) & ~ok & ~sent, c("status")),
+        ], "host"))
+    return found

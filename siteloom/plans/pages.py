@@ -35,6 +35,34 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "supplier").select(F.concat(F.lit("h"), k, F.lit(".example.com")).alias("host"), F.when(k % 2 == 0, _DOCS[0][1]).otherwise(_DOCS[1][1]).alias("body"))
 
 
+def _deployed(s: SparkSession, d: str) -> DataFrame:
+    """Robots files as hosts serve them, against those expected, with tests and other hosts of the sites."""
+    host, k = F.concat(F.lit("h"), F.col("s_suppkey"), F.lit(".example.com")), F.col("s_suppkey")
+    shut = table(s, d, "supplier").select(host.alias("host"), k.alias("k"))
+    docs = _docs(s, d).join(shut, "host").withColumn("body", F.when(F.col("k") % 11 == 0, "User-agent: *\nDisallow: /").otherwise(F.col("body")))
+    status = F.when(F.col("k") % 7 == 6, 503).when(F.col("k") % 7 == 5, 301).otherwise(200)
+    fetches = docs.select("host", status.alias("status"), F.when(F.col("k") % 3 == 0, "text/html").otherwise("Text/Plain; charset=utf-8").alias("content_type"), (F.col("k") % 5 == 0).cast("int").alias("hops"), "body")
+    expected = docs.select("host", F.when(F.col("host").like("h1%"), F.concat("body", F.lit("x"))).otherwise(F.col("body")).alias("body"))
+    asked = [("/x.js", "other", True), ("/static/a", "y", False), ("/", "other", True), ("/z/1", "Z-bot", False)]
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(a).alias("user_agent"), F.lit(e).alias("expected")) for p, a, e in asked]))
+    tests = docs.select("host", each.alias("t")).select(F.concat(F.lit("https://"), "host", "t.path").alias("url"), "t.user_agent", "t.expected")
+    canonical = F.concat(F.lit("https://"), "host", F.lit("/robots.txt"))
+    location = F.when(F.col("k") % 4 == 1, canonical).when(F.col("k") % 4 == 2, "https://other.example.net/")
+    others = docs.select(F.concat(F.lit("www."), "host").alias("host"), canonical.alias("canonical"), F.element_at(F.array(F.lit(200), F.lit(301), F.lit(301), F.lit(404)), (F.col("k") % 4 + 1).cast("int")).alias("status"), location.alias("location"))
+    found = sets.robots_deploy_check(fetches, expected, tests, others)
+    return found.withColumn("detail", F.when(F.col("rule") == "body_differs", "").otherwise(F.col("detail")))
+
+
+_DEPLOYED = """WITH h AS (SELECT s_suppkey AS k, 'h' || s_suppkey || '.example.com' AS host, CASE s_suppkey % 7 WHEN 6 THEN 503 WHEN 5 THEN 301 ELSE 200 END AS status FROM supplier),
+    ok AS (SELECT * FROM h WHERE status = 200)
+    SELECT host, 'error' AS severity, CASE status WHEN 301 THEN 'canonical_redirect' ELSE 'status' END AS rule, status::VARCHAR AS detail FROM h WHERE status <> 200
+    UNION ALL SELECT host, 'warning', 'content_type', 'text/html' FROM ok WHERE k % 3 = 0 UNION ALL SELECT host, 'warning', 'redirected', '1' FROM ok WHERE k % 5 = 0
+    UNION ALL SELECT host, 'error', 'body_differs', '' FROM ok WHERE host LIKE 'h1%' UNION ALL SELECT host, 'error', 'search_bot_blocked', 'https://' || host || '/' FROM ok WHERE k % 11 = 0
+    UNION ALL SELECT host, 'error', 'assertion_failed', 'other https://' || host || '/x.js must pass' FROM ok UNION ALL SELECT host, 'error', 'assertion_failed', 'other https://' || host || '/ must pass' FROM ok WHERE k % 11 = 0 OR k % 2 = 0
+    UNION ALL SELECT host, 'error', 'assertion_failed', 'Z-bot https://' || host || '/z/1 must not pass' FROM ok WHERE k % 11 <> 0
+    UNION ALL SELECT 'www.' || host, 'warning', 'alt_host_redirect', 'https://other.example.net/' FROM h WHERE k % 4 = 2 UNION ALL SELECT 'www.' || host, 'error', 'alt_host_status', '404' FROM h WHERE k % 4 = 3"""
+
+
 def _crux(s: SparkSession, d: str) -> DataFrame:
     p75 = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('"'), F.col("p_size"), F.lit('"'))).otherwise(F.col("p_size").cast("string"))
     text = F.concat(F.lit('{"metrics":{"lcp":{"histogram":[{"density":0.5},{"density":0.25},{"density":0.25}],"percentiles":{"p75":'), p75, F.lit('}}},"collectionPeriod":{"lastDate":{"year":2024,"month":1,"day":28}}}'))
@@ -144,8 +172,7 @@ ENTRIES: dict[str, tuple] = {
         "SELECT 'h' || s_suppkey || '.example.com' AS host, v AS severity, r AS rule, x.d AS detail FROM supplier JOIN (VALUES (0, 'warning', 'bom', ''), (0, 'error', 'catch_all_disallow', '2'), (0, 'error', 'sitemap_not_absolute', '/s.xml'), (0, 'warning', 'crawl_delay_for_googlebot', '5'), (1, 'warning', 'asset_blocked', '/*.js$')) AS x(m, v, r, d) ON s_suppkey % 2 = m"),
     "robots_rules": (lambda s, d: sets.robots_rules(_docs(s, d)),
         "SELECT 'h' || s_suppkey || '.example.com' AS host, g::INT AS group_id, a AS agent, k AS directive, p AS path, l::INT AS line FROM supplier JOIN (VALUES (0, 0, '*', 'disallow', '/', 2), (0, 1, 'googlebot', '', '', 6), (0, 2, 'z', '', '', 8), (0, 3, 'z', 'allow', '/z', 11), (1, 0, 'x', 'disallow', '/static/', 3), (1, 0, 'y', 'disallow', '/static/', 3), (1, 0, 'x', 'allow', '/static/ok', 4), (1, 0, 'y', 'allow', '/static/ok', 4), (1, 1, '*', 'disallow', '/*.js$', 7)) AS x(m, g, a, k, p, l) ON s_suppkey % 2 = m"),
-    "robots_deploy_check": (lambda s, d: sets.robots_deploy_check(_docs(s, d).select("host", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(0).alias("hops"), "body"), _docs(s, d).withColumn("body", F.when(F.col("host").like("h1%"), F.concat("body", F.lit("x"))).otherwise(F.col("body")))).select("host", "rule"),
-        "WITH h AS (SELECT 'h' || s_suppkey || '.example.com' AS host FROM supplier) SELECT host, 'content_type' AS rule FROM h UNION ALL SELECT host, 'body_differs' FROM h WHERE host LIKE 'h1%'"),
+    "robots_deploy_check": (_deployed, _DEPLOYED),
     "validate_contract": (_cms, _CMS),
     "contract_summary": (lambda s, d: records.contract_summary(_cms(s, d)), f"SELECT path, rule, count(*) AS n, count(DISTINCT record_id) AS records FROM ({_CMS}) GROUP BY 1, 2"),
     "flatten_crux": (_crux, "SELECT p_partkey::VARCHAR AS target, 'lcp' AS metric, p_size::DOUBLE AS p75, 50.0::DOUBLE AS good, 25.0::DOUBLE AS needs_improvement, 25.0::DOUBLE AS poor, DATE '2024-01-28' AS period_end FROM part"),

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import urls as u
 from siteloom.functions.addresses import anonymize_ip, ip_bits
-from siteloom.operators import graph, jsonld, logs, pages, records, sets, urls
+from siteloom.operators import chains, graph, jsonld, logs, pages, records, sets, urls
 from siteloom.sources import readers, writers
 from siteloom.storage import materialize
 from siteloom.streaming import jobs
@@ -126,6 +127,83 @@ def test_robots_groups(spark, body, url, agent, want):
     assert allowed(spark, body, url, agent) is want
 
 
+def test_robots_paths_equal_their_patterns(spark):
+    rng, rules, urls = random.Random(6), [], []
+    for i in range(60):
+        path = "/" + "".join(rng.choice(["a", "b", "/", "*", "*", "ab", "$" if rng.random() < 0.2 else "a"]) for _ in range(rng.randrange(1, 7)))
+        rules.append((f"h{i % 5}.example.net", rng.choice(["allow", "disallow"]), path))
+        urls += [(f"https://h{i % 5}.example.net/" + "".join(rng.choice(["a", "b", "/", "ab"]) for _ in range(rng.randrange(8))), "x") for _ in range(3)]
+    table = spark.createDataFrame([(h, 0, "*", d, p, i) for i, (h, d, p) in enumerate(rules)], "host string, group_id int, agent string, directive string, path string, line int")
+    got = {r["url"]: r["allowed"] for r in sets.robots_allowed(spark.createDataFrame(urls, "url string, user_agent string"), table).collect()}
+    for url, _ in urls:
+        host, path = url.split("/")[2], "/" + url.split("/", 3)[3]
+        hits = [(len(re.sub("[*$]", "", p)), d == "allow") for h, d, p in rules if h == host and re.match("^" + re.sub(r"([.+?^{}()|\[\]])", r"\\\1", p).replace("*", ".*"), path)]
+        assert got[url] == (max(hits)[1] if hits else True), url
+
+
+def test_many_robots_rules_on_one_host(spark):
+    n = 100_000
+    rules = spark.range(n).selectExpr("'h.example.net' host", "0 group_id", "'*' agent", "if(id % 2 = 0, 'disallow', 'allow') directive", "concat('/d', id, '/*a*a*a*b$') path", "cast(id as int) line")
+    urls = spark.range(0, n, 100).selectExpr("concat('https://h.example.net/d', id, '/', repeat('a', 2000), if(id % 300 = 0, 'b', 'c')) url", "'x' user_agent")
+    began = time.time()
+    shut = sets.robots_allowed(urls, rules).where("not allowed").count()
+    assert shut == len([i for i in range(0, n, 100) if i % 300 == 0]) and time.time() - began < 60
+
+
+def test_walk_of_ten_thousand_pages(spark):
+    n = 10_000
+    pairs = spark.range(n).selectExpr("concat('p', id) url", "concat('p', if(id = 9999, 9000, id + 1)) next")
+    began = time.time()
+    out = pages.pagination_walk(pairs, spark.createDataFrame([("p0",), ("p9500",)], "start string"))
+    rows = {(r["start"], r["url"]): r["step"] for r in out.collect()}
+    assert time.time() - began < 60
+    want = {("p0", f"p{i}"): i for i in range(n)}
+    at, step = 9500, 0
+    while ("p9500", f"p{at}") not in want:
+        want["p9500", f"p{at}"] = step
+        at, step = 9000 if at == 9999 else at + 1, step + 1
+    assert rows == want
+
+
+def test_chain_ends_equal_the_steps(spark):
+    rng = random.Random(3)
+    to = {i: rng.choice([None, rng.randrange(60)]) for i in range(60)}
+    got = {r["url"]: (r["final"], r["hops"], r["loop"]) for r in chains.chain_ends(spark.createDataFrame([(f"{a:02d}", None if b is None else f"{b:02d}") for a, b in to.items()], "at string, to string")).collect()}
+    for a, b in to.items():
+        seen, at = [a], b
+        while at is not None and at not in seen and to[at] is not None:
+            seen.append(at)
+            at = to[at]
+        if b is not None:
+            want = (f"{min(seen[seen.index(at):]):02d}", None, True) if at in seen else (f"{at:02d}", len(seen), False)
+            assert got[f"{a:02d}"] == want, a
+    assert len(got) == sum(b is not None for b in to.values())
+
+
+def test_json_of_depth_two_hundred(spark):
+    deep = "[" * 200 + '{"@type":"A","@graph":{"@type":["B"],"x":[{"y":"a <script> b"}],"n":1.50}}' + "]" * 200
+    blocks = jsonld.jsonld_blocks(spark.createDataFrame([("u", 0, deep), ("u", 1, "[1, {"), ("u", 2, '{"a]":"}","@graph":[1,{"@type":"C"},[{"q\\"":2}]]}'), ("u", 3, '"text"')], "url string, block int, raw string"))
+    rows = {(r["block"], tuple(r["at"])): r["node"] for r in blocks.select("block", "at", F.to_json("node").alias("node")).collect()}
+    assert rows == {(0, (0,) * 201): '{"@type":["B"],"n":1.5,"x":[{"y":"a <script> b"}]}', (1, ()): None, (2, (1,)): '{"@type":"C"}', (2, (2, 0)): '{"q\\"":2}'}
+    assert [r["path"] for r in jsonld.script_texts(blocks.where("node is not null")).collect()] == ["x[0].y"]
+
+
+def test_alert_episodes(spark):
+    # errors from 10:00 to 10:30 and from 14:00 on: two spells, however many windows each is in
+    rows = [(f"2024-01-05 {h:02d}:{m:02d}:00", 500 if (h == 10 and m < 30) or (h == 14 and m < 10) else 200, 10) for h in range(8, 18) for m in range(0, 60, 5)]
+    logs_ = spark.createDataFrame(rows, "timestamp string, status int, bytes_sent int")
+    found = jobs.alert_episodes(logs_, spark.createDataFrame([("error_share", 0.2), ("server_error_share", 0.9), ("nothing", 0.0)], "metric string, most double")).collect()
+    assert sorted((r["metric"], str(r["start"]), str(r["end"]), r["windows"], round(r["worst"], 3)) for r in found) == [("error_share", "2024-01-05 09:20:00", "2024-01-05 11:10:00", 6, 0.5)]
+
+
+def test_days_are_written_once(spark, tmp_path):
+    day = lambda d, n: spark.range(n).selectExpr(f"timestamp'2024-01-{d:02d} 10:00:00' timestamp", "id x")
+    path = str(tmp_path / "days")
+    writers.write_enriched(day(5, 3).union(day(6, 4)), path)
+    writers.write_enriched(day(6, 2), path)
+    assert {str(r["log_date"]): r["n"] for r in spark.read.parquet(path).groupBy("log_date").agg(F.count("*").alias("n")).collect()} == {"2024-01-05": 3, "2024-01-06": 2}
+
+
 def test_robots_lint_by_group(spark):
     body = "\ufeffUser-agent: Googlebot-Image\nUser-agent: b\nCrawl-delay: 3\nDisallow: /assets/\n\nUser-agent: c\nCrawl-delay: 4\nDisallow: /x.css\nSitemap: map.xml # no\nSitemap: https://r.example.net/m.xml"
     found = sets.robots_lint(spark.createDataFrame([("r.example.net", body)], "host string, body string")).collect()
@@ -451,13 +529,23 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     batch = logs.enrich_logs(good, ranges)
     out = spark.read.parquet(str(tmp_path / "out")).select(batch.columns)
     assert out.count() == batch.count() > 0 and out.exceptAll(batch).count() == 0
-    schema, state = "url string, lastmod string, content_hash string, last_seen string", str(tmp_path / "state")
-    seen = [[("u", "2024-01-01", "a", "1"), ("u", "2023-01-01", "old", "0"), ("u", "2024-01-01", "a", "1")], [("v", "2024-01-09", "b", "2")], [("u", "2024-02-01", None, "3"), ("u", "2024-02-01", None, "3")]]
-    for i, rows in enumerate(seen):
+    schema, found, mark = "url string, lastmod string, content_hash string, last_seen string", str(tmp_path / "found"), str(tmp_path / "fmark")
+    seen = [
+        [("u", "2024-01-01", "a", "1"), ("u", "2023-01-01", "old", "0"), ("u", "2024-01-01", "a", "1"), ("w", "", "x", "1")], [("v", "2024-01-09", "b", "2"), ("w", "", "y", "2")],
+        [("u", "2024-02-01", None, "3"), ("u", "2024-02-01", None, "3"), ("v", "2024-02-09", "b", "3")], [("u", "2024-02-01", "c", "4"), ("w", "bad", "y", "4")],
+    ]
+    state, want = spark.createDataFrame([], schema), []
+    for rows in seen:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "fresh"))
-        jobs.freshness_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "fresh")), state, str(tmp_path / "fmark")).awaitTermination()
-        assert (tmp_path / "state" / f"batch={i}").exists() and not (tmp_path / "state" / f"batch={i - 2}").exists()
-    assert sorted(tuple(r) for r in jobs.freshness_state(spark, state).select("url", "lastmod", "content_hash", "last_seen").collect()) == [("u", "2024-02-01", "a", "3"), ("v", "2024-01-09", "b", "2")]
+        jobs.freshness_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "fresh")), found, mark).awaitTermination()
+        last = {r[0]: r for r in sorted(rows, key=lambda r: r[3])}
+        met, state = sets.freshness(spark.createDataFrame(list(last.values()), schema), state)
+        state = materialize(state, "test")
+        want += [tuple(r) for r in met.collect()]
+    assert sorted(tuple(r) for r in spark.read.parquet(found).select("url", "severity", "rule", "detail").collect()) == sorted(want)
+    assert {r[2] for r in want} == {"overactive_lastmod", "stale_lastmod", "lastmod_missing", "lastmod_format"}
+    kept = sorted(tuple(r) for r in jobs.freshness_state(spark, mark).collect())
+    assert kept == sorted(tuple(r) for r in state.collect()) == [("u", "2024-02-01", "c", "4"), ("v", "2024-02-09", "b", "3"), ("w", "bad", "y", "4")]
 
 
 def test_all_links_are_in_the_graph(spark, sf_dir):
