@@ -171,9 +171,10 @@ def verify_crawler(logs: DataFrame, ranges: DataFrame, out: str = "verified_craw
     """`logs` with the crawler whose range holds remote_addr ('' if none); where ranges
     overlap, the lowest ord wins. Malformed ranges match nothing.
 
-    Ranges are few, so there is one lookup of an address prefix for each prefix length that
-    occurs, which Spark answers by broadcasts: the logs are not shuffled. Of more ranges than
-    `FEW_RANGES`, the distinct addresses are looked up instead, and joined to the logs once.
+    Where few prefix lengths occur, there is one lookup of an address prefix for each, which
+    Spark answers by broadcasts: the logs are not shuffled. Of more lengths than `FEW_LENGTHS`, or more
+    ranges than `FEW_RANGES`, the distinct addresses are looked up instead, in one join
+    whatever the number of lengths, and joined to the logs once. Streams keep to the former.
     """
     cut = ranges.select("crawler", "ord", F.split("cidr", "/").alias("p")).select(
         "crawler", "ord", ip_bits(F.col("p")[0]).alias("bits"), F.get("p", F.lit(1)).try_cast("int").alias("plen"),
@@ -183,7 +184,7 @@ def verify_crawler(logs: DataFrame, ranges: DataFrame, out: str = "verified_craw
     )
     cut = materialize(cut.groupBy("size", "plen", "prefix").agg(F.min("hit").alias("hit")), "ranges")
     lengths = sorted((r["size"], r["plen"]) for r in cut.select("size", "plen").distinct().collect())  # 161 at most
-    if not logs.isStreaming and cut.count() > FEW_RANGES:
+    if not logs.isStreaming and (len(lengths) > FEW_LENGTHS or cut.count() > FEW_RANGES):
         found = lookup(logs.select("remote_addr").distinct(), cut, lengths).select(F.col("remote_addr").alias("_addr"), F.col("hit.crawler").alias(out))
         return logs.drop(out).join(found, F.col("remote_addr") == F.col("_addr"), "left").drop("_addr").withColumn(out, F.coalesce(out, F.lit("")))
     rows = logs.withColumn("_bits", ip_bits(F.col("remote_addr")))
@@ -197,8 +198,8 @@ def verify_crawler(logs: DataFrame, ranges: DataFrame, out: str = "verified_craw
     return rows.withColumn(out, F.coalesce(best, F.lit(""))).drop("_bits", *[f"_hit_{s}_{p}" for s, p in lengths])
 
 
-#: So many ranges are broadcast without a second thought, some 10 MB.
-FEW_RANGES = 100_000
+#: So many ranges are broadcast without a second thought, some 10 MB; so many joins are one plan.
+FEW_RANGES, FEW_LENGTHS = 100_000, 10
 
 
 def lookup(addresses: DataFrame, cut: DataFrame, lengths: list[tuple[int, int]]) -> DataFrame:

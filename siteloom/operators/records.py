@@ -85,7 +85,10 @@ def read_rum(lines: DataFrame) -> DataFrame:
 
 
 def rum_p75(beacons: DataFrame, by: list[str]) -> DataFrame:
-    return beacons.groupBy("metric", *by).agg(F.percentile("value", 0.75).alias("p75"), F.count("*").alias("beacons"))
+    """(metric, by, p75, beacons), exact. Values are counted first, so that a task holds the
+    counts of a segment's different values, whole milliseconds, and not its beacons."""
+    counts = beacons.groupBy("metric", *by, "value").agg(F.count("*").alias("n"))
+    return counts.groupBy("metric", *by).agg(F.percentile("value", 0.75, F.col("n")).alias("p75"), F.sum("n").alias("beacons"))
 
 
 def lcp_breakdown(rows: DataFrame) -> DataFrame:

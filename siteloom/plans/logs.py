@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crawl, logs
+from ..operators import crawl, logs, sketches
 from ..sources.readers import read_log_lines
-from ..storage import new_path
+from ..storage import materialize, new_path
 from .views import view
 
 AS_OF, FROM, TO = "2024-01-31", "2024-01-05", "2024-01-28"
@@ -74,6 +74,36 @@ def _locale(spark: SparkSession, d: str) -> DataFrame:
     return logs.locale_demand(rows, ["en", "fr", "de", "es"])
 
 
+def _depth_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Depths from sketches of days, and whether the distinct addresses are within the stated bound."""
+    rows = _enriched(s, d)
+    told = sketches.depth_report(materialize(sketches.daily_depths(rows), "sketches"), AS_OF)
+    exact = crawl.depth_distribution(rows, AS_OF).select("depth", F.col("unique_urls").alias("exact"))
+    return told.join(exact, "depth").select("depth", "requests", (F.abs(F.col("unique_urls") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")).alias("within"))
+
+
+def _parameter_sketches(s: SparkSession, d: str) -> DataFrame:
+    rows = _enriched(s, d)
+    told = sketches.parameter_report(materialize(sketches.daily_parameters(rows), "sketches"), AS_OF, min_distinct=0)
+    exact = rows.where("verified_googlebot").where(crawl._since(AS_OF, 30)).groupBy(F.substring_index("uri", "?", 1).alias("path")).agg(
+        F.countDistinct(F.regexp_extract("uri", r"\?(.*)$", 1)).alias("exact"))
+    return told.join(exact, "path").select("path", "requests", "parameterized", (F.abs(F.col("unique_queries") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")).alias("within"))
+
+
+def _latency_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Times by hour of the day from sketches of days, and whether their ranks are within the stated bound."""
+    rows = _enriched(s, d)
+    told = sketches.latency_report(materialize(sketches.daily_latencies(rows), "sketches"), AS_OF, 30)
+    seen = rows.where("verified_googlebot and status = 200 and request_time is not null").where(crawl._since(AS_OF, 30)).select(F.hour("timestamp").alias("hour"), "request_time")
+    share = lambda cond: F.avg(cond.cast("int"))
+    t = F.col("request_time")
+    near = lambda c, q: (share(t < F.col(c)) <= q + sketches.RANK_ERROR) & (share(t <= F.col(c)) >= q - sketches.RANK_ERROR)
+    return seen.join(told, "hour").groupBy("hour", "requests").agg((near("p50", 0.5) & near("p95", 0.95)).alias("within"))
+
+
+_DAYS = "verified_googlebot AND timestamp >= DATE '2024-01-31' - INTERVAL 30 DAY"
+
+
 ENTRIES: dict[str, tuple] = {
     "detect_log_format": (lambda s, d: logs.detect_log_format(raw_lines(s, d)).groupBy("log_format").agg(F.count("*").alias("n")),
         "SELECT CASE WHEN event_id % 50 = 49 OR event_id % 4 = 0 THEN 'combined' WHEN event_id % 4 = 1 THEN 'nginx_json' WHEN event_id % 4 = 2 THEN 'cloudflare' ELSE 'alb' END AS log_format, count(*) AS n FROM v_logs GROUP BY 1"),
@@ -110,6 +140,10 @@ ENTRIES: dict[str, tuple] = {
         "SELECT date_trunc('day', timestamp)::DATE AS day, status, count(*) AS requests, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY date_trunc('day', timestamp)), 2)::DOUBLE AS pct_of_day FROM v_enriched WHERE verified_googlebot AND event_id % 50 <> 49 AND timestamp >= DATE '2024-01-31' - INTERVAL 14 DAY GROUP BY date_trunc('day', timestamp), status"),
     "depth_distribution": (lambda s, d: crawl.depth_distribution(_enriched(s, d), AS_OF),
         "SELECT len(string_split(trim(path, '/'), '/'))::INT AS depth, count(*) AS requests, count(DISTINCT path) AS unique_urls FROM v_enriched WHERE verified_googlebot AND status = 200 AND timestamp >= DATE '2024-01-31' - INTERVAL 30 DAY GROUP BY 1"),
+    "depth_from_sketches": (_depth_sketches, f"SELECT len(string_split(trim(path, '/'), '/'))::INT AS depth, count(*) AS requests, true AS within FROM v_enriched WHERE {_DAYS} AND status = 200 GROUP BY 1"),
+    "parameters_from_sketches": (_parameter_sketches,
+        f"SELECT string_split(uri, '?')[1] AS path, count(*) AS requests, count(*) FILTER (WHERE regexp_extract(uri, '[?](.*)$', 1) <> '') AS parameterized, true AS within FROM v_enriched WHERE {_DAYS} GROUP BY 1"),
+    "latency_from_sketches": (_latency_sketches, f"SELECT extract(hour FROM timestamp)::INT AS hour, count(*) AS requests, true AS within FROM v_enriched WHERE {_DAYS} AND status = 200 AND request_time IS NOT NULL GROUP BY 1"),
     "latency_by_hour": (lambda s, d: crawl.latency_by_hour(_enriched(s, d), AS_OF, exact=True).select("hour", *(F.round(c, 8).alias(c) for c in ("p50", "p95", "p99")), "requests"),
         "SELECT date_trunc('hour', timestamp) AS hour, round(quantile_cont(request_time, 0.5), 8) AS p50, round(quantile_cont(request_time, 0.95), 8) AS p95, round(quantile_cont(request_time, 0.99), 8) AS p99, count(*) AS requests FROM v_enriched WHERE verified_googlebot AND status = 200 AND timestamp >= DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY 1"),
     "latency_by_hour_approx": (lambda s, d: crawl.latency_by_hour(_enriched(s, d), AS_OF).select("hour", *(F.round(c, 8).alias(c) for c in ("p50", "p95", "p99")), "requests"),

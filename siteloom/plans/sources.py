@@ -104,14 +104,14 @@ _FOUND = f"""WITH v AS (SELECT url, k, {_LASTMOD.format(id="page_id", k="k")} AS
     UNION ALL SELECT url, 'notice', 'lastmod_missing', '' FROM m WHERE lastmod = '' UNION ALL SELECT url, 'error', 'lastmod_format', lastmod FROM m WHERE lastmod LIKE '%/%'"""
 
 
-def _expanded(s: SparkSession, d: str) -> DataFrame:
+def _expanded(s: SparkSession, d: str, expand=readers.expand_sitemaps) -> DataFrame:
     """Entries of the sitemaps that an index reaches: two of four, one of them through a second index."""
     entries = view(s, d, "v_sitemap").select("sitemap", "loc")
     path = new_path(s, "sitemap-index")
     rows = s.createDataFrame([(f"<sitemapindex><sitemap><loc> {a} </loc></sitemap><sitemap><loc>{b}</loc></sitemap></sitemapindex>", no) for no, a, b in ((0, "https://site.example.com/sitemap-1.xml", "https://site.example.com/more.xml"), (1, "https://site.example.com/sitemap-3.xml", "https://site.example.com/root.xml"))], "value string, no int")
     rows.write.partitionBy("no").text(path)
     index = readers.read_sitemap_index(s, path).select(F.when(F.col("sitemap").contains("no=0"), "https://site.example.com/root.xml").otherwise("https://site.example.com/more.xml").alias("sitemap"), "child")
-    return readers.expand_sitemaps(index, entries, "https://site.example.com/root.xml")
+    return expand(index, entries, "https://site.example.com/root.xml")
 
 
 ENTRIES: dict[str, tuple] = {
@@ -129,4 +129,5 @@ ENTRIES: dict[str, tuple] = {
         f"SELECT url, {_LASTMOD.format(id='page_id', k=3)} AS lastmod, {_HELD.format(id='page_id', k=3)} AS content_hash, '2024-02-03' AS last_seen FROM pages WHERE url IS NOT NULL"),
     "stream_freshness_findings": (lambda s, d: _freshness_stream(s, d)[0], _FOUND),
     "expand_sitemaps": (_expanded, "SELECT sitemap, loc FROM v_sitemap WHERE sitemap LIKE '%-1.xml' OR sitemap LIKE '%-3.xml'"),
+    "expand_sitemaps_recursive": (lambda s, d: _expanded(s, d, readers.expand_sitemaps_recursive), "SELECT sitemap, loc FROM v_sitemap WHERE sitemap LIKE '%-1.xml' OR sitemap LIKE '%-3.xml'"),
 }

@@ -105,3 +105,17 @@ def flatten_inspections(rows: DataFrame) -> DataFrame:
         F.col(f"{r}.lastCrawlTime").alias("last_crawl"),
     )
     return out.withColumn("canonical_differs", F.coalesce(F.col("google_canonical") != F.col("user_canonical"), F.lit(False)))
+
+
+def expand_sitemaps_recursive(index: DataFrame, entries: DataFrame, root: str, depth: int = 5) -> DataFrame:
+    """`expand_sitemaps` as one recursive query of Spark's own, which is as good where sitemaps
+    hardly share children: Spark keeps each way to a sitemap until the end."""
+    reached = index.sparkSession.sql(
+        """WITH RECURSIVE reached(sitemap, step) AS (
+               SELECT :root, 0 UNION ALL SELECT i.child, r.step + 1 FROM reached r JOIN {index} i ON i.sitemap = r.sitemap WHERE r.step <= :depth)
+           SELECT sitemap, min(step) AS step FROM reached GROUP BY sitemap""",
+        args={"root": root, "depth": depth}, index=index,
+    )
+    if reached.where(F.col("step") > depth).limit(1).count():
+        raise RuntimeError(f"sitemaps lie deeper than {depth}")
+    return entries.join(reached, "sitemap", "left_semi")
