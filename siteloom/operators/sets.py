@@ -59,7 +59,7 @@ def sitemap_entry_audit(entries: DataFrame, fetches: DataFrame, heads: DataFrame
             ("not_fetched", "notice", c("status").isNull(), None), ("redirect_chain", "warning", c("hops") > 0, c("hops")),
             ("http_status", "error", c("status") != 200, c("status")), ("noindex_header", "error", has_noindex(c("x_robots_tag")), None),
             ("noindex_meta", "error", has_noindex(c("robots")), None),
-            ("canonical_mismatch", "error", (c("canonical") != "") & (u.normalize_url_slash(c("canonical")) != u.normalize_url_slash(c("loc"))), c("canonical")),
+            ("canonical_mismatch", "warning", (c("canonical") != "") & (u.normalize_url_slash(c("canonical")) != u.normalize_url_slash(c("loc"))), c("canonical")),
         ],
         "loc",
     )

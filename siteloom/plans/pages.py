@@ -119,6 +119,18 @@ _FRESH_RULES = {
 }
 
 
+_CONTRACT = {
+    "one_title": ("error", "n_title <> 1", ""), "absolute_canonical": ("error", "canonical NOT LIKE 'http%'", "canonical"), "one_description": ("error", "n_description > 1", ""),
+    "index_state": ("error", "(robots = 'noindex') = should_index", "robots"), "viewport": ("error", "viewport = ''", ""),
+    "og_set": ("error", "page_id % 2 = 0 AND NOT (has_og_title AND has_og_image AND has_og_url)", ""),
+}
+_ENTRY = {
+    "not_fetched": ("notice", "url IS NULL", ""), "redirect_chain": ("warning", "hops > 0", "hops"), "http_status": ("error", "status <> 200", "status"),
+    "noindex_header": ("error", "x_robots_tag LIKE '%noindex%'", ""), "noindex_meta": ("error", "robots = 'noindex'", ""),
+    "canonical_mismatch": ("warning", "canonical <> url", "canonical"), "robots_disallow": ("error", "loc LIKE 'https://site%/p/1%' AND loc NOT LIKE '%/p/12%'", "'other'"),
+}
+
+
 def _union(rules: dict[str, str], rows: str, key: str = "url") -> str:
     return f"WITH r AS ({rows}) " + " UNION ALL ".join(f"SELECT {key}, '{name}' AS rule FROM r WHERE {cond}" for name, cond in rules.items())
 
@@ -130,8 +142,8 @@ _LIMITS = [("requests", 3.0), ("error_share", 0.25), ("server_error_share", 0.3)
 ENTRIES: dict[str, tuple] = {
     "noindex_gate": (lambda s, d: pages.noindex_gate(_heads(s, d), _fetches(s, d)), "SELECT url, 'header' AS source FROM v_fetches WHERE should_index AND x_robots_tag LIKE '%noindex%' UNION ALL SELECT url, 'meta_robots' FROM v_heads JOIN v_fetches USING (url) WHERE should_index AND robots = 'noindex' UNION ALL SELECT url, 'meta_googlebot' FROM v_heads JOIN v_fetches USING (url) WHERE should_index AND googlebot = 'none'"),
     "canonical_status": (lambda s, d: pages.canonical_status(_heads(s, d), _fetches(s, d)), "SELECT h.url, h.canonical, t.status, CASE WHEN n_canonical = 0 THEN 'missing' WHEN n_canonical > 1 THEN 'multiple' ELSE 'not_200' END AS problem FROM v_heads h LEFT JOIN v_fetches t ON t.url = h.canonical WHERE n_canonical <> 1 OR coalesce(t.status, 0) <> 200"),
-    "head_contract": (lambda s, d: pages.head_contract(_heads(s, d), _fetches(s, d).select("url", F.col("should_index").alias("indexable"), (F.col("page_id") % 2 == 0).alias("needs_og"))).select("url", "rule"),
-        _union({"one_title": "n_title <> 1", "absolute_canonical": "canonical NOT LIKE 'http%'", "one_description": "n_description > 1", "index_state": "(robots = 'noindex') = should_index", "viewport": "viewport = ''", "og_set": "page_id % 2 = 0 AND NOT (has_og_title AND has_og_image AND has_og_url)"}, "SELECT h.*, f.should_index FROM v_heads h JOIN v_fetches f USING (url)")),
+    "head_contract": (lambda s, d: pages.head_contract(_heads(s, d), _fetches(s, d).select("url", F.col("should_index").alias("indexable"), (F.col("page_id") % 2 == 0).alias("needs_og"))),
+        _rules(_CONTRACT, "SELECT h.*, f.should_index FROM v_heads h JOIN v_fetches f USING (url)")),
     "header_canonicals": (lambda s, d: _fetches(s, d).select("url", F.array_join(pages.header_canonicals(F.concat(F.lit("<a>; rel=next, <"), "final_url", F.lit('>; rel="canonical"'))), ",").alias("found")), "SELECT url, final_url AS found FROM v_fetches"),
     "count_words": (lambda s, d: table(s, d, "documents").select("doc_id", pages.count_words(F.col("text")).alias("words")), r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\s]+'))::INT AS words FROM documents"),
     "soft_404": (lambda s, d: pages.soft_404(_fetches(s, d), _fetches(s, d).select("url", F.when(F.col("page_id") % 4 == 0, "Sorry, page NOT found here").otherwise(F.repeat(F.lit("word "), 60)).alias("text"))),
@@ -139,8 +151,9 @@ ENTRIES: dict[str, tuple] = {
     "compare_fetches": (lambda s, d: pages.compare_fetches(_fetches(s, d), _fetches(s, d).select("url", F.when(F.col("page_id") % 5 == 0, 500).otherwise(F.col("status")).alias("status"), F.when(F.col("page_id") % 5 == 1, "x").otherwise(F.col("final_url")).alias("final_url"), F.when(F.col("page_id") % 5 == 2, F.concat("html", F.lit("é"))).otherwise(F.col("html")).alias("html"))),
         "SELECT url, CASE page_id % 5 WHEN 0 THEN 'status' WHEN 1 THEN 'redirect' WHEN 2 THEN 'body' ELSE 'identical' END AS difference, octet_length(encode(html))::INT AS bytes_a, (octet_length(encode(html)) + CASE WHEN page_id % 5 = 2 THEN 2 ELSE 0 END)::INT AS bytes_b FROM v_fetches"),
     "byte_delta": (lambda s, d: pages.byte_delta(_fetches(s, d), _fetches(s, d).withColumn("html", F.concat("html", F.lit("éé")))), "SELECT url, octet_length(encode(html))::INT AS bytes_before, (octet_length(encode(html)) + 4)::INT AS bytes_after, 4::INT AS delta FROM v_fetches"),
-    "redirect_types": (lambda s, d: pages.redirect_types(_fetches(s, d).select("url", F.array(F.struct(F.concat(F.lit("http://www.e.com/"), "page_id").alias("url"), F.when(F.col("page_id") % 2 == 0, 302).otherwise(301).alias("status"), F.concat(F.lit("https://e.com/"), "page_id", F.when(F.col("page_id") % 3 == 0, "/").otherwise("")).alias("location"))).alias("chain"))).select("url", "rule"),
-        "SELECT url, r AS rule FROM v_fetches, (VALUES ('wrong_redirect_type_http_to_https'), ('wrong_redirect_type_www_normalization')) AS x(r) WHERE page_id % 2 = 0 UNION ALL SELECT url, 'wrong_redirect_type_trailing_slash' FROM v_fetches WHERE page_id % 6 = 0"),
+    "redirect_types": (lambda s, d: pages.redirect_types(_fetches(s, d).select("url", F.array(F.struct(F.concat(F.lit("http://www.e.com/"), "page_id").alias("url"), F.when(F.col("page_id") % 2 == 0, 302).otherwise(301).alias("status"), F.concat(F.lit("https://e.com/"), "page_id", F.when(F.col("page_id") % 3 == 0, "/").otherwise("")).alias("location"))).alias("chain"))),
+        """SELECT url, 'error' AS severity, r AS rule, 'https://e.com/' || page_id || CASE WHEN page_id % 3 = 0 THEN '/' ELSE '' END AS detail
+           FROM v_fetches, (VALUES ('wrong_redirect_type_http_to_https', 2), ('wrong_redirect_type_www_normalization', 2), ('wrong_redirect_type_trailing_slash', 6)) AS x(r, m) WHERE page_id % m = 0"""),
     "redirect_ends": (lambda s, d: chains.chain_ends(table(s, d, "pages").selectExpr(
             "concat('/r/', page_id) at", "case when page_id % 25 = 11 then null when page_id % 25 = 24 then concat('/r/', page_id - 4) else concat('/r/', page_id + 1) end to")),
         """SELECT '/r/' || page_id AS url, '/r/' || CASE WHEN page_id % 25 < 11 THEN page_id - page_id % 25 + 11 ELSE (SELECT min(x) FROM (VALUES ('' || (page_id - page_id % 25 + 20)), ('' || (page_id - page_id % 25 + 21)),
@@ -152,11 +165,12 @@ ENTRIES: dict[str, tuple] = {
            FROM pages, (SELECT max(page_id) AS m FROM pages) WHERE page_id % 25 <> 11 AND page_id - page_id % 25 + 24 > m"""),
     "pagination_walk": (lambda s, d: pages.pagination_walk(table(s, d, "pages").selectExpr("concat('/l/', page_id) url", "concat('/l/', if(page_id % 10 = 9, page_id - 9, page_id + 1)) next"), table(s, d, "pages").where("page_id % 10 = 0").selectExpr("concat('/l/', page_id) start")),
         "SELECT '/l/' || (page_id - page_id % 10) AS start, '/l/' || page_id AS url, (page_id % 10)::INT AS step FROM pages"),
-    "sitemap_limits": (lambda s, d: sets.sitemap_limits(_sitemap(s, d), _sitemap(s, d).groupBy("sitemap").agg((F.count("*") * F.when(F.col("sitemap").contains("-0"), 10**8).otherwise(1)).alias("bytes"))).select("sitemap", "rule"), "SELECT DISTINCT sitemap, 'too_large' AS rule FROM v_sitemap WHERE sitemap LIKE '%-0%'"),
+    "sitemap_limits": (lambda s, d: sets.sitemap_limits(_sitemap(s, d), _sitemap(s, d).groupBy("sitemap").agg((F.count("*") * F.when(F.col("sitemap").contains("-0"), 10**8).otherwise(1)).alias("bytes"))),
+        "SELECT sitemap, 'error' AS severity, 'too_large' AS rule, (count(*) * 100000000)::VARCHAR AS detail FROM v_sitemap WHERE sitemap LIKE '%-0%' GROUP BY 1"),
     "lastmod_checks": (lambda s, d: sets.lastmod_checks(_sitemap(s, d)), "SELECT sitemap, 'lastmod_format' AS rule, count(*) AS n FROM v_sitemap WHERE lastmod LIKE '%/%' GROUP BY 1 UNION ALL SELECT sitemap, 'lastmod_all_alike', count(*) FROM v_sitemap WHERE lastmod LIKE '2024-%' GROUP BY 1 HAVING count(*) >= 10 AND epoch(max(lastmod::TIMESTAMP)) - epoch(min(lastmod::TIMESTAMP)) < 3600"),
     "staging_leaks": (lambda s, d: sets.staging_leaks(_sitemap(s, d)), "SELECT sitemap, loc FROM v_sitemap WHERE loc LIKE 'https://staging.%'"),
-    "sitemap_entry_audit": (lambda s, d: sets.sitemap_entry_audit(_sitemap(s, d), _fetches(s, d), _heads(s, d), _robots(s, d), "other").select("loc", "rule"),
-        "WITH r AS (SELECT e.loc, f.status, f.hops, f.x_robots_tag, h.canonical, h.robots, f.url FROM v_sitemap e LEFT JOIN v_fetches f ON f.url = e.loc LEFT JOIN v_heads h ON h.url = e.loc) SELECT loc, 'not_fetched' AS rule FROM r WHERE url IS NULL UNION ALL SELECT loc, 'redirect_chain' FROM r WHERE hops > 0 UNION ALL SELECT loc, 'http_status' FROM r WHERE status <> 200 UNION ALL SELECT loc, 'noindex_header' FROM r WHERE x_robots_tag LIKE '%noindex%' UNION ALL SELECT loc, 'noindex_meta' FROM r WHERE robots = 'noindex' UNION ALL SELECT loc, 'canonical_mismatch' FROM r WHERE canonical <> url UNION ALL SELECT loc, 'robots_disallow' FROM r WHERE loc LIKE 'https://site%/p/1%' AND loc NOT LIKE '%/p/12%'"),
+    "sitemap_entry_audit": (lambda s, d: sets.sitemap_entry_audit(_sitemap(s, d), _fetches(s, d), _heads(s, d), _robots(s, d), "other"),
+        _rules(_ENTRY, "SELECT e.loc, f.status, f.hops, f.x_robots_tag, h.canonical, h.robots, f.url FROM v_sitemap e LEFT JOIN v_fetches f ON f.url = e.loc LEFT JOIN v_heads h ON h.url = e.loc", "loc")),
     "freshness_findings": (lambda s, d: _freshness(s, d, 0),
         _rules(_FRESH_RULES, _FRESH + "SELECT *, page_id % 6 = 0 AND old NOT LIKE '%/%' AS moved FROM n WHERE page_id % 9 <> 0")),
     "freshness_state": (lambda s, d: _freshness(s, d, 1), _FRESH + "SELECT url, CASE WHEN page_id % 9 = 0 THEN old ELSE lastmod END AS lastmod, CASE WHEN page_id % 9 = 0 THEN 'hold' ELSE coalesce(h, 'hold') END AS content_hash, CASE WHEN page_id % 9 = 0 THEN '2024-01-01' ELSE '2024-02-01' END AS last_seen FROM n"),
