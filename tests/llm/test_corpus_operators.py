@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteloom.llm import chat, decontam, jaccard, langid, mixing, pii, secrets, toxicity, vptree, warc
+from siteloom.llm import chat, decontam, jaccard, langid, mixing, pii, repeats, secrets, toxicity, vptree, warc
 from siteloom.llm.common import WordHashes, components, edge_state, with_row_key
 from siteloom.llm.queries import ORACLES, QUERIES
 
@@ -465,6 +465,17 @@ def test_row_keys_tell_rows_apart(spark, sf_dir):
         assert keyed.select(key).distinct().count() == table.count() and key not in table.columns
 
 
+def test_row_keys_of_other_formats(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 7, f"text {i} of some words", "en", "s") for i in range(40)], "doc_id long, text string, lang string, source string")
+    for fmt in ("json", "orc", "csv"):
+        path = str(tmp_path / fmt)
+        rows.write.option("header", "true").format(fmt).save(path)
+        docs = spark.read.option("header", "true").format(fmt).schema(rows.schema).load(path)
+        keyed, key = with_row_key(docs)
+        assert keyed.select(key).distinct().count() == 40
+        assert mixing.mix(docs).count() == 40 and repeats.cut_repeats(docs, 20).count() == 40
+
+
 # --- mixing ----------------------------------------------------------------
 
 
@@ -744,7 +755,26 @@ def test_regular_strings_and_digits(spark):
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     regular = [(100, upper + upper.lower() + "0123456789", None, None), (101, "Zz9" * 30, None, None), (102, "q" * 500, None, None), (103, "ab" * 40, None, None)]
     out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs_of(spark, digits + regular)).collect()}
-    assert sum("random" in out[i] for i in range(30)) >= 0 and not any("random" in out[i] for i in range(100, 104))
+    # Where every string of digits is random, that is what digits are like here: none stands out.
+    assert not any("random" in out[i] for i in [*range(30), *range(100, 104)])
+
+
+def test_power_by_length_and_alphabet(spark):
+    rng, rows, what = random.Random(21), [], []
+    kinds = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "hex": "0123456789ABCDEF"}
+    for kind, letters in kinds.items():
+        for n in (20, 32, 40, 64):
+            rows += [(len(rows) + i, "see " + "".join(rng.choice(letters) for _ in range(n)) + " there", None, None) for i in range(40)]
+            what += [(kind, n)] * 40
+    words = ["thing", "of", "other", "and", "re", "tion", "some", "path", "/", "_", "-", "File", "Name"]
+    rows += [(len(rows) + i, "".join(rng.choice(words) for _ in range(rng.randrange(6, 14))), None, None) for i in range(400)]
+    what += [("text", 0)] * 400
+    found = Counter(what[r["doc_id"]] for r in secrets.find_secrets(docs_of(spark, rows)).collect() if "random" in r["spans"])
+    share = lambda *key: found[key] / 40
+    assert found["text", 0] == 0 and share("base64", 64) >= 0.95 and share("alnum", 64) >= 0.95 and share("hex", 64) >= 0.7
+    assert share("base64", 40) >= 0.5 and share("alnum", 40) >= 0.5 and share("base64", 32) >= 0.3
+    for kind in kinds:  # what is longer is told better
+        assert share(kind, 20) <= share(kind, 40) + 0.1 and share(kind, 40) <= share(kind, 64) + 0.1
 
 
 def test_many_spans_in_one_text(spark):
