@@ -73,7 +73,8 @@ def format_conversations(turns: DataFrame, mask_role: str = "assistant", piece:
     joined in order; mask has the spans of the texts under the loss, in each piece.
 
     Turns are in the order of turn, then role, then text (ties and repeated rows are
-    all kept; nulls first). Null role and text: empty. Null conv_id: one conversation.
+    all kept; nulls first). Null role and text: empty. Null conv_id: one conversation. Other
+    columns are ignored; of an empty table nothing comes.
     Pieces stream through the task, so a conversation of any length needs little memory.
     """
     schema = pa.schema(

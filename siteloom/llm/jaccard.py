@@ -400,8 +400,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
 
     Null or blank text: n_shingles 0, linked with nothing. Rows with the same doc_id
     are one document with several texts, each row returned. Null doc_id: component_id
-    is null and the row is linked with nothing. Other columns are ignored; an empty
-    table gives an empty result.
+    is null and the row is linked with nothing. Texts of any length count whole. Other columns
+    are ignored; an empty table gives an empty result.
     """
     sets = materialize(shingle_sets(docs, n), "sets")
     first = sets.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("a"), F.count("*").alias("rows")).where("rows > 1")

@@ -174,7 +174,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple:
 def predict(docs: DataFrame, model: tuple) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row; ties go to the first language by
     code point. Text null, empty or without a letter, or nothing learned: `und`, 0.
-    A null doc_id is not held out. Other columns are ignored."""
+    A null doc_id is not held out. Texts of any length are scored whole; rows that repeat are scored
+    alike. Other columns are ignored; an empty table gives an empty result."""
     cell = docs.sparkSession.sparkContext.broadcast(_pack(model))  # bounded by the training sample
 
     def run(it):

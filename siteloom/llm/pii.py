@@ -291,7 +291,8 @@ def find_personal_data(docs: DataFrame, alpha: float = ALPHA, level: float = LEV
     """doc_id, n_<kind>, base_sha256, spans of every row; spans are base ones, then `term` ones.
 
     Null and empty texts have no spans. Rows that repeat each count as a document.
-    Rows with a null doc_id are kept. An empty table gives an empty result.
+    Rows with a null doc_id are kept. Texts of any length are searched whole, in time linear in
+    them. Other columns are ignored. An empty table gives an empty result.
     """
     scanned = materialize(scan(docs), "pii")
     terms = flagged_terms(scanned, disclosing(scanned, docs, alpha, level))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_KEYS, batches, materialize, only, utf8, with_row_key, without
+from .common import FEW_KEYS, batches, free_name, materialize, only, utf8, with_row_key, without
 
 LEAST = 400
 #: Bytes that are ranked at a time in a task, about (a longer text in parts that overlap).
@@ -278,19 +278,18 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, carry: tuple = ("doc_id",))
     A null text is an empty one: kept is empty. Texts of under `least` bytes are kept whole. Rows
     that repeat are texts like others, so all lose all their bytes if these are `least` or more.
     Texts are read whole, whatever their length, long ones in parts that overlap. An empty
-    table stays empty. Other columns are not looked at; carried ones may have any name but
-    those of the results.
+    table stays empty. Other columns are not looked at; carried ones may have any name.
     """
     keyed, key = with_row_key(docs)
     ranges = repeated_ranges(keyed, key, least)
     spans = materialize(ranges.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    found = spans.select(F.col("row_key").alias("_k"), "spans")
-    n = len(carry)
-    given = keyed.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_t"), F.col(key).alias("_k"))
-    clean = without(given, found.select("_k"), "_k").withColumn("_t", F.coalesce("_t", F.lit("")).cast("binary"))
+    n, (text, k, found) = len(carry), (free_name(x, list(carry)) for x in ("whole_text", "place", "ranges"))
+    spans = spans.select(F.col("row_key").alias(k), F.col("spans").alias(found))
+    own = [F.col(f"`{c}`") for c in carry]
+    given = keyed.select(*own, F.col("text").cast("string").alias(text), F.col(key).alias(k))
+    clean = without(given, spans.select(k), k).withColumn(text, F.coalesce(text, F.lit("")).cast("binary"))
     nothing = F.expr("cast(array() as array<struct<start: long, end: long>>)")
-    clean = clean.select(*[F.col(f"`{c}`") for c in carry], F.octet_length("_t").cast("long").alias("n_bytes"), F.col("_t").alias("kept"), nothing.alias("spans"))
-
+    clean = clean.select(*own, F.octet_length(text).cast("long").alias("n_bytes"), F.col(text).alias("kept"), nothing.alias("spans"))
     names = clean.columns
 
     def run(it):
@@ -305,7 +304,7 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, carry: tuple = ("doc_id",))
                     pa.array([[{"start": a, "end": b} for a, b in m] for m in merged], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ], names=names)
 
-    touched = only(given, found.select("_k"), "_k").join(found, "_k").select(*[F.col(f"`{c}`") for c in carry], "_t", "spans")
+    touched = only(given, spans.select(k), k).join(spans, k).select(*own, text, found)
     return touched.mapInArrow(run, clean.schema).union(clean)
 
 

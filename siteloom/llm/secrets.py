@@ -187,7 +187,8 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     ordered by start, then kind, and have the base ones and those of kind `random`,
     which no base span touches.
 
-    Null and empty texts have no spans; rows that repeat are each tested, null ids too.
+    Null and empty texts have no spans; rows that repeat are each tested, null ids too. Texts
+    of any length are searched whole.
     Other columns are ignored; an empty table gives an empty result.
     """
     keyed, key = with_row_key(docs)

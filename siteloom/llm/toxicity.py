@@ -150,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, rounds: int = 6
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """`docs` with expected_severity (0 to 2), severity (most likely side of each
     threshold) and is_toxic. Null and empty texts have no features and count as clean
-    unless the model says otherwise of all texts; columns of those names are replaced."""
+    unless the model says otherwise of all texts; columns of those names are replaced. Texts of any
+    length are scored whole, rows that repeat alike; an empty table stays empty."""
     names = ("expected_severity", "severity", "is_toxic")
     docs = docs.drop(*names)
     w, cut = model

@@ -203,7 +203,8 @@ def archive_pages(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
     Null html: an empty payload. Null url: no target, key ''. Rows that repeat the
     largest page_id of equal payloads are all responses. The time of a capture is made
-    from its page_id. Other columns are ignored; an empty table gives an empty index.
+    from its page_id. Payloads of any length are written whole. Other columns are ignored; an
+    empty table gives an empty index.
     """
     path, size = write_archives(pages, least)
     return merge_index(read_archives(pages.sparkSession, path), size)

@@ -5,9 +5,10 @@ import re
 import pytest
 
 import corpus_pipeline
+from siteloom.llm import pii, toxicity
 from siteloom.llm.common import materialize
 
-from .test_corpus_operators import brute_components, plain_alignment
+from .test_corpus_operators import brute_components, plain_alignment, plain_terms
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -17,7 +18,8 @@ def rows_of(df):
 
 
 def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 110")
+    docs_all = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs_all.where("doc_id < 110")
     columns, seen = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs
@@ -28,6 +30,11 @@ def test_pipeline(spark, sf_dir):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     a, b = ({r["doc_id"] for r in x.collect()} for x in seen["toxicity"])
     assert b <= a and all(labels.get(d) != 0 for d in a - b)
+    # toxicity: the sum of a text's weights, one by one, against the first threshold
+    w, cut = toxicity.fit(docs_all, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    words = toxicity.WordFeatures()
+    plain = {r["doc_id"] for r in seen["toxicity"][0].collect() if not r["text"] or sum(map(float, w.astype("float32")[toxicity.features(r["text"], words)])) < cut[0]}
+    assert b == plain
     a, b = seen["ngram_jaccard_join"]
     want = brute_components([(r["doc_id"], r["text"]) for r in a.collect()], 5, 8, 10)
     assert sorted(r["doc_id"] for r in b.collect()) == sorted({c for _, c in want.values()})
@@ -38,6 +45,12 @@ def test_pipeline(spark, sf_dir):
         words = re.findall(r"\w+", (text or "").lower())
         near = [i for i in items if len(set(i) & set(words)) >= len(set(i)) / 2]
         assert (d in b) != any(plain_alignment(i, words) >= 0.5 for i in near), d
+    # PII: base spans, and the terms that the plain count of all pairs finds, are replaced, and nothing else
+    given = [(r["doc_id"], r["text"], None, None) for r in seen["pii"][0].collect()]
+    terms = plain_terms(given)
+    for d, text, *_ in given:
+        named = [{"start": s, "end": e} for w, s, e in pii.terms_of(text or "", pii.find_base(text)) if w in terms.get(d, ())]
+        assert {r["text"] for r in seen["pii"][1].where(f"doc_id = {d}").collect()} == {pii.replaced(text, named)}, d
     a, b = ({r["doc_id"]: r["text"] for r in x.collect()} for x in seen["pii"])
     assert set(a) == set(b) and all("@" not in t or a[d] != t or ".com" not in t for d, t in b.items())
     last = seen["mixing"][1].collect()
