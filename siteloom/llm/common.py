@@ -29,17 +29,19 @@ def batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 4 << 20):
-    """Inside, batches that go to Python have `size` bytes at most (and a row): of long texts, a batch
-    is held by the JVM, whose buffers double as they grow, and by the Python worker. The
-    session has its own bound again afterwards."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20):
+    """Inside, batches that go to Python have `rows` rows and `size` bytes at most (or one row): of
+    long texts, a batch is held by the JVM, whose buffers double as they grow, and by the
+    Python worker. The session has its own bounds again afterwards."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
     try:
+        for name, bound in zip(names, (rows, size), strict=True):
+            spark.conf.set(name, str(bound))
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
