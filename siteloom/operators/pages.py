@@ -318,7 +318,7 @@ def canonical_audit(fetches: DataFrame, elements: DataFrame) -> DataFrame:
     rows = rows.withColumn("from", F.when(c("base.in_head"), u.resolve(c("page"), c("base.href"))).otherwise(c("page")))
     found = lambda hrefs, start: F.transform(hrefs, lambda x: F.struct(x.alias("href"), u.resolve(start, x).alias("to")))
     heads = F.transform(F.coalesce("heads", F.array().cast("array<struct<seq:int,href:string>>")), lambda x: x["href"])
-    rows = rows.withColumn("all", F.concat(found(heads, c("from")), found(F.transform(header_canonicals(c("link")), F.trim), c("page"))))
+    rows = rows.withColumn("all", F.concat(found(heads, c("from")), found(F.transform(header_canonicals(c("link")), lambda x: F.trim(x)), c("page"))))
     kinds = F.array_distinct(F.transform(F.filter("all", lambda x: x["href"] != ""), lambda x: u.normalize_url_compare(x["to"])))
     rows = rows.select("url", "page", "status", "outside", F.size("all").alias("n"), F.size(kinds).alias("kinds"), F.get("all", F.lit(0)).alias("one"))
     rows = rows.select("*", F.coalesce("one.href", F.lit("")).alias("first"), F.coalesce("one.to", F.lit("")).alias("to")).drop("one")
