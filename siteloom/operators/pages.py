@@ -3,6 +3,7 @@ and rules are projections of the facts and the stored fetches."""
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -132,7 +133,17 @@ class _Elements(HTMLParser):
         self._cut(0)
 
 
-def page_elements(pages: DataFrame, tags: tuple = ()) -> DataFrame:
+#: Stands for an ampersand that begins no reference; no string of a table holds a lone surrogate.
+_AMPERSAND = "\ud800"
+
+
+def _restored(row: list) -> list:
+    back = lambda x: x.replace(_AMPERSAND, "&")
+    seq, last, parent, tag, attrs, text, alts, head = row
+    return [seq, last, parent, back(tag), {back(k): back(v) for k, v in attrs.items()}, [back(x) for x in text], [back(x) for x in alts], head]
+
+
+def page_elements(pages: DataFrame, tags: tuple = (), references: tuple | None = None) -> DataFrame:
     """The element table of pages (url, html); null html has no elements.
 
     Elements and texts (tag `#text`) are rows in document order (seq), each with its
@@ -141,6 +152,9 @@ def page_elements(pages: DataFrame, tags: tuple = ()) -> DataFrame:
     links, buttons, titles, scripts and the like the text inside; blanks are made one.
     `alts` has the alternative texts of images in a link or button. With `tags`, only these
     come out of the parser. The table is linear in the page.
+
+    References are read as in HTML, where old ones count without their semicolon too (`&amp`).
+    With `references` (names: amp, #39), only these count, if they end in one; others are text.
     """
     schema = pa.schema(
         [
@@ -149,6 +163,7 @@ def page_elements(pages: DataFrame, tags: tuple = ()) -> DataFrame:
         ]
     )
     wanted = frozenset(tags)
+    other = re.compile("&" if not references else rf"&(?!(?:{'|'.join(map(re.escape, references))});)")
 
     def made(out):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -158,9 +173,9 @@ def page_elements(pages: DataFrame, tags: tuple = ()) -> DataFrame:
             out = []
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parser = _Elements()
-                parser.feed(html or "")
+                parser.feed((html or "") if references is None else other.sub(_AMPERSAND, html or ""))
                 parser.close()
-                for seq, last, parent, tag, attrs, text, alts, head in parser.rows:
+                for seq, last, parent, tag, attrs, text, alts, head in parser.rows if references is None else map(_restored, parser.rows):
                     if wanted and tag not in wanted:
                         continue
                     out.append((url, seq, last, parent, tag, list(attrs.items()), " ".join("".join(text).split()), " ".join(alts), head))
