@@ -78,7 +78,7 @@ def _enriched_stream(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(out).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "remote_addr", "method", "uri", "path", "status", "bytes_sent", "user_agent", F.round("request_time", 6).alias("request_time"), "verified_crawler", "crawler_purpose", "verified_googlebot")
 
 
-_SEEN = "url string, lastmod string, content_hash string, last_seen string"
+_SEEN = "url string, page bigint, lastmod string, content_hash string, last_seen string"
 #: What a page says and holds the k-th time: dates of odd pages move, texts of every third one.
 _LASTMOD = "case when {id} % 5 = 0 then '' when {id} % 7 = 0 then concat('0', {k}, '/01/2024') else concat('2024-0', 1 + ({k} - 1) * ({id} % 2), '-10') end"
 _HELD = "case when {id} % 11 = 0 and {k} = 2 then null else concat('h', case when {id} % 3 = 0 then {k} else 0 end) end"
@@ -86,11 +86,12 @@ _HELD = "case when {id} % 11 = 0 and {k} = 2 then null else concat('h', case whe
 
 def _freshness_stream(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Findings and state of pages that are seen in three batches, one file each; the last time, each
-    is there twice, the earlier one to be passed over."""
+    is there twice, the earlier one to be passed over. Rows of the table that share a URL are
+    pages of their own."""
     src, out, mark = (new_path(s, x) for x in ("fetched", "found", "mark"))
     pages = table(s, d, "pages").where("url is not null").repartition(1)
     for k in (1, 2, 3):
-        one = lambda k, day: pages.selectExpr("url", _LASTMOD.format(id="page_id", k=k) + " lastmod", _HELD.format(id="page_id", k=k) + " content_hash", f"'2024-02-0{day}' last_seen")
+        one = lambda k, day: pages.selectExpr("url", "page_id page", _LASTMOD.format(id="page_id", k=k) + " lastmod", _HELD.format(id="page_id", k=k) + " content_hash", f"'2024-02-0{day}' last_seen")
         rows = one(3, 3).union(one(1, 2)).repartition(1) if k == 3 else one(k, k)
         rows.write.mode("append").parquet(src)
     jobs.freshness_stream(s.readStream.schema(_SEEN).option("maxFilesPerTrigger", 1).parquet(src), out, mark).awaitTermination()
