@@ -370,9 +370,17 @@ def _in_order() -> Column:
 UNSPACED = r"\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}"
 
 
+def _maybe_unspaced(text: Column) -> Column:
+    """Whether a text has a character from the first to the last of these: one range is tested
+    much faster than all of them, and most texts have none."""
+    return text.rlike(r"[\x{3040}-\x{FF9F}]")
+
+
 def count_words(text: Column) -> Column:
     """Words; characters of scripts without blanks count one each. Korean is written with blanks."""
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[{UNSPACED}]|[^\s{UNSPACED}]+"), F.lit(0)))
+    text = F.coalesce(text, F.lit(""))
+    apart = F.when(_maybe_unspaced(text), F.regexp_replace(text, f"[{UNSPACED}]", " x ")).otherwise(text)
+    return F.size(F.regexp_extract_all(apart, F.lit(r"\S+"), F.lit(0)))
 
 
 def soft_404(fetches: DataFrame, texts: DataFrame, min_words: int = 50) -> DataFrame:
@@ -388,11 +396,13 @@ def soft_404(fetches: DataFrame, texts: DataFrame, min_words: int = 50) -> DataF
 def rendering_debt(raw: DataFrame, rendered: DataFrame) -> DataFrame:
     """(url, debt): the share of the rendered words, with multiplicity, that the raw text
     lacks; 0 where nothing is rendered. Characters of scripts without blanks are words."""
-    word = rf"[{UNSPACED}]|[\p{{L}}\p{{N}}_&&[^{UNSPACED}]]+"
-    tokens = lambda df, n: df.select(
-        "url", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(word), F.lit(0))).alias("w"),
-    ).groupBy("url", "w").agg(F.count("*").alias(n))
-    both = tokens(raw, "a").join(tokens(rendered, "b"), ["url", "w"], "full").fillna(0, ["a", "b"])
+    word, simple = rf"[{UNSPACED}]|[\p{{L}}\p{{N}}_&&[^{UNSPACED}]]+", r"[\p{L}\p{N}_]+"
+    text = F.lower(F.coalesce("text", F.lit("")))
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    tokens = lambda df, a, b: df.select(
+        "url", F.explode(F.when(_maybe_unspaced(text), found(word)).otherwise(found(simple))).alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b"),
+    )
+    both = tokens(raw, 1, 0).union(tokens(rendered, 0, 1)).groupBy("url", "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sums = both.groupBy("url").agg(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("more"), F.sum("b").alias("all"))
     pages = raw.select("url").union(rendered.select("url")).distinct().join(sums, "url", "left")
     return pages.select("url", F.round(F.when(F.col("all") > 0, F.col("more") / F.col("all")).otherwise(0.0), 6).alias("debt"))
