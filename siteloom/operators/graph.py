@@ -21,6 +21,14 @@ def build_graph(edges: DataFrame, ok_only: bool = False, drop_self: bool = False
     return vertices, links.groupBy(F.col("source_url").alias("src"), F.col("target_url").alias("dst")).agg(F.max("anchor").alias("anchor"))
 
 
+def written_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices (url), links (src, dst) without self-links) of the 2xx links, written: what takes
+    several looks at the graph makes the edges once."""
+    links = materialize(build_graph(edges, ok_only=True)[1].select("src", "dst"), "links")
+    vertices = materialize(links.select(F.col("src").alias("url")).union(links.select("dst")).distinct(), "vertices")
+    return vertices, links.where("src <> dst")
+
+
 def resolve_homepage(vertices: DataFrame, url: str) -> str | None:
     """The vertex that is `url`, with or without its last slash."""
     other = url[:-1] if url.endswith("/") else url + "/"
@@ -28,15 +36,23 @@ def resolve_homepage(vertices: DataFrame, url: str) -> str | None:
     return url if url in found else other if other in found else None
 
 
+#: Targets in one list of a page's links.
+LISTED = 4096
+
+
 def numbered_graph(vertices: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vertices (url, id), links (src, dst, links)) with numbers instead of addresses, in ranges:
+    """(vertices (url, id, links), lists (src, targets)) with numbers instead of addresses, in ranges:
     each task of the vertices counts on from its own base. `links` is the number of links
-    that go out of src. Both are written, the links in the order of src."""
-    numbered = materialize(vertices.select("url").distinct().withColumn("id", F.monotonically_increasing_id()), "vertices")
+    that go out of a vertex (null: none). Lists, which take a fraction of the room of single
+    links, are those of all targets; a page of more than LISTED links has several. Both are written."""
+    numbered = materialize(vertices.select("url").distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
     end = lambda c, name: numbered.select(F.col("url").alias(c), F.col("id").alias(name))
     pairs = materialize(links.select("src", "dst").join(end("src", "a"), "src").join(end("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")), "pairs")
-    out = pairs.groupBy("src").agg(F.count("*").alias("links"))
-    return numbered, materialize(pairs.join(out, "src").repartitionByRange("src"), "links")
+    out = materialize(pairs.groupBy("src").agg(F.count("*").alias("links")), "out")
+    hubs = materialize(out.where(F.col("links") > LISTED).select("src", F.ceil(F.col("links") / LISTED).alias("lists")), "hubs")
+    part = F.pmod(F.xxhash64("dst"), F.coalesce("lists", F.lit(1).cast("long")))
+    lists = pairs.join(hubs, "src", "left").groupBy("src", part.alias("part")).agg(F.collect_list("dst").alias("targets")).select("src", "targets")
+    return materialize(numbered.join(out.withColumnRenamed("src", "id"), "id", "left").select("url", "id", "links"), "vertices"), materialize(lists, "lists")
 
 
 def pagerank(vertices: DataFrame, links: DataFrame, d: float = 0.85, tol: float = 1e-6, max_iter: int = 200, rounds: int | None = None) -> DataFrame:
@@ -47,24 +63,23 @@ def pagerank(vertices: DataFrame, links: DataFrame, d: float = 0.85, tol: float
     Pages are numbers while ranks move. A round is one job: the rank that dangling pages hold
     and the change in all are observed while the round's table is written.
     """
-    numbered, shares = numbered_graph(vertices, links)
+    numbered, lists = numbered_graph(vertices, links)
     n = numbered.count()
     if not n:
         return numbered.select("url", F.lit(0.0).alias("rank"))
-    kept, sources = Rounds("ranks"), shares.select("src").distinct().withColumnRenamed("src", "id")
-    first = numbered.select("id").join(sources.withColumn("linking", F.lit(True)), "id", "left")
-    ranks = first.select("id", F.col("linking").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
+    kept = Rounds("ranks")
+    ranks = numbered.select("id", "links", F.lit(1.0 / n).alias("rank"))
 
     def written(new: DataFrame, change: Column) -> tuple[DataFrame, float, float]:
         seen = Observation()
         total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-        new = new.observe(seen, total(F.when(F.col("dangling"), F.col("rank"))).alias("lost"), total(change).alias("change"))
-        return kept.write(new.select("id", "dangling", "rank")), seen.get["lost"], seen.get["change"]
+        new = new.observe(seen, total(F.when(F.col("links").isNull(), F.col("rank"))).alias("lost"), total(change).alias("change"))
+        return kept.write(new.select("id", "links", "rank")), seen.get["lost"], seen.get["change"]
 
     ranks, lost, _ = written(ranks, F.lit(0.0))
     for _ in range(rounds or max_iter):
-        sent = ranks.select(F.col("id").alias("src"), "rank")
-        got = shares.join(sent, "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("links")).alias("got"))
+        sent = ranks.where("links is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("links")).alias("share"))
+        got = lists.join(sent, "src").select(F.explode("targets").alias("dst"), "share").groupBy("dst").agg(F.sum("share").alias("got"))
         new = ranks.withColumnRenamed("rank", "old").join(got, F.col("id") == F.col("dst"), "left")
         new = new.withColumn("rank", F.lit((1 - d) / n + d * lost / n) + d * F.coalesce("got", F.lit(0.0)))
         ranks, lost, change = written(new, F.abs(F.col("rank") - F.col("old")))
@@ -73,7 +88,7 @@ def pagerank(vertices: DataFrame, links: DataFrame, d: float = 0.85, tol: float
     else:
         if not rounds:
             raise RuntimeError(f"ranks still change after {max_iter} rounds")
-    return numbered.join(ranks, "id").select("url", "rank")
+    return numbered.select("url", "id").join(ranks, "id").select("url", "rank")
 
 
 def click_depth(links: DataFrame, home: str, max_depth: int = 10_000) -> DataFrame:
@@ -126,8 +141,9 @@ def link_status_counts(edges: DataFrame) -> DataFrame:
 
 def link_report(edges: DataFrame, home: str, known: DataFrame | None = None, **rank) -> DataFrame:
     """Rank, depth, degrees, links and orphan mark of each page; known pages that were
-    not crawled are added without rank and depth. The graph is written once for all parts."""
-    vertices, links = (materialize(x, "graph") for x in build_graph(edges, ok_only=True, drop_self=True))
+    not crawled are added without rank and depth. Edges and graph are written once for all parts."""
+    edges = materialize(edges, "edges")
+    vertices, links = written_graph(edges)
     lost = orphans(vertices, links, home, known).withColumn("orphan", F.lit(True))
     pages = vertices if known is None else vertices.union(known.select("url")).distinct()
     out = pages.join(pagerank(vertices, links, **rank), "url", "left").join(click_depth(links, home), "url", "left").join(degrees(vertices, links), "url", "left").join(link_status_counts(edges), "url", "left").join(lost, "url", "left")

@@ -19,13 +19,23 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(s: SparkSession, d: str):
-    return graph.build_graph(_edges(s, d), ok_only=True, drop_self=True)
+    return graph.written_graph(_edges(s, d))
 
 
 def _depths(s: SparkSession, d: str) -> DataFrame:
     return graph.click_depth(_graph(s, d)[1], HOME)
 
 
+def _with_depths(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vertices, links = _graph(s, d)
+    return vertices, graph.click_depth(links, HOME)
+
+
+def _at_risk(s: SparkSession, d: str) -> DataFrame:
+    vertices, links = _graph(s, d)
+    return graph.at_risk(graph.orphans(vertices, links, HOME), graph.unreachable(vertices, graph.click_depth(links, HOME)), graph.sitemap_diff(_known(s, d), vertices))
+
+
 def _known(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select(F.concat(F.lit("/p/"), "p_partkey").alias("url"))
 
@@ -57,19 +67,23 @@ _REPORT = _pagerank_sql() + f""", i AS (SELECT dst AS url, count(*) AS n FROM l
     FROM (SELECT url FROM v UNION SELECT url FROM known) p LEFT JOIN r{ROUNDS} r ON r.url = p.url LEFT JOIN depths ON depths.url = p.url LEFT JOIN i ON i.url = p.url LEFT JOIN o ON o.src = p.url LEFT JOIN b ON b.url = p.url) """
 
 
-def _converged(s: SparkSession, d: str) -> DataFrame:
+def _settled(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """Ranks that change by less than 1e-6 in all, whatever the number of pages."""
-    vertices, links = graph.build_graph(view(s, d, "v_links"), ok_only=True, drop_self=True)
     return graph.pagerank(vertices, links, tol=1e-6 / max(1, vertices.count()))
 
 
+def _converged(s: SparkSession, d: str) -> DataFrame:
+    return _settled(*graph.written_graph(view(s, d, "v_links")))
+
+
 def _residual(s: SparkSession, d: str) -> DataFrame:
     """Whether the converged ranks meet their own equation: what one more round would change."""
-    _, links = graph.build_graph(view(s, d, "v_links"), ok_only=True, drop_self=True)
-    ranks = materialize(_converged(s, d), "ranks")
-    out = links.groupBy("src").agg(F.count("*").alias("links"))
-    got = links.join(out, "src").join(ranks.withColumnRenamed("url", "src"), "src").groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("rank") / F.col("links")).alias("got"))
-    rows = ranks.join(got, "url", "left").join(out.withColumnRenamed("src", "url"), "url", "left")
+    vertices, links = graph.written_graph(view(s, d, "v_links"))
+    out = links.groupBy(F.col("src").alias("url")).agg(F.count("*").alias("links"))
+    ranks = materialize(_settled(vertices, links).join(out, "url", "left"), "ranks")
+    sent = ranks.where("links is not null").select(F.col("url").alias("src"), (F.col("rank") / F.col("links")).alias("share"))
+    got = links.join(sent, "src").groupBy(F.col("dst").alias("url")).agg(F.sum("share").alias("got"))
+    rows = materialize(ranks.join(got, "url", "left"), "residual")
     lost = rows.agg(F.count("*").alias("n"), F.sum(F.when(F.col("links").isNull(), F.col("rank")).otherwise(0.0)).alias("lost")).first()
     new = 0.15 / lost["n"] + 0.85 * lost["lost"] / lost["n"] + 0.85 * F.coalesce("got", F.lit(0.0))
     return rows.agg(F.count("*").alias("pages"), (F.abs(F.sum("rank") - 1) < 1e-6).alias("sums_to_one"), (F.sum(F.abs(new - F.col("rank"))) < 1e-6).alias("settled"))
@@ -130,12 +144,12 @@ ENTRIES: dict[str, tuple] = {
     "orphans": (lambda s, d: graph.orphans(*_graph(s, d), HOME, _known(s, d)), _G + "SELECT url FROM orphan UNION SELECT url FROM known WHERE url NOT IN (SELECT url FROM v)"),
     "link_status_counts": (lambda s, d: graph.link_status_counts(_edges(s, d)), "SELECT source_url AS url, count(*) FILTER (WHERE target_status_code >= 400 OR target_status_code < 100) AS broken_links, count(*) FILTER (WHERE target_status_code BETWEEN 300 AND 399) AS redirect_links FROM v_edges GROUP BY 1"),
     "link_report": (lambda s, d: _report(s, d).withColumn("rank", F.round("rank", 8)), _REPORT + "SELECT * FROM rep"),
-    "depth_buckets": (lambda s, d: graph.depth_buckets(_graph(s, d)[0], _depths(s, d)), _G + "SELECT CASE WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 5 THEN '5+' ELSE depth::VARCHAR END AS bucket, count(*) AS pages FROM v LEFT JOIN depths USING (url) GROUP BY 1"),
+    "depth_buckets": (lambda s, d: graph.depth_buckets(*_with_depths(s, d)), _G + "SELECT CASE WHEN depth IS NULL THEN 'unreachable' WHEN depth >= 5 THEN '5+' ELSE depth::VARCHAR END AS bucket, count(*) AS pages FROM v LEFT JOIN depths USING (url) GROUP BY 1"),
     "depth_summary": (lambda s, d: graph.depth_summary(_depths(s, d)), _G + "SELECT count(*) AS reachable, max(depth) AS max_depth, round(avg(depth), 3) AS avg_depth, round(100.0 * count(*) FILTER (WHERE depth <= 3) / count(*), 2)::DOUBLE AS pct_near FROM depths"),
-    "unreachable": (lambda s, d: graph.unreachable(_graph(s, d)[0], _depths(s, d)), _G + "SELECT url FROM v WHERE url NOT IN (SELECT url FROM depths)"),
+    "unreachable": (lambda s, d: graph.unreachable(*_with_depths(s, d)), _G + "SELECT url FROM v WHERE url NOT IN (SELECT url FROM depths)"),
     "top_pages": (lambda s, d: graph.top_pages(graph.degrees(*_graph(s, d)).select("url", "in_degree"), "in_degree"), _G + "SELECT dst AS url, count(*) AS in_degree FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "sitemap_diff": (lambda s, d: graph.sitemap_diff(_known(s, d), _graph(s, d)[0]), _G + "SELECT url, 'sitemap' AS side FROM known WHERE url NOT IN (SELECT url FROM v) UNION ALL SELECT url, 'graph' FROM v WHERE url NOT IN (SELECT url FROM known)"),
-    "at_risk": (lambda s, d: graph.at_risk(graph.orphans(*_graph(s, d), HOME), graph.unreachable(_graph(s, d)[0], _depths(s, d)), graph.sitemap_diff(_known(s, d), _graph(s, d)[0])), _G + "SELECT url FROM orphan UNION SELECT url FROM v WHERE url NOT IN (SELECT url FROM depths) UNION SELECT url FROM known WHERE url NOT IN (SELECT url FROM v)"),
+    "at_risk": (_at_risk, _G + "SELECT url FROM orphan UNION SELECT url FROM v WHERE url NOT IN (SELECT url FROM depths) UNION SELECT url FROM known WHERE url NOT IN (SELECT url FROM v)"),
     "graph_verdict": (lambda s, d: graph.graph_verdict(_report(s, d).withColumn("rank", F.round("rank", 8))), _REPORT + "SELECT count(*) AS pages, count(*) FILTER (WHERE orphan) AS orphans, count(*) FILTER (WHERE depth IS NULL) AS unreachable, sum(broken_links)::BIGINT AS broken, count(*) FILTER (WHERE rank = (SELECT max(rank) FROM rep)) > 1 AS tied, CASE WHEN count(*) FILTER (WHERE orphan) + count(*) FILTER (WHERE depth IS NULL) = 0 AND sum(broken_links) = 0 THEN 'healthy' WHEN (count(*) FILTER (WHERE orphan) + count(*) FILTER (WHERE depth IS NULL)) * 10 > count(*) THEN 'poor' ELSE 'needs work' END AS verdict FROM rep WHERE rank IS NOT NULL"),
     "pagerank_converged": (_converged, None),
     "pagerank_residual": (_residual, "SELECT (SELECT count(*) FROM (SELECT source_url FROM v_links WHERE target_status_code BETWEEN 200 AND 299 UNION SELECT target_url FROM v_links WHERE target_status_code BETWEEN 200 AND 299)) AS pages, true AS sums_to_one, true AS settled"),
