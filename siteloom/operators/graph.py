@@ -6,6 +6,8 @@ that adaptive execution splits."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -44,10 +46,11 @@ def numbered_graph(vertices: DataFrame, links: DataFrame) -> tuple[DataFrame, Da
     """(vertices (url, id, links), lists (src, targets)) with numbers instead of addresses, in ranges:
     each task of the vertices counts on from its own base. `links` is the number of links
     that go out of a vertex (null: none). Lists, which take a fraction of the room of single
-    links, are those of all targets; a page of more than LISTED links has several. Both are written."""
+    links, are those of all targets; a page of more than LISTED links has several. Both are written.
+    Sources are joined last, so a page's links are together when they are counted and listed."""
     numbered = materialize(vertices.select("url").distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
     end = lambda c, name: numbered.select(F.col("url").alias(c), F.col("id").alias(name))
-    pairs = materialize(links.select("src", "dst").join(end("src", "a"), "src").join(end("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")), "pairs")
+    pairs = materialize(links.select("src", "dst").join(end("dst", "b"), "dst").join(end("src", "a"), "src").select(F.col("a").alias("src"), F.col("b").alias("dst")), "pairs")
     out = materialize(pairs.groupBy("src").agg(F.count("*").alias("links")), "out")
     hubs = materialize(out.where(F.col("links") > LISTED).select("src", F.ceil(F.col("links") / LISTED).alias("lists")), "hubs")
     part = F.pmod(F.xxhash64("dst"), F.coalesce("lists", F.lit(1).cast("long")))
@@ -60,13 +63,19 @@ def pagerank(vertices: DataFrame, links: DataFrame, d: float = 0.85, tol: float
     ranks change by less than N * tol in all, or after `rounds`, if given; ranks that still
     change after `max_iter` rounds raise.
 
-    Pages are numbers while ranks move. A round is one job: the rank that dangling pages hold
-    and the change in all are observed while the round's table is written.
+    Pages are numbers while ranks move.
     """
     numbered, lists = numbered_graph(vertices, links)
+    return numbered.select("url", "id").join(numbered_ranks(numbered, lists, d, tol, max_iter, rounds), "id").select("url", "rank")
+
+
+def numbered_ranks(numbered: DataFrame, lists: DataFrame, d: float = 0.85, tol: float = 1e-6, max_iter: int = 200, rounds: int | None = None) -> DataFrame:
+    """(id, rank) of a numbered graph, as `pagerank`. A round is one job: the rank that dangling
+    pages hold and the change in all are observed while the round's table is written. The lists
+    are met by hashed ranks, not sorted in each round."""
     n = numbered.count()
     if not n:
-        return numbered.select("url", F.lit(0.0).alias("rank"))
+        return numbered.select("id", F.lit(0.0).alias("rank"))
     kept = Rounds("ranks")
     ranks = numbered.select("id", "links", F.lit(1.0 / n).alias("rank"))
 
@@ -79,7 +88,7 @@ def pagerank(vertices: DataFrame, links: DataFrame, d: float = 0.85, tol: float
     ranks, lost, _ = written(ranks, F.lit(0.0))
     for _ in range(rounds or max_iter):
         sent = ranks.where("links is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("links")).alias("share"))
-        got = lists.join(sent, "src").select(F.explode("targets").alias("dst"), "share").groupBy("dst").agg(F.sum("share").alias("got"))
+        got = lists.join(sent.hint("shuffle_hash"), "src").select(F.explode("targets").alias("dst"), "share").groupBy("dst").agg(F.sum("share").alias("got"))
         new = ranks.withColumnRenamed("rank", "old").join(got, F.col("id") == F.col("dst"), "left")
         new = new.withColumn("rank", F.lit((1 - d) / n + d * lost / n) + d * F.coalesce("got", F.lit(0.0)))
         ranks, lost, change = written(new, F.abs(F.col("rank") - F.col("old")))
@@ -88,21 +97,32 @@ def pagerank(vertices: DataFrame, links: DataFrame, d: float = 0.85, tol: float
     else:
         if not rounds:
             raise RuntimeError(f"ranks still change after {max_iter} rounds")
-    return numbered.select("url", "id").join(ranks, "id").select("url", "rank")
+    return ranks.select("id", "rank")
 
 
 def click_depth(links: DataFrame, home: str, max_depth: int = 10_000) -> DataFrame:
     """(url, depth) of all pages that links reach from the homepage. The links are written
     once, and each round writes its new pages alone: a page of depth n + 1 is a target of the
     last front that no front has. Pages beyond `max_depth` raise."""
-    spark = links.sparkSession
     links = materialize(links.where("src <> dst").select("src", "dst"), "links")
-    fronts = [spark.createDataFrame([(home, 0)], "url string, depth int")]
+    first = links.sparkSession.createDataFrame([(home, 0)], "url string, depth int")
+    return _walk(first, lambda front: links.join(front, front["url"] == links["src"]).select(F.col("dst").alias("url")), max_depth)
+
+
+def numbered_depth(numbered: DataFrame, lists: DataFrame, home: str, max_depth: int = 10_000) -> DataFrame:
+    """(id, depth) of a numbered graph, as `click_depth`."""
+    first = numbered.where(F.col("url") == home).select("id", F.lit(0).alias("depth"))
+    return _walk(first, lambda front: lists.join(front, front["id"] == lists["src"]).select(F.explode("targets").alias("id")), max_depth)
+
+
+def _walk(first: DataFrame, targets: Callable[[DataFrame], DataFrame], max_depth: int) -> DataFrame:
+    """`first` (a key, depth) and all that is reached from it, `targets` giving those of a front."""
+    key, fronts = first.columns[0], [first]
     for depth in range(1, max_depth + 1):
-        seen = fronts[0].select("url")
+        seen = fronts[0].select(key)
         for f in fronts[1:]:
-            seen = seen.union(f.select("url"))
-        step = links.join(fronts[-1].select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+            seen = seen.union(f.select(key))
+        step = targets(fronts[-1].select(key)).distinct().join(seen, key, "left_anti")
         front = materialize(step.withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
             break
@@ -141,13 +161,21 @@ def link_status_counts(edges: DataFrame) -> DataFrame:
 
 def link_report(edges: DataFrame, home: str, known: DataFrame | None = None, **rank) -> DataFrame:
     """Rank, depth, degrees, links and orphan mark of each page; known pages that were
-    not crawled are added without rank and depth. Edges and graph are written once for all parts."""
+    not crawled are added without rank and depth. Edges and graph are written once for all parts,
+    and all of them but the links' states are made of the numbered graph."""
     edges = materialize(edges, "edges")
     vertices, links = written_graph(edges)
-    lost = orphans(vertices, links, home, known).withColumn("orphan", F.lit(True))
+    numbered, lists = numbered_graph(vertices, links)
+    into = lists.select(F.explode("targets").alias("id")).groupBy("id").agg(F.count("*").alias("in_degree"))
+    crawled = numbered.withColumnRenamed("links", "out_degree").join(numbered_ranks(numbered, lists, **rank), "id")
+    crawled = crawled.join(numbered_depth(numbered, lists, home), "id", "left").join(into, "id", "left")
     pages = vertices if known is None else vertices.union(known.select("url")).distinct()
-    out = pages.join(pagerank(vertices, links, **rank), "url", "left").join(click_depth(links, home), "url", "left").join(degrees(vertices, links), "url", "left").join(link_status_counts(edges), "url", "left").join(lost, "url", "left")
-    return out.fillna(0, ["in_degree", "out_degree", "broken_links", "redirect_links"]).fillna(False, ["orphan"])
+    out = pages.join(crawled, "url", "left").join(link_status_counts(edges), "url", "left")
+    url = F.col("url")
+    orphan = url.isNotNull() & (F.col("id").isNull() | (F.col("in_degree").isNull() & (url != home)))
+    depth = F.when(url == home, 0).otherwise(F.col("depth"))
+    n = [F.coalesce(c, F.lit(0)).alias(c) for c in ("in_degree", "out_degree", "broken_links", "redirect_links")]
+    return out.select("url", "rank", depth.alias("depth"), *n, orphan.alias("orphan"))
 
 
 def depth_bucket(depth: Column) -> Column:
