@@ -100,12 +100,14 @@ def numbered_ranks(numbered: DataFrame, lists: DataFrame, d: float = 0.85, tol:
     return ranks.select("id", "rank")
 
 
-def click_depth(links: DataFrame, home: str, max_depth: int = 10_000) -> DataFrame:
+def click_depth(links: DataFrame, home: str, max_depth: int = 10_000, written: bool = False) -> DataFrame:
     """(url, depth) of all pages that links reach from the homepage. The links are written
-    once, and each round writes its new pages alone: a page of depth n + 1 is a target of the
+    once, unless they are `written`, and each round writes its new pages alone: a page of depth n + 1 is a target of the
     last front that no front has. Pages beyond `max_depth` raise."""
-    links = materialize(links.where("src <> dst").select("src", "dst"), "links")
-    first = links.sparkSession.createDataFrame([(home, 0)], "url string, depth int")
+    links = links.where("src <> dst").select("src", "dst")
+    links = links if written else materialize(links, "links")
+    # Of one row, which Spark knows: the size of local Python rows is unknown, so all links would be sorted to meet them.
+    first = links.sparkSession.range(1).select(F.lit(home).cast("string").alias("url"), F.lit(0).alias("depth"))
     return _walk(first, lambda front: links.join(front, front["url"] == links["src"]).select(F.col("dst").alias("url")), max_depth)
 
 

@@ -23,17 +23,17 @@ def _graph(s: SparkSession, d: str):
 
 
 def _depths(s: SparkSession, d: str) -> DataFrame:
-    return graph.click_depth(_graph(s, d)[1], HOME)
+    return graph.click_depth(_graph(s, d)[1], HOME, written=True)
 
 
 def _with_depths(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vertices, links = _graph(s, d)
-    return vertices, graph.click_depth(links, HOME)
+    return vertices, graph.click_depth(links, HOME, written=True)
 
 
 def _at_risk(s: SparkSession, d: str) -> DataFrame:
     vertices, links = _graph(s, d)
-    return graph.at_risk(graph.orphans(vertices, links, HOME), graph.unreachable(vertices, graph.click_depth(links, HOME)), graph.sitemap_diff(_known(s, d), vertices))
+    return graph.at_risk(graph.orphans(vertices, links, HOME), graph.unreachable(vertices, graph.click_depth(links, HOME, written=True)), graph.sitemap_diff(_known(s, d), vertices))
 
 
 def _known(s: SparkSession, d: str) -> DataFrame:
