@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -96,15 +97,11 @@ class Levels:
     def blocks(self, k: int) -> tuple[int, int, int]:
         """(B, spare, thin) of a level. A block of at most `thin` elements is thin; a set
         with at most `spare` thin blocks leaves them out, for at least 1 + spare of the
-        B = D + 1 + spare blocks of linked sets agree, and thin ones agree only with thin ones."""
+        B = D + 1 + spare blocks of linked sets agree, and thin ones agree only with thin ones.
+        Planned for the smallest sets that meet others in the level, which lie below it: sets with
+        more thin blocks list their empty ones, which all of these have."""
         if k not in self.known:
-            d, size = self.differ(self.start(k + 1) - 1), self.start(k)
-            self.known[k] = (d + 1, 0, -1)
-            for thin in (1, 0):
-                fit = [z for z in range(1, d // 2 + 4) if _poisson_tail(thin, d + 1 + z, size, z) < THIN_TAIL][:1]
-                if fit:
-                    self.known[k] = (d + 1 + fit[0], fit[0], thin)
-                    break
+            self.known[k] = planned(self.differ(self.start(k + 1) - 1), -(-self.start(k) * self.num // self.den))
         return self.known[k]
 
     def signatures(self, s: np.ndarray) -> list[np.ndarray]:
@@ -129,9 +126,23 @@ class Levels:
         return out
 
 
+@cache
+def planned(d: int, size: int) -> tuple[int, int, int]:
+    """(B, spare, thin) for sets of `size` elements or more that differ in `d`: few sets have more
+    than `spare` thin blocks; of small ones, as few as can be."""
+    for thin in (1, 0):
+        for z in range(1, d // 2 + 4):
+            if _poisson_tail(thin, d + 1 + z, size, z) < THIN_TAIL:
+                return d + 1 + z, z, thin
+    z = min(range(d // 2 + 4), key=lambda z: _poisson_tail(0, d + 1 + z, size, z))
+    return d + 1 + z, z, 0
+
+
 def _poisson_tail(thin: int, b: int, size: int, z: int) -> float:
     m = size / b
     rate = b * math.exp(-m) * (1 + m * (thin == 1))
+    if rate > 600:  # beyond that, exp(-rate) is 0
+        return math.erfc((z + 0.5 - rate) / math.sqrt(2 * rate)) / 2
     term = total = math.exp(-rate)
     for i in range(1, z + 1):
         term *= rate / i
